@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup
+from . import hmm, linededup, mixing, neardup
+from .common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.fit_and_score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+
+
 def op7_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
