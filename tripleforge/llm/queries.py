@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, linededup, mixing, neardup
+from . import hmm, linededup, mixing, neardup, privacy
 from .common import fold
 
 
@@ -17,6 +17,10 @@ def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.fit_and_score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.spans(table(spark, sf_dir, "documents"))
+
+
 def op7_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
