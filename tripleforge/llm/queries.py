@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, linededup, mixing, neardup, privacy
+from . import hmm, linededup, mixing, neardup, privacy, quality
 from .common import fold
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+
+
 def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.fit_and_score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
 
