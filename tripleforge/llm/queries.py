@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, linededup, mixing, neardup, privacy, quality
+from . import decontaminate, editprint, hmm, linededup, mixing, neardup, privacy, quality
 from .common import fold
 
 
@@ -21,6 +21,10 @@ def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.fit_and_score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
 
 
+def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
