@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editprint, hmm, linededup, mixing, neardup, privacy, quality
+from . import decontaminate, editprint, hmm, licences, linededup, mixing, neardup, privacy, quality, toolcalls
 from .common import fold
 
 
@@ -29,6 +29,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.spans(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))["documents"]
 
 
+def op9_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeats(table(spark, sf_dir, "documents"))
 
@@ -50,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_licence_notices": licences.scan_sql(), "op9_tool_call_links": toolcalls.plain_sql()}
