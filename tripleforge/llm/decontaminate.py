@@ -192,11 +192,13 @@ def leaks(docs: DataFrame, bench: DataFrame, n: int = N, rare: int = RARE, thres
 
 def clean(docs: DataFrame, bench: DataFrame, n: int = N, rare: int = RARE, threshold: float = THRESHOLD, part_words: int = PART_WORDS) -> DataFrame:
     """docs without the contaminated ones."""
-    for sent in parts(docs, bench, n, rare, part_words):
-
-        def dirty(texts: pd.Series, sent=sent) -> pd.Series:
+    def dirty(sent):
+        def judge(texts: pd.Series) -> pd.Series:
             p = Part.of(sent.value)
             return pd.Series([t is not None and bool(passages(p, t, threshold)) for t in texts], dtype=bool)
 
-        docs = docs.where(~F.pandas_udf(dirty, "boolean")("text"))
+        return F.pandas_udf(judge, "boolean")
+
+    for sent in parts(docs, bench, n, rare, part_words):
+        docs = docs.where(~dirty(sent)("text"))
     return docs
