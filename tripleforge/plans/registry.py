@@ -1,4 +1,23 @@
 """Every query by name, and SQL that gives the same rows."""
 
+from __future__ import annotations
+
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers fn(spark, sf_dir) under a name; sql gives the same rows in DuckDB."""
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+for _part in ("metrics", "windows", "evidence"):
+    importlib.import_module(f"tripleforge.plans.{_part}")
