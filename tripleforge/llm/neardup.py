@@ -3,9 +3,8 @@
 1. Every text's shingle set, its digest and its sketch are computed in one pass. Equal sets become one vertex.
 2. Sketches are cut into bands; vertices with an equal band share a bucket. Each bucket links its members to the one of
    least doc_id only (a star, not all pairs), and each pair is verified on the full sets, read again for the vertices in question.
-3. In buckets whose members are not yet in one component, the pairs between different components are verified too: pairs
-   within small buckets directly, within large ones by blocks of members whose sketches are compared first (a pair is
-   left out only if its sketches agree six standard deviations below the threshold). So no link between members of a
+3. In buckets whose members are not yet in one component, pairs between different components are compared too: in small groups of buckets each pair is
+   verified, in large ones blocks of members are compared on their full sets, and only links leave the task. So no link between members of a
    bucket is lost that could join two components.
 4. Components are found by hooking and pointer jumping, never on the driver.
 
@@ -15,8 +14,6 @@ by their equal sets. A null doc_id ranks after all others. An empty table gives
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +24,7 @@ from .shingles import chunks, fast_sketches, set_digests, shingle_sets
 
 BINS, BAND = 112, 4
 BROADCAST_IDS = 300_000
-SMALL_BUCKET, BLOCK = 48, 1024
+SMALL_GROUP, BLOCK = 48, 256
 LAST = 2**63 - 1
 #: Vertices are decimal(38): the least doc_id of their rows times this, plus a remainder of their set's digest.
 SPAN = 10**12
@@ -80,26 +77,41 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, perc
     return out
 
 
-def _block_pairs(members: DataFrame, bins: int, percent: int) -> DataFrame:
-    """Pairs of members (key, v, root, sketch, m) of large buckets, from different components, whose sketches allow a link."""
-    p = percent / 100
-    least = int(bins * (p - 6 * math.sqrt(p * (1 - p) / bins)))
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = members.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("v").cast("string").alias("v"), F.col("root").cast("string").alias("root"), "sketch")
+def _block_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within large groups (hub, v, root): for each vertex outside the hub's component and each other component, one at least if there is any.
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint16).reshape(len(x), bins) for x in (left, right))
-        va, vb, ra, rb = left["v"].to_numpy(), right["v"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
-        out = []
-        for k in range(len(a)):
-            like = np.flatnonzero(((b == a[k]).sum(axis=1) >= least) & (rb != ra[k]))
-            out += [(va[k], vb[x]) for x in like]
-        return pd.DataFrame(out, columns=["a", "b"])
+    Both the vertices outside and all vertices are dealt into blocks; a task holds the full sets of two blocks, counts their common shingles by an index of
+    one of them, and returns links only, never the pairs that it compares.
+    """
+    known = Kept(groups.select("v").distinct().join(reps.select("v", "id", "hi", "lo"), "v"), "group-ends")
+    sets = Kept(_sets(docs, known.df, width).dropDuplicates(["v"]), "group-sets").df
+    rows = groups.join(sizes, "hub")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("v"), blocks(n)).cast("int")
+    text = [F.col(c).cast("string").alias(c) for c in ("v", "root")]
+    out = rows.where("root <> hub").select("hub", F.lit(0).alias("side"), place("n_out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"), "v", "root")
+    all_ = rows.select("hub", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), place("n").alias("j"), "v", "root")
+    dealt = out.unionByName(all_).join(sets, "v").select("hub", "side", "i", "j", *text, "items")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a string, b string").select(F.col("a").cast("decimal(38,0)"), F.col("b").cast("decimal(38,0)"))
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        found = []
+        if len(left) and len(right):
+            sizes = np.array([len(x) for x in right["items"]])
+            flat = np.concatenate(list(right["items"]))
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+            names, roots = right["v"].to_numpy(), right["root"].to_numpy()
+            for v, root, s in zip(left["v"], left["root"], left["items"], strict=True):
+                lo, n = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                n -= lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sizes))
+                hit = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (roots != root))
+                found += [(v, names[k]) for k in hit[np.unique(roots[hit].astype(str), return_index=True)[1]]]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.groupBy("hub", "i", "j").applyInPandas(compare, "a string, b string").select(F.col("a").cast("decimal(38,0)"), F.col("b").cast("decimal(38,0)"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, band: int = BAND) -> DataFrame:
@@ -119,22 +131,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
 
     stars = members.df.join(members.df.groupBy("key").agg(F.min("v").alias("a")), "key").where("v <> a").select("a", F.col("v").alias("b")).distinct()
     stars = Kept(stars, "stars")
-    links = _verify(docs, stars.df, reps.df, width, percent, "stars")
-    found = components(links.df, "star-parts")
-
-    rooted = Kept(members.df.join(found, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")), "rooted")
-    open_ = rooted.df.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "m")
-    open_ = Kept(rooted.df.join(open_, "key"), "open")
-    small, large = open_.df.where(F.col("m") <= SMALL_BUCKET), open_.df.where(F.col("m") > SMALL_BUCKET)
-    pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.v < q.v and p.root <> q.root")).select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
+    links = _verify(docs, stars.df, reps.df, width, percent, "stars").df
+    found = components(links, "star-parts")
+
+    # Buckets that hold more than one component, by their commonest one, the hub; buckets of one hub form a group.
+    rooted = Kept(members.df.join(found, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")), "rooted").df
+    open_ = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", (-F.col("root")).alias("r"))).alias("hub"), F.count("*").alias("parts")).where("parts > 1").select("key", "hub")
+    open_ = Kept(rooted.join(open_, "key"), "open").df
+    groups = Kept(open_.select("hub", "v", "root").distinct(), "groups").df
+    sizes = Kept(groups.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(F.expr("root <> hub")).alias("n_out")), "group-sizes").df
+    large = sizes.where(F.col("n") > SMALL_GROUP)
+    few = open_.join(sizes.where(F.col("n") <= SMALL_GROUP).select("hub"), "hub")
+    pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key and p.v < q.v and p.root <> q.root")).select(F.col("p.v").alias("a"), F.col("q.v").alias("b")).distinct()
+    pairs = Kept(pairs.join(stars.df, ["a", "b"], "left_anti"), "rest")
+    more = _verify(docs, pairs.df, reps.df, width, percent, "rest").df
     if not large.isEmpty():
-        sketches = own.select("v", "sketch")
-        far = _block_pairs(large.join(sketches, "v"), bins, percent)
-        pairs = pairs.unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = Kept(pairs.distinct().join(stars.df, ["a", "b"], "left_anti"), "rest")
-    more = _verify(docs, pairs.df, reps.df, width, percent, "rest")
-    if not more.df.isEmpty():
-        found = components(links.df.unionByName(more.df), "parts")
+        more = Kept(more.unionByName(_block_links(docs, groups.join(large.select("hub"), "hub"), large, reps.df, width, percent)), "more").df
+    if not more.isEmpty():
+        found = components(links.unionByName(more), "parts")
 
     classes = reps.df.join(found, "v", "left").select("hi", "lo", F.floor(F.coalesce("root", "v") / F.lit(SPAN)).cast("long").alias("part"))
     out = signed.df.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
