@@ -19,5 +19,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _part in ("metrics", "windows", "evidence"):
+for _part in ("metrics", "windows", "evidence", "texts", "relational"):
     importlib.import_module(f"tripleforge.plans.{_part}")
