@@ -60,7 +60,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     units = rows.select("doc_id", "row", F.posexplode(F.concat(lines, whole)).alias("unit", "words"), F.size(lines).alias("n"))
     words = F.array_remove(F.split("words", " +"), "")
     units = units.select("doc_id", "row", F.when(F.col("unit") == F.col("n"), -1).otherwise(F.col("unit")).alias("unit"), words.alias("w")).where(F.size("w") > 1)
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     units = units.select("doc_id", "row", "unit", pairs.alias("pairs"))
     # The largest unit that any template could match: longer ones need not be taken apart.
     top = max((len(s) for s in sets.values()), default=0) * (2 - least) / least
