@@ -18,7 +18,7 @@ KEY = k.KEY
 def _(spark, sf):
     kg = Graph(spark, sf)
     q = kg.queries()
-    inside = subgraphs(kg).where("r = 'CtD'").select(*KEY, F.col("h").alias("gold_id"), F.col("t").alias("query_id")).distinct().withColumn("leak", F.lit(1))
+    inside = subgraphs(kg).cache().where("r = 'CtD'").select(*KEY, F.col("h").alias("gold_id"), F.col("t").alias("query_id")).distinct().withColumn("leak", F.lit(1))
     train = kg.train().select(F.col("h").alias("gold_id"), F.col("t").alias("query_id"), F.lit(1).alias("known"))
     j = q.join(inside, [*KEY, "gold_id", "query_id"], "left").join(train, ["gold_id", "query_id"], "left")
     return j.groupBy("split").agg(F.count("*").alias("n_queries"), F.count("leak").alias("subgraph_leaks"), F.count("known").alias("train_leaks"))
