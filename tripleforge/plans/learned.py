@@ -43,9 +43,9 @@ def score(name: str):
 
 
 def _register(name: str):
-    @query(f"ml01_{name}", f"WITH {BASE} SELECT h, r, t, round({SCORES[name]}, 5) AS score FROM p")
+    @query(f"ml01_{name}", f"WITH {BASE} SELECT h, r, t, round({SCORES[name]}, 5) + 0.0::DOUBLE AS score FROM p")
     def _(spark, sf):
-        return triples(Graph(spark, sf)).select("h", "r", "t", F.round(score(name), 5).alias("score"))
+        return triples(Graph(spark, sf)).select("h", "r", "t", (F.round(score(name), 5) + 0.0).alias("score"))
 
 
 for _name in SCORES:
