@@ -1,7 +1,7 @@
 """A hidden Markov language model over words.
 
 Tokens are words between white space, A-Z lower-cased, then one end of text. Training counts every token of the training
-texts, and the `head` most frequent words (a fixed model size) are symbols of their own; all other words, seen or not,
+texts, and the most frequent words, at most `head` (a fixed model size), are symbols of their own; all other words, seen or not,
 are emitted by way of one of `classes` symbols (a hash of the last three characters). A state emits a symbol; a class
 symbol then emits its word with probability (c + 0.1) / (n + 0.1 (v + 1)), c the word's count, n and v the counts of tokens and of words
 in the class; all unseen words of a class are one type. So each state's words sum to 1, as in the unigram base.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Kept, lower_ascii, words
 
 ADD = 0.1
+#: Levels of counts for each unit of their logarithm: counts below this are levels of their own.
+LEVELS = 2000
 
 
 @dataclass(frozen=True)
@@ -146,14 +148,20 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = Kept(src.where("train").select(F.explode(words(lower_ascii(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "counts")
     n_docs = src.where("train").count()
-    head = counts.df.orderBy(F.desc("c"), "word").limit(cfg.head).collect()
+    # The commonest words, by levels of their counts: whole levels from the top while they fit. A histogram of levels decides, so no task sends the driver a list of its own.
+    level = F.floor(F.ln("c") * LEVELS)
+    room, floor_ = cfg.head, None
+    for r in sorted(counts.df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        if r["n"] > room:
+            break
+        room, floor_ = room - r["n"], r["level"]
+    head = sorted(counts.df.where(level >= floor_).collect(), key=lambda r: (-r["c"], r["word"])) if floor_ is not None else []
     seen = counts.df.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all, n_head, end, symbols = seen["n"] + n_docs, seen["v"] + (n_docs > 0), len(head), len(head), len(head) + 1 + cfg.classes
     index = sc.broadcast([r["word"] for r in head])
     # The classes hold what is not in the head: a row for each class.
-    last = (head[-1]["c"], head[-1]["word"]) if head else None
     cls = F.pmod(F.crc32(F.substring("word", -3, 3).cast("binary")), F.lit(cfg.classes))
-    tail = counts.df.where((F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("word") > last[1]))) if last else counts.df
+    tail = counts.df.where(level < floor_) if floor_ is not None else counts.df
     in_class = np.zeros((cfg.classes, 2))
     for r in tail.groupBy(cls.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         in_class[r["k"]] = r["n"], r["v"]
@@ -193,7 +201,10 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
     symbol_counts = np.concatenate((head_counts, in_class[:, 0]))
     unigram = (symbol_counts + ADD) / (symbol_counts.sum() + ADD * symbols)
 
-    sample = coded.df.where("train").orderBy(F.xxhash64("doc_id", F.lit(cfg.seed)), "row").select("ids").limit(cfg.warm_docs).collect()
+    # Row numbers are chosen first; the tokens of the chosen rows only then come to the driver.
+    hashed = F.xxhash64("doc_id", F.lit(cfg.seed))
+    chosen = coded.df.where("train").select("row", hashed.alias("hash")).orderBy("hash", "row").limit(cfg.warm_docs)
+    sample = sorted(coded.df.select("row", "doc_id", "ids").join(F.broadcast(chosen), "row").select("hash", "row", "ids").collect())
     model = _first(_blocks([r["ids"] for r in sample], cfg.block), unigram, cfg)
     k, block = cfg.states, cfg.block
     for _ in range(cfg.rounds):
