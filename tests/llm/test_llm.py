@@ -117,6 +117,16 @@ def test_disclosing_terms(spark):
     assert terms == {"quixotic", "windmill"}
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    filler = "daily mister calls common words " * 30
+    text = f"Zebulon wrote. {filler} \u0130 mail zoe@mail.example now. {filler} {filler} asked zebulon daily"
+    d = spark.createDataFrame([(0, text)] + [(i, f"asked wrote mail {filler}") for i in range(1, 300)], "doc_id long, text string")
+    got = privacy.spans(d).where("doc_id = 0").first()
+    cuts = [(int(a), int(b)) for k, a, b in (s.split(":") for s in got.spans.split(",")) if k == "term"]
+    assert [text[a:b] for a, b in cuts] == ["Zebulon", "zebulon"]
+    assert "ebulon" not in privacy.sanitised(d).where("doc_id = 0").first().text
+
+
 def test_edit_fingerprints(docs, none):
     src = sorted(((i is None, i or 0, t or "") for i, t, *_ in rows()))
     got = editprint.fingerprinted(docs).collect()

@@ -1,13 +1,15 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions only.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and telephone numbers (the patterns below, leftmost and
-non-overlapping for each kind; matches that fail a kind's check are dropped). A term (a run of min_letters letters or more, lower-cased)
-within `window` characters of an entity is its context. Over the whole corpus, N documents, with df of an entity, of a term anywhere,
-and of both in one context:
+non-overlapping for each kind; matches that fail a kind's check are dropped). A term (a run of min_letters letters or more, lower-cased,
+that touches no entity) is the context of every entity of its text. Over the whole corpus, N documents, with df of an entity, of a term
+anywhere, and of both in one document:
 
-    information(e) = log2(N / df(e));  disclosure(t, e) = log2(N df(t, e) / (df(t) df(e))) / information(e)
+    information(e) = log2(N / df(e));  disclosure(t, e) = log2(p(e | t) N / df(e)) / information(e)
+    p(e | t) = (df(t, e) + prior df(e) / N) / (df(t) + prior)
 
-A term with df(t, e) >= support and disclosure >= general is generalised where it stands in e's context; from `remove` on it is removed.
+All pairs count, those of one document too: the prior, of so many documents at e's own rate, smooths them. A term with
+disclosure >= general is generalised wherever it stands in a text with e; from `remove` on it is removed.
 
 Null and empty texts have no spans. Spans count code points, ends exclusive. Repeated rows and equal texts under one id
 get equal spans; each counts as a document. An empty table gives an empty result. Extra columns stay out of spans() and stay
@@ -30,7 +32,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MARK, PLAIN = "\ue000", "\u25a1"
-WINDOW, MIN_LETTERS, SUPPORT, GENERAL, REMOVE, BROADCAST_ROWS, BROADCAST_CUTS = 60, 4, 2, 0.75, 0.9, 500_000, 50_000
+MIN_LETTERS, PRIOR, GENERAL, REMOVE, BROADCAST_ROWS, BROADCAST_CUTS = 4, 1.0, 0.75, 0.9, 500_000, 50_000
+#: Parts of a text that are placed in one go; even, so that each block begins between terms.
+BLOCK = 256
 
 
 def matches(text: Column, pattern: str, keep=None) -> Column:
@@ -86,42 +90,65 @@ def _base(text: Column) -> Column:
     return F.concat(*each)
 
 
-def _context(text: Column, base: Column, window: int, letters: int) -> Column:
-    """array<struct<entity, term, start, end>> of the terms near each entity that lie outside all entities and are not cut by the window."""
-    n = F.length(text)
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def near(s: Column) -> Column:
-        lo, hi = F.greatest(s["start"] - window, F.lit(0)), F.least(s["end"] + window, n)
-        terms = matches(F.lower(F.substring(text, lo + 1, hi - lo)), rf"\p{{L}}{{{letters},}}+")
-        whole = F.filter(terms, lambda t: ((t["start"] > 0) | (lo == 0)) & ((t["end"] < hi - lo) | (hi == n)))
-        placed = F.transform(whole, lambda t: F.struct(F.concat_ws(":", F.element_at(F.lit(list(KINDS)), s["kind"] + 1), s["value"]).alias("entity"), t["value"].alias("term"), (t["start"] + lo).alias("start"), (t["end"] + lo).alias("end")))
-        return F.filter(placed, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
 
-    return F.flatten(F.transform(base, near))
+def _lower(text: Column) -> Column:
+    """text in lower case, as long as before (of all letters only U+0130 would grow)."""
+    return F.lower(F.translate(text, "\u0130", "i"))
 
 
-def found(docs: DataFrame, window: int = WINDOW, letters: int = MIN_LETTERS, support: int = SUPPORT, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
+def _terms(text: Column, base: Column, letters: int) -> Column:
+    """array<struct<term, start, end>> of the terms of a text that lie outside all entities. Parts are placed by blocks, so that time grows with the text."""
+    parts = F.split(F.regexp_replace(_lower(text), rf"\p{{L}}{{{letters},}}+", f"{MARK}$0{MARK}"), MARK)
+    spans = F.array().cast("array<struct<term:string,start:int,end:int>>")
+
+    def place(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        hit = F.array(F.struct(part.alias("term"), acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+
+    def begin(acc: Column, block: Column) -> Column:
+        end = acc["at"] + F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), F.lit(False).alias("hit"), spans.alias("out")), place, lambda acc: acc["out"])))
+
+    blocks = _let(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, F.lit(BLOCK))))
+    return F.filter(_let(blocks, placed), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+
+
+def _named(base: Column) -> Column:
+    """The entities of a text, each once, as kind:value."""
+    return F.array_distinct(F.transform(base, lambda b: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), b["kind"] + 1), b["value"])))
+
+
+def found(docs: DataFrame, letters: int = MIN_LETTERS, prior: float = PRIOR, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
     """doc_id, digest (of the text), base: the protected entities, terms: array<struct<start, end, removed>> of the terms that disclose one."""
     text = F.translate(F.coalesce("text", F.lit("")), MARK, PLAIN)
     first = docs.select("doc_id", F.xxhash64("text").alias("digest"), text.alias("t")).withColumn("base", _base(F.col("t")))
-    near = F.when(F.size("base") > 0, _context(F.col("t"), F.col("base"), window, letters)).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    scan = Kept(first.select("doc_id", "digest", "base", near.alias("near")), "entities")
+    placed = F.when(F.size("base") > 0, _terms(F.col("t"), F.col("base"), letters)).otherwise(F.array().cast("array<struct<term:string,start:int,end:int>>"))
+    scan = Kept(first.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", "base", placed.alias("placed")), "entities")
 
     some = scan.df.where(F.size("base") > 0)
-    pairs = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))))).select("col.*").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = Kept(pairs, "pairs").df
-    entities = some.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), b["kind"] + 1), b["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    named = some.select("row", F.explode(_named(F.col("base"))).alias("entity"), F.array_distinct("placed.term").alias("terms"))
+    met = named.select("row", "entity", F.explode("terms").alias("term"))
+    pairs = Kept(met.groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs").df
+    entities = named.groupBy("entity").agg(F.count("*").alias("with_entity"))
     wanted = Kept(pairs.select("term").distinct(), "terms").df
     wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
-    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(rf"\p{{L}}{{{letters},}}+"), F.lit(0)))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    n = scan.df.count()
-    info = F.log2(F.lit(float(n)) / F.col("with_entity"))
-    shown = F.log2(F.lit(float(n)) * F.col("both") / (F.col("with_term") * F.col("with_entity"))) / info
-    telling = Kept(pairs.join(entities, "entity").join(everywhere, "term").where(info > 0).withColumn("disclosure", shown).where(F.col("disclosure") >= general).select("entity", "term", "disclosure"), "telling").df
+    everywhere = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(_lower(text), F.lit(rf"\p{{L}}{{{letters},}}+"), F.lit(0)))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    rate = F.col("with_entity") / F.lit(float(scan.df.count()))
+    shown = F.log2((F.col("both") + prior * rate) / (F.col("with_term") + prior) / rate) / -F.log2(rate)
+    telling = Kept(pairs.join(entities, "entity").join(everywhere, "term").where(rate < 1).withColumn("disclosure", shown).where(F.col("disclosure") >= general).select("entity", "term", "disclosure"), "telling").df
     telling = F.broadcast(telling) if small_enough(telling, BROADCAST_ROWS) else telling
-    terms = some.select("doc_id", "digest", F.explode("near").alias("x")).select("doc_id", "digest", "x.*").join(telling, ["entity", "term"]).groupBy("doc_id", "digest", "start", "end").agg(F.max("disclosure").alias("d")).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("d") >= remove).alias("removed")))).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "terms")
-    both = scan.df.select("doc_id", "digest", "base").join(terms, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    cut = met.join(telling, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("d"))
+    terms = some.select("row", F.explode("placed").alias("x")).select("row", "x.*").join(cut, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("d") >= remove).alias("removed")))).alias("terms"))
+    both = scan.df.select("row", "doc_id", "digest", "base").join(terms, "row", "left")
     return both.select("doc_id", "digest", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,removed:boolean>>")).alias("terms"))
 
 
