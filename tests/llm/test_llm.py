@@ -90,6 +90,26 @@ def test_repeated_lines(docs, none):
     assert linededup.units_of("a\nb\n\nc", "paragraph") == [(0, 3, "a\nb"), (5, 6, "c")]
 
 
+def test_repeated_passages_within_lines(spark):
+    rnd = random.Random(5)
+    some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    passage = some(60)
+    texts = [f"{some(30)} {passage} {some(30)}", f"{some(9)}\n{some(20)} {passage} {some(11)}\n{some(6)}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = linededup.repeats(d).collect()
+    assert {r.doc_id for r in got} == {1} and {r.kept_doc_id for r in got} == {0}
+    out = {r.doc_id: r.text for r in linededup.without_repeats(d).collect()}
+    assert out[0] == texts[0] and len(set(passage.split()) & set(out[1].split())) <= 30 and set(out[1].split()) >= set(texts[1].split()) - set(passage.split())
+    assert out[1].count("\n") == 2
+
+
+def test_repeated_lines_of_null_ids(spark):
+    line = "one two three four five six"
+    d = spark.createDataFrame([(None, f"{line}\nfirst of them"), (None, f"{line}\nsecond of them")], "doc_id long, text string")
+    assert linededup.repeats(d).count() == 1
+    assert sorted(r.text for r in linededup.without_repeats(d).collect()) in ([f"{line}\nfirst of them", "second of them"], ["first of them", f"{line}\nsecond of them"])
+
+
 def test_personal_data(spark, none):
     texts = ["a@b.c_d@e.f x..y@z.w.. 1.2.3.4.5 999.1.1.1 +1 (017) 555-7713", "4111 1111 1111 1111 4111-1111-1111-1112 001.002.003.004 \U0001f600 q@w.e  1.1.1.1", None, "", "a@b" + ".c" * 3000 + "1 " * 3000 + "+1" + "(" * 3000]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")

@@ -1,11 +1,14 @@
 """Repeated lines or paragraphs: digests of normalised units are grouped over the whole corpus, the earliest occurrence stays.
 
-A unit is a line (or a paragraph, between blank lines). It is normalised by lower-casing A-Z and writing runs of white
+A unit is a line (or a paragraph, between blank lines), and each piece of a line of more than one piece. Pieces end after words whose
+hash is less than those of the min_words - 1 words on either side: where they end depends on the words nearby only, so a passage
+within longer lines, or around an edit, is cut alike wherever it stands. A unit is normalised by lower-casing A-Z and writing runs of white
 space as one space, and counts if it has min_words words or more. Units with equal digests are occurrences of one
-passage; they rank by doc_id (null last) and place. The first stays, the rest go, with their offsets in code points.
+passage; they rank by doc_id (null last), text and place. The first stays, the rest go, with their offsets in code points; pieces of
+a line that goes are not listed again.
 
 Null and empty texts have no units. Rows that agree in doc_id and text count as one document: their units fall on the
-same rank, and both keep or lose them. An empty table gives an empty result. Extra columns stay out of the result of
+same rank, and both keep or lose them; other texts of one doc_id, null too, are documents of their own. An empty table gives an empty result. Extra columns stay out of the result of
 repeats() and stay in without_repeats().
 """
 
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Kept
 
 MIN_WORDS, BROADCAST_ROWS, HOT = 5, 200_000, 10_000
-#: Ranks are doc_id times this, plus the place.
-PLACES = 10**12
+#: Ranks are doc_id times this, plus the place: a number of the text times STARTS, plus the offset.
+PLACES, STARTS, TEXTS = 10**19, 10**10, 9 * 10**8
 LAST = 2**63 - 1
 
 
@@ -46,25 +50,69 @@ def digest_of(unit: str, min_words: int) -> tuple[int, int] | None:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def number_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % TEXTS
+
+
+class _Hashes(dict):
+    """Hashes of lower-cased words, kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = zlib.crc32(lower_of(word))
+        return h
+
+
+def lower_of(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
+def pieces_of(line: str, min_words: int, hashes: dict | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a line, in code points; none if it is one piece."""
+    hashes = _Hashes() if hashes is None else hashes
+    found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0d]+", line)]
+    n, r = len(found), min_words - 1
+    if n < 2 * min_words:
+        return []
+    h = np.full(n + 2 * r, 2**32, np.int64)
+    h[r : r + n] = [hashes[w] for *_, w in found]
+    low = np.ones(n, bool)
+    for k in range(1, r + 1):
+        low &= (h[r : r + n] < h[r - k : r - k + n]) & (h[r : r + n] <= h[r + k : r + k + n])
+    ends = [i for i in np.flatnonzero(low).tolist() if i < n - 1]
+    firsts = [0, *[i + 1 for i in ends]]
+    return [(found[x][0], found[y][1]) for x, y in zip(firsts, [*ends, n - 1], strict=True)] if ends else []
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
+    """A row for each unit: id, text_no (a number of the text), unit, piece (-1 for whole units), start, end, and the digest."""
     def split(batches):
+        hashes = _Hashes()
         for pdf in batches:
-            ids, start, end, no, hi, lo = [], [], [], [], [], []
+            ids, texts, start, end, no, piece, hi, lo = [], [], [], [], [], [], [], []
             for i, t in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
+                number = number_of(t)
                 for k, (a, b, s) in enumerate(units_of(t, unit)):
-                    if b - a >= 2 * min_words - 1 and (d := digest_of(s, min_words)):
-                        ids.append(i), start.append(a), end.append(b), no.append(k), hi.append(d[0]), lo.append(d[1])
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "unit": np.array(no, np.int32), "start": np.array(start, np.int32), "end": np.array(end, np.int32), "hi": np.array(hi, np.int64), "lo": np.array(lo, np.int64)})
+                    if b - a < 2 * min_words - 1:
+                        continue
+                    for j, (x, y) in enumerate([(0, b - a), *(pieces_of(s, min_words, hashes) if unit == "line" else [])]):
+                        if d := digest_of(s[x:y], min_words):
+                            ids.append(i), texts.append(number), start.append(a + x), end.append(a + y), no.append(k), piece.append(j - 1), hi.append(d[0]), lo.append(d[1])
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "text_no": np.array(texts, np.int64), "unit": np.array(no, np.int32), "piece": np.array(piece, np.int32), "start": np.array(start, np.int32), "end": np.array(end, np.int32), "hi": np.array(hi, np.int64), "lo": np.array(lo, np.int64)})
 
-    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), "text").mapInPandas(split, "id long, unit int, start int, end int, hi long, lo long")
+    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), "text").mapInPandas(split, "id long, text_no long, unit int, piece int, start int, end int, hi long, lo long")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
-    """The occurrences to remove: doc_id, unit, start, end, copies, kept_doc_id, kept_start."""
+def _found(docs: DataFrame, min_words: int, unit: str) -> DataFrame:
+    """The occurrences to remove, with text_no and piece."""
     u = Kept(units(docs, min_words, unit), "units")
-    rank = F.col("id").cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(13,0)") + F.col("start").cast("decimal(12,0)")
+    place = F.col("text_no") * STARTS + F.col("start")
+    rank = F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")
     groups = Kept(u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank.cast("decimal(38,0)")).alias("first")).where("copies > 1"), "repeated").df
-    groups = groups.select("hi", "lo", "copies", F.floor(F.col("first") / F.lit(PLACES)).cast("long").alias("kept_id"), F.expr(f"cast(pmod(first, {PLACES}) as int)").alias("kept_start"))
+    # A whole number of PLACES is left to divide, so nothing is rounded.
+    kept_place = F.expr(f"pmod(first, cast({PLACES} as decimal(20,0)))").cast("decimal(38,0)")
+    groups = groups.withColumn("kept_place", kept_place).select("hi", "lo", "copies", F.expr(f"cast((first - kept_place) / cast({PLACES} as decimal(20,0)) as bigint)").alias("kept_id"), F.col("kept_place").cast("long").alias("kept_place"))
     on = ["hi", "lo"]
     if groups.count() <= BROADCAST_ROWS:
         found = u.df.join(F.broadcast(groups), on)
@@ -73,13 +121,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") ->
         bound = max(HOT, u.df.count() // BROADCAST_ROWS)
         hot = F.broadcast(groups.where(F.col("copies") > bound))
         found = u.df.join(hot, on).unionByName(u.df.join(hot.select(*on), on, "left_anti").join(groups.where(F.col("copies") <= bound), on))
+    found = Kept(found.where((F.col("id") != F.col("kept_id")) | (place != F.col("kept_place"))).select("id", "text_no", "unit", "piece", "start", "end", "copies", "kept_id", (F.col("kept_place") % STARTS).cast("int").alias("kept_start")), "found").df
+    at = ["id", "text_no", "unit"]
+    lines = found.where("piece < 0")
+    return lines.unionByName(found.where("piece >= 0").join(lines.select(*at).distinct(), at, "left_anti"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
+    """The occurrences to remove: doc_id, unit, start, end, copies, kept_doc_id, kept_start. A unit has a row for each of its pieces that go if it does not go whole."""
     real = lambda c: F.when(F.col(c) == LAST, None).otherwise(F.col(c))
-    return found.where("id <> kept_id or start <> kept_start").select(real("id").alias("doc_id"), "unit", "start", "end", "copies", real("kept_id").alias("kept_doc_id"), "kept_start")
+    return _found(docs, min_words, unit).select(real("id").alias("doc_id"), "unit", "start", "end", "copies", real("kept_id").alias("kept_doc_id"), "kept_start")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
-    """docs with every repeated unit but the first cut out of text (with the line end after it), and removed: the spans cut, by offsets in the original."""
-    spans = repeats(docs, min_words, unit).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    """docs with every repeated unit but the first cut out of text (with the line end after it, or for pieces the space), and removed: the spans cut, by offsets in the original."""
+    spans = _found(docs, min_words, unit).groupBy(F.col("id").alias("_id"), F.col("text_no").alias("_no")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+
+    def number(text: pd.Series) -> pd.Series:
+        return pd.Series([-1 if t is None else number_of(t) for t in text], dtype="int64")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -88,10 +147,13 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "li
                 parts, at = [], 0
                 for s in ss:
                     parts.append(t[at : s["start"]])
-                    at = min(len(t), s["end"] + 1)
+                    # The end of a line stays with what is left of the line before the span.
+                    rest = t[s["end"] : s["end"] + 1] == "\n" and "".join(parts)[-1:] not in ("", "\n")
+                    at = s["end"] if rest else min(len(t), s["end"] + 1)
                 t = "".join([*parts, t[at:]])
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return both.withColumn("text", F.pandas_udf(cut, "string")("text", "_spans")).withColumn("removed", F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))).drop("_spans", "_id")
+    numbered = docs.withColumn("_text_no", F.pandas_udf(number, "long")("text"))
+    both = numbered.join(spans, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")) & (F.col("_text_no") == F.col("_no")), "left")
+    return both.withColumn("text", F.pandas_udf(cut, "string")("text", "_spans")).withColumn("removed", F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))).drop("_spans", "_id", "_no", "_text_no")
