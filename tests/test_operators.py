@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripleforge.operators import graph, ranking, retrieval, splits, text
+from tripleforge.plans import registry
 
 
 def test_held_out_keeps_coverage():
@@ -56,3 +58,23 @@ def test_paths_and_self_loops(spark):
 def test_answers(spark):
     df = spark.createDataFrame([('x Answer: "Foo  bar".\nmore',), ("",), (None,)], "p string")
     assert [r[0] for r in df.select(text.loose(F.col("p"))).collect()] == ["foo bar", "", None]
+
+
+def test_joint_caps_reach_late_edges(spark, tmp_path, monkeypatch):
+    full = [(c, (c - 1) // 40 * 80 + k) for c in range(1, 201) for k in range(1, 81)]
+    hub = [(201, t) for t in range(1, 411)]
+    spark.createDataFrame([(c, t, "A") for c, t in full + hub], "l_suppkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["gr15_filtered_graph"](spark, str(tmp_path))
+    assert sorted(r.t for r in got.where("h = 603").collect()) == [3 * t + 1 for t in range(401, 411)]
+    monkeypatch.setattr(splits, "GREEDY_ROWS", 100)
+    with pytest.raises(ValueError):
+        registry.QUERIES["gr15_filtered_graph"](spark, str(tmp_path))
+
+
+def test_dynamic_ids_have_no_cap(spark, tmp_path):
+    n = 100_010
+    spark.range(n).selectExpr("id as event_id", "concat('p', id) as props").write.parquet(f"{tmp_path}/events.parquet")
+    for t, key, name in (("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name")):
+        spark.createDataFrame([(1, "x")], f"{key} long, {name} string").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = registry.QUERIES["jn11_dynamic_ids"](spark, str(tmp_path)).selectExpr("count(*) n", "sum(int(id - 6 = int(substr(tok, 2)))) ok").first()
+    assert (got.n, got.ok) == (n, n)

@@ -21,9 +21,9 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return parts.withColumn("_k", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_k") + F.col("_before") - 1).drop("_p", "_k", "_before")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     if df.limit(GREEDY_ROWS + 1).count() > GREEDY_ROWS:
-        raise ValueError(f"a greedy split takes {GREEDY_ROWS} triples at most")
+        raise ValueError(f"a greedy operator takes {GREEDY_ROWS} triples at most")
     return df
 
 
@@ -55,7 +55,7 @@ def coverage_safe_split(edges: DataFrame, valid: int, test: int, seed: int) -> D
         got = held_out(list(zip(pdf["h"], pdf["t"], strict=True)), valid, test, seed)
         return pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "split": got or "train"})
 
-    return _small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "h long, t long, split string")
+    return small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "h long, t long, split string")
 
 
 def split_ladder(edges: DataFrame, sizes, seed: int) -> DataFrame:
@@ -66,7 +66,7 @@ def split_ladder(edges: DataFrame, sizes, seed: int) -> DataFrame:
         n = next((s for s in sizes if 2 * s < len(e) and held_out(e, s, s, seed, 3)), 0)
         return pd.DataFrame({"n_edges": [len(e)], "size": [n]})
 
-    return _small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n_edges long, size int")
+    return small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n_edges long, size int")
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as g
 from ..operators import ranking as k
 from ..operators import retrieval as r
+from ..operators import splits
 from ..sources.derived import SQL, Graph
 from .features import FEATURES, direct_degrees, gene_sets, support_features
 from .registry import query
@@ -235,9 +236,9 @@ def _(spark, sf):
 
 @query("gr15_filtered_graph")
 def _(spark, sf):
-    """Greedy joint caps: a compound at most 80 and a gene at most 40 edges, in the order of keys; sequential, so on one sorted partition of capped input."""
+    """Greedy joint caps: a compound at most 80 and a gene at most 40 edges, in the order of keys; sequential, so on one sorted partition, and refused beyond GREEDY_ROWS."""
     kg = Graph(spark, sf)
-    pre = g.first_per(kg.compound_gene(), ["h"], ["t", "r"], 400, "n").select("h", "r", "t")
+    pre = splits.small(kg.compound_gene())
 
     def run(batches):
         import pandas as pd

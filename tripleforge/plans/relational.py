@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import ranking as k
+from ..operators import splits
 from ..sources.derived import SQL, Graph
 from .evidence import subgraph_sql, subgraphs
 from .features import FEATURES, soft_ranked
@@ -62,7 +63,7 @@ def _(spark, sf):
     kg = Graph(spark, sf)
     u = kg.table("events").groupBy(F.col("props").alias("tok")).agg(F.min("event_id").alias("f"))
     m = kg.nodes().agg(F.max("id").alias("m"))
-    return u.crossJoin(F.broadcast(m)).withColumn("n", F.row_number().over(Window.orderBy("f"))).where("n <= 100000").select("tok", (F.col("m") + F.col("n")).alias("id"))
+    return splits.dense_ids(u, "f", "n").crossJoin(F.broadcast(m)).select("tok", (F.col("m") + F.col("n") + 1).alias("id"))
 
 
 PAIRS = "WITH p AS (SELECT DISTINCT l_suppkey AS c, o_custkey AS d, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%')"
