@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     if not more.isEmpty():
         found = components(links.unionByName(more), "parts")
 
-    classes = reps.df.join(found, "v", "left").select("hi", "lo", F.floor(F.coalesce("root", "v") / F.lit(SPAN)).cast("long").alias("part"))
+    # A quotient of decimals is rounded to six places, so the remainder goes first and the division is one of whole numbers.
+    classes = reps.df.join(found, "v", "left").select("hi", "lo", F.coalesce("root", "v").alias("x")).select("hi", "lo", F.expr(f"(x - pmod(x, cast({SPAN} as decimal(13,0)))) div cast({SPAN} as decimal(13,0))").alias("part"))
     out = signed.df.select("id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     real = lambda c: F.when(c == LAST, None).otherwise(c)
     part = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("part"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 21  # bytes handled at once, or one text
+CHUNK = 1 << 19  # bytes handled at once, or one text
 _C1, _C2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _MULT = 0xD6E8FEB86659FD93
 
@@ -25,7 +25,7 @@ _TABLES: dict = {}
 
 def _tables(n: int):
     """Byte values, white space, and powers of the multiplier and of its inverse modulo 2**64."""
-    if _TABLES.get("n", 0) < n:
+    if _TABLES.get("n", 0) < n or n <= CHUNK + 4096 < _TABLES["n"]:  # a very long text's tables go with it
         size = max(n, CHUNK + 4096)
         value = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
         value[65:91] = value[97:123]
