@@ -1,144 +1,158 @@
 """Repeated lines or paragraphs: digests of normalised units are grouped over the whole corpus, the earliest occurrence stays.
 
-A unit is a line (or a paragraph, between blank lines), and each piece of a line of more than one piece. Pieces end after words whose
-hash is less than those of the min_words - 1 words on either side: where they end depends on the words nearby only, so a passage
-within longer lines, or around an edit, is cut alike wherever it stands. A unit is normalised by lower-casing A-Z and writing runs of white
-space as one space, and counts if it has min_words words or more. Units with equal digests are occurrences of one
-passage; they rank by doc_id (null last), text and place. The first stays, the rest go, with their offsets in code points; pieces of
-a line that goes are not listed again.
-
-Null and empty texts have no units. Rows that agree in doc_id and text count as one document: their units fall on the
-same rank, and both keep or lose them; other texts of one doc_id, null too, are documents of their own. An empty table gives an empty result. Extra columns stay out of the result of
+A unit is a line (or a paragraph, between blank lines), or one piece of a long one: pieces end after words whose hash is less than those
+of the piece_words - 1 words on either side, so where they end depends on the words nearby only, and a passage within longer lines, or on
+either side of an edit, is cut alike wherever it stands. A unit is normalised by lower-casing A-Z and reading runs of white space as one space. Units with equal
+digests are occurrences of one text; they rank by doc_id (null last), text and place.
+
+Common phrases repeat everywhere, so a unit counts only within a passage: a run of units that follow one another in a document, each of which
+occurs more than once in the corpus, of min_words words or more together (a unit that comes again within the run adds none). Within passages the first occurrence of a unit stays and the others go, with their offsets
+in code points.
+
+Null and empty texts have no units. Rows that agree in doc_id and text count as one document, and both keep or lose its units; other
+texts of one doc_id, null too, are documents of their own. An empty table gives an empty result. Extra columns stay out of the result of
 repeats() and stay in without_repeats().
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Kept
+from .shingles import chunks, mix, word_places
 
-MIN_WORDS, BROADCAST_ROWS, HOT = 5, 200_000, 10_000
-#: Ranks are doc_id times this, plus the place: a number of the text times STARTS, plus the offset.
+#: Words of a passage, and the least of a piece (but for the last one of a line).
+MIN_WORDS, PIECE_WORDS = 40, 6
+BROADCAST_ROWS, HOT = 200_000, 10_000
+#: Ranks are doc_id times PLACES, plus the place: a number of the text times STARTS, plus the offset.
 PLACES, STARTS, TEXTS = 10**19, 10**10, 9 * 10**8
 LAST = 2**63 - 1
+_STEP = 0x9FB21C651E98DF25
+
+
+def number_of(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") % TEXTS
+
+
+def _bytes(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def pieces(h: np.ndarray, segment: np.ndarray, piece_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, last word) of each unit of words with hashes h, in lines numbered by segment."""
+    low = np.ones(len(h), bool)
+    for k in range(1, min(piece_words, len(h))):
+        apart = segment[k:] != segment[:-k]
+        low[k:] &= apart | (h[k:] < h[:-k])
+        low[:-k] &= apart | (h[:-k] <= h[k:])
+    if len(h):
+        low[-1] = True
+        low[:-1] |= segment[1:] != segment[:-1]
+    last = np.flatnonzero(low)
+    return np.concatenate(([0], last[:-1] + 1)).astype(np.int64) if len(last) else last, last
+
+
+def units_of(texts: list[bytes], piece_words: int = PIECE_WORDS, unit: str = "line") -> dict[str, np.ndarray]:
+    """text (its number in the list), no (of the unit in its text), start, end (code points), words and the digest (hi, lo) of each unit."""
+    doc, h, start, stop, data = word_places(texts, b"\n")
+    line = data == 10
+    if unit == "paragraph":  # a blank line: only white space since the last line end
+        dark = np.cumsum(~np.isin(data, (9, 10, 11, 12, 13, 32)))
+        ends = np.flatnonzero(line)
+        line = np.zeros(len(data), bool)
+        line[ends[1:][dark[ends[1:]] == dark[ends[:-1]]]] = True
+    # Lines of two texts are never one: texts are part of the segment's number.
+    segment = np.cumsum(line)[start] + doc
+    first, last = pieces(h, segment, piece_words)
+    powers = np.full(len(h) + 1, np.uint64(_STEP))
+    inverse = np.full(len(h) + 1, np.uint64(pow(_STEP, -1, 2**64)))
+    powers[0] = inverse[0] = 1
+    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
+    n, digests = last - first + 1, []
+    for salt in (3, 5):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt * 0x9E3779B9)) * powers[: len(h)])))
+        digests.append(mix((sums[last + 1] - sums[first]) * inverse[first] + n.astype(np.uint64)).view(np.int64))
+    of = doc[first]
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    begin = points[np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]] if texts else points[:0]
+    count = np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
+    no = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return {"text": of, "no": no, "start": points[start[first]] - begin[of], "end": points[stop[last]] - begin[of], "words": n, "hi": digests[0], "lo": digests[1]}
+
+
+def units(docs: DataFrame, piece_words: int = PIECE_WORDS, unit: str = "line") -> DataFrame:
+    """A row for each unit: id, text_no (a number of the text), no, start, end, words, and the digest."""
+    def split(batches):
+        for pdf in batches:
+            ids, texts = pdf["id"].to_numpy(np.int64), [_bytes(t) for t in pdf["text"]]
+            for a, b in chunks(texts):
+                with np.errstate(over="ignore"):
+                    u = units_of(texts[a:b], piece_words, unit)
+                numbers = np.array([number_of(t) for t in texts[a:b]], np.int64)
+                yield pd.DataFrame({"id": ids[a:b][u["text"]], "text_no": numbers[u["text"]], "no": u["no"].astype(np.int32), "start": u["start"].astype(np.int32), "end": u["end"].astype(np.int32), "words": u["words"].astype(np.int32), "hi": u["hi"], "lo": u["lo"]})
 
-
-def units_of(text: str, unit: str = "line") -> list[tuple[int, int, str]]:
-    """(start, end, text) of each unit, in code points, without the line ends."""
-    if unit == "line":
-        out, at = [], 0
-        for line in text.split("\n"):
-            out.append((at, at + len(line), line))
-            at += len(line) + 1
-        return out
-    return [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\n]+(?:\n[^\n]+)*", text)]
-
-
-def digest_of(unit: str, min_words: int) -> tuple[int, int] | None:
-    w = unit.encode("utf-8", "surrogatepass").lower().split()
-    if len(w) < min_words:
-        return None
-    d = hashlib.blake2b(b" ".join(w), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
-def number_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % TEXTS
-
-
-class _Hashes(dict):
-    """Hashes of lower-cased words, kept while they are few."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = zlib.crc32(lower_of(word))
-        return h
-
-
-def lower_of(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass").lower()
+    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), "text").mapInPandas(split, "id long, text_no long, no int, start int, end int, words int, hi long, lo long")
 
 
-def pieces_of(line: str, min_words: int, hashes: dict | None = None) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a line, in code points; none if it is one piece."""
-    hashes = _Hashes() if hashes is None else hashes
-    found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0d]+", line)]
-    n, r = len(found), min_words - 1
-    if n < 2 * min_words:
-        return []
-    h = np.full(n + 2 * r, 2**32, np.int64)
-    h[r : r + n] = [hashes[w] for *_, w in found]
-    low = np.ones(n, bool)
-    for k in range(1, r + 1):
-        low &= (h[r : r + n] < h[r - k : r - k + n]) & (h[r : r + n] <= h[r + k : r + k + n])
-    ends = [i for i in np.flatnonzero(low).tolist() if i < n - 1]
-    firsts = [0, *[i + 1 for i in ends]]
-    return [(found[x][0], found[y][1]) for x, y in zip(firsts, [*ends, n - 1], strict=True)] if ends else []
+def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what groups (a row for each key, with copies) has for them. However many rows a key has, no task gets all of them."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), on)
+    # The keys with most copies are few: no more than all rows divided by the bound. They go to every executor; the others meet by a shuffle.
+    bound = max(HOT, rows.count() // BROADCAST_ROWS)
+    hot = F.broadcast(groups.where(F.col("copies") > bound))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col("copies") <= bound), on))
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
-    """A row for each unit: id, text_no (a number of the text), unit, piece (-1 for whole units), start, end, and the digest."""
-    def split(batches):
-        hashes = _Hashes()
-        for pdf in batches:
-            ids, texts, start, end, no, piece, hi, lo = [], [], [], [], [], [], [], []
-            for i, t in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
-                number = number_of(t)
-                for k, (a, b, s) in enumerate(units_of(t, unit)):
-                    if b - a < 2 * min_words - 1:
-                        continue
-                    for j, (x, y) in enumerate([(0, b - a), *(pieces_of(s, min_words, hashes) if unit == "line" else [])]):
-                        if d := digest_of(s[x:y], min_words):
-                            ids.append(i), texts.append(number), start.append(a + x), end.append(a + y), no.append(k), piece.append(j - 1), hi.append(d[0]), lo.append(d[1])
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "text_no": np.array(texts, np.int64), "unit": np.array(no, np.int32), "piece": np.array(piece, np.int32), "start": np.array(start, np.int32), "end": np.array(end, np.int32), "hi": np.array(hi, np.int64), "lo": np.array(lo, np.int64)})
-
-    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), "text").mapInPandas(split, "id long, text_no long, unit int, piece int, start int, end int, hi long, lo long")
-
-
-def _found(docs: DataFrame, min_words: int, unit: str) -> DataFrame:
-    """The occurrences to remove, with text_no and piece."""
-    u = Kept(units(docs, min_words, unit), "units")
+def _passages(docs: DataFrame, min_words: int, piece_words: int, unit: str) -> DataFrame:
+    """The parts of passages that stay or go: id, text_no, start, end, words, units, copies, kept, kept_id, kept_start."""
+    u = Kept(units(docs, piece_words, unit), "units")
     place = F.col("text_no") * STARTS + F.col("start")
-    rank = F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")
-    groups = Kept(u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank.cast("decimal(38,0)")).alias("first")).where("copies > 1"), "repeated").df
+    rank = (F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")).cast("decimal(38,0)")
+    groups = u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last")
     # A whole number of PLACES is left to divide, so nothing is rounded.
     kept_place = F.expr(f"pmod(first, cast({PLACES} as decimal(20,0)))").cast("decimal(38,0)")
-    groups = groups.withColumn("kept_place", kept_place).select("hi", "lo", "copies", F.expr(f"cast((first - kept_place) / cast({PLACES} as decimal(20,0)) as bigint)").alias("kept_id"), F.col("kept_place").cast("long").alias("kept_place"))
-    on = ["hi", "lo"]
-    if groups.count() <= BROADCAST_ROWS:
-        found = u.df.join(F.broadcast(groups), on)
-    else:
-        # The passages with most copies are few: no more than all units divided by the bound. They go to every executor; the others meet by a shuffle.
-        bound = max(HOT, u.df.count() // BROADCAST_ROWS)
-        hot = F.broadcast(groups.where(F.col("copies") > bound))
-        found = u.df.join(hot, on).unionByName(u.df.join(hot.select(*on), on, "left_anti").join(groups.where(F.col("copies") <= bound), on))
-    found = Kept(found.where((F.col("id") != F.col("kept_id")) | (place != F.col("kept_place"))).select("id", "text_no", "unit", "piece", "start", "end", "copies", "kept_id", (F.col("kept_place") % STARTS).cast("int").alias("kept_start")), "found").df
-    at = ["id", "text_no", "unit"]
-    lines = found.where("piece < 0")
-    return lines.unionByName(found.where("piece >= 0").join(lines.select(*at).distinct(), at, "left_anti"))
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
-    """The occurrences to remove: doc_id, unit, start, end, copies, kept_doc_id, kept_start. A unit has a row for each of its pieces that go if it does not go whole."""
+    groups = groups.withColumn("kept_place", kept_place).select("hi", "lo", "copies", F.expr(f"(first - kept_place) div cast({PLACES} as decimal(20,0))").alias("kept_id"), F.col("kept_place").cast("long").alias("kept_place"))
+    met = _met(u.df, Kept(groups, "repeated").df, ["hi", "lo"])
+    kept = (F.col("id") == F.col("kept_id")) & (place == F.col("kept_place"))
+    # Repeated rows of a document give the same units: one of each is enough.
+    key = ["id", "text_no", "no"]
+    met = met.select(*key, "start", "end", "words", "hi", "lo", "copies", kept.cast("int").alias("kept"), "kept_id", "kept_place").groupBy(*key).agg(*[F.max(c).alias(c) for c in ("start", "end", "words", "hi", "lo", "copies", "kept", "kept_id", "kept_place")])
+    doc = Window.partitionBy("id", "text_no")
+    at = doc.orderBy("no")
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    runs = met.withColumn("new", (F.coalesce(F.col("no") - F.lag("no").over(at), F.lit(0)) != 1).cast("int")).withColumn("turn", F.coalesce(F.col("kept") != F.lag("kept").over(at), F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(upto)).withColumn("part", F.sum(F.greatest("new", "turn")).over(upto))
+    again = F.row_number().over(Window.partitionBy("id", "text_no", "run", "hi", "lo").orderBy("no")) > 1
+    runs = runs.withColumn("own", F.when(again, 0).otherwise(F.col("words")))
+    runs = runs.withColumn("total", F.sum("own").over(Window.partitionBy("id", "text_no", "run"))).where(F.col("total") >= min_words)
+    first = F.min_by(F.struct("kept_id", "kept_place"), "no")
+    parts = runs.groupBy("id", "text_no", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"), F.max("copies").alias("copies"), (F.max("kept") == 1).alias("kept"), first.alias("first"))
+    return parts.select("id", "text_no", "start", "end", "words", "units", "copies", "kept", F.col("first.kept_id").alias("kept_id"), (F.col("first.kept_place") % STARTS).cast("int").alias("kept_start"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, piece_words: int = PIECE_WORDS, unit: str = "line") -> DataFrame:
+    """All occurrences of repeated passages, in parts that stay (kept) or go: doc_id, start, end, words, units, copies, kept, and where the first unit of the part stays: kept_doc_id, kept_start."""
     real = lambda c: F.when(F.col(c) == LAST, None).otherwise(F.col(c))
-    return _found(docs, min_words, unit).select(real("id").alias("doc_id"), "unit", "start", "end", "copies", real("kept_id").alias("kept_doc_id"), "kept_start")
+    return _passages(docs, min_words, piece_words, unit).select(real("id").alias("doc_id"), "start", "end", "words", "units", "copies", "kept", real("kept_id").alias("kept_doc_id"), "kept_start")
+
 
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, piece_words: int = PIECE_WORDS, unit: str = "line", removed: str = "removed") -> DataFrame:
+    """docs with every part of a passage that goes cut out of text (with the line end after it, or else the space), and a column named by `removed`: the spans cut, by offsets in the original.
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
-    """docs with every repeated unit but the first cut out of text (with the line end after it, or for pieces the space), and removed: the spans cut, by offsets in the original."""
-    spans = _found(docs, min_words, unit).groupBy(F.col("id").alias("_id"), F.col("text_no").alias("_no")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    All columns of docs stay; where one has the name `removed` already, another name must be given.
+    """
+    if removed in docs.columns:
+        raise ValueError(f"docs has a column {removed} already")
+    spans = _passages(docs, min_words, piece_words, unit).where("not kept").groupBy("id", "text_no").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def number(text: pd.Series) -> pd.Series:
-        return pd.Series([-1 if t is None else number_of(t) for t in text], dtype="int64")
+        return pd.Series([-1 if t is None else number_of(_bytes(t)) for t in text], dtype="int64")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -154,6 +168,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "li
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    numbered = docs.withColumn("_text_no", F.pandas_udf(number, "long")("text"))
-    both = numbered.join(spans, (F.coalesce("doc_id", F.lit(LAST)) == F.col("_id")) & (F.col("_text_no") == F.col("_no")), "left")
-    return both.withColumn("text", F.pandas_udf(cut, "string")("text", "_spans")).withColumn("removed", F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))).drop("_spans", "_id", "_no", "_text_no")
+    # The documents go along whole, as one column, so that none of their columns can clash with these.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.pandas_udf(number, "long")("text").alias("text_no"))
+    both = whole.join(spans, ["id", "text_no"], "left")
+    text = F.pandas_udf(cut, "string")("row.text", "spans")
+    both = both.select("row", text.alias("text"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("spans").alias(removed))

@@ -50,19 +50,23 @@ def chunks(texts: list[bytes]):
         at = end
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every word, in order."""
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+def word_places(texts: list[bytes], end: bytes = b" ") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, start, end) of every word, in order, with places in the texts joined by `end`; and those joined bytes."""
+    data = np.frombuffer(end.join(texts) + end, dtype=np.uint8)
     value, white, up, down = _tables(len(data))
-    inside = ~white[data]
-    edge = np.flatnonzero(np.diff(inside, prepend=False))
-    start, end = edge[::2], edge[1::2]
+    edge = np.flatnonzero(np.diff(~white[data], prepend=False))
+    start, stop = edge[::2], edge[1::2]
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(value[data] * up[: len(data)], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start])
+    h = mix((sums[stop] - sums[start]) * down[start])
     begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
-    return np.searchsorted(begin, start, side="right") - 1, h
+    return np.searchsorted(begin, start, side="right") - 1, h, start, stop, data
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word, in order."""
+    return word_places(texts)[:2]
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
