@@ -6,22 +6,27 @@ import atexit
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
 _OWN: list[str] = []
+#: Rows of one batch of texts for Python.
+BATCH_ROWS = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir; a temporary folder is set only where that is unset (tests, one machine).
+    It is the session's spark.checkpoint.dir; a temporary folder is set only where that is unset and all run on one machine (tests).
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="tripleforge-"))
         found = _OWN[0]
@@ -70,6 +75,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df
 
 
+def lean(spark: SparkSession) -> None:
+    """Has texts sent to Python workers in small batches from now on, so that a worker holds a few MB of them at a time. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def regrouped(batches, size, most: int, rows: int = 10_000):
+    """Batches put together until they have about `most` by size(batch), or so many rows."""
+    held, n, m = [], 0, 0
+    for pdf in batches:
+        held.append(pdf)
+        n, m = n + size(pdf), m + len(pdf)
+        if n >= most or m >= rows:
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held, n, m = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with lines before it, that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A to Z only."""
     return F.translate(c, _UPPER, _UPPER.lower())

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import lean, word_count
 
 N, RARE, THRESHOLD, PART_WORDS = 3, 1000, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -33,7 +33,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Part:
-    """Some items of the benchmark: their words as numbers, and where each n-gram stands."""
+    """Some items of the benchmark: their words as numbers, and where each n-gram stands. Keys of n-grams are numbers of n digits, which must fit 63 bits."""
 
     def __init__(self, items: list[tuple], n: int):
         self.n, self.vocab, self.items, self.names = n, {}, [], []
@@ -42,6 +42,8 @@ class Part:
             ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text or "")], np.int64)
             if len(ids) >= n:
                 self.items.append(ids), self.names.append(name)
+        if n * np.log2(len(self.vocab) + 1) >= 62:
+            raise ValueError(f"{n}-grams of {len(self.vocab)} words have no keys of 63 bits; take smaller parts (part_words) or n")
         for k, ids in enumerate(self.items):
             for p, g in enumerate(self.grams(ids).tolist()):
                 grams.setdefault(g, []).append((k, p))
@@ -144,6 +146,7 @@ def places(text: str) -> list[tuple[int, int]]:
 
 def parts(docs: DataFrame, bench: DataFrame, n: int = N, rare: int = RARE, part_words: int = PART_WORDS):
     """Broadcast parts of the benchmark with their seeds, one after another."""
+    lean(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     items = bench.select(F.col("item_id").alias("item"), F.coalesce("text", F.lit("")).alias("text"), word_count(F.col("text")).alias("n")).distinct()
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

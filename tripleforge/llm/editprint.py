@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, lean, regrouped
 
 SAMPLES, SEED, BLOCK, PAD = 128, 77, 4096, 255
 BAND = 8
@@ -137,12 +137,13 @@ def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """A row per row of docs: its fingerprint, that of its edited text, and how like they and the next document's are."""
+    lean(docs.sparkSession)
     rows, n = _bucketed(docs)
     dealt = rows.repartitionById(n, F.col("bucket")) if hasattr(rows, "repartitionById") else rows.repartition(n, "bucket")
 
     def run(batches):
         held: list = []
-        for pdf in batches:
+        for pdf in regrouped(batches, lambda p: int(p["text"].str.len().sum()), 16_000_000):
             new = list(zip(pdf["bucket"].tolist(), pdf["tail"].tolist(), pdf["id"].tolist(), pdf["text"].tolist(), fingerprints(pdf["text"].tolist(), samples), strict=True))
             all_ = held + new
             held = all_[-1:]
@@ -204,7 +205,7 @@ def _run(a: str, b: str, i: int, j: int) -> int:
 def near_texts(docs: DataFrame, share: float = 0.05, samples: int = SAMPLES, band: int = BAND) -> DataFrame:
     """Verified pairs (a, b, distance) of documents whose edit distance is at most share of the longer text: each document with the first of a bucket it falls in."""
     def sign(batches):
-        for pdf in batches:
+        for pdf in regrouped(batches, lambda p: int(p["text"].str.len().sum()), 16_000_000):
             yield pd.DataFrame({"id": pdf["id"], "print": fingerprints(pdf["text"].tolist(), samples)})
 
     src = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("id"), "text")

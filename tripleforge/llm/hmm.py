@@ -1,12 +1,12 @@
 """A hidden Markov language model over words.
 
 Tokens are words between white space, A-Z lower-cased, then one end of text. Training counts every token of the training
-texts, and the most frequent words, at most `head` (a fixed model size), are symbols of their own; all other words, seen or not,
+texts, and the most frequent words of no more than head_chars characters, at most `head` (a fixed model size), are symbols of their own; all other words, seen or not,
 are emitted by way of one of `classes` symbols (a hash of the last three characters). A state emits a symbol; a class
 symbol then emits its word with probability (c + 0.1) / (n + 0.1 (v + 1)), c the word's count, n and v the counts of tokens and of words
 in the class; all unseen words of a class are one type. So each state's words sum to 1, as in the unigram base.
 
-Baum-Welch: the start is fitted on a bounded sample of training texts (warm_docs) on the driver; then `rounds` rounds run
+Baum-Welch: the start is fitted on a bounded sample of training texts (those of the first warm_docs by hash that fit into warm_tokens) on the driver; then `rounds` rounds run
 over all training texts: each partition sums expected counts by forward-backward over blocks of `block` tokens, Spark adds
 the partitions' counts by symbol, and the driver re-estimates the fixed-size parameters. Scoring runs the scaled forward recursion over
 each whole text.
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, lower_ascii, words
+from .common import Kept, lean, lower_ascii, regrouped, words
 
 ADD = 0.1
 #: Levels of counts for each unit of their logarithm: counts below this are levels of their own.
@@ -40,7 +40,9 @@ class Config:
     head: int = 64_000
     classes: int = 1024
     rounds: int = 3
+    head_chars: int = 64
     warm_docs: int = 1500
+    warm_tokens: int = 2_000_000
     warm_rounds: int = 25
     block: int = 1024
     seed: int = 11
@@ -144,14 +146,15 @@ def _blocks(raw, size: int) -> list[np.ndarray]:
 def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> DataFrame:
     """docs' doc_id with held_out (not train), n_tokens, n_known, train_tokens, base_score and score, learning from the rows where train holds."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    lean(spark)
     assert cfg.head + cfg.classes + 1 <= 1 << 16
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     counts = Kept(src.where("train").select(F.explode(words(lower_ascii(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "counts")
     n_docs = src.where("train").count()
     # The commonest words, by levels of their counts: whole levels from the top while they fit. A histogram of levels decides, so no task sends the driver a list of its own.
-    level = F.floor(F.ln("c") * LEVELS)
+    level = F.when(F.char_length("word") <= cfg.head_chars, F.floor(F.ln("c") * LEVELS)).otherwise(-1)
     room, floor_ = cfg.head, None
-    for r in sorted(counts.df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+    for r in sorted(counts.df.where(level >= 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
         if r["n"] > room:
             break
         room, floor_ = room - r["n"], r["level"]
@@ -203,7 +206,13 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
 
     # Row numbers are chosen first; the tokens of the chosen rows only then come to the driver.
     hashed = F.xxhash64("doc_id", F.lit(cfg.seed))
-    chosen = coded.df.where("train").select("row", hashed.alias("hash")).orderBy("hash", "row").limit(cfg.warm_docs)
+    first = coded.df.where("train").select("row", hashed.alias("hash"), (F.octet_length("ids") / 2).cast("long").alias("n")).orderBy("hash", "row").limit(cfg.warm_docs).collect()
+    chosen, left = [], cfg.warm_tokens
+    for r in first:
+        if r["n"] <= left:
+            chosen.append((r["row"], r["hash"]))
+            left -= r["n"]
+    chosen = spark.createDataFrame(chosen, "row long, hash long")
     sample = sorted(coded.df.select("row", "doc_id", "ids").join(F.broadcast(chosen), "row").select("hash", "row", "ids").collect())
     model = _first(_blocks([r["ids"] for r in sample], cfg.block), unigram, cfg)
     k, block = cfg.states, cfg.block
@@ -212,7 +221,7 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
 
         def gather(batches, now=now):
             sums = None
-            for pdf in batches:
+            for pdf in regrouped(batches, lambda p: sum(map(len, p["ids"])), 4_000_000):
                 got = expected(_blocks(pdf["ids"], block), *now.value)[:3]
                 sums = got if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
             if sums is not None:
@@ -245,7 +254,7 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
         own = np.concatenate((log_h, np.zeros(len(log_c))))
         own_known = np.concatenate((known, np.zeros(len(log_c), np.int64)))
         by_class = np.concatenate((np.zeros(len(log_h)), log_c))
-        for pdf in batches:
+        for pdf in regrouped(batches, lambda p: sum(map(len, p["ids"])), 4_000_000):
             seqs = [np.frombuffer(b, np.uint16) for b in pdf["ids"]]
             ll = np.zeros(len(seqs))
             for group, ids, lens in _batches(seqs):

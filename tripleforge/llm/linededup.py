@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, lean
 from .shingles import chunks, mix, word_places
 
 #: Words of a passage, and the least of a piece (but for the last one of a line).
@@ -111,6 +111,7 @@ def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
 
 def _passages(docs: DataFrame, min_words: int, piece_words: int, unit: str) -> DataFrame:
     """The parts of passages that stay or go: id, text_no, start, end, words, units, copies, kept, kept_id, kept_start."""
+    lean(docs.sparkSession)
     u = Kept(units(docs, piece_words, unit), "units")
     place = F.col("text_no") * STARTS + F.col("start")
     rank = (F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")).cast("decimal(38,0)")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, components
+from .common import Kept, components, lean
 from .shingles import chunks, fast_sketches, set_digests, shingle_sets
 
 BINS, BAND = 112, 4
@@ -116,6 +116,7 @@ def _block_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, reps: Dat
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, band: int = BAND) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    lean(docs.sparkSession)
     signed = Kept(_signed(docs, width, bins), "signed")
     d38 = "decimal(38,0)"
     reps = signed.df.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"))

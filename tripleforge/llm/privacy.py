@@ -37,22 +37,40 @@ MIN_LETTERS, PRIOR, GENERAL, REMOVE, BROADCAST_ROWS, BROADCAST_CUTS = 4, 1.0, 0.
 BLOCK = 256
 
 
-def matches(text: Column, pattern: str, keep=None) -> Column:
-    """array<struct<value, start, end>> of the leftmost non-overlapping matches that keep() holds for; text is free of MARK.
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    Matches are set between marks, the text is split there, and the lengths of the parts are summed.
+def _placed(text: Column, pattern: str, name: str) -> Column:
+    """array<struct<name, start, end>> of the leftmost non-overlapping matches; text is free of MARK.
+
+    Matches are set between marks, the text is split there, and the lengths of the parts are summed, by blocks of parts, so that time grows with the text.
     """
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    spans = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), spans.alias("out"))
+    spans = F.array().cast(f"array<struct<{name}:string,start:int,end:int>>")
 
-    def step(acc: Column, part: Column) -> Column:
+    def place(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
-        hit = F.array(F.struct(part.alias("value"), acc["at"].alias("start"), end.alias("end")))
-        wanted = acc["hit"] & keep(part) if keep else acc["hit"]
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(wanted, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+        hit = F.array(F.struct(part.alias(name), acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+
+    def begin(acc: Column, block: Column) -> Column:
+        end = acc["at"] + F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), F.lit(False).alias("hit"), spans.alias("out")), place, lambda acc: acc["out"])))
+
+    blocks = _let(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, F.lit(BLOCK))))
+    return _let(blocks, placed)
 
-    return F.aggregate(parts, first, step, lambda acc: acc["out"])
+
+def matches(text: Column, pattern: str, keep=None) -> Column:
+    """array<struct<value, start, end>> of the leftmost non-overlapping matches that keep() holds for; text is free of MARK."""
+    found = _placed(text, pattern, "value")
+    return F.filter(found, lambda s: keep(s["value"])) if keep else found
 
 
 def _few_digits(m: Column, low: int, high: int) -> Column:
@@ -90,36 +108,15 @@ def _base(text: Column) -> Column:
     return F.concat(*each)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _lower(text: Column) -> Column:
     """text in lower case, as long as before (of all letters only U+0130 would grow)."""
     return F.lower(F.translate(text, "\u0130", "i"))
 
 
 def _terms(text: Column, base: Column, letters: int) -> Column:
-    """array<struct<term, start, end>> of the terms of a text that lie outside all entities. Parts are placed by blocks, so that time grows with the text."""
-    parts = F.split(F.regexp_replace(_lower(text), rf"\p{{L}}{{{letters},}}+", f"{MARK}$0{MARK}"), MARK)
-    spans = F.array().cast("array<struct<term:string,start:int,end:int>>")
-
-    def place(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        hit = F.array(F.struct(part.alias("term"), acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
-
-    def begin(acc: Column, block: Column) -> Column:
-        end = acc["at"] + F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-
-    def placed(blocks: Column) -> Column:
-        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), begin, lambda acc: acc["out"])
-        return F.flatten(F.zip_with(blocks, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("at"), F.lit(False).alias("hit"), spans.alias("out")), place, lambda acc: acc["out"])))
-
-    blocks = _let(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda i: F.slice(p, i, F.lit(BLOCK))))
-    return F.filter(_let(blocks, placed), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    """array<struct<term, start, end>> of the terms of a text that lie outside all entities."""
+    placed = _placed(_lower(text), rf"\p{{L}}{{{letters},}}+", "term")
+    return F.filter(placed, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
 
 
 def _named(base: Column) -> Column:
@@ -167,16 +164,19 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     tags = F.lit([f"[{k.upper()}]" for k in KINDS])
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(tags, s["kind"] + 1).alias("tag")))
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], "").otherwise("[TERM]").alias("tag")))
-    cuts = got.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.array_sort(F.concat(base, terms)).alias("_cuts"))
+    cuts = got.select("doc_id", "digest", F.array_sort(F.concat(base, terms)).alias("cuts"))
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
-        kept = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
+        kept = F.substring("row.text", acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, s["tag"])).alias("out"))
 
-    text = F.aggregate("_cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.lit(2**31 - 1))))
+    text = F.aggregate("cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("row.text", acc["at"] + 1, F.lit(2**31 - 1))))
     # Only texts with something to cut are listed; few of them go to every executor, so that the texts stay where they are.
     cuts = Kept(cuts, "cuts").df
     cuts = F.broadcast(cuts) if small_enough(cuts, BROADCAST_CUTS) else cuts
-    both = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left")
-    return both.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(text)).drop("_id", "_digest", "_cuts")
+    # The documents go along whole, as one column, so that none of their columns can clash with these.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_digest"))
+    both = whole.join(cuts, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")), "left")
+    new = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(text)
+    return both.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,8 +6,8 @@ weighted by line length, is the document's quality, and a logistic curve in its
 
 Only documents carry labels. Training therefore takes a document's label for each of its lines, fits the field, and
 then keeps as bad in bad documents those lines that the field itself holds for likely bad (at least the likeliest), and fits
-again. Fitting runs on the driver over a bounded sample: sample_docs labelled documents, those of least hash, of which lines beyond
-sample_lines a document are left out of the fit. Scoring reads every line of every text.
+again. Fitting runs on the driver over a bounded sample of whole texts: of the sample_docs labelled documents of least hash, in that order, each
+that still fits into sample_chars characters. Scoring reads every line of every text.
 
 Null and empty texts are one empty line and get a score like any other. Without both labels in the training rows every score is the share of good
 ones (0.5 without any). Repeated rows are scored each on their own; labels of one id count once, the least of them. Empty tables give empty results; extra
@@ -22,10 +22,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import lean
 from .shingles import mix
 
-SAMPLE_DOCS, SAMPLE_LINES, STEPS, RATE, PENALTY = 4000, 400, 250, 0.05, 1e-4
+SAMPLE_DOCS, SAMPLE_CHARS, STEPS, RATE, PENALTY = 4000, 16_000_000, 250, 0.05, 1e-4
 CLASSES = 9
 OWN = 17
 THRESHOLD = 0.7
@@ -164,8 +166,8 @@ def _fit_field(n_lines, x, y, weight, steps=STEPS):
     np.add.at(seen, (y[i - 1].astype(int), y[i].astype(int)), 1)
     m = v = np.zeros(len(w) + 4)
     for t in range(1, steps + 1):
-        good, pairs = marginals(n_lines, x @ w, pair)
-        grad = np.concatenate((x.T @ ((y - good) * weight) / weight.sum() - PENALTY * w, (seen - pairs).reshape(-1) / max(1, len(i)) - PENALTY * pair.reshape(-1)))
+        good, pairs = marginals(n_lines, x @ w.astype(np.float32), pair)
+        grad = np.concatenate((x.T @ ((y - good) * weight).astype(np.float32) / weight.sum() - PENALTY * w, (seen - pairs).reshape(-1) / max(1, len(i)) - PENALTY * pair.reshape(-1)))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, pair = w + move[:-4], pair + move[-4:].reshape(2, 2)
@@ -212,8 +214,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple | None:
     """(feature weights, pair weights, slope, place) from whole texts and their labels; None without both labels."""
     if len(set(labels.tolist())) < 2:
         return None
-    cut = [t if t.count("\n") < SAMPLE_LINES else "\n".join(t.split("\n")[:SAMPLE_LINES]) for t in texts]
-    n_lines, size, x = (np.concatenate(part) for part in zip(*[line_features(cut[a:b]) for a, b in _runs(cut)], strict=True))
+    n_lines, size, x = (np.concatenate(part) for part in zip(*[line_features(texts[a:b]) for a, b in _runs(texts)], strict=True))
     doc = np.repeat(np.arange(len(n_lines)), n_lines)
     y = labels[doc].astype(np.float64)
     first = np.concatenate(([0], np.cumsum(n_lines)))[:-1]
@@ -238,25 +239,34 @@ def score_texts(texts: list[str], model: tuple) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * _document(n_lines, size, good) + b, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, sample_docs: int = SAMPLE_DOCS) -> tuple:
+def train(docs: DataFrame, labels: DataFrame, where: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple:
     """The model, from labelled documents for which `where` holds; and the share of good ones among them."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
     rows = docs.where(where).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    chosen = rows.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    # The ids are at most sample_docs; their texts come from a second reading, so that no text is sorted or shuffled.
+    sized = rows.select("doc_id", F.char_length("text").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).join(known, "doc_id")
+    first = sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
+    chosen, left = [], sample_chars
+    for r in first:
+        if r["n"] <= left:
+            chosen.append((r["doc_id"], r["quality"]))
+            left -= r["n"]
+    chosen = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("quality", T.LongType())]))
+    # The ids are at most sample_docs and their texts, with repeated rows, at most sample_chars; they come from a second reading, so that no text is sorted or shuffled.
     got = rows.join(F.broadcast(chosen), "doc_id").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["quality"] for r in got])
     return fit([r["text"] for r in got], y) if len(got) else None, float(y.mean()) if len(got) else 0.5
 
 
-def score(docs: DataFrame, model: tuple | None, share: float) -> DataFrame:
-    """docs with a column score."""
+def score(docs: DataFrame, model: tuple | None, share: float, name: str = "score") -> DataFrame:
+    """docs with a column of that name."""
+    lean(docs.sparkSession)
+
     def run(texts: pd.Series) -> pd.Series:
         texts = [t if t is not None else "" for t in texts]
         return pd.Series(np.concatenate([np.zeros(0), *(score_texts(texts[a:b], model) for a, b in _runs(texts))]))
 
-    return docs.withColumn("score", F.lit(share) if model is None else F.pandas_udf(run, "double")("text"))
+    return docs.withColumn(name, F.lit(share) if model is None else F.pandas_udf(run, "double")("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_where: Column, threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
