@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleforge.llm import decontaminate, mixing, neardup, privacy, quality
-from tripleforge.llm.common import Kept, small_enough
+from tripleforge.llm.common import Kept, fresh, small_enough
 from tripleforge.llm.queries import table
 
 #: Dropped ids are sent to every executor up to this number; beyond it documents and ids meet by a shuffle.
@@ -20,7 +20,8 @@ BROADCAST_IDS = 300_000
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold, the model being fitted on labelled documents among them. Null and empty texts are scored too."""
     model, share = quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, model, share).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "score")
+    return quality.score(docs, model, share, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
