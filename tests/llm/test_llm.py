@@ -80,33 +80,68 @@ def test_mix(docs, none):
     assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])
 
 
-def test_repeated_lines(docs, none):
-    line = "Line one two three four five."
-    got = {(r.doc_id, r.start): (r.end, r.kept_start) for r in linededup.repeats(docs).collect()}
-    i = next(i for i, t, *_ in rows() if t and t.startswith(line))
-    assert got[i, 30] == (59, 0) and got[i, 60] == (89, 0) and (i, 0) not in got
-    kept = [r.text for r in linededup.without_repeats(docs).where(F.col("doc_id") == i).collect()]
-    assert kept == [line + "\n"] and linededup.repeats(none).count() == 0
-    assert linededup.units_of("a\nb\n\nc", "paragraph") == [(0, 3, "a\nb"), (5, 6, "c")]
+def passages(texts, min_words, piece_words, unit="line"):
+    """Brute force over (id, text): the parts of passages, from the units alone; ids ascend."""
+    units, seen = [], {}
+    for i, t in texts:
+        with np.errstate(over="ignore"):
+            u = linededup.units_of([(t or "").encode()], piece_words, unit)
+        units.append([(i, int(a), int(b), " ".join(words(t[a:b]))) for a, b in zip(u["start"], u["end"])])
+        for x in units[-1]:
+            seen.setdefault(x[3], []).append((i, x[1]))
+    out = set()
+    for own in units:
+        run = []
+        for x in [*own, None]:
+            if x and len(seen[x[3]]) > 1:
+                run.append(x)
+                continue
+            if sum(len(w.split()) for w in {y[3] for y in run}) >= min_words:
+                part = []
+                for y in [*run, None]:
+                    kept = y and seen[y[3]][0] == (y[0], y[1])
+                    if part and (y is None or kept != part[0][1]):
+                        out.add((part[0][0][0], part[0][0][1], part[-1][0][2], part[0][1], *seen[part[0][0][3]][0]))
+                        part = []
+                    part.append((y, kept))
+            run = []
+    return out
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_repeated_lines(spark, none, unit):
+    rnd = random.Random(5)
+    some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    passage, line, more = some(60), some(7), [some(12), some(9)]
+    texts = [f"{some(30)} {passage} {some(30)}", f"{some(9)}\n{some(20)} {passage.upper()}\t {some(11)}\n{some(6)}", f"{line}\n" * 30, f"{line}\n{some(50)}\n{line}", "\n".join([*more, passage, some(8)]) + "\n\n" + some(20), "\u00e9 \U0001f600 " + "\n".join([*more, passage]), "", " \n ", "x", passage, passage]
+    d = spark.createDataFrame([*enumerate(texts), (99, None), (9, passage)], "doc_id long, text string")
+    got = [(r.doc_id, r.start, r.end, r.kept, r.kept_doc_id, r.kept_start) for r in linededup.repeats(d, unit=unit).collect()]
+    assert sorted(got) == sorted(passages(list(enumerate(texts)), linededup.MIN_WORDS, linededup.PIECE_WORDS, unit)) and {1, 4, 5, 9, 10} <= {g[0] for g in got} <= {0, 1, 4, 5, 9, 10}
+    assert linededup.repeats(none).count() == linededup.without_repeats(none).count() == 0
 
 
-def test_repeated_passages_within_lines(spark):
-    rnd = random.Random(5)
+def test_without_repeated_lines(spark):
+    rnd = random.Random(6)
     some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
     passage = some(60)
-    texts = [f"{some(30)} {passage} {some(30)}", f"{some(9)}\n{some(20)} {passage} {some(11)}\n{some(6)}"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = linededup.repeats(d).collect()
-    assert {r.doc_id for r in got} == {1} and {r.kept_doc_id for r in got} == {0}
-    out = {r.doc_id: r.text for r in linededup.without_repeats(d).collect()}
-    assert out[0] == texts[0] and len(set(passage.split()) & set(out[1].split())) <= 30 and set(out[1].split()) >= set(texts[1].split()) - set(passage.split())
-    assert out[1].count("\n") == 2
+    texts = [f"{some(30)} {passage} {some(30)}", f"{some(9)}\n{some(20)} {passage} {some(11)}\n{some(6)}", f"first\n{passage}\nlast", None]
+    d = spark.createDataFrame([(i, t, i, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, _id int, spans string, id string")
+    got = {r.doc_id: r for r in linededup.without_repeats(d).collect()}
+    assert got[0].text == texts[0] and not got[0].removed and got[3].text is None
+    assert len(set(passage.split()) & set(got[1].text.split())) <= 20 and set(got[1].text.split()) >= set(texts[1].split()) - set(passage.split())
+    assert got[1].text.count("\n") == 2 and got[2].text.split("\n")[0] == "first" and got[2].text.endswith("last")
+    assert all((r._id, r.spans, r.id) == (i, "x", "y") for i, r in got.items())
+    for r in got.values():
+        assert not r.removed or len(texts[r.doc_id]) - len(r.text) == sum(s.end - s.start + 1 for s in r.removed)
+    with pytest.raises(ValueError):
+        linededup.without_repeats(d.withColumnRenamed("_id", "removed"))
 
 
 def test_repeated_lines_of_null_ids(spark):
-    line = "one two three four five six"
+    line = " ".join(f"one{k}" for k in range(45))
     d = spark.createDataFrame([(None, f"{line}\nfirst of them"), (None, f"{line}\nsecond of them")], "doc_id long, text string")
-    assert linededup.repeats(d).count() == 1
+    got = linededup.repeats(d).collect()
+    assert [r.kept for r in sorted(got, key=lambda r: r.kept)] == [False, True] and all(r.kept_doc_id is None for r in got)
     assert sorted(r.text for r in linededup.without_repeats(d).collect()) in ([f"{line}\nfirst of them", "second of them"], ["first of them", f"{line}\nsecond of them"])
 
 
@@ -243,9 +278,34 @@ def test_forward_equals_enumeration():
 
 
 def test_licences(spark, docs, none):
-    d = spark.createDataFrame([(1, "foo bar\nLicensed under the Apache License, version 2.0!\nbaz"), (2, licences.TEMPLATES["MIT"]), (3, None), (4, ""), (5, "All rights reserved.")], "doc_id long, text string")
-    assert {(r.doc_id, r.unit, r.template) for r in licences.scan(d).collect()} == {(1, 1, "Apache-2.0 notice"), (2, 0, "MIT"), (5, 0, "All rights reserved")}
-    assert licences.scan(docs).count() == licences.scan(none).count() == 0
+    mit = licences.TEMPLATES["MIT"].split()
+    wrapped = "\n".join(" # " + " ".join(mit[i : i + 10]) for i in range(0, len(mit), 10))
+    code = "\n".join(f"x{i} = f(y{i})" for i in range(300))
+    edited = " ".join(w if k % 40 else f"put in {w}" for k, w in enumerate(mit))
+    texts = [None, "", "word", f"{wrapped}\n{code}", "foo bar\nLicensed under the Apache License, version 2.0!\nbaz", "this file was Released under the MIT License, and goes on. " * 2, edited, "// " + licences.TEMPLATES["BSD-3-Clause"] + "\n" + licences.TEMPLATES["Zlib"] + code, "All rights reserved.", licences.TEMPLATES["MIT"] * 3]
+    d = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("w", F.lit("x"))
+    got = licences.scan(d).collect()
+    found = sorted((r.doc_id, r.template, r.first_word) for r in got)
+    zlib = len(licences.words_of(licences.TEMPLATES["BSD-3-Clause"]))
+    n = len(licences.words_of(licences.TEMPLATES["MIT"]))
+    assert found == [(3, "MIT", 0), (4, "Apache-2.0 notice", 2), (4, "Apache-2.0 notice", 2), (5, "MIT notice", 3), (5, "MIT notice", 14), (6, "MIT", 2), (7, "BSD-3-Clause", 0), (7, "Zlib", zlib), (8, "All rights reserved", 0), (9, "MIT", 0), (9, "MIT", n), (9, "MIT", 2 * n)]
+    for r in got:
+        w = licences.words_of(texts[r.doc_id])[r.first_word : r.first_word + r.n_words]
+        x, y = set(licences.bigrams(w)), set(licences.bigrams(licences.words_of(licences.TEMPLATES[r.template])))
+        assert r.shared == len(x & y) and r.dice == pytest.approx(2 * len(x & y) / (len(x) + len(y))) and r.dice >= 0.8
+    assert licences.scan(docs).count() == licences.scan(none).count() == licences.scan(d, {}).count() == 0
+
+
+def test_licence_seeds():
+    rnd = random.Random(2)
+    sets = {k: set(licences.bigrams(licences.words_of(t))) for k, t in licences.TEMPLATES.items()}
+    chosen = licences.seeds(sets, 0.8)
+    found = re.compile(licences.pattern_of(chosen).replace("++", "+"))
+    for grams in sets.values():
+        for _ in range(20):
+            some = rnd.sample(sorted(grams), licences.needed(len(grams), 0.8))
+            assert set(some) & set(chosen)
+    assert all(found.search(f"a, {g.replace(' ', ' (')}.") and not found.search(f"zz{g}") and not found.search(f"{g}zz") for g in chosen)
 
 
 def test_tool_calls(spark):

@@ -27,7 +27,7 @@ from .common import Kept, lean
 from .shingles import chunks, mix, word_places
 
 #: Words of a passage, and the least of a piece (but for the last one of a line).
-MIN_WORDS, PIECE_WORDS = 40, 6
+MIN_WORDS, PIECE_WORDS = 40, 5
 BROADCAST_ROWS, HOT = 200_000, 10_000
 #: Ranks are doc_id times PLACES, plus the place: a number of the text times STARTS, plus the offset.
 PLACES, STARTS, TEXTS = 10**19, 10**10, 9 * 10**8
