@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(src, dst, h, r, t): every edge from either end; a self-loop once."""
-    out = edges.select(F.col("h").alias("src"), F.col("t").alias("dst"), "h", "r", "t")
-    return out.unionByName(edges.where("h <> t").select(F.col("t").alias("src"), F.col("h").alias("dst"), "h", "r", "t"))
+def both_ways(edges: DataFrame, key=()) -> DataFrame:
+    """(key.., src, dst, h, r, t): every edge from either end; a self-loop once."""
+    out = edges.select(*key, F.col("h").alias("src"), F.col("t").alias("dst"), "h", "r", "t")
+    return out.unionByName(edges.where("h <> t").select(*key, F.col("t").alias("src"), F.col("h").alias("dst"), "h", "r", "t"))
 
 
 def first_per(df: DataFrame, by, order, cap: int, name: str = "place") -> DataFrame:

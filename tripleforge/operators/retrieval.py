@@ -56,7 +56,7 @@ def target_size(n: Column, ratio: float, least: int, most: int | None = None) ->
 
 def select(scored: DataFrame, touched: DataFrame, ratio: float, least: int, most: int | None = None, passes: tuple = ("candidate", "fill"), uncapped: bool = False, family_min: dict | None = None) -> DataFrame:
     """The chosen triples of scored (KEY, idx, score, touches_query, family). passes, in order: candidate (the best triple of each candidate, candidates by
-    place), query (triples at the query by score), family (the first of each family that is to have some), fill (all by score)."""
+    place), query (the best triple at the query), family (the first of each family that is to have some), fill (all by score)."""
     order = [F.desc("score"), F.asc("idx")]
     w = Window.partitionBy(*KEY)
     offers = []
@@ -71,7 +71,8 @@ def select(scored: DataFrame, touched: DataFrame, ratio: float, least: int, most
                 offers.append(one.select(*KEY, "idx", F.lit(k).alias("pass"), (F.col("_n") + j * 1_000_000).cast("long").alias("place")))
         else:
             some = scored.where("touches_query = 1") if name == "query" else scored
-            offers.append(some.select(*KEY, "idx", F.lit(k).alias("pass"), F.row_number().over(w.orderBy(*order)).cast("long").alias("place")))
+            some = some.select(*KEY, "idx", F.lit(k).alias("pass"), F.row_number().over(w.orderBy(*order)).cast("long").alias("place"))
+            offers.append(some.where("place = 1") if name == "query" else some)
     offered = offers[0]
     for o in offers[1:]:
         offered = offered.unionByName(o)
@@ -83,11 +84,27 @@ def select(scored: DataFrame, touched: DataFrame, ratio: float, least: int, most
 
 
 def evidence(stages: list[DataFrame], budget: int) -> DataFrame:
-    """Union of stages of triples (KEY, h, r, t, o1, o2), earlier stages first, each in its order; the first of equal triples stays; at most budget for a query."""
-    out = None
+    """Union of stages of triples (KEY, h, r, t, o1, o2, o3), earlier stages first, each in its order; the first of equal triples stays; at most budget for a query."""
+    out, order = None, ("o1", "o2", "o3")
     for k, s in enumerate(stages):
-        s = s.select(*KEY, "h", "r", "t", F.lit(k).alias("stage"), F.col("o1").cast("long").alias("o1"), F.col("o2").cast("long").alias("o2"))
+        s = s.select(*KEY, "h", "r", "t", F.lit(k).alias("stage"), *[(F.col(c) if c in s.columns else F.lit(0)).cast("long").alias(c) for c in order])
         out = s if out is None else out.unionByName(s)
-    first = out.groupBy(*KEY, "h", "r", "t").agg(F.min(F.struct("stage", "o1", "o2")).alias("at"))
-    idx = F.row_number().over(Window.partitionBy(*KEY).orderBy("at.stage", "at.o1", "at.o2", "h", "r", "t")) - 1
+    first = out.groupBy(*KEY, "h", "r", "t").agg(F.min(F.struct("stage", *order)).alias("at"))
+    idx = F.row_number().over(Window.partitionBy(*KEY).orderBy("at.stage", *[f"at.{c}" for c in order], "h", "r", "t")) - 1
     return first.withColumn("idx", idx).where(F.col("idx") < budget).select(*KEY, "idx", "h", "r", "t", F.col("at.stage").alias("stage"))
+
+
+def score_counts(weights: dict | None = None) -> Column:
+    """Best band + touch + query - direct + density, where density is the number of touched candidates and of the query (0 or 1)."""
+    w = {"touch": 0.35, "query": 0.05, "direct": 0.8, "density": 0.05} | (weights or {})
+    best = F.when(F.col("touched") > 0, band_weight(F.col("best_pos"))).otherwise(0.0)
+    return best + w["touch"] * (F.col("touched") > 0).cast("int") + w["query"] * F.col("touches_query") - w["direct"] * F.col("direct") + w["density"] * (F.col("touched") + F.col("touches_query"))
+
+
+def score_status(family: Column) -> Column:
+    """As score_family, with approved and failed pairs of their own: failed ones pay once more."""
+    base = F.coalesce(*[F.when(family == k, F.lit(v)) for k, v in {"approved": 0.1, "failed": 0.02, "CG": 0.35, "GG": 0.25}.items()], F.lit(0.05))
+    band = F.when(F.col("touched") > 0, band_weight(F.col("best_pos"))).otherwise(0.0)
+    dense = (F.log1p("deg_h") + F.log1p("deg_t")) / 10.0
+    top = F.coalesce((F.col("best_pos") <= 5).cast("int"), F.lit(0))
+    return base + 0.35 * band + 0.10 * F.col("touches_query") + 0.05 * dense + 0.05 * top - 0.4 * family.isin("approved", "failed", "direct").cast("int") - 0.15 * (family == "failed").cast("int")

@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 #: Rows that a greedy, order-bound operator takes; it is sequential by definition, so larger inputs are refused, not cut.
 GREEDY_ROWS = 2_000_000
 
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Numbers from 0 in the order of a column of distinct values: ranges are sorted apart, and numbers within ranges move by the sizes of those before."""
-    parts = df.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    """Numbers from 0 in the order of a column of distinct values: ranges are sorted apart, and numbers within ranges move by the sizes of those before. The ranges are drawn once, and written."""
+    parts = written(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(column))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(column).alias("_first"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))

@@ -8,46 +8,96 @@ from ..operators import graph as g
 from ..operators import ranking as k
 from ..operators import retrieval as r
 from ..operators import splits
+from ..sources import store
 from ..sources.derived import SQL, Graph
-from .features import FEATURES, direct_degrees, gene_sets, support_features
+from .features import FEATURES, direct_degrees, soft_ranked
 from .registry import query
 
 R = lambda c: F.round(c, 6)
 KEY = k.KEY
 
 
-def first_relation(edges):
-    """(h, t, r): of parallel edges the first relation by name."""
-    return edges.groupBy("h", "t").agg(F.min("r").alias("r"))
+#: Retrieval settings: budget of triples, edges of each candidate and of the query that count as theirs, and whether failed pairs take the place of disease genes.
+SETTINGS = {"D": (80, 5, 40), "E": (100, 12, 60), "F": (100, 18, 0)}
+#: Genes of a query's candidates that bridges are looked for among, and bridges of each gene (F).
+TOUCHED, PER_GENE = 240, 3
 
 
-def subgraphs(kg: Graph, budget: int = 80, cand_genes: int = 5, query_genes: int = 40):
-    """Direct edges, shared genes from either side, the query's genes, the candidates' genes, the query's other edges; the first `budget` distinct ones."""
+def adjacency(edges):
+    """(src, dst, h, r, t, kinds): every edge from either end; kinds are those of its ends, from src."""
+    return g.both_ways(edges).withColumn("kinds", F.concat((F.col("src") % 3).cast("string"), (F.col("dst") % 3).cast("string")))
+
+
+def graph_of(kg: Graph, setting: str):
+    """The edges that a setting retrieves from: F has approved and failed pairs, compound and gene edges."""
+    if setting == "F":
+        return kg.train().unionByName(kg.failed()).unionByName(kg.compound_gene()).unionByName(kg.gene_gene())
+    return kg.edges()
+
+
+def subgraphs(kg: Graph, setting: str = "D"):
+    """(KEY, query_id, idx, h, r, t, stage) of each query's evidence: the first `budget` distinct triples of the setting's stages. Edges of a node come in the order of relation and far end.
+
+    D and E: edges between candidate and query; edges of both to genes that they share; the query's genes; the candidates' genes; gene-gene bridges from a
+    candidate's gene to one of the query's; other edges of the query, then of the candidates. F: approved and failed pairs; the candidates' genes; bridges among these; other edges.
+    """
+    return store.once(kg.spark, kg.sf_dir, f"evidence-{setting}", lambda: _subgraphs(kg, setting))
+
+
+def _subgraphs(kg: Graph, setting: str):
+    budget, cand_genes, query_genes = SETTINGS[setting]
     c, q = kg.candidates().select(*KEY, "query_id", "pos", "cand"), kg.queries().select(*KEY, "query_id")
-    cg = first_relation(kg.compound_gene()).select(F.col("h").alias("cand"), F.col("t").alias("g"), F.col("r").alias("cr"))
-    dg = first_relation(kg.disease_gene()).select(F.col("h").alias("query_id"), F.col("t").alias("g"), F.col("r").alias("dr"))
-    aux = kg.auxiliary().select(F.col("h").alias("cand"), F.col("t").alias("query_id"), "r")
-    direct = c.join(aux, ["cand", "query_id"]).select(*KEY, F.col("cand").alias("h"), "r", F.col("query_id").alias("t"), F.col("pos").alias("o1"), F.lit(0).alias("o2"))
-    both = c.join(dg, "query_id").join(cg, ["cand", "g"])
-    left = both.select(*KEY, F.col("cand").alias("h"), F.col("cr").alias("r"), F.col("g").alias("t"), F.col("pos").alias("o1"), (F.col("g") * 2).alias("o2"))
-    right = both.select(*KEY, F.col("query_id").alias("h"), F.col("dr").alias("r"), F.col("g").alias("t"), F.col("pos").alias("o1"), (F.col("g") * 2 + 1).alias("o2"))
-    own = g.first_per(dg, ["query_id"], ["g"], query_genes)
-    mine = q.join(own, "query_id").select(*KEY, F.col("query_id").alias("h"), F.col("dr").alias("r"), F.col("g").alias("t"), F.col("place").alias("o1"), F.lit(0).alias("o2"))
-    theirs = c.join(g.first_per(cg, ["cand"], ["g"], cand_genes), "cand").select(*KEY, F.col("cand").alias("h"), F.col("cr").alias("r"), F.col("g").alias("t"), F.col("pos").alias("o1"), F.col("place").alias("o2"))
-    fill = q.join(dg, "query_id").select(*KEY, F.col("query_id").alias("h"), F.col("dr").alias("r"), F.col("g").alias("t"), F.col("g").alias("o1"), F.lit(0).alias("o2"))
-    return r.evidence([direct, left.unionByName(right), mine, theirs, fill], budget).join(q, KEY)
-
-
-def subgraph_sql(budget: int = 80, cand_genes: int = 5, query_genes: int = 40) -> str:
-    return f"""{SQL},
-c1 AS (SELECT h AS cand, t AS g, min(r) AS cr FROM cg GROUP BY h, t), d1 AS (SELECT h AS query_id, t AS g, min(r) AS dr FROM dg GROUP BY h, t),
-st AS (SELECT split, row_index, cand AS h, aux.r AS r, query_id AS t, 0 AS stage, pos AS o1, 0 AS o2 FROM cand JOIN aux ON aux.h = cand AND aux.t = query_id
-UNION ALL SELECT split, row_index, cand, cr, g, 1, pos, g * 2 FROM cand JOIN d1 USING (query_id) JOIN c1 USING (cand, g)
-UNION ALL SELECT split, row_index, query_id, dr, g, 1, pos, g * 2 + 1 FROM cand JOIN d1 USING (query_id) JOIN c1 USING (cand, g)
-UNION ALL SELECT split, row_index, query_id, dr, g, 2, place, 0 FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g) AS place FROM d1) USING (query_id) WHERE place <= {query_genes}
-UNION ALL SELECT split, row_index, cand, cr, g, 3, pos, place FROM cand JOIN (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY g) AS place FROM c1) USING (cand) WHERE place <= {cand_genes}
-UNION ALL SELECT split, row_index, query_id, dr, g, 4, g, 0 FROM q JOIN d1 USING (query_id)),
-fst AS (SELECT split, row_index, h, r, t, min((stage, o1, o2)) AS a FROM st GROUP BY ALL),
+    e = adjacency(graph_of(kg, setting))
+    direct = c.join(e.where("kinds = '02'").select(F.col("src").alias("cand"), F.col("dst").alias("query_id"), "h", "r", "t"), ["cand", "query_id"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"))
+    own = lambda kinds, cap, node: g.first_per(e.where(F.col("kinds") == kinds), ["src"], ["r", "dst"], cap).select(F.col("src").alias(node), F.col("dst").alias("gene"), "h", "r", "t", "place")
+    theirs = store.written(c.join(own("01", cand_genes, "cand"), "cand"), "candidate-genes")
+    their_stage = theirs.select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.col("place").alias("o2"))
+    gg = e.where("kinds = '11'").select(F.col("src").alias("gene"), F.col("dst").alias("far"), "h", "r", "t")
+    if setting == "F":
+        some = k.rank_by(theirs.select(*KEY, "gene").distinct(), "gene", name="n").where(F.col("n") <= TOUCHED)
+        among = some.join(gg, "gene").join(some.select(*KEY, F.col("gene").alias("far")), [*KEY, "far"])
+        bridges = g.first_per(among, [*KEY, "gene"], ["r", "far"], PER_GENE).select(*KEY, "h", "r", "t", F.col("n").alias("o1"), F.col("place").alias("o2"))
+        stages = [direct, their_stage, bridges]
+    else:
+        mine = store.written(q.join(own("21", query_genes, "query_id"), "query_id"), "query-genes")
+        mine_stage = mine.select(*KEY, "h", "r", "t", F.col("place").alias("o1"))
+        genes = mine.select(*KEY, "gene").distinct()
+        left = theirs.join(genes, [*KEY, "gene"], "left_semi").select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.lit(0).alias("o2"), F.col("place").alias("o3"))
+        met = theirs.select(*KEY, "pos", "gene").distinct()
+        right = mine.join(met, [*KEY, "gene"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.lit(1).alias("o2"), F.col("place").alias("o3"))
+        bridges = theirs.select(*KEY, "pos", "place", "gene").join(gg, "gene").join(genes.withColumnRenamed("gene", "far"), [*KEY, "far"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.col("place").alias("o2"), F.col("far").alias("o3"))
+        stages = [direct, left.unionByName(right), mine_stage, their_stage, bridges]
+    # No more than `budget` of a node's edges can be new, and no more than that have come before.
+    local = g.first_per(e, ["src"], ["r", "dst", "h"], 2 * budget).select(F.col("src").alias("node"), "h", "r", "t", F.col("place").alias("o2"))
+    nodes = q.select(*KEY, F.col("query_id").alias("node"), F.lit(0).alias("o1")).unionByName(c.select(*KEY, F.col("cand").alias("node"), F.col("pos").alias("o1")))
+    return r.evidence([*stages, nodes.join(local, "node")], budget).join(q, KEY).select(*KEY, "query_id", "idx", "h", "r", "t", "stage")
+
+
+def subgraph_sql(setting: str = "D") -> str:
+    budget, cand_genes, query_genes = SETTINGS[setting]
+    edges = "SELECT * FROM train UNION ALL SELECT * FROM failed UNION ALL SELECT * FROM cg UNION ALL SELECT * FROM gg" if setting == "F" else "SELECT * FROM edges"
+    if setting == "F":
+        middle = f"""UNION ALL SELECT split, row_index, h, r, t, 1, pos, place, 0 FROM theirs
+UNION ALL SELECT split, row_index, h, r, t, 2, n, row_number() OVER (PARTITION BY split, row_index, gene ORDER BY r, far) AS place, 0 FROM (SELECT * FROM few JOIN ggs USING (gene)) x JOIN (SELECT split, row_index, gene AS far FROM few) y USING (split, row_index, far) QUALIFY place <= {PER_GENE}"""
+        last = 3
+    else:
+        middle = """UNION ALL SELECT split, row_index, h, r, t, 1, pos, 0, place FROM theirs x WHERE (split, row_index, gene) IN (SELECT (split, row_index, gene) FROM mine)
+UNION ALL SELECT mine.split, mine.row_index, h, r, t, 1, pos, 1, place FROM mine JOIN (SELECT DISTINCT split, row_index, pos, gene FROM theirs) x ON x.split = mine.split AND x.row_index = mine.row_index AND x.gene = mine.gene
+UNION ALL SELECT split, row_index, h, r, t, 2, place, 0, 0 FROM mine
+UNION ALL SELECT split, row_index, h, r, t, 3, pos, place, 0 FROM theirs
+UNION ALL SELECT split, row_index, ggs.h, ggs.r, ggs.t, 4, pos, place, far FROM theirs JOIN ggs USING (gene) WHERE (split, row_index, far) IN (SELECT (split, row_index, gene) FROM mine)"""
+        last = 5
+    return f"""{SQL}, ge AS ({edges}),
+adj AS (SELECT h AS src, t AS dst, h, r, t FROM ge UNION ALL SELECT t, h, h, r, t FROM ge WHERE h <> t),
+theirs AS (SELECT split, row_index, pos, gene, h, r, t, place FROM cand JOIN (SELECT src AS cand, dst AS gene, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst) AS place FROM adj WHERE src % 3 = 0 AND dst % 3 = 1 QUALIFY place <= {cand_genes}) USING (cand)),
+mine AS (SELECT split, row_index, gene, h, r, t, place FROM q JOIN (SELECT src AS query_id, dst AS gene, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst) AS place FROM adj WHERE src % 3 = 2 AND dst % 3 = 1 QUALIFY place <= {query_genes}) USING (query_id)),
+ggs AS (SELECT src AS gene, dst AS far, h, r, t FROM adj WHERE src % 3 = 1 AND dst % 3 = 1),
+few AS (SELECT split, row_index, gene, row_number() OVER (PARTITION BY split, row_index ORDER BY gene) AS n FROM (SELECT DISTINCT split, row_index, gene FROM theirs) QUALIFY n <= {TOUCHED}),
+loc AS (SELECT src AS node, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst, h) AS place FROM adj QUALIFY place <= {2 * budget}),
+st AS (SELECT split, row_index, adj.h, adj.r, adj.t, 0 AS stage, pos AS o1, 0 AS o2, 0 AS o3 FROM cand JOIN adj ON src = cand AND dst = query_id
+{middle}
+UNION ALL SELECT split, row_index, h, r, t, {last}, o1, place, 0 FROM (SELECT split, row_index, query_id AS node, 0 AS o1 FROM q UNION ALL SELECT split, row_index, cand, pos FROM cand) JOIN loc USING (node)),
+fst AS (SELECT split, row_index, h, r, t, min((stage, o1, o2, o3)) AS a FROM st GROUP BY ALL),
 sub AS (SELECT x.*, q.query_id FROM (SELECT split, row_index, h, r, t, a[1] AS stage, row_number() OVER (PARTITION BY split, row_index ORDER BY a, h, r, t) - 1 AS idx FROM fst) x JOIN q USING (split, row_index) WHERE idx < {budget})"""
 
 
@@ -58,20 +108,30 @@ th AS (SELECT split, row_index, idx, min(pos) AS best_pos, count(*) AS touched F
 dgr AS (SELECT split, row_index, node, count(*) AS degree FROM (SELECT split, row_index, unnest([h, t]) AS node FROM sub) GROUP BY ALL),
 tf AS (SELECT s.*, best_pos, coalesce(touched, 0) AS touched, (s.h = query_id OR s.t = query_id)::INT AS touches_query, (coalesce(touched, 0) > 0 AND (s.h = query_id OR s.t = query_id))::INT AS direct, a.degree AS deg_h, b.degree AS deg_t
  FROM sub s LEFT JOIN th ON th.split = s.split AND th.row_index = s.row_index AND th.idx = s.idx JOIN dgr a ON a.split = s.split AND a.row_index = s.row_index AND a.node = s.h JOIN dgr b ON b.split = s.split AND b.row_index = s.row_index AND b.node = s.t),
-tl AS (SELECT *, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' ELSE 'direct' END AS family, CASE WHEN touched = 0 THEN 0 WHEN best_pos <= 5 THEN 1.0 WHEN best_pos <= 10 THEN 0.6 ELSE 0.25 END::DOUBLE AS band FROM tf),
+tl AS (SELECT *, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' ELSE 'direct' END AS family, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' WHEN r = 'CtD' THEN 'approved' WHEN r = 'CfD' THEN 'failed' ELSE 'direct' END AS status, CASE WHEN touched = 0 THEN 0 WHEN best_pos <= 5 THEN 1.0 WHEN best_pos <= 10 THEN 0.6 ELSE 0.25 END::DOUBLE AS band FROM tf),
 ts AS (SELECT *, round(band + 0.35::DOUBLE * (touched > 0)::INT + 0.05::DOUBLE * touches_query - 0.8::DOUBLE * direct + 0.05::DOUBLE * least(deg_h + deg_t, 10) / 10.0::DOUBLE, 6) AS score,
- round(CASE family WHEN 'CG' THEN 0.3 WHEN 'DG' THEN 0.3 WHEN 'GG' THEN 0.2 ELSE 0.05 END::DOUBLE + 0.35::DOUBLE * band + 0.1::DOUBLE * touches_query + 0.05::DOUBLE * (ln(1 + deg_h) + ln(1 + deg_t)) / 10.0::DOUBLE + 0.05::DOUBLE * coalesce((best_pos <= 5)::INT, 0) - 0.5::DOUBLE * (family = 'direct')::INT, 9) AS fscore FROM tl)"""
+ round(CASE family WHEN 'CG' THEN 0.3 WHEN 'DG' THEN 0.3 WHEN 'GG' THEN 0.2 ELSE 0.05 END::DOUBLE + 0.35::DOUBLE * band + 0.1::DOUBLE * touches_query + 0.05::DOUBLE * (ln(1 + deg_h) + ln(1 + deg_t)) / 10.0::DOUBLE + 0.05::DOUBLE * coalesce((best_pos <= 5)::INT, 0) - 0.5::DOUBLE * (family = 'direct')::INT, 9) AS fscore,
+ round(CASE status WHEN 'approved' THEN 0.1 WHEN 'failed' THEN 0.02 WHEN 'CG' THEN 0.35 WHEN 'GG' THEN 0.25 ELSE 0.05 END::DOUBLE + 0.35::DOUBLE * band + 0.1::DOUBLE * touches_query + 0.05::DOUBLE * (ln(1 + deg_h) + ln(1 + deg_t)) / 10.0::DOUBLE + 0.05::DOUBLE * coalesce((best_pos <= 5)::INT, 0) - 0.4::DOUBLE * (family = 'direct')::INT - 0.15::DOUBLE * (status = 'failed')::INT, 9) AS sscore,
+ round(band + 0.35::DOUBLE * (touched > 0)::INT + 0.05::DOUBLE * touches_query - 0.8::DOUBLE * direct + 0.05::DOUBLE * (touched + touches_query), 6) AS cscore FROM tl)"""
 
 
 def family(relation):
-    return F.when(relation.isin("CbG", "CdG", "CuG"), "CG").when(relation.isin("DaG", "DdG"), "DG").when(relation == "GiG", "GG").otherwise("direct")
+    return F.when(relation.isin("CbG", "CdG", "CuG"), "CG").when(relation.isin("DaG", "DdG"), "DG").when(relation == "GiG", "GG").when(relation == "CtD", "approved").when(relation == "CfD", "failed").otherwise("direct")
+
+
+def by_kinds(fam):
+    """The three coarse families: pairs of compound and disease are all direct."""
+    return F.when(fam.isin("approved", "failed"), "direct").otherwise(fam)
 
 
-def scored(kg: Graph, **options):
-    # Features, touches and the choice all come from these; without keeping them each pass would build them again.
-    sub, c = subgraphs(kg, **options).cache(), kg.candidates().cache()
-    f = r.triple_features(sub, c).withColumn("family", family(F.col("r"))).cache()
-    return f, r.touches(sub, c).cache()
+def scored(kg: Graph, setting: str = "D"):
+    """Triple features of a setting's subgraphs, with family and status (its finer family); and the touches. Both are written once: features, touches and choices all start from them."""
+    def features():
+        f = r.triple_features(subgraphs(kg, setting), kg.candidates())
+        return f.withColumn("status", family(F.col("r"))).withColumn("family", by_kinds(F.col("status")))
+
+    f = store.once(kg.spark, kg.sf_dir, f"triple-features-{setting}", features)
+    return f, store.once(kg.spark, kg.sf_dir, f"touches-{setting}", lambda: r.touches(subgraphs(kg, setting), kg.candidates()))
 
 
 @query("gr11_evidence_subgraph", f"WITH {subgraph_sql()} SELECT split, row_index, idx, h, r, t, stage FROM sub")
@@ -79,14 +139,14 @@ def _(spark, sf):
     return subgraphs(Graph(spark, sf)).select(*KEY, "idx", "h", "r", "t", "stage")
 
 
-@query("gr12_evidence_subgraph_wide", f"WITH {subgraph_sql(100, 12, 60)} SELECT split, row_index, idx, h, r, t, stage FROM sub")
+@query("gr12_evidence_subgraph_wide", f"WITH {subgraph_sql('E')} SELECT split, row_index, idx, h, r, t, stage FROM sub")
 def _(spark, sf):
-    return subgraphs(Graph(spark, sf), budget=100, cand_genes=12, query_genes=60).select(*KEY, "idx", "h", "r", "t", "stage")
+    return subgraphs(Graph(spark, sf), "E").select(*KEY, "idx", "h", "r", "t", "stage")
 
 
-@query("gr13_evidence_subgraph_deep", f"WITH {subgraph_sql(100, 18, 240)} SELECT split, row_index, idx, h, r, t, stage FROM sub")
+@query("gr13_evidence_subgraph_status", f"WITH {subgraph_sql('F')} SELECT split, row_index, idx, h, r, t, stage FROM sub")
 def _(spark, sf):
-    return subgraphs(Graph(spark, sf), budget=100, cand_genes=18, query_genes=240).select(*KEY, "idx", "h", "r", "t", "stage")
+    return subgraphs(Graph(spark, sf), "F").select(*KEY, "idx", "h", "r", "t", "stage")
 
 
 @query("agg18_subgraph_sizes", f"WITH {subgraph_sql()}, n AS (SELECT split, row_index, count(*) AS n FROM sub GROUP BY ALL) SELECT split, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM n GROUP BY split")
@@ -116,13 +176,13 @@ def _(spark, sf):
     return f.select(*KEY, "idx", "family", R(r.score_family(F.col("family"))).alias("score"))
 
 
-def select_sql(score: str, ratio: float, least: int, most: str, offers: str, uncapped: bool) -> str:
+def select_sql(score: str, ratio: float, least: int, most: str, offers: str, uncapped: bool, setting: str = "D", column: str = "family") -> str:
     keep = "rn <= target OR p = 0" if uncapped else "rn <= target"
-    return f"""WITH {subgraph_sql()}{TF}, sc AS (SELECT *, {score} AS s FROM ts),
+    return f"""WITH {subgraph_sql(setting)}{TF}, sc AS (SELECT *, {score} AS s FROM ts),
 bt AS (SELECT tch.split, tch.row_index, tch.idx, tch.pos, row_number() OVER (PARTITION BY tch.split, tch.row_index, tch.cand ORDER BY s DESC, tch.idx) AS n FROM tch JOIN sc ON sc.split = tch.split AND sc.row_index = tch.row_index AND sc.idx = tch.idx),
 fl AS (SELECT split, row_index, idx, row_number() OVER (PARTITION BY split, row_index ORDER BY s DESC, idx) AS n FROM sc),
 qy AS (SELECT split, row_index, idx, row_number() OVER (PARTITION BY split, row_index ORDER BY s DESC, idx) AS n FROM sc WHERE touches_query = 1),
-fm AS (SELECT split, row_index, idx, family, row_number() OVER (PARTITION BY split, row_index, family ORDER BY s DESC, idx) AS n FROM sc),
+fm AS (SELECT split, row_index, idx, {column} AS fam, row_number() OVER (PARTITION BY split, row_index, {column} ORDER BY s DESC, idx) AS n FROM sc),
 ofr AS ({offers}), f1 AS (SELECT split, row_index, idx, min((p, o)) AS a FROM ofr GROUP BY ALL),
 nn AS (SELECT split, row_index, count(*) AS n, least(count(*), greatest({least}, round_even(count(*) * {ratio}::DOUBLE, 0)::INT){most}) AS target FROM sc GROUP BY ALL),
 rk AS (SELECT f1.split, f1.row_index, f1.idx, a[1] AS p, row_number() OVER (PARTITION BY f1.split, f1.row_index ORDER BY a, f1.idx) AS rn, target FROM f1 JOIN nn ON nn.split = f1.split AND nn.row_index = f1.row_index)
@@ -131,8 +191,16 @@ SELECT split, row_index, idx FROM rk WHERE {keep}"""
 
 CANDIDATE = "SELECT split, row_index, idx, 0 AS p, pos AS o FROM bt WHERE n = 1"
 FILL = "SELECT split, row_index, idx, {p} AS p, n AS o FROM fl"
-QUERY = "SELECT split, row_index, idx, 1 AS p, n AS o FROM qy"
-FAMILY = "SELECT split, row_index, idx, 2 AS p, n + 1000000 * (CASE family WHEN 'CG' THEN 0 WHEN 'DG' THEN 1 ELSE 2 END) AS o FROM fm WHERE n <= 3 AND family IN ('CG', 'DG', 'GG')"
+QUERY = "SELECT split, row_index, idx, 1 AS p, n AS o FROM qy WHERE n = 1"
+
+
+def families_sql(mins: dict) -> str:
+    return " UNION ALL ".join(f"SELECT split, row_index, idx, 2 AS p, n + 1000000 * {j} AS o FROM fm WHERE n <= {n} AND fam = '{name}'" for j, (name, n) in enumerate(mins.items()))
+
+
+#: First triples of each family that are kept where there is room.
+FAMILY_MIN = {"CG": 3, "DG": 3, "GG": 3, "direct": 3}
+STATUS_MIN = {"CG": 8, "GG": 6, "approved": 1, "failed": 0}
 
 
 @query("gr24_select_uncapped", select_sql("score", 0.67, 20, "", f"{CANDIDATE} UNION ALL {FILL.format(p=1)}", True))
@@ -147,16 +215,34 @@ def _(spark, sf):
     return r.select(f.withColumn("score", F.round(r.score_family(F.col("family")), 9)), t, 0.55, 28, 48, ("candidate", "query", "fill")).select(*KEY, "idx")
 
 
-@query("gr26_select_families", select_sql("fscore", 0.55, 45, ", 60", f"{CANDIDATE} UNION ALL {QUERY} UNION ALL {FAMILY} UNION ALL {FILL.format(p=3)}", False))
+@query("gr26_select_families", select_sql("fscore", 0.55, 45, ", 60", f"{CANDIDATE} UNION ALL {QUERY} UNION ALL {families_sql(FAMILY_MIN)} UNION ALL {FILL.format(p=3)}", False, "E"))
 def _(spark, sf):
-    f, t = scored(Graph(spark, sf))
-    return r.select(f.withColumn("score", F.round(r.score_family(F.col("family")), 9)), t, 0.55, 45, 60, ("candidate", "query", "family", "fill"), family_min={"CG": 3, "DG": 3, "GG": 3}).select(*KEY, "idx")
+    f, t = scored(Graph(spark, sf), "E")
+    return r.select(f.withColumn("score", F.round(r.score_family(F.col("family")), 9)), t, 0.55, 45, 60, ("candidate", "query", "family", "fill"), family_min=FAMILY_MIN).select(*KEY, "idx")
+
+
+@query("gr26_select_status", select_sql("sscore", 0.55, 45, ", 60", f"{CANDIDATE} UNION ALL {QUERY} UNION ALL {families_sql(STATUS_MIN)} UNION ALL {FILL.format(p=3)}", False, "F", "status"))
+def _(spark, sf):
+    f, t = scored(Graph(spark, sf), "F")
+    f = f.withColumn("family", F.col("status")).withColumn("score", F.round(r.score_status(F.col("status")), 9))
+    return r.select(f, t, 0.55, 45, 60, ("candidate", "query", "family", "fill"), family_min=STATUS_MIN).select(*KEY, "idx")
 
 
-@query("gr27_select_coverage", select_sql("score", 0.55, 18, "", f"{CANDIDATE} UNION ALL {FILL.format(p=1)}", False))
+@query("gr23_status_score", f"WITH {subgraph_sql('F')}{TF} SELECT split, row_index, idx, status, round(sscore, 6) AS score FROM ts")
+def _(spark, sf):
+    return scored(Graph(spark, sf), "F")[0].select(*KEY, "idx", "status", R(r.score_status(F.col("status"))).alias("score"))
+
+
+@query("gr21_count_score", f"WITH {subgraph_sql()}{TF} SELECT split, row_index, idx, touched + touches_query AS density, (direct = 1 AND r = 'CtD')::INT AS direct_target, cscore AS score FROM ts")
+def _(spark, sf):
+    f = scored(Graph(spark, sf))[0]
+    return f.select(*KEY, "idx", (F.col("touched") + F.col("touches_query")).alias("density"), ((F.col("direct") == 1) & (F.col("r") == "CtD")).cast("int").alias("direct_target"), R(r.score_counts()).alias("score"))
+
+
+@query("gr27_select_coverage", select_sql("cscore", 0.55, 18, "", f"{CANDIDATE} UNION ALL {FILL.format(p=1)}", False))
 def _(spark, sf):
     f, t = scored(Graph(spark, sf))
-    return r.select(f.withColumn("score", r.score_linear()), t, 0.55, 18).select(*KEY, "idx")
+    return r.select(f.withColumn("score", R(r.score_counts())), t, 0.55, 18).select(*KEY, "idx")
 
 
 @query("gr01_touch_counts", f"WITH {subgraph_sql()}{TF} SELECT c.split, c.row_index, c.cand, count(tch.idx) AS touches FROM cand c LEFT JOIN tch ON tch.split = c.split AND tch.row_index = c.row_index AND tch.cand = c.cand GROUP BY ALL")
@@ -177,34 +263,95 @@ def _(spark, sf):
 @query("gr05_support_features", f"WITH {FEATURES} SELECT split, row_index, cand, shared, bridges, cand_genes, query_genes, direct, degree, round(evidence, 6) AS evidence, round(penalty, 6) AS penalty, round(support, 6) AS support FROM soft")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return support_features(kg, kg.candidates()).select(*KEY, "cand", "shared", "bridges", "cand_genes", "query_genes", "direct", "degree", R("evidence").alias("evidence"), R("penalty").alias("penalty"), R("support").alias("support"))
+    return soft_ranked(kg).select(*KEY, "cand", "shared", "bridges", "cand_genes", "query_genes", "direct", "degree", R("evidence").alias("evidence"), R("penalty").alias("penalty"), R("support").alias("support"))
+
 
+#: Weights of degree and failed pairs in the local support.
+BETA, GAMMA, BRIDGE_GENES_LOCAL, BRIDGES_LOCAL = 0.1, 0.2, 80, 50
+LOCAL_SQL = f"""WITH {subgraph_sql("F")}, ends AS (SELECT split, row_index, h AS src, t AS dst, r FROM sub UNION ALL SELECT split, row_index, t, h, r FROM sub WHERE h <> t),
+mine2 AS (SELECT c.split, c.row_index, c.cand, count(*) FILTER (dst = query_id AND r = 'CtD') AS approved, count(*) FILTER (dst = query_id AND r = 'CfD') AS failed_direct, count(*) FILTER (dst % 3 = 1) AS cg FROM cand c JOIN ends e ON e.split = c.split AND e.row_index = c.row_index AND e.src = c.cand GROUP BY ALL),
+gn AS (SELECT split, row_index, cand, dst AS gene, row_number() OVER (PARTITION BY split, row_index, cand ORDER BY dst) AS n FROM (SELECT DISTINCT c.split, c.row_index, c.cand, dst FROM cand c JOIN ends e ON e.split = c.split AND e.row_index = c.row_index AND e.src = c.cand WHERE dst % 3 = 1) QUALIFY n <= {BRIDGE_GENES_LOCAL}),
+br2 AS (SELECT gn.split, gn.row_index, gn.cand, least(count(*), {BRIDGES_LOCAL}) AS bridges FROM gn JOIN ends e ON e.split = gn.split AND e.row_index = gn.row_index AND e.src = gn.gene WHERE dst % 3 = 1 GROUP BY ALL),
+dg2 AS (SELECT h AS cand, count(DISTINCT t) AS degree FROM (SELECT h, t FROM train UNION ALL SELECT h, t FROM failed) GROUP BY h), p2 AS (SELECT greatest(coalesce(quantile_cont(degree, 0.95), 1.0), 1.0) AS p95 FROM dg2),
+lf AS (SELECT c.split, c.row_index, c.cand, coalesce(approved, 0) AS approved, coalesce(failed_direct, 0) AS failed_direct, coalesce(cg, 0) AS cg, coalesce(bridges, 0) AS bridges, coalesce(degree, 0) AS degree, p95
+ FROM cand c LEFT JOIN mine2 USING (split, row_index, cand) LEFT JOIN br2 USING (split, row_index, cand) LEFT JOIN dg2 USING (cand) CROSS JOIN p2)
+SELECT split, row_index, cand, approved, failed_direct, cg, bridges, round(0.55::DOUBLE * (approved > 0)::INT + 0.30::DOUBLE * least(1, cg / 8.0::DOUBLE) + 0.15::DOUBLE * least(1, bridges / 12.0::DOUBLE), 6) AS evidence,
+ round(0.55::DOUBLE * (approved > 0)::INT + 0.30::DOUBLE * least(1, cg / 8.0::DOUBLE) + 0.15::DOUBLE * least(1, bridges / 12.0::DOUBLE) - {BETA}::DOUBLE * least(1, degree / p95) - {GAMMA}::DOUBLE * (failed_direct > 0)::INT, 6) AS support FROM lf"""
 
-@query("gr06_local_features", f"WITH {FEATURES} SELECT split, row_index, cand, round(0.55 * direct + 0.30 * least(1, cand_genes / 8) + 0.15 * least(1, bridges / 12) - 0.2 * least(1, degree / p95), 6) AS support FROM soft CROSS JOIN p95")
+
+@query("gr06_local_features", LOCAL_SQL)
+def _(spark, sf):
+    """Features of candidates within their own evidence: edges are counted, not neighbours."""
+    kg = Graph(spark, sf)
+    c = kg.candidates().select(*KEY, "query_id", "cand")
+    e = g.both_ways(subgraphs(kg, "F").select(*KEY, "h", "r", "t"), KEY)
+    own = c.join(e.withColumnRenamed("src", "cand"), [*KEY, "cand"])
+    at_query, gene = F.col("dst") == F.col("query_id"), F.col("dst") % 3 == 1
+    counts = own.groupBy(*KEY, "cand").agg(F.count_if(at_query & (F.col("r") == "CtD")).alias("approved"), F.count_if(at_query & (F.col("r") == "CfD")).alias("failed_direct"), F.count_if(gene).alias("cg"))
+    genes = g.first_per(own.where(gene).select(*KEY, "cand", F.col("dst").alias("gene")).distinct(), [*KEY, "cand"], ["gene"], BRIDGE_GENES_LOCAL)
+    bridges = genes.join(e.where(gene).select(*KEY, F.col("src").alias("gene")), [*KEY, "gene"]).groupBy(*KEY, "cand").agg(F.least(F.count("*"), F.lit(BRIDGES_LOCAL)).alias("bridges"))
+    degrees = kg.train().unionByName(kg.failed()).groupBy(F.col("h").alias("cand")).agg(F.countDistinct("t").alias("degree"))
+    f = c.join(counts, [*KEY, "cand"], "left").join(bridges, [*KEY, "cand"], "left").join(degrees, "cand", "left").crossJoin(F.broadcast(g.degree_p95(degrees))).fillna(0)
+    one = lambda x: F.least(F.lit(1.0), x)
+    evidence = 0.55 * (F.col("approved") > 0).cast("int") + 0.30 * one(F.col("cg") / 8) + 0.15 * one(F.col("bridges") / 12)
+    support = evidence - BETA * one(F.col("degree") / F.col("p95")) - GAMMA * (F.col("failed_direct") > 0).cast("int")
+    return f.select(*KEY, "cand", "approved", "failed_direct", "cg", "bridges", R(evidence).alias("evidence"), R(support).alias("support"))
+
+
+TOUCH_SQL = """, en2 AS (SELECT split, row_index, idx, r, unnest(list_distinct([h, t])) AS node FROM sub),
+tn AS (SELECT split, row_index, node, count(*) AS touch, count(DISTINCT r) AS relations FROM en2 GROUP BY ALL),
+dq AS (SELECT s.split, s.row_index, CASE WHEN h = s.query_id THEN t ELSE h END AS cand, count(*) AS direct_edges FROM sub s WHERE h = query_id OR t = query_id GROUP BY ALL)"""
+
+
+def touch_counts(kg: Graph, cands):
+    """cands with touch (triples at the candidate), relations (different ones among them), query_touch and direct_edges (triples between candidate and query) in their row's evidence."""
+    sub = subgraphs(kg)
+    nodes = sub.select(*KEY, "r", F.explode(F.array_distinct(F.array("h", "t"))).alias("node")).groupBy(*KEY, "node").agg(F.count("*").alias("touch"), F.countDistinct("r").alias("relations"))
+    far = F.when(F.col("h") == F.col("query_id"), F.col("t")).otherwise(F.col("h"))
+    direct = sub.where("h = query_id or t = query_id").groupBy(*KEY, far.alias("cand")).agg(F.count("*").alias("direct_edges"))
+    at_query = nodes.select(*KEY, F.col("node").alias("query_id"), F.col("touch").alias("query_touch"))
+    return cands.join(nodes.withColumnRenamed("node", "cand"), [*KEY, "cand"], "left").join(at_query, [*KEY, "query_id"], "left").join(direct, [*KEY, "cand"], "left").fillna(0, ["touch", "relations", "query_touch", "direct_edges"])
+
+
+@query("gr03_typed_features", f"WITH {FEATURES}{subgraph_sql()[len(SQL):]}{TOUCH_SQL}, lists AS (SELECT cand % 3 = 0 AS ok, * FROM soft) SELECT s.split, s.row_index, s.cand, s.pos AS base_rank, (s.cand % 3 = 0)::INT AS type_valid, (s.cand % 3 = 0 AND s.query_id % 3 = 2)::INT AS schema_valid, (s.direct = 1 OR shared > 0 OR bridges > 0)::INT AS ontology_keep, (failed.h IS NOT NULL)::INT AS contra, coalesce(a.touch, 0) AS evidence_touch, coalesce(b.touch, 0) AS query_touch, coalesce(direct_edges, 0) AS direct_edges FROM soft s LEFT JOIN failed ON failed.h = s.cand AND failed.t = s.query_id LEFT JOIN tn a ON a.split = s.split AND a.row_index = s.row_index AND a.node = s.cand LEFT JOIN tn b ON b.split = s.split AND b.row_index = s.row_index AND b.node = s.query_id LEFT JOIN dq ON dq.split = s.split AND dq.row_index = s.row_index AND dq.cand = s.cand")
 def _(spark, sf):
+    """Type, schema, ontology and contra flags of candidates, and what their evidence touches."""
     kg = Graph(spark, sf)
-    s = support_features(kg, kg.candidates()).crossJoin(F.broadcast(g.degree_p95(direct_degrees(kg))))
-    one = F.lit(1.0)
-    return s.select(*KEY, "cand", R(0.55 * F.col("direct") + 0.30 * F.least(one, F.col("cand_genes") / 8) + 0.15 * F.least(one, F.col("bridges") / 12) - 0.2 * F.least(one, F.col("degree") / F.col("p95"))).alias("support"))
+    contra = kg.failed().select(F.col("h").alias("cand"), F.col("t").alias("query_id"), F.lit(1).alias("contra"))
+    f = touch_counts(kg, soft_ranked(kg)).join(contra, ["cand", "query_id"], "left")
+    kind = (F.col("cand") % 3 == 0) & (F.col("query_id") % 3 == 2)
+    return f.select(*KEY, "cand", F.col("pos").alias("base_rank"), (F.col("cand") % 3 == 0).cast("int").alias("type_valid"), kind.cast("int").alias("schema_valid"), F.expr("cast(direct = 1 or shared > 0 or bridges > 0 as int)").alias("ontology_keep"), F.coalesce("contra", F.lit(0)).alias("contra"), F.col("touch").alias("evidence_touch"), "query_touch", "direct_edges")
 
 
-BFS = f"""WITH RECURSIVE {subgraph_sql()}, st2 AS (SELECT DISTINCT split, row_index, a, b FROM (SELECT split, row_index, h AS a, t AS b FROM sub UNION ALL SELECT split, row_index, t, h FROM sub)),
-w AS (SELECT split, row_index, query_id AS node, 0 AS dist FROM q UNION SELECT w.split, w.row_index, b, dist + 1 FROM w JOIN st2 ON st2.split = w.split AND st2.row_index = w.row_index AND a = node WHERE dist < 4)
-SELECT split, row_index, cand, dist FROM cand JOIN (SELECT split, row_index, node, min(dist) AS dist FROM w GROUP BY ALL) m USING (split, row_index) WHERE node = cand"""
+BFS_SQL = f"""WITH RECURSIVE {subgraph_sql()}, st2 AS (SELECT DISTINCT split, row_index, a, b FROM (SELECT split, row_index, h AS a, t AS b FROM sub UNION ALL SELECT split, row_index, t, h FROM sub)),
+w AS (SELECT split, row_index, query_id AS node, 0 AS dist FROM q UNION SELECT w.split, w.row_index, b, dist + 1 FROM w JOIN st2 ON st2.split = w.split AND st2.row_index = w.row_index AND a = node WHERE dist < 4),
+pl AS (SELECT split, row_index, cand, dist FROM cand JOIN (SELECT split, row_index, node, min(dist) AS dist FROM w GROUP BY ALL) m USING (split, row_index) WHERE node = cand)"""
 
 
-@query("gr07_path_lengths", BFS)
+@query("gr07_path_lengths", f"{BFS_SQL} SELECT split, row_index, cand, dist FROM pl")
 def _(spark, sf):
     kg = Graph(spark, sf)
     starts = kg.queries().select(*KEY, F.col("query_id").alias("start"))
-    reach = _within_rows(starts, subgraphs(kg).cache(), 4)
+    reach = _within_rows(starts, subgraphs(kg), 4)
     return kg.candidates().select(*KEY, "cand").join(reach.select(*KEY, F.col("node").alias("cand"), "dist"), [*KEY, "cand"])
 
 
+@query("gr04_path_features", f"{BFS_SQL}{TOUCH_SQL} SELECT c.split, c.row_index, c.cand, (c.cand = c.gold_id)::INT AS gold, coalesce(a.touch, 0) AS touch, coalesce(b.touch, 0) AS query_touch, coalesce(direct_edges, 0) AS direct_edges, dist AS path_length, coalesce(dist, 5) AS capped_length, coalesce(a.relations, 0) AS relations, (train.h IS NOT NULL)::INT AS direct_target, (dist IS NOT NULL)::INT AS hard_keep FROM cand c LEFT JOIN tn a ON a.split = c.split AND a.row_index = c.row_index AND a.node = c.cand LEFT JOIN tn b ON b.split = c.split AND b.row_index = c.row_index AND b.node = c.query_id LEFT JOIN dq ON dq.split = c.split AND dq.row_index = c.row_index AND dq.cand = c.cand LEFT JOIN pl ON pl.split = c.split AND pl.row_index = c.row_index AND pl.cand = c.cand LEFT JOIN train ON train.h = c.cand AND train.t = c.query_id")
+def _(spark, sf):
+    """Path length up to 4 within the row's evidence, relations at the candidate, and whether it is a training answer; a candidate with a path is kept."""
+    kg = Graph(spark, sf)
+    starts = kg.queries().select(*KEY, F.col("query_id").alias("start"))
+    reach = _within_rows(starts, subgraphs(kg), 4).select(*KEY, F.col("node").alias("cand"), "dist")
+    known = kg.train().select(F.col("h").alias("cand"), F.col("t").alias("query_id"), F.lit(1).alias("known"))
+    f = touch_counts(kg, kg.candidates()).join(reach, [*KEY, "cand"], "left").join(known, ["cand", "query_id"], "left")
+    flag = lambda c: c.cast("int")
+    return f.select(*KEY, "cand", flag(F.col("cand") == F.col("gold_id")).alias("gold"), "touch", "query_touch", "direct_edges", F.col("dist").alias("path_length"), F.coalesce("dist", F.lit(5)).alias("capped_length"), "relations", F.coalesce("known", F.lit(0)).alias("direct_target"), flag(F.col("dist").isNotNull()).alias("hard_keep"))
+
+
 def _within_rows(starts, triples, depth):
     """Path lengths from each query's start within its own triples."""
     e = triples.select(*KEY, F.col("h").alias("node"), F.col("t").alias("dst"))
-    e = e.unionByName(triples.select(*KEY, F.col("t").alias("node"), F.col("h").alias("dst"))).distinct().cache()
+    e = e.unionByName(triples.select(*KEY, F.col("t").alias("node"), F.col("h").alias("dst"))).distinct()
     seen = starts.select(*KEY, F.col("start").alias("node"), F.lit(0).alias("dist"))
     last = seen
     for d in range(1, depth + 1):
@@ -281,7 +428,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Support with Gaussian noise, seeded by row; ranks after it."""
     kg = Graph(spark, sf)
-    s = support_features(kg, kg.candidates()).select(*KEY, "cand", "pos", "support")
+    s = soft_ranked(kg).select(*KEY, "cand", "pos", "support")
 
     def run(batches):
         import random

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import ranking as k
+from ..sources import store
 from ..sources.derived import SQL, Graph
 
 CAND_GENES, BRIDGE_GENES, QUERY_GENES, BRIDGE_CAP = 120, 80, 300, 30
@@ -23,7 +24,7 @@ def direct_degrees(kg: Graph) -> DataFrame:
     return kg.train().unionByName(kg.auxiliary()).groupBy(F.col("h").alias("node")).agg(F.countDistinct("t").alias("degree"))
 
 
-def support_features(kg: Graph, cands: DataFrame) -> DataFrame:
+def support_of(kg: Graph, cands: DataFrame) -> DataFrame:
     """cands with shared, bridges, genes of either side, direct edge, degree share, evidence, penalty and support."""
     cg, dg = gene_sets(kg)
     pairs = cands.select(F.col("cand").alias("a"), F.col("query_id").alias("b")).distinct()
@@ -43,9 +44,12 @@ def support_features(kg: Graph, cands: DataFrame) -> DataFrame:
     return cands.join(f, ["cand", "query_id"])
 
 
-def soft_ranked(kg: Graph, cands: DataFrame) -> DataFrame:
-    """support_features with soft_rank: support, evidence, least penalty, place."""
-    return k.rank_by(support_features(kg, cands), F.desc(F.round("support", 9)), F.desc(F.round("evidence", 9)), F.round("penalty", 9), "pos", name="soft_rank")
+def soft_ranked(kg: Graph) -> DataFrame:
+    """The candidates with their support and soft_rank: support, evidence, least penalty, place. Written once, as most later steps start from it."""
+    def build():
+        return k.rank_by(support_of(kg, kg.candidates()), F.desc(F.round("support", 9)), F.desc(F.round("evidence", 9)), F.round("penalty", 9), "pos", name="soft_rank")
+
+    return store.once(kg.spark, kg.sf_dir, "soft", build)
 
 
 FEATURES = (

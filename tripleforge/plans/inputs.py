@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..sources import files
 from ..sources.derived import SQL, Graph
+from ..sources.store import scratch
 from .registry import query
 
 
-def scratch(spark, name: str) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir, a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("src03_triple_tsv", f"WITH {SQL} SELECT h::VARCHAR AS head, r AS relation, t::VARCHAR AS tail, 'train' AS split FROM train")
 def _(spark, sf):
     path = scratch(spark, "triples")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as g
 from ..operators import ranking as k
 from ..sources.derived import SQL, Graph
-from .features import FEATURES, direct_degrees, soft_ranked, support_features
+from .features import FEATURES, direct_degrees, soft_ranked
 from .registry import query
 
 R = lambda c: F.round(c, 6)
@@ -28,7 +28,7 @@ UNION ALL SELECT 'soft', q.split, q.row_index, coalesce(min(soft_rank), 21) FROM
 
 def both_ranks(kg: Graph):
     """(row_name, split, row_index, gold_rank, present) of the raw and the soft ranking."""
-    q, s = kg.queries(), soft_ranked(kg, kg.candidates())
+    q, s = kg.queries(), soft_ranked(kg)
     out = k.gold_ranks(s, q, "pos").withColumn("row_name", F.lit("raw"))
     return out.unionByName(k.gold_ranks(s, q, "soft_rank").withColumn("row_name", F.lit("soft")))
 
@@ -41,14 +41,14 @@ def _(spark, sf):
 @query("agg02_top1_most_common", f"WITH {FEATURES}, c AS (SELECT split, cand, count(*) AS n, min(row_index) AS first_seen FROM soft WHERE soft_rank = 1 GROUP BY ALL) SELECT split, cand, n, row_number() OVER (PARTITION BY split ORDER BY n DESC, first_seen, cand) AS place FROM c QUALIFY place <= 10")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    n = soft_ranked(kg, kg.candidates()).where("soft_rank = 1").groupBy("split", "cand").agg(F.count("*").alias("n"), F.min("row_index").alias("first_seen"))
+    n = soft_ranked(kg).where("soft_rank = 1").groupBy("split", "cand").agg(F.count("*").alias("n"), F.min("row_index").alias("first_seen"))
     return g.first_per(n, ["split"], [F.desc("n"), "first_seen", "cand"], 10).select("split", "cand", "n", "place")
 
 
 @query("agg01_top1_dominance", f"WITH {FEATURES}, c AS (SELECT split, cand, count(*) AS n FROM soft WHERE soft_rank = 1 GROUP BY ALL) SELECT split, count(*) AS unique_top1, round(max(n) / sum(n), 6) AS dominance FROM c GROUP BY split")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return rounded(k.top1_dominance(soft_ranked(kg, kg.candidates()), "soft_rank"), "dominance")
+    return rounded(k.top1_dominance(soft_ranked(kg), "soft_rank"), "dominance")
 
 
 @query("agg03_generation_metrics", f"WITH {SQL}, r AS (SELECT q.split, coalesce(min(pos), 22) AS r FROM q LEFT JOIN cand c ON c.split = q.split AND c.row_index = q.row_index AND c.cand = q.gold_id GROUP BY q.split, q.row_index) SELECT split, round(avg(1.0 / r), 8) AS mrr, round(avg((r <= 1)::INT), 8) AS hits1, round(avg((r <= 3)::INT), 8) AS hits3, round(avg((r <= 10)::INT), 8) AS hits10 FROM r GROUP BY split")
@@ -90,14 +90,14 @@ def _(spark, sf):
 @query("agg08_top5_rates", f"WITH {FEATURES}, p AS (SELECT split, row_index, avg(direct::DOUBLE) AS d, avg((shared > 0)::INT::DOUBLE) AS e FROM soft WHERE soft_rank <= 5 GROUP BY ALL) SELECT split, round(avg(d), 6) AS direct_rate, round(avg(e), 6) AS evidence_rate FROM p GROUP BY split")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    per = soft_ranked(kg, kg.candidates()).where("soft_rank <= 5").groupBy("split", "row_index").agg(F.avg("direct").alias("d"), F.avg((F.col("shared") > 0).cast("double")).alias("e"))
+    per = soft_ranked(kg).where("soft_rank <= 5").groupBy("split", "row_index").agg(F.avg("direct").alias("d"), F.avg((F.col("shared") > 0).cast("double")).alias("e"))
     return per.groupBy("split").agg(R(F.avg("d")).alias("direct_rate"), R(F.avg("e")).alias("evidence_rate"))
 
 
 @query("agg09_micro_rates", f"WITH {FEATURES} SELECT split, round(sum(direct) / count(*), 6) AS direct_rate, round(sum((shared > 0)::INT) / count(*), 6) AS evidence_rate FROM soft GROUP BY split")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return support_features(kg, kg.candidates()).groupBy("split").agg(R(F.sum("direct") / F.count("*")).alias("direct_rate"), R(F.sum((F.col("shared") > 0).cast("int")) / F.count("*")).alias("evidence_rate"))
+    return soft_ranked(kg).groupBy("split").agg(R(F.sum("direct") / F.count("*")).alias("direct_rate"), R(F.sum((F.col("shared") > 0).cast("int")) / F.count("*")).alias("evidence_rate"))
 
 
 @query("agg10_value_counts", "WITH c AS (SELECT p_brand AS value, count(*) AS n, min(p_partkey) AS first_seen FROM part GROUP BY p_brand) SELECT value, n, row_number() OVER (ORDER BY n DESC, first_seen) AS place FROM c QUALIFY place <= 10")
@@ -148,7 +148,7 @@ def _(spark, sf):
 @query("agg17_feature_audit", f"WITH {FEATURES}, u AS (UNPIVOT (SELECT (cand = gold_id) AS gold, shared::DOUBLE AS shared, bridges::DOUBLE AS bridges, direct::DOUBLE AS direct, degree::DOUBLE AS degree FROM soft) ON shared, bridges, direct, degree INTO NAME feature VALUE x) SELECT feature, round(avg(x), 6) AS mean_all, round(avg(CASE WHEN gold THEN x END), 6) AS mean_gold, round(avg(CASE WHEN NOT gold THEN x END), 6) AS mean_other, round(avg((x > 0)::INT), 6) AS positive_rate FROM u GROUP BY feature")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    s = support_features(kg, kg.candidates()).withColumn("gold", F.col("cand") == F.col("gold_id"))
+    s = soft_ranked(kg).withColumn("gold", F.col("cand") == F.col("gold_id"))
     u = s.select("gold", *[F.col(c).cast("double").alias(c) for c in ("shared", "bridges", "direct", "degree")]).unpivot("gold", ["shared", "bridges", "direct", "degree"], "feature", "x")
     return u.groupBy("feature").agg(R(F.avg("x")).alias("mean_all"), R(F.avg(F.when(F.col("gold"), F.col("x")))).alias("mean_gold"), R(F.avg(F.when(~F.col("gold"), F.col("x")))).alias("mean_other"), R(F.avg((F.col("x") > 0).cast("double"))).alias("positive_rate"))
 
@@ -159,7 +159,7 @@ CHANGE_SQL = f"{FEATURES}, {RANKS_SQL}, ch AS (SELECT a.split, a.gold_rank AS ra
 @query("agg19_change_summary", f"WITH {CHANGE_SQL} SELECT split, sum((soft < raw)::INT)::BIGINT AS improved, sum((soft > raw)::INT)::BIGINT AS worsened, sum((soft = raw)::INT)::BIGINT AS unchanged, round(avg(CASE WHEN raw <= 20 THEN (soft < raw)::INT END), 6) AS improved_when_present FROM ch GROUP BY split")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    s, q = soft_ranked(kg, kg.candidates()), kg.queries()
+    s, q = soft_ranked(kg), kg.queries()
     raw = k.gold_ranks(s, q, "pos").select("split", "row_index", F.col("gold_rank").alias("raw"))
     soft = k.gold_ranks(s, q, "soft_rank").select("split", "row_index", F.col("gold_rank").alias("soft"))
     return raw.join(soft, ["split", "row_index"]).groupBy("split").agg(F.count_if(F.expr("soft < raw")).alias("improved"), F.count_if(F.expr("soft > raw")).alias("worsened"), F.count_if(F.expr("soft = raw")).alias("unchanged"), R(F.avg(F.when(F.expr("raw <= 20"), F.expr("cast(soft < raw as int)")))).alias("improved_when_present"))
@@ -169,7 +169,7 @@ def _(spark, sf):
 def _(spark, sf):
     kg = Graph(spark, sf)
     mean = lambda cond: R(F.coalesce(F.avg(F.when(cond, F.col("support"))), F.lit(0.0)))
-    return support_features(kg, kg.candidates()).groupBy("split").agg(mean(F.col("direct") == 1).alias("direct_support"), mean(F.col("shared") > 1_000_000).alias("never"))
+    return soft_ranked(kg).groupBy("split").agg(mean(F.col("direct") == 1).alias("direct_support"), mean(F.col("shared") > 1_000_000).alias("never"))
 
 
 @query("agg21_best_row", f"WITH {FEATURES}, {RANKS_SQL}, m AS ({METRICS_SQL.format(by='row_name, split', source='gr')}) SELECT split, arg_max(row_name, mrr) AS best, max(mrr) AS mrr, CASE WHEN max(mrr) > 1.05 * min(mrr) THEN 'improves' ELSE 'no clear change' END AS decision FROM m GROUP BY split")

@@ -27,7 +27,7 @@ def _(spark, sf):
 @query("jn03_positional_join", f"WITH {FEATURES} SELECT a.split, a.row_index, a.pos, a.cand AS raw_cand, b.cand AS soft_cand FROM soft a JOIN soft b ON a.split = b.split AND a.row_index = b.row_index AND a.pos = b.soft_rank")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    s = soft_ranked(kg, kg.candidates()).select(*KEY, "pos", "soft_rank", "cand")
+    s = soft_ranked(kg).select(*KEY, "pos", "soft_rank", "cand")
     return s.select(*KEY, "pos", F.col("cand").alias("raw_cand")).join(s.select(*KEY, F.col("soft_rank").alias("pos"), F.col("cand").alias("soft_cand")), [*KEY, "pos"])
 
 
@@ -137,7 +137,7 @@ def _(spark, sf):
 @query("prj10_hard_filter", f"WITH {FEATURES}, x AS (SELECT *, (shared > 0)::INT AS keep, sum((shared > 0)::INT) OVER (PARTITION BY split, row_index) AS kept FROM soft) SELECT split, row_index, cand, row_number() OVER (PARTITION BY split, row_index ORDER BY pos) AS new_pos FROM x WHERE keep = 1 OR kept = 0")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    s = soft_ranked(kg, kg.candidates()).withColumn("keep", (F.col("shared") > 0).cast("int")).withColumn("kept", F.sum("keep").over(Window.partitionBy(*KEY)))
+    s = soft_ranked(kg).withColumn("keep", (F.col("shared") > 0).cast("int")).withColumn("kept", F.sum("keep").over(Window.partitionBy(*KEY)))
     return k.rank_by(s.where("keep = 1 or kept = 0"), "pos", name="new_pos").select(*KEY, "cand", "new_pos")
 
 
@@ -147,7 +147,7 @@ ORDER = f"{FEATURES}, om AS (SELECT a.split, a.row_index, min((a.cand = b.cand):
 @query("cmp02_order_match", f"WITH {ORDER} SELECT split, round(avg(exact), 6) AS exact, round(avg(top5), 6) AS top5, round(avg(top1), 6) AS top1 FROM om GROUP BY split")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    s = soft_ranked(kg, kg.candidates())
+    s = soft_ranked(kg)
     m = k.order_match(s.select(*KEY, "cand", F.col("pos").alias("rank")), s.select(*KEY, "cand", F.col("soft_rank").alias("rank")))
     return m.groupBy("split").agg(*[R(F.avg(c)).alias(c) for c in ("exact", "top5", "top1")])
 
@@ -155,7 +155,7 @@ def _(spark, sf):
 @query("cmp03_subgraph_identity", f"WITH {subgraph_sql()}, s AS (SELECT split, row_index, count(*) AS n FROM sub GROUP BY ALL) SELECT split, round(avg((n <= 60)::INT), 6) AS identical FROM s GROUP BY split")
 def _(spark, sf):
     """How many subgraphs stay the same under a budget of 60 instead of 80: an order-sensitive comparison of what is chosen."""
-    sub = subgraphs(Graph(spark, sf)).cache()
+    sub = subgraphs(Graph(spark, sf))
     a, b = sub.select(*KEY, "idx", "h", "r", "t"), sub.where("idx < 60").select(*KEY, "idx", F.col("h").alias("h2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
     same = a.join(b, [*KEY, "idx"], "left").groupBy(*KEY).agg(F.bool_and(F.expr("h <=> h2 and r <=> r2 and t <=> t2")).alias("same"))
     return same.groupBy("split").agg(R(F.avg(F.col("same").cast("double"))).alias("identical"))
@@ -164,7 +164,7 @@ def _(spark, sf):
 @query("fn30_support_shift", f"WITH {FEATURES} SELECT split, row_index, round(avg(abs(support - evidence)), 6) AS shift FROM soft GROUP BY ALL")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return soft_ranked(kg, kg.candidates()).groupBy(*KEY).agg(R(F.avg(F.abs(F.col("support") - F.col("evidence")))).alias("shift"))
+    return soft_ranked(kg).groupBy(*KEY).agg(R(F.avg(F.abs(F.col("support") - F.col("evidence")))).alias("shift"))
 
 
 @query("ghost04_hub_cap", f"WITH {SQL}, d AS (SELECT t, count(*) AS n FROM cg GROUP BY t) SELECT count(*) AS kept FROM cg JOIN d USING (t) WHERE n <= 30")
@@ -185,5 +185,5 @@ def _(spark, sf):
 @query("ghost02_ontology_filter", f"WITH {FEATURES}, x AS (SELECT *, (direct = 1 OR shared > 0 OR bridges > 0)::INT AS keep FROM soft), y AS (SELECT *, sum(keep) OVER (PARTITION BY split, row_index) AS kept FROM x) SELECT split, count(*) FILTER (keep = 1 OR kept = 0) AS n_kept, count(DISTINCT row_index) FILTER (kept = 0) AS fallbacks FROM y GROUP BY split")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    y = soft_ranked(kg, kg.candidates()).withColumn("keep", F.expr("cast(direct = 1 or shared > 0 or bridges > 0 as int)")).withColumn("kept", F.sum("keep").over(Window.partitionBy(*KEY)))
+    y = soft_ranked(kg).withColumn("keep", F.expr("cast(direct = 1 or shared > 0 or bridges > 0 as int)")).withColumn("kept", F.sum("keep").over(Window.partitionBy(*KEY)))
     return y.groupBy("split").agg(F.count_if(F.expr("keep = 1 or kept = 0")).alias("n_kept"), F.countDistinct(F.when(F.col("kept") == 0, F.col("row_index"))).alias("fallbacks"))

@@ -9,7 +9,7 @@ from ..operators import graph as g
 from ..operators import ranking as k
 from ..operators import splits
 from ..sources.derived import SQL, Graph
-from .features import FEATURES, gene_sets, soft_ranked, support_features
+from .features import FEATURES, gene_sets, soft_ranked
 from .metrics import METRICS_SQL, METRIC_COLUMNS, RANKS_SQL, both_ranks, rounded
 from .registry import query
 
@@ -28,7 +28,7 @@ def formula(touch: str = "shared", evidence: float = 1.0, direct: float = 0.5, c
 @query("win01_soft_rank", f"WITH {FEATURES}, s AS (SELECT * EXCLUDE (score), round({BINARY}, 6) AS score FROM soft) SELECT split, row_index, cand, score, row_number() OVER (PARTITION BY split, row_index ORDER BY score DESC, pos) AS rank FROM s")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    s = support_features(kg, kg.candidates()).withColumn("score", R(formula()))
+    s = soft_ranked(kg).withColumn("score", R(formula()))
     return k.rank_by(s, F.desc("score"), "pos").select(*KEY, "cand", "score", "rank")
 
 
@@ -36,7 +36,7 @@ def _(spark, sf):
 def _(spark, sf):
     kg = Graph(spark, sf)
     configs = spark.createDataFrame([("b025", 0.25, 0.05, 0), ("b050", 0.5, 0.1, 0), ("bcap", 0.5, 0.1, 2)], "variant string, direct_w double, contra_w double, cap int")
-    s = support_features(kg, kg.candidates()).crossJoin(F.broadcast(configs))
+    s = soft_ranked(kg).crossJoin(F.broadcast(configs))
     e = F.when(F.col("cap") > 0, F.least("shared", "cap") / 2.0).otherwise((F.col("shared") > 0).cast("double"))
     s = s.withColumn("score", R(e - F.col("direct_w") * F.col("direct") - F.col("contra_w") * (F.col("degree") > 8).cast("int")))
     r = k.rank_by(s, F.desc("score"), "pos", key=["variant", *KEY])
@@ -46,7 +46,7 @@ def _(spark, sf):
 @query("win02_four_key_rank", f"WITH {FEATURES} SELECT split, row_index, cand, soft_rank, round(support, 6) AS support FROM soft")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return soft_ranked(kg, kg.candidates()).select(*KEY, "cand", "soft_rank", R("support").alias("support"))
+    return soft_ranked(kg).select(*KEY, "cand", "soft_rank", R("support").alias("support"))
 
 
 BLEND = "WITH {f}, m AS (SELECT *, min(support) OVER w AS lo, max(support) OVER w AS hi FROM soft WINDOW w AS (PARTITION BY split, row_index)), n AS (SELECT *, CASE WHEN abs(hi - lo) < 1e-12 THEN 0.5 ELSE (support - lo) / (hi - lo) END AS norm FROM m), b AS (SELECT *, round(0.65 * (20 - pos + 1) / 20 + 0.35 * norm, 9) AS final FROM n)"
@@ -55,11 +55,11 @@ BLEND = "WITH {f}, m AS (SELECT *, min(support) OVER w AS lo, max(support) OVER
 @query("win03_minmax", BLEND.format(f=FEATURES) + " SELECT split, row_index, cand, round(norm, 6) AS norm FROM b")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return support_features(kg, kg.candidates()).select(*KEY, "cand", R(k.minmax(F.col("support"))).alias("norm"))
+    return soft_ranked(kg).select(*KEY, "cand", R(k.minmax(F.col("support"))).alias("norm"))
 
 
 def blended(kg, raw: float = 0.65):
-    s = support_features(kg, kg.candidates()).withColumn("final", F.round(raw * k.rank_prior(F.col("pos")) + (1 - raw) * k.minmax(F.col("support")), 9))
+    s = soft_ranked(kg).withColumn("final", F.round(raw * k.rank_prior(F.col("pos")) + (1 - raw) * k.minmax(F.col("support")), 9))
     return k.rank_by(s, F.desc("final"), F.desc(F.round("support", 9)), "pos")
 
 
@@ -71,7 +71,7 @@ def _(spark, sf):
 @query("win05_bands", f"WITH {FEATURES} SELECT split, row_index, cand, CASE WHEN soft_rank <= 5 THEN 'top' WHEN soft_rank <= 10 THEN 'mid' ELSE 'tail' END AS band, CASE WHEN pos <= 5 THEN 'top' WHEN pos <= 10 THEN 'mid' ELSE 'tail' END AS position_band FROM soft")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return soft_ranked(kg, kg.candidates()).select(*KEY, "cand", k.band(F.col("soft_rank")).alias("band"), k.band(F.col("pos")).alias("position_band"))
+    return soft_ranked(kg).select(*KEY, "cand", k.band(F.col("soft_rank")).alias("band"), k.band(F.col("pos")).alias("position_band"))
 
 
 @query("win07_capped_neighbours", f"WITH {FEATURES} SELECT node, near, place FROM cgn")
@@ -89,7 +89,7 @@ def _(spark, sf):
 @query("win09_positional_prior", f"WITH {FEATURES}, x AS (SELECT *, max(degree) OVER w AS top, count(*) OVER w AS n FROM soft WINDOW w AS (PARTITION BY split, row_index)), y AS (SELECT *, round(0.7 * (CASE WHEN n > 1 THEN 1 - (pos - 1) / (n - 1) ELSE 1 END) + 0.3 * (CASE WHEN top > 0 THEN degree / top ELSE 0 END) - 0.15 * direct, 9) AS s FROM x) SELECT split, row_index, cand, round(s, 6) AS score, row_number() OVER (PARTITION BY split, row_index ORDER BY s DESC, pos) AS rank FROM y")
 def _(spark, sf):
     kg, w = Graph(spark, sf), Window.partitionBy(*KEY)
-    s = support_features(kg, kg.candidates()).withColumn("top", F.max("degree").over(w)).withColumn("n", F.count("*").over(w))
+    s = soft_ranked(kg).withColumn("top", F.max("degree").over(w)).withColumn("n", F.count("*").over(w))
     prior = F.when(F.col("n") > 1, 1 - (F.col("pos") - 1) / (F.col("n") - 1)).otherwise(1.0)
     bonus = F.when(F.col("top") > 0, F.col("degree") / F.col("top")).otherwise(0.0)
     s = s.withColumn("s", F.round(0.7 * prior + 0.3 * bonus - 0.15 * F.col("direct"), 9))
@@ -151,7 +151,7 @@ def _(spark, sf):
 @query("topk06_case_ranking", f"WITH {FEATURES}, x AS (SELECT split, row_index, cand, CASE WHEN soft_rank < pos THEN 'improved' WHEN soft_rank > pos THEN 'worsened' ELSE 'same' END AS bucket, abs(soft_rank - pos) AS shift, pos FROM soft) SELECT bucket, split, row_index, cand, shift, row_number() OVER (PARTITION BY bucket ORDER BY shift DESC, split, row_index, pos) AS n FROM x QUALIFY n <= 25")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    x = soft_ranked(kg, kg.candidates()).withColumn("bucket", F.when(F.expr("soft_rank < pos"), "improved").when(F.expr("soft_rank > pos"), "worsened").otherwise("same")).withColumn("shift", F.abs(F.col("soft_rank") - F.col("pos")))
+    x = soft_ranked(kg).withColumn("bucket", F.when(F.expr("soft_rank < pos"), "improved").when(F.expr("soft_rank > pos"), "worsened").otherwise("same")).withColumn("shift", F.abs(F.col("soft_rank") - F.col("pos")))
     return g.first_per(x, ["bucket"], [F.desc("shift"), "split", "row_index", "pos"], 25, "n").select("bucket", *KEY, "cand", "shift", "n")
 
 
@@ -169,7 +169,7 @@ SWEEP += ", r AS (SELECT w, split, row_index, cand, gold_id, row_number() OVER (
 def _(spark, sf):
     kg = Graph(spark, sf)
     ws = spark.createDataFrame([(0.5,), (0.65,), (0.8,), (0.9,)], "w double")
-    s = support_features(kg, kg.candidates()).withColumn("norm", k.minmax(F.col("support"))).crossJoin(F.broadcast(ws))
+    s = soft_ranked(kg).withColumn("norm", k.minmax(F.col("support"))).crossJoin(F.broadcast(ws))
     s = s.withColumn("final", F.round(F.col("w") * k.rank_prior(F.col("pos")) + (1 - F.col("w")) * F.col("norm"), 9))
     r = k.rank_by(s, F.desc("final"), F.desc(F.round("support", 9)), "pos", key=["w", *KEY])
     mrr = r.groupBy("w", "split").agg(R(F.sum(F.when(F.col("cand") == F.col("gold_id"), 1.0 / F.col("rank")).otherwise(0.0)) / F.countDistinct("row_index")).alias("mrr"))

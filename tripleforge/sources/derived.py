@@ -6,15 +6,29 @@ Each view is a plain DataFrame; nothing is collected, and Catalyst prunes what a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.splits import dense_ids
+from . import store
+
 TOP_K, ABSENT_RANK = 20, 21
 KINDS = ("Compound", "Gene", "Disease")
 
 
+def view(build):
+    """A method whose table is written once for each input folder."""
+    @functools.wraps(build)
+    def get(self, *args):
+        return store.once(self.spark, self.sf_dir, "-".join([build.__name__.strip("_"), *map(str, args)]), lambda: build(self, *args))
+
+    return get
+
+
 class Graph:
-    """Views over one folder of tables."""
+    """Views over one folder of tables. Edges, splits, queries and candidates are written at their first use, as the later steps of a run all start from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -28,28 +42,39 @@ class Graph:
         order = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 3 + 2).alias("d"), "o_orderpriority")
         return line.join(order, "l_orderkey")
 
+    @view
     def compound_gene(self) -> DataFrame:
         flag = F.when(F.col("l_returnflag") == "A", "CbG").when(F.col("l_returnflag") == "R", "CdG").otherwise("CuG")
         return self.table("lineitem").select((F.col("l_suppkey") * 3).alias("h"), flag.alias("r"), (F.col("l_partkey") * 3 + 1).alias("t")).distinct()
 
+    @view
     def disease_gene(self) -> DataFrame:
         return self.lines().select(F.col("d").alias("h"), F.when(F.col("l_linestatus") == "F", "DaG").otherwise("DdG").alias("r"), F.col("g").alias("t")).distinct()
 
+    @view
     def gene_gene(self) -> DataFrame:
         p = self.table("part").select((F.col("p_partkey") * 3 + 1).alias("g"), "p_brand", "p_size")
         a, b = p.withColumnRenamed("g", "h"), p.withColumnRenamed("g", "t")
         return a.join(b, ["p_brand", "p_size"]).where("h < t").select("h", F.lit("GiG").alias("r"), "t")
 
-    def _pairs(self, priority: str, relation: str) -> DataFrame:
-        return self.lines().where((F.col("l_returnflag") == "R") & F.col("o_orderpriority").startswith(priority) & (F.col("l_discount") >= 0.09)).select(F.col("c").alias("h"), F.lit(relation).alias("r"), F.col("d").alias("t")).distinct()
+    @view
+    def _pairs(self) -> DataFrame:
+        """Compounds and diseases of discounted lines: flag A of priority 1 are failed (CfD), flag R treat (CtD) or palliate (CpD) by priority 1 or 2."""
+        kind = F.when(F.col("l_returnflag") == "A", F.when(F.col("o_orderpriority").startswith("1"), "CfD")).when(F.col("l_returnflag") == "R", F.when(F.col("o_orderpriority").startswith("1"), "CtD").when(F.col("o_orderpriority").startswith("2"), "CpD"))
+        return self.lines().where(F.col("l_discount") >= 0.09).select(F.col("c").alias("h"), kind.alias("r"), F.col("d").alias("t")).where("r is not null").distinct()
 
+    @view
     def target(self) -> DataFrame:
         """Target triples with their split."""
         fold = ((F.col("h") / 3).cast("long") * 31 + (F.col("t") / 3).cast("long")) % 10
-        return self._pairs("1", "CtD").withColumn("split", F.when(fold == 0, "test").when(fold == 1, "valid").otherwise("train"))
+        return self._pairs().where("r = 'CtD'").withColumn("split", F.when(fold == 0, "test").when(fold == 1, "valid").otherwise("train"))
 
     def auxiliary(self) -> DataFrame:
-        return self._pairs("2", "CpD")
+        return self._pairs().where("r = 'CpD'")
+
+    def failed(self) -> DataFrame:
+        """Pairs that failed: diagnostics, no part of edges()."""
+        return self._pairs().where("r = 'CfD'")
 
     def train(self) -> DataFrame:
         return self.target().where("split = 'train'").select("h", "r", "t")
@@ -62,26 +87,38 @@ class Graph:
         each = [self.table(t).select((F.col(key) * 3 + k).alias("id"), F.lit(KINDS[k]).alias("kind"), F.col(name).alias("name")) for k, (t, key, name) in enumerate((("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name")))]
         return each[0].unionByName(each[1]).unionByName(each[2])
 
+    @view
     def queries(self) -> DataFrame:
-        """One row for each held-out triple: split, row_index, query_id (the disease), gold_id (the compound)."""
-        held = self.target().where("split <> 'train'")
-        return held.select("split", (F.row_number().over(Window.partitionBy("split").orderBy("t", "h")) - 1).cast("long").alias("row_index"), F.col("t").alias("query_id"), F.col("h").alias("gold_id"))
-
+        """One row for each held-out triple: split, row_index (in the order of t, h), query_id (the disease), gold_id (the compound)."""
+        out = None
+        for split in ("test", "valid"):
+            held = self.target().where(F.col("split") == split).select("split", F.struct("t", "h").alias("place"))
+            rows = dense_ids(held, "place", "row_index").select("split", F.col("row_index").cast("long").alias("row_index"), F.col("place.t").alias("query_id"), F.col("place.h").alias("gold_id"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    @view
     def popularity(self) -> DataFrame:
         """Compounds by their number of training triples. The candidate universe: its size is that of the compounds in the target relation."""
         return self.train().groupBy(F.col("h").alias("cand")).agg(F.count("*").alias("score"))
 
+    @view
+    def ranked(self) -> DataFrame:
+        """The universe with its place (from 1) by popularity."""
+        keyed = self.popularity().select("cand", "score", F.struct((-F.col("score")).alias("m"), "cand").alias("by"))
+        return dense_ids(keyed, "by", "n").select("cand", "score", (F.col("n") + 1).cast("long").alias("place"))
+
+    @view
     def candidates(self, k: int = TOP_K) -> DataFrame:
         """The k most popular compounds for each query that are not its training answers: (split, row_index, query_id, gold_id, pos, cand, score).
 
-        A query excludes no more than its own training answers, so of the popularity list only the first k and as many again as the largest such set can matter.
+        A query with n training answers finds its k among the first k + n places, so it meets no more than these.
         """
         q, known = self.queries(), self.train().select(F.col("t").alias("query_id"), F.col("h").alias("cand"))
-        most = known.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-        ranked = self.popularity().select("cand", "score", F.row_number().over(Window.orderBy(F.desc("score"), "cand")).alias("place"))
-        head = ranked.join(F.broadcast(most), F.col("place") <= F.col("most") + k).select("cand", "score")
-        open_ = q.crossJoin(F.broadcast(head)).join(known, ["query_id", "cand"], "left_anti")
-        w = Window.partitionBy("split", "row_index").orderBy(F.desc("score"), "cand")
+        n = known.groupBy("query_id").agg(F.count("*").alias("n"))
+        places = q.join(n, "query_id", "left").withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(0)) + k)))
+        open_ = places.join(self.ranked(), "place").join(known, ["query_id", "cand"], "left_anti")
+        w = Window.partitionBy("split", "row_index").orderBy("place")
         return open_.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("split", "row_index", "query_id", "gold_id", "pos", "cand", "score")
 
 
@@ -93,6 +130,7 @@ dg AS (SELECT DISTINCT d AS h, CASE l_linestatus WHEN 'F' THEN 'DaG' ELSE 'DdG'
 gg AS (SELECT a.p_partkey*3+1 AS h, 'GiG' AS r, b.p_partkey*3+1 AS t FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
 target AS (SELECT h, r, t, CASE (h//3*31 + t//3) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM (SELECT DISTINCT c AS h, 'CtD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09)),
 aux AS (SELECT DISTINCT c AS h, 'CpD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '2%' AND l_discount >= 0.09),
+failed AS (SELECT DISTINCT c AS h, 'CfD' AS r, d AS t FROM li WHERE l_returnflag = 'A' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09),
 train AS (SELECT h, r, t FROM target WHERE split = 'train'),
 edges AS (SELECT * FROM cg UNION ALL SELECT * FROM dg UNION ALL SELECT * FROM gg UNION ALL SELECT * FROM aux UNION ALL SELECT * FROM train),
 nodes AS (SELECT s_suppkey*3 AS id, 'Compound' AS kind, s_name AS name FROM supplier UNION ALL SELECT p_partkey*3+1, 'Gene', p_name FROM part UNION ALL SELECT c_custkey*3+2, 'Disease', c_name FROM customer),
