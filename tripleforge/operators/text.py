@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What generation leaves at the end of an answer.
@@ -81,3 +81,33 @@ def adjusted_rank(pred_pos: Column, gold_rank: Column, exact: Column, rule: str
     """Rank of the gold once the prediction is put first. rule: after (a prediction from behind moves the gold down) or before (one from before it does)."""
     moved = pred_pos > gold_rank if rule == "after" else pred_pos < gold_rank
     return F.when(gold_rank >= absent, absent).when(exact, 1).when(pred_pos.isNull(), gold_rank).when(moved, F.least(gold_rank + 1, F.lit(absent))).otherwise(gold_rank)
+
+
+def strict_rank(pred_pos: Column, gold_rank: Column, exact: Column, k: int = 20) -> Column:
+    """Second rule set: 1 for an exact answer to a present gold; an answer that is no candidate or stands before the gold costs a place; k + 1 where the gold is absent."""
+    lost = F.least(F.lit(k + 1), gold_rank + 1)
+    return F.when(exact & (gold_rank <= k), 1).when(gold_rank > k, k + 1).when(pred_pos.isNull() | (pred_pos < gold_rank), lost).otherwise(gold_rank)
+
+
+def inference_rank(right: Column, place: Column, rank: Column) -> Column:
+    """1 for the target itself, else its rank, one more where the answer is no candidate or its place from 0 is not below the rank."""
+    return F.when(right, 1).when(place.isNull() | (place - 1 >= rank), rank + 1).otherwise(rank)
+
+
+def answer(c: Column) -> Column:
+    """What follows the last marker of an answer, whatever its case: the first line, without quotes, brackets and end punctuation."""
+    last = c
+    for mark in ("Answer:", "answer:", "ANSWER:"):
+        last = F.element_at(F.split(last, mark), -1)
+    line = F.substring_index(F.regexp_replace(last, r"^\s+", ""), "\n", 1)
+    return F.btrim(F.regexp_replace(line, r"\s+$", ""), F.lit("'\"`.,;:()[]{} "))
+
+
+def tiered_match(answers: DataFrame, cands: DataFrame, key) -> DataFrame:
+    """(key.., tier, pos) of the candidate that an answer (key.., raw) names: 1 by its name, 2 by its canonical id, 3 and 4 by one that stands in the answer; of equal tiers the first. No tier and place 21 without any."""
+    j = answers.withColumn("ans", F.lower(answer(F.col("raw")))).join(cands.select(*key, "pos", "name", "canonical"), key)
+    named = lambda c: F.col("ans") == F.lower(c)
+    inside = lambda c: F.contains(alnum(F.col("raw")), alnum(F.col(c)))
+    tier = F.when(named("name"), 1).when(named("canonical"), 2).when(inside("name"), 3).when(inside("canonical"), 4).otherwise(9)
+    best = j.groupBy(*key).agg(F.min(F.struct(tier.alias("tier"), "pos")).alias("m"))
+    return best.select(*key, F.when(F.col("m.tier") < 9, F.col("m.tier")).alias("tier"), F.when(F.col("m.tier") < 9, F.col("m.pos")).otherwise(21).alias("pos"))
