@@ -115,15 +115,15 @@ def _passages(docs: DataFrame, min_words: int, piece_words: int, unit: str) -> D
     u = Kept(units(docs, piece_words, unit), "units")
     place = F.col("text_no") * STARTS + F.col("start")
     rank = (F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")).cast("decimal(38,0)")
-    groups = u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last")
+    groups = u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank).alias("first")).where("copies > 1")
     # A whole number of PLACES is left to divide, so nothing is rounded.
     kept_place = F.expr(f"pmod(first, cast({PLACES} as decimal(20,0)))").cast("decimal(38,0)")
     groups = groups.withColumn("kept_place", kept_place).select("hi", "lo", "copies", F.expr(f"(first - kept_place) div cast({PLACES} as decimal(20,0))").alias("kept_id"), F.col("kept_place").cast("long").alias("kept_place"))
     met = _met(u.df, Kept(groups, "repeated").df, ["hi", "lo"])
     kept = (F.col("id") == F.col("kept_id")) & (place == F.col("kept_place"))
-    # Repeated rows of a document give the same units: one of each is enough.
+    # Repeated rows of a document give the same units: one of each is enough, and they are no copies of each other.
     key = ["id", "text_no", "no"]
-    met = met.select(*key, "start", "end", "words", "hi", "lo", "copies", kept.cast("int").alias("kept"), "kept_id", "kept_place").groupBy(*key).agg(*[F.max(c).alias(c) for c in ("start", "end", "words", "hi", "lo", "copies", "kept", "kept_id", "kept_place")])
+    met = met.select(*key, "start", "end", "words", "hi", "lo", "copies", kept.cast("int").alias("kept"), "kept_id", "kept_place").groupBy(*key).agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("start", "end", "words", "hi", "lo", "copies", "kept", "kept_id", "kept_place")]).where(F.col("copies") > F.col("rows"))
     doc = Window.partitionBy("id", "text_no")
     at = doc.orderBy("no")
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
