@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def both_ways(edges: DataFrame, key=()) -> DataFrame:
     """(key.., src, dst, h, r, t): every edge from either end; a self-loop once."""
@@ -76,3 +78,77 @@ def jaccard(a: DataFrame, b: DataFrame, key) -> DataFrame:
 def keep_first(df: DataFrame, by, *order) -> DataFrame:
     """One row for each value of by: the first in order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Every edge from either end with its place at that end: (src, dst, h, r, t, place), in the order of relation, far end, head."""
+    return both_ways(edges).withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("r", "dst", "h")))
+
+
+def first_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, place, r, h, t): of parallel edges the one that comes first at src."""
+    return ordered(edges).groupBy("src", "dst").agg(F.min(F.struct("place", "r", "h", "t")).alias("e")).select("src", "dst", "e.*")
+
+
+def short_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths of at most three edges from a to b of each pair, as a breadth-first search finds them that goes through a node's edges in their order: (a, b, step, h, r, t).
+
+    Of the shortest paths that is the one whose places, from a on, come first. Two steps from each a are reduced to their first way before the pairs meet them.
+    """
+    e = written(first_edges(edges), "first-edges")
+    step = lambda i, x, y: e.select(F.col("src").alias(x), F.col("dst").alias(y), F.col("place").alias(f"p{i}"), F.struct("h", "r", "t").alias(f"e{i}"))
+    starts = pairs.select("a").distinct()
+    one = pairs.join(step(1, "a", "b"), ["a", "b"]).select("a", "b", F.array("e1").alias("path"))
+    left = pairs.join(one, ["a", "b"], "left_anti")
+    first = lambda *columns: F.min(F.struct(*columns))
+    reach = written(starts.join(step(1, "a", "v"), "a").where("v <> a"), "reach")
+    two = left.join(step(2, "v", "b").join(left.select("b").distinct(), "b", "left_semi"), "b").join(reach, ["a", "v"])
+    two = two.groupBy("a", "b").agg(first("p1", "p2", "e1", "e2").alias("x")).select("a", "b", F.array("x.e1", "x.e2").alias("path"))
+    two = written(two, "two-steps")
+    left = left.join(two, ["a", "b"], "left_anti")
+    far = left.select("a").distinct().join(reach, "a").join(step(2, "v", "w"), "v").where("w <> a").groupBy("a", "w").agg(first("p1", "p2", "e1", "e2").alias("x"))
+    three = left.join(step(3, "w", "b").join(left.select("b").distinct(), "b", "left_semi"), "b").join(far, ["a", "w"]).where("w <> a")
+    three = three.groupBy("a", "b").agg(first("x.p1", "x.p2", "p3", "x.e1", "x.e2", "e3").alias("y")).select("a", "b", F.array("y.e1", "y.e2", "y.e3").alias("path"))
+    return one.unionByName(two).unionByName(three).select("a", "b", F.posexplode("path").alias("step", "e")).select("a", "b", "step", "e.h", "e.r", "e.t")
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+    """(a, b, step, src, r, dst) of a shortest path of any length between a and b, each edge with the first of its parallel relations.
+
+    Each round takes the search one edge further from all starts at once and is written; a start leaves when its ends are found or nothing new is reached. Of equally short ways
+    a node keeps the one from the least node before it.
+    """
+    steps = written(both_ways(edges).groupBy("src", "dst").agg(F.min("r").alias("r")), "steps")
+    seen = written(pairs.select("a", F.col("a").alias("node"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("before")).distinct(), "seen")
+    last, open_ = seen, pairs.where("a <> b").distinct()
+    for d in range(1, most + 1):
+        live = last.join(open_.select("a").distinct(), "a", "left_semi")
+        new = live.join(steps.select(F.col("src").alias("node"), "dst"), "node").groupBy("a", F.col("dst").alias("node")).agg(F.lit(d).alias("dist"), F.min("node").alias("before"))
+        new = written(new.join(seen.select("a", "node"), ["a", "node"], "left_anti"), "frontier")
+        if new.isEmpty():
+            break
+        open_ = written(open_.join(new.select("a", F.col("node").alias("b")), ["a", "b"], "left_anti"), "open")
+        seen, last = seen.unionByName(new), new
+        if open_.isEmpty():
+            break
+    seen = written(seen, "reached")
+    at, out = pairs.distinct().join(seen.select("a", F.col("node").alias("b"), "dist"), ["a", "b"]).select("a", "b", F.col("b").alias("node"), "dist"), None
+    while not (at := written(at.where("dist > 0"), "back")).isEmpty():
+        back = at.join(seen.select("a", "node", "before"), ["a", "node"]).select("a", "b", "node", "dist", "before")
+        rows = back.join(steps.select(F.col("src").alias("before"), F.col("dst").alias("node"), "r"), ["before", "node"]).select("a", "b", (F.col("dist") - 1).alias("step"), F.col("before").alias("src"), "r", F.col("node").alias("dst"))
+        out = rows if out is None else out.unionByName(rows)
+        at = back.select("a", "b", F.col("before").alias("node"), (F.col("dist") - 1).alias("dist"))
+    return out if out is not None else pairs.limit(0).select("a", "b", F.lit(0).alias("step"), F.col("a").alias("src"), F.lit("").alias("r"), F.col("b").alias("dst"))
+
+
+def rule_walks(starts: DataFrame, edges: DataFrame, rules: list[list[str]]) -> DataFrame:
+    """(start, rule, step, src, r, dst): for each rule the walk that takes, at every step, the least neighbour over an edge of the step's relation; only walks that reach the rule's end."""
+    out = None
+    for n, rule in enumerate(rules):
+        at = starts.select("start", F.col("start").alias("node"), F.array().cast("array<struct<src:bigint,r:string,dst:bigint>>").alias("path"))
+        for relation in rule:
+            step = both_ways(edges.where(F.col("r") == relation)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))
+            at = at.join(step, "node").select("start", F.col("next").alias("node"), F.concat("path", F.array(F.struct(F.col("node").alias("src"), F.lit(relation).alias("r"), F.col("next").alias("dst")))).alias("path"))
+        rows = at.select("start", F.lit(n).alias("rule"), F.col("node").alias("end"), F.posexplode("path").alias("step", "e")).select("start", "rule", "end", "step", "e.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

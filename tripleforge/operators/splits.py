@@ -91,3 +91,24 @@ def balanced(df: DataFrame, condition: Column, n: int, seed: int) -> DataFrame:
     rate = F.lit(float(n)) / F.when(F.col("_yes"), F.col("yes")).otherwise(F.col("no"))
     whole = F.floor(rate + F.rand(seed)).cast("int")
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), whole))).where("_k > 0").select(*df.columns, F.col("_yes").alias("is_target"))
+
+
+def joint_caps(edges: DataFrame, order, head_cap: int, tail_cap: int, total: int | None = None, shared: bool = False) -> DataFrame:
+    """Edges (h, r, t), taken in an order while their head has fewer than head_cap and their tail fewer than tail_cap, `total` in all. With shared an end counts whether it is head or tail.
+
+    The order decides, so it runs on one sorted partition, and refuses more than GREEDY_ROWS edges.
+    """
+    def run(batches):
+        heads, tails, n = {}, {}, 0
+        tails = heads if shared else tails
+        for pdf in batches:
+            keep = []
+            for h, r, t in zip(pdf["h"], pdf["r"], pdf["t"], strict=True):
+                if (total is None or n < total) and heads.get(h, 0) < head_cap and tails.get(t, 0) < tail_cap:
+                    heads[h] = heads.get(h, 0) + 1
+                    tails[t] = tails.get(t, 0) + 1
+                    keep.append((h, r, t))
+                    n += 1
+            yield pd.DataFrame(keep, columns=["h", "r", "t"])
+
+    return small(edges.select("h", "r", "t")).repartition(1).sortWithinPartitions(*order).mapInPandas(run, "h long, r string, t long")

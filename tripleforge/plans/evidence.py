@@ -360,18 +360,93 @@ def _within_rows(starts, triples, depth):
     return seen.groupBy(*KEY, "node").agg(F.min("dist").alias("dist"))
 
 
-@query("gr08_global_paths", f"WITH {SQL}, e AS (SELECT h AS a, t AS b FROM train UNION ALL SELECT t, h FROM train), d1 AS (SELECT DISTINCT split, row_index, b AS n FROM q JOIN e ON a = query_id), d2 AS (SELECT DISTINCT split, row_index, b AS n FROM d1 JOIN e ON a = n), d3 AS (SELECT DISTINCT split, row_index, b AS n FROM d2 JOIN e ON a = n), al AS (SELECT *, 1 AS d FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) SELECT al.split, al.row_index, min(d) AS dist FROM al JOIN q ON q.split = al.split AND q.row_index = al.row_index AND n = gold_id GROUP BY ALL")
+PATHS = f"""{SQL}, pe AS (SELECT * FROM edges WHERE r <> 'CuG'), pa AS (SELECT h AS src, t AS dst, h, r, t FROM pe UNION ALL SELECT t, h, h, r, t FROM pe WHERE h <> t),
+po AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY r, dst, h) AS place FROM pa), fe AS (SELECT src, dst, min((place, r, h, t)) AS e FROM po GROUP BY ALL),
+pr AS (SELECT DISTINCT cand AS a, query_id AS b FROM cand WHERE split = 'valid'),
+w1 AS (SELECT a, b, [e] AS path FROM pr JOIN fe ON src = a AND dst = b),
+l2 AS (SELECT * FROM pr ANTI JOIN w1 USING (a, b)),
+w2 AS (SELECT a, b, min([x.e, y.e]) AS path FROM l2 JOIN fe x ON x.src = a JOIN fe y ON y.src = x.dst AND y.dst = b GROUP BY a, b),
+l3 AS (SELECT * FROM l2 ANTI JOIN w2 USING (a, b)),
+f2 AS (SELECT x.src AS a, y.dst AS w, min([x.e, y.e]) AS p FROM fe x JOIN fe y ON y.src = x.dst WHERE x.src IN (SELECT a FROM l3) AND y.dst <> x.src GROUP BY ALL),
+w3 AS (SELECT l3.a, l3.b, min(list_append(p, z.e)) AS path FROM l3 JOIN f2 ON f2.a = l3.a JOIN fe z ON z.src = w AND z.dst = l3.b GROUP BY ALL),
+pt AS (SELECT a, b, unnest(path) AS e, generate_subscripts(path, 1) - 1 AS step FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)),
+pth AS (SELECT a, b, step, e[3] AS h, e[2] AS r, e[4] AS t FROM pt)"""
+
+
+def path_edges(kg: Graph):
+    """The graph that paths go through: all but the unspecific gene relation."""
+    return kg.edges().where("r <> 'CuG'")
+
+
+def candidate_paths(kg: Graph):
+    """Paths of at most three edges from each candidate of the validation rows to its query."""
+    def build():
+        pairs = kg.candidates().where("split = 'valid'").select(F.col("cand").alias("a"), F.col("query_id").alias("b")).distinct()
+        return g.short_paths(pairs, path_edges(kg))
+
+    return store.once(kg.spark, kg.sf_dir, "candidate-paths", build)
+
+
+@query("gr08_path_triples", f"WITH {PATHS} SELECT a AS cand, b AS query_id, step, h, r, t FROM pth")
 def _(spark, sf):
+    return candidate_paths(Graph(spark, sf)).select(F.col("a").alias("cand"), F.col("b").alias("query_id"), "step", "h", "r", "t")
+
+
+@query("gr14_path_subgraph", f"WITH {PATHS}, vc AS (SELECT * FROM cand WHERE split = 'valid'), inc AS (SELECT src AS node, h, r, t, place FROM po QUALIFY row_number() OVER (PARTITION BY src ORDER BY place) <= 200), st AS (SELECT split, row_index, pth.h, pth.r, pth.t, 0 AS stage, pos AS o1, step AS o2 FROM vc JOIN pth ON a = cand AND b = query_id UNION ALL SELECT split, row_index, h, r, t, 1, o1, place FROM (SELECT split, row_index, query_id AS node, 0 AS o1 FROM q WHERE split = 'valid' UNION ALL SELECT split, row_index, cand, pos FROM vc) JOIN inc USING (node)), f AS (SELECT split, row_index, h, r, t, min((stage, o1, o2)) AS m FROM st GROUP BY ALL) SELECT split, row_index, h, r, t, m[1] AS stage, row_number() OVER (PARTITION BY split, row_index ORDER BY m, h, r, t) - 1 AS idx FROM f QUALIFY idx < 100")
+def _(spark, sf):
+    """Evidence of a path search: paths from the candidates to the query, then edges at the query and at the candidates; 100 triples."""
     kg = Graph(spark, sf)
-    reach = g.within(kg.queries().select(F.col("query_id").alias("start")).distinct(), kg.train(), 3)
-    q = kg.queries()
-    return q.join(reach, (F.col("start") == F.col("query_id")) & (F.col("node") == F.col("gold_id"))).select(*KEY, "dist")
+    c, q = kg.candidates().where("split = 'valid'"), kg.queries().where("split = 'valid'")
+    p = candidate_paths(kg).select(F.col("a").alias("cand"), F.col("b").alias("query_id"), "step", "h", "r", "t")
+    on_paths = c.join(p, ["cand", "query_id"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.col("step").alias("o2"))
+    nodes = q.select(*KEY, F.col("query_id").alias("node"), F.lit(0).alias("o1")).unionByName(c.select(*KEY, F.col("cand").alias("node"), F.col("pos").alias("o1")))
+    near = g.first_per(g.both_ways(path_edges(kg)), ["src"], ["r", "dst", "h"], 200).select(F.col("src").alias("node"), "h", "r", "t", F.col("place").alias("o2"))
+    return r.evidence([on_paths, nodes.join(near, "node")], 100).select(*KEY, "h", "r", "t", "stage", "idx")
+
 
+BIPARTITE = "SELECT h, r, t FROM train UNION ALL SELECT h, r, t FROM aux"
 
-@query("gr10_rule_chains", f"WITH {SQL}, a AS (SELECT DISTINCT query_id AS s FROM q), s1 AS (SELECT s, min(t) AS n FROM a JOIN dg ON h = s AND r = 'DaG' GROUP BY s), s2 AS (SELECT s, min(m) AS n FROM s1 JOIN (SELECT h AS k, t AS m FROM gg UNION ALL SELECT t, h FROM gg) ON k = n GROUP BY s), s3 AS (SELECT s, min(h) AS n FROM s2 JOIN cg ON t = n AND r = 'CbG' GROUP BY s) SELECT s AS start, n AS \"end\" FROM s3")
+
+@query("gr09_shortest_paths", f"""WITH RECURSIVE {SQL}, be AS ({BIPARTITE}), ba AS (SELECT src, dst, min(r) AS r FROM (SELECT h AS src, t AS dst, r FROM be UNION ALL SELECT t, h, r FROM be) GROUP BY src, dst),
+pr AS (SELECT DISTINCT query_id AS a, gold_id AS b FROM q), bf AS (SELECT DISTINCT a, a AS node, 0 AS dist FROM pr UNION SELECT bf.a, dst, dist + 1 FROM bf JOIN ba ON src = node WHERE dist < 9),
+ds AS (SELECT a, node, min(dist) AS dist FROM bf GROUP BY ALL),
+bk AS (SELECT pr.a, pr.b, node, dist FROM pr JOIN ds ON ds.a = pr.a AND node = pr.b UNION ALL SELECT bk.a, bk.b, (SELECT min(d.node) FROM ds d JOIN ba ON ba.src = d.node AND ba.dst = bk.node WHERE d.a = bk.a AND d.dist = bk.dist - 1), dist - 1 FROM bk WHERE dist > 0)
+SELECT x.a, x.b, x.dist AS step, x.node AS src, ba.r, y.node AS dst FROM bk x JOIN bk y ON y.a = x.a AND y.b = x.b AND y.dist = x.dist + 1 JOIN ba ON ba.src = x.node AND ba.dst = y.node""")
 def _(spark, sf):
+    """Shortest paths of any length from each query to its gold over the pairs of compounds and diseases."""
     kg = Graph(spark, sf)
-    return g.follow(kg.queries().select(F.col("query_id").alias("start")).distinct(), kg.edges(), ["DaG", "GiG", "CbG"])
+    pairs = kg.queries().select(F.col("query_id").alias("a"), F.col("gold_id").alias("b")).distinct()
+    return g.shortest_paths(pairs, kg.train().unionByName(kg.auxiliary()))
+
+
+#: Chains of relations from a disease or compound.
+RULES = [["DaG", "CbG"], ["DaG", "GiG", "CbG"], ["CtD"], ["CbG", "GiG", "DaG"]]
+
+
+def walks_sql() -> str:
+    parts = []
+    for n, rule in enumerate(RULES):
+        sql = "SELECT start, start AS n0 FROM starts"
+        for i, rel in enumerate(rule):
+            keep = ", ".join(f"n{j}" for j in range(i + 1))
+            sql = f"SELECT start, {keep}, min(dst) AS n{i + 1} FROM ({sql}) JOIN wa ON src = n{i} AND r = '{rel}' GROUP BY ALL"
+        for i, rel in enumerate(rule):
+            parts.append(f"SELECT start, {n} AS rule, n{len(rule)} AS \"end\", {i} AS step, n{i} AS src, '{rel}' AS r, n{i + 1} AS dst FROM ({sql})")
+    return f"""{SQL}, wa AS (SELECT h AS src, t AS dst, r FROM edges UNION ALL SELECT t, h, r FROM edges), starts AS (SELECT DISTINCT query_id AS start FROM q UNION SELECT DISTINCT cand FROM cand),
+wk AS ({" UNION ALL ".join(parts)})"""
+
+
+@query("gr10_rule_chains", f"WITH {walks_sql()}, hit AS (SELECT DISTINCT c.split, c.row_index, c.cand, rule FROM cand c JOIN wk ON start = query_id AND \"end\" = c.cand) SELECT 'target' AS kind, h.split, h.row_index, h.cand, wk.rule, step, src, r, dst FROM hit h JOIN q ON q.split = h.split AND q.row_index = h.row_index JOIN wk ON start = q.query_id AND wk.rule = h.rule UNION ALL SELECT 'open', split, row_index, node, rule, step, src, r, dst FROM (SELECT split, row_index, query_id AS node FROM q UNION ALL SELECT split, row_index, cand FROM cand) JOIN wk ON start = node")
+def _(spark, sf):
+    """Triples of rule walks: first those from the query that end at a candidate, then those from the query and each candidate wherever they end."""
+    kg = Graph(spark, sf)
+    c, q = kg.candidates().select(*KEY, "query_id", "cand"), kg.queries().select(*KEY, "query_id")
+    starts = q.select(F.col("query_id").alias("start")).unionByName(c.select(F.col("cand").alias("start"))).distinct()
+    w = store.written(g.rule_walks(starts, kg.edges(), RULES), "walks")
+    cols = ["rule", "step", "src", "r", "dst"]
+    target = c.join(w, (F.col("query_id") == F.col("start")) & (F.col("cand") == F.col("end"))).select(F.lit("target").alias("kind"), *KEY, "cand", *cols)
+    nodes = q.select(*KEY, F.col("query_id").alias("cand")).unionByName(c.select(*KEY, "cand"))
+    return target.unionByName(nodes.join(w, F.col("cand") == F.col("start")).select(F.lit("open").alias("kind"), *KEY, "cand", *cols))
 
 
 @query("gr17_train_enriched", f"WITH {SQL} SELECT r, count(*) AS n FROM (SELECT * FROM edges UNION ALL SELECT h, r, t FROM target WHERE split <> 'train') e WHERE NOT EXISTS (SELECT 1 FROM target x WHERE x.split <> 'train' AND x.h = e.h AND x.r = e.r AND x.t = e.t) GROUP BY r")
@@ -381,25 +456,46 @@ def _(spark, sf):
     return kg.edges().unionByName(held).join(held, ["h", "r", "t"], "left_anti").groupBy("r").agg(F.count("*").alias("n"))
 
 
+#: Edges of a compound, of a disease and of a gene that the built graphs keep.
+COMPOUND_GENES, DISEASE_GENES, PAIRS_EACH, GENE_GENES, PAIRS_TOTAL, GENES_TOTAL = 80, 120, 80, 40, 120_000, 500_000
+
+
+def capped(edges, node: str, cap: int):
+    """The first `cap` edges of each node, in the order of relation and far end; a rank within the node, so no order over all edges is needed."""
+    far = "t" if node == "h" else "h"
+    return g.first_per(edges, [node], ["r", far], cap).select("h", "r", "t")
+
+
 @query("gr15_filtered_graph")
 def _(spark, sf):
-    """Greedy joint caps: a compound at most 80 and a gene at most 40 edges, in the order of keys; sequential, so on one sorted partition, and refused beyond GREEDY_ROWS."""
+    """The filtered graph: all training target edges; compound-gene edges of candidate compounds and disease-gene edges of target diseases, capped each; other pairs of both under joint caps of compound, disease and total;
+    gene-gene edges between touched genes under a joint cap of both genes. Joint caps take edges in the order of (h, t, r). The brute-force loop is in tests/test_operators.py."""
     kg = Graph(spark, sf)
-    pre = splits.small(kg.compound_gene())
+    target = kg.target()
+    compounds, diseases = target.select("h").distinct(), target.select("t").distinct()
+    cg = capped(kg.compound_gene().join(compounds, "h", "left_semi"), "h", COMPOUND_GENES)
+    dg = capped(kg.disease_gene().join(diseases.withColumnRenamed("t", "h"), "h", "left_semi"), "h", DISEASE_GENES)
+    aux = kg.auxiliary().join(compounds, "h", "left_semi").join(diseases, "t", "left_semi")
+    aux = splits.joint_caps(aux, ["h", "t", "r"], PAIRS_EACH, PAIRS_EACH, PAIRS_TOTAL)
+    genes = cg.select("t").unionByName(dg.select("t")).distinct()
+    gg = kg.gene_gene().join(genes.withColumnRenamed("t", "h"), "h", "left_semi").join(genes, "t", "left_semi")
+    gg = splits.joint_caps(gg, ["h", "t", "r"], GENE_GENES, GENE_GENES, GENES_TOTAL, shared=True)
+    return kg.train().select("h", "r", "t").unionByName(cg).unionByName(dg).unionByName(aux).unionByName(gg)
 
-    def run(batches):
-        import pandas as pd
 
-        heads, tails = {}, {}
-        for pdf in batches:
-            keep = []
-            for h, rel, t in zip(pdf["h"], pdf["r"], pdf["t"], strict=True):
-                if heads.get(h, 0) < 80 and tails.get(t, 0) < 40:
-                    heads[h], tails[t] = heads.get(h, 0) + 1, tails.get(t, 0) + 1
-                    keep.append((h, rel, t))
-            yield pd.DataFrame(keep, columns=["h", "r", "t"])
-
-    return pre.repartition(1).sortWithinPartitions("h", "t", "r").mapInPandas(run, "h long, r string, t long")
+@query("gr16_status_graph")
+def _(spark, sf):
+    """The graph with failed pairs: training target edges; failed pairs, none of a held-out pair, under joint caps; compound-gene edges of the task's compounds; gene-gene edges between touched genes."""
+    kg = Graph(spark, sf)
+    target, failed = kg.target(), kg.failed().select("h", "r", "t")
+    held = target.where("split <> 'train'").select("h", "t")
+    bad = splits.joint_caps(failed.join(held, ["h", "t"], "left_anti"), ["h", "t", "r"], PAIRS_EACH, PAIRS_EACH)
+    compounds = target.select("h").unionByName(failed.select("h")).distinct()
+    cg = capped(kg.compound_gene().join(compounds, "h", "left_semi"), "h", COMPOUND_GENES)
+    genes = cg.select("t").distinct()
+    gg = kg.gene_gene().join(genes.withColumnRenamed("t", "h"), "h", "left_semi").join(genes, "t", "left_semi")
+    gg = splits.joint_caps(gg, ["h", "t", "r"], GENE_GENES, GENE_GENES, 150_000, shared=True)
+    return kg.train().select("h", "r", "t").unionByName(bad).unionByName(cg).unionByName(gg)
 
 
 @query("gr18_roles", f"WITH {SQL}, n AS (SELECT h AS id, 1 AS hd, 0 AS tl FROM target UNION ALL SELECT t, 0, 1 FROM target) SELECT id, CASE WHEN max(hd) = 1 AND max(tl) = 1 THEN 'both' WHEN max(hd) = 1 THEN 'head' ELSE 'tail' END AS role FROM n GROUP BY id")
