@@ -111,3 +111,96 @@ def tiered_match(answers: DataFrame, cands: DataFrame, key) -> DataFrame:
     tier = F.when(named("name"), 1).when(named("canonical"), 2).when(inside("name"), 3).when(inside("canonical"), 4).otherwise(9)
     best = j.groupBy(*key).agg(F.min(F.struct(tier.alias("tier"), "pos")).alias("m"))
     return best.select(*key, F.when(F.col("m.tier") < 9, F.col("m.tier")).alias("tier"), F.when(F.col("m.tier") < 9, F.col("m.pos")).otherwise(21).alias("pos"))
+
+
+def canonical(kind: str, ident: Column) -> Column:
+    """kind::id; empty without an id."""
+    return F.when(ident == "", F.lit("")).otherwise(F.concat(F.lit(f"{kind}::"), ident))
+
+
+def first_text(*columns: Column) -> Column:
+    """The first column that is neither null nor empty; empty without any."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
+
+
+def normalised_rows(raw: DataFrame) -> DataFrame:
+    """Rows of a drug table (drug_id, drug_name, Drug, status, TrialStatus) with fallbacks: the id from either of two columns, the name from Drug without its id where drug_name is empty."""
+    ident = first_text(drug_id(F.col("drug_id")), drug_id(F.col("Drug")))
+    rest = clean(F.regexp_replace("Drug", r"\(DBID:\s*DB\d{5}\)", ""))
+    return raw.select("i", first_text(clean(F.col("drug_name")), rest).alias("drug_name"), ident.alias("drug_id"), canonical("Compound", ident).alias("compound"), status(F.col("status"), F.col("TrialStatus")).alias("status"), (ident != "").alias("valid"))
+
+
+#: Families of the relation codes.
+CODES = {"compound_gene": ("CbG", "CdG", "CuG"), "disease_gene": ("DaG", "DdG", "DuG"), "gene_gene": ("GiG", "Gr>G", "GcG"), "target": ("CtD",), "pair": ("CpD",)}
+
+
+def family_by_code(r: Column) -> Column:
+    return F.coalesce(*[F.when(r.isin(*codes), F.lit(name)) for name, codes in CODES.items()], F.lit("other"))
+
+
+def family_by_name(name: Column, target: Column) -> Column:
+    """By the kinds that a relation's name holds, as in X::r::Compound:Gene; the target apart."""
+    either = lambda a, b: name.contains(f"{a}:{b}") | name.contains(f"{b}:{a}")
+    return F.when(target, "target").when(either("Compound", "Disease"), "pair").when(either("Compound", "Gene"), "compound_gene").when(either("Disease", "Gene"), "disease_gene").when(name.contains("Gene:Gene"), "gene_gene").otherwise("other")
+
+
+def family_by_kinds(h: Column, t: Column) -> Column:
+    """By the kinds of both ends: 0 compound, 1 gene, 2 disease, either way round."""
+    pair = F.least(h, t) * 3 + F.greatest(h, t)
+    return F.when(pair == 1, "compound_gene").when(pair == 2, "pair").when(pair == 4, "gene_gene").when(pair == 5, "disease_gene").otherwise("other")
+
+
+def column_roles(names: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
+    """(tab, role, col) of columns (tab, col) whose normalised name contains one of a role's parts."""
+    n = snake(F.col("col"))
+    found = F.array(*[F.when(F.greatest(*[n.contains(p) for p in parts], F.lit(False)), F.lit(role)) for role, parts in roles.items()])
+    return names.select("tab", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("role"), "col")
+
+
+def questions(triples: DataFrame, lexicon: DataFrame, name: str) -> DataFrame:
+    """triples (r, side) with the lexicon's question about `name`, or the general one."""
+    template = F.coalesce("template", F.lit("What is related to {}?"))
+    return triples.join(F.broadcast(lexicon), ["r", "side"], "left").withColumn("question", F.replace(template, F.lit("{}"), F.col(name))).drop("template")
+
+
+def display_name(shown: Column, raw: Column, entity: Column) -> Column:
+    return F.coalesce(F.nullif(shown, F.lit("")), F.nullif(raw, F.lit("")), entity)
+
+
+#: Names under which stored edges hold their parts.
+EDGE_FIELDS = {"h": ("h", "head", "src", "source"), "r": ("r", "relation", "rel"), "t": ("t", "tail", "dst", "target")}
+
+
+def edge_key(text: Column) -> Column:
+    """struct<h, r, t> of an edge written as a list or as an object; nulls for anything else."""
+    parts = []
+    for i, (name, fields) in enumerate(EDGE_FIELDS.items()):
+        parts.append(F.coalesce(*[F.get_json_object(text, f"$.{f}") for f in fields], F.get_json_object(text, f"$[{i}]")).try_cast("long").alias(name))
+    return F.struct(*parts)
+
+
+def placeholders(text: Column, mark: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+
+
+def suspicious(pred: Column, hits: Column) -> Column:
+    """The strict rule: empty answers, two candidates in it, or any sign of a list or a prompt."""
+    low = F.lower(pred)
+    signs = [low.contains(s) for s in (",", ";", "['", "']", "answer must be", "question:", "candidate", "entity")]
+    return (F.trim(pred) == "") | (hits >= 2) | F.greatest(*signs)
+
+
+def relation_hints(rel: Column) -> list[Column]:
+    """What the text of a relation says about its meaning, and its source before '::'."""
+    low = F.lower(rel)
+    has = lambda *parts: F.greatest(*[low.contains(p) for p in parts], F.lit(False))
+    source = F.when(rel.contains("::"), F.substring_index(rel, "::", 1)).otherwise("UNKNOWN")
+    return [source.alias("source"), has("treat").alias("treat"), has("palliat").alias("palliate"), has("associat").alias("association"), has("contra").alias("contra"), has("side", "effect").alias("side_effect")]
+
+
+def auxiliary_role(rel: Column, n: Column, own: str, large: int) -> list[Column]:
+    """The role of a relation beside the target, and cautions: from the source whose data are used already, or very large."""
+    role = F.when(F.lower(rel).contains("contra"), "possible_contradiction_or_safety").otherwise("direct_cd_auxiliary")
+    source = F.when(rel.contains("::"), F.substring_index(rel, "::", 1)).otherwise("UNKNOWN")
+    caution = F.concat_ws(",", F.when(source == own, F.lit("overlaps_with_other_source")), F.when(n > large, F.lit("very_large_relation")))
+    return [role.alias("role"), caution.alias("caution")]
