@@ -19,5 +19,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _part in ("metrics", "windows", "evidence", "texts", "relational", "audits", "learned", "inputs", "rows", "choices", "words"):
+for _part in ("metrics", "windows", "evidence", "texts", "relational", "audits", "learned", "inputs", "rows", "choices", "words", "stored"):
     importlib.import_module(f"tripleforge.plans.{_part}")

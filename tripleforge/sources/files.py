@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 #: Names that wrapped row lists, ids and names come under.
 WRAPPERS = ("rows", "data", "examples", "predictions", "prediction", "results")
 TYPE_COLUMNS = ("final_type", "type", "raw_type")
+HEADS, TAILS = ("head", "source", ":start_id"), ("tail", "target", ":end_id")
+#: Rows of one JSON array.
+ARRAY_ROWS = 1_000_000
 
 
 def read_triples(spark: SparkSession, path: str, split: str | None = None, sep: str = "\t") -> DataFrame:
     """Headerless head, relation, tail; everything is a string, 'NA' included, and empty fields are empty strings. Rows with a blank field or naming the columns are left out."""
     raw = spark.read.csv(path, schema="head string, relation string, tail string", sep=sep, quote="", header=False)
     clean = raw.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in raw.columns])
-    header = F.lower("head").isin("head", "source", ":start_id") & F.lower("tail").isin("tail", "target", ":end_id")
-    out = clean.where("head <> '' and relation <> '' and tail <> ''").where(~header)
+    out = _edges_only(clean)
     return out.withColumn("split", F.lit(split)) if split else out
 
 
@@ -33,7 +35,7 @@ def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> tup
 
 
 def read_rows(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Rows of a JSON array, of JSON lines, or of an object that holds the rows under one of WRAPPERS."""
+    """Rows of a JSON array, or of an object that holds the rows under one of WRAPPERS."""
     reader = spark.read.option("multiLine", True)
     df = reader.schema(schema).json(path) if schema else reader.json(path)
     for name in WRAPPERS:
@@ -42,6 +44,82 @@ def read_rows(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return df
 
 
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    """Tab where the first line has one, else the commonest of comma, semicolon and bar in it, else tab."""
+    line = (spark.read.text(path).head(1) or [[""]])[0][0]
+    best = max(",;|", key=line.count)
+    return "\t" if "\t" in line or not line.count(best) else best
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table with a header, its delimiter sniffed, everything as text; empty fields are empty, not null."""
+    df = spark.read.csv(path, sep=sniff_delimiter(spark, path), header=True)
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+
+
+def sample_table(df: DataFrame, n: int, order) -> DataFrame:
+    """The first n rows in an order, with the field names and the number of all rows beside each."""
+    return df.orderBy(*order).limit(n).crossJoin(df.agg(F.count("*").alias("n_rows"))).withColumn("fields", F.lit(",".join(df.columns)))
+
+
+def read_edges(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """Edges of a SIF-like file, gzipped or not: rows of fewer than three fields are left out, further fields ignored, fields trimmed, blank ones and a header dropped."""
+    parts = F.split("value", sep)
+    raw = spark.read.text(path).where(F.size(parts) >= 3).select(*[F.trim(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(("head", "relation", "tail"))])
+    return _edges_only(raw)
+
+
+def _edges_only(raw: DataFrame) -> DataFrame:
+    header = F.lower("head").isin(*HEADS) & F.lower("tail").isin(*TAILS)
+    return raw.where("head <> '' and relation <> '' and tail <> ''").where(~header)
+
+
+def read_free_edges(spark: SparkSession, path: str, relations: list[str]) -> DataFrame:
+    """Edges of lines whose relation stands in any of the first three columns (the second, the third, the first are tried in turn), separated by tabs, else by commas; other lines are left out."""
+    norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[- ]", "_")
+    raw = spark.read.text(path).withColumn("p", F.when(F.contains("value", F.lit("\t")), F.split("value", "\t")).otherwise(F.split("value", ","))).where(F.size("p") >= 3)
+    c = [F.trim(F.get("p", F.lit(i))) for i in range(3)]
+    known = [norm(x).isin(*relations) for x in c]
+    pick = lambda i, h, t: F.when(known[i], F.struct(c[h].alias("head"), norm(c[i]).alias("relation"), c[t].alias("tail")))
+    return raw.select(F.coalesce(pick(1, 0, 2), pick(2, 0, 1), pick(0, 1, 2)).alias("e")).where("e is not null").select("e.*")
+
+
+def best_file(spark: SparkSession, path: str, bonus: dict[str, int]) -> DataFrame:
+    """The file below a folder whose path has most bonus by the words in it, of equal ones the largest, then the first by name: path, length, score."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    score = sum((F.when(F.lower("path").contains(w), n).otherwise(0) for w, n in bonus.items()), F.lit(0))
+    return f.withColumn("score", score).orderBy(F.desc("score"), F.desc("length"), "path").limit(1)
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """(name, id) of a candidate universe stored as an object of two lists."""
+    df = spark.read.option("multiLine", True).schema("names array<string>, ids array<bigint>").json(path)
+    return df.select(F.inline(F.arrays_zip(F.col("names").alias("name"), F.col("ids").alias("id"))))
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """variant_name with name and value of each setting in a folder of JSON configurations."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.get_json_object("value", "$.variant_name").alias("variant_name"), F.explode(F.from_json(F.get_json_object("value", "$.params"), "map<string,string>")).alias("name", "value"))
+
+
+def selected_config(manifest: DataFrame, configs: DataFrame) -> DataFrame:
+    """The settings of the variant that a manifest names."""
+    return configs.join(F.broadcast(manifest.select(F.col("selected").alias("variant_name"))), "variant_name", "left_semi")
+
+
+def inverted(relations: DataFrame) -> DataFrame:
+    """A dictionary (name, id) read the other way, (id, name); of equal ids the last name."""
+    return relations.groupBy("id").agg(F.max("name").alias("name"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, relation, neighbour, head, tail): each edge at both of its ends, dealt by node."""
+    out = edges.select(F.col("h").alias("node"), F.col("r").alias("relation"), F.col("t").alias("neighbour"), F.col("h").alias("head"), F.col("t").alias("tail"))
+    back = edges.where("h <> t").select(F.col("t").alias("node"), F.col("r").alias("relation"), F.col("h").alias("neighbour"), F.col("h").alias("head"), F.col("t").alias("tail"))
+    return out.unionByName(back).repartition("node")
+
+
 def read_nodes(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """node_id, name, kind from a table with a header under any of the usual names; the kind is else what stands before '::'."""
     df = spark.read.csv(path, sep=sep, header=True)
@@ -65,10 +143,13 @@ def read_map(spark: SparkSession, path: str, key_type: str = "string") -> DataFr
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")).select(F.col("key").cast(key_type).alias("key"), "value")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, suffix, md5 and sha256 of each file below a folder."""
+def manifest(spark: SparkSession, path: str, hash_bytes: int = 256 << 20) -> DataFrame:
+    """path, size, suffix, lines, md5 and sha256 of each file below a folder. Files beyond hash_bytes are listed without lines and hashes, and never read whole."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select("path", F.col("length").alias("size"), F.element_at(F.split("path", r"\."), -1).alias("suffix"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    listed = f.select("path", F.col("length").alias("size"), F.element_at(F.split("path", r"\."), -1).alias("suffix"))
+    lines = F.length("content") - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))
+    read = f.where(F.col("length") <= hash_bytes).select("path", lines.cast("long").alias("lines"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    return listed.join(read, "path", "left")
 
 
 def write_triples(df: DataFrame, path: str, columns=("head", "relation", "tail")) -> None:
@@ -80,9 +161,75 @@ def write_table(df: DataFrame, path: str, columns, sep: str = "\t") -> None:
 
 
 def write_rows(df: DataFrame, path: str) -> None:
+    """JSON lines."""
     df.write.mode("overwrite").json(path)
 
 
+def write_array(df: DataFrame, path: str, order) -> None:
+    """One JSON array, as other tools read it. It is a single value, so more than ARRAY_ROWS rows are refused: those go to JSON lines."""
+    if df.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        raise ValueError(f"an array holds {ARRAY_ROWS} rows at most")
+    key = F.struct(*order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["j"]), ",\n")
+    df.agg(F.concat(F.lit("["), text, F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_object(df: DataFrame, path: str) -> None:
+    """The one row of df as a JSON object."""
+    df.limit(1).select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_map(df: DataFrame, path: str) -> None:
+    """A map (key, value), as Parquet with its types."""
+    df.select("key", "value").write.mode("overwrite").parquet(path)
+
+
+def copy_files(spark: SparkSession, source: str, target: str, names: list[str]) -> list[str]:
+    """Copies those of the named files that a folder has, by the file system of the paths; returns their names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    fs_in, fs_out = at(source).getFileSystem(conf), at(target).getFileSystem(conf)
+    fs_out.mkdirs(at(target))
+    found = [n for n in names if fs_in.exists(at(source, n))]
+    for n in found:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs_in, at(source, n), fs_out, at(target, n), False, True, conf)
+    return found
+
+
+def write_predictions(df: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Predictions as JSON lines, metrics as an object, and the same metrics as text lines 'name: value'."""
+    write_rows(df, f"{path}/predictions")
+    write_object(metrics, f"{path}/metrics")
+    lines = F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in metrics.columns])
+    metrics.limit(1).select(F.explode(lines).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metrics_text")
+
+
+def extract(archive: str, target: str) -> list[str]:
+    """Unpacks a zip or tar archive on the driver. An entry whose path leaves the target folder is an error, before anything is written; links are left out."""
+    import tarfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(target).resolve()
+    if zipfile.is_zipfile(archive):
+        with zipfile.ZipFile(archive) as z:
+            names = z.namelist()
+            _inside(root, names)
+            z.extractall(root)
+        return names
+    with tarfile.open(archive) as t:
+        members = [m for m in t.getmembers() if m.isfile() or m.isdir()]
+        _inside(root, [m.name for m in members])
+        t.extractall(root, members=members, filter="data")
+        return [m.name for m in members]
+
+
+def _inside(root, names) -> None:
+    for n in names:
+        if not (root / n).resolve().is_relative_to(root):
+            raise ValueError(f"{n} leaves the folder")
+
+
 def write_package(df: DataFrame, path: str) -> None:
     """One folder for each split, as Parquet."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
