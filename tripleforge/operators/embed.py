@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from .splits import dense_ids
+
 ZERO = lambda: F.lit(0.0).cast("double")
 
 
@@ -61,3 +64,52 @@ def attention_messages(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     msg = e.select("dst", w.alias("w"), F.posexplode("sv").alias("k", "m"))
     x = msg.groupBy(F.col("dst").alias("id"), "k").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("x"))
     return x.select("id", "k", F.when(F.col("x") > 0, F.col("x")).otherwise(F.exp("x") - 1).alias("x"))
+
+
+def numbered(vectors: DataFrame, column: str, name: str) -> DataFrame:
+    return dense_ids(vectors, column, name)
+
+
+def pair_loss(positive: Column, negative: Column) -> Column:
+    """Softplus of the negative margin, for large margins too."""
+    x = negative - positive
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def blocks(vectors: DataFrame, rows: int, total: int) -> DataFrame:
+    """(block, ids, vecs): about `rows` vectors in each."""
+    n = max(1, -(-total // rows))
+    return vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "vec")).alias("x")).select("block", F.col("x.id").alias("ids"), F.col("x.vec").alias("vecs"))
+
+
+def top_tails(heads: DataFrame, tails: DataFrame, relations: DataFrame, k: int, rows: int = 1024) -> DataFrame:
+    """(h, r, t, score, pos): for each head and relation the k tails (other than the head) of best product score, rounded to 5 places, of equal ones the least id.
+
+    Heads and tails meet as blocks of about `rows` vectors; a pair of blocks returns k tails for each head and relation, so what is sent on grows with the
+    heads and the number of tail blocks, never with all pairs. relations has a few rows and is collected.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rel = sorted((r["r"], r["vec"]) for r in relations.limit(10_001).collect())
+    if len(rel) > 10_000:
+        raise ValueError("more than 10000 relations")
+    a = written(blocks(heads, rows, heads.count()), "head-blocks")
+    b = written(blocks(tails, rows, tails.count()), "tail-blocks")
+    pairs = a.select(F.col("ids").alias("hi"), F.col("vecs").alias("hv")).crossJoin(b.select(F.col("ids").alias("ti"), F.col("vecs").alias("tv")))
+
+    def best(batches):
+        for pdf in batches:
+            for hi, hv, ti, tv in pdf.itertuples(index=False):
+                h, t, hid, tid = np.stack(hv), np.stack(tv), np.asarray(hi), np.asarray(ti)
+                for r, vec in rel:
+                    s = np.round((h * np.asarray(vec)) @ t.T, 5)
+                    s[hid[:, None] == tid[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(tid, s.shape), -s), axis=1)[:, :k]
+                    got = np.take_along_axis(s, order, axis=1)
+                    out = pd.DataFrame({"h": np.repeat(hid, order.shape[1]), "r": r, "t": tid[order].ravel(), "score": got.ravel()})
+                    yield out[np.isfinite(out["score"])]
+
+    kind = relations.schema["r"].dataType.simpleString()
+    some = pairs.mapInPandas(best, f"h long, r {kind}, t long, score double")
+    return some.withColumn("pos", F.row_number().over(Window.partitionBy("h", "r").orderBy(F.desc("score"), "t"))).where(F.col("pos") <= k)

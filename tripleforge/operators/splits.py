@@ -61,36 +61,55 @@ def coverage_safe_split(edges: DataFrame, valid: int, test: int, seed: int) -> D
 
 
 def split_ladder(edges: DataFrame, sizes, seed: int) -> DataFrame:
-    """The first size for which as many valid and test edges can be held out."""
+    """The first size for which as many valid and test edges can be held out, each size tried as often as a split is."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "t"])
         e = list(zip(pdf["h"], pdf["t"], strict=True))
-        n = next((s for s in sizes if 2 * s < len(e) and held_out(e, s, s, seed, 3)), 0)
+        n = next((s for s in sizes if 2 * s < len(e) and held_out(e, s, s, seed)), 0)
         return pd.DataFrame({"n_edges": [len(e)], "size": [n]})
 
     return small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n_edges long, size int")
 
 
-def fixed_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows of least hash, or all."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
+def drawn(seed: int, *key: Column) -> Column:
+    """A number of 52 bits for a key: the head of its MD5, so that other engines draw the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def negatives(positives: DataFrame, heads: DataFrame, tails: DataFrame, seed: int) -> DataFrame:
-    """One corrupted triple for each positive: half with another head, half with another tail, drawn by hash from numbered universes."""
-    hs, ts = dense_ids(heads.distinct(), "h", "i").withColumnRenamed("h", "new_h"), dense_ids(tails.distinct(), "t", "j").withColumnRenamed("t", "new_t")
-    sizes = hs.agg(F.count("*").alias("nh")).crossJoin(ts.agg(F.count("*").alias("nt")))
-    p = positives.crossJoin(F.broadcast(sizes)).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "h", "t"), "nh")).withColumn("j", F.pmod(F.xxhash64(F.lit(seed + 1), "h", "t"), "nt")).withColumn("head", F.pmod(F.xxhash64(F.lit(seed + 2), "h", "t"), F.lit(2)) == 0)
-    return p.join(hs, "i").join(ts, "j").select(F.when(F.col("head"), F.col("new_h")).otherwise(F.col("h")).alias("h"), "r", F.when(F.col("head"), F.col("t")).otherwise(F.col("new_t")).alias("t"), F.col("h").alias("from_h"), F.col("t").alias("from_t"))
+def drawn_sql(seed: int, *key: str) -> str:
+    """drawn() in DuckDB's SQL."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 13))::BIGINT"
+
+
+def fixed_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """The n rows of least draw, or all."""
+    return df.orderBy(drawn(seed, *[F.col(c) for c in df.columns]), *df.columns).limit(n)
 
 
-def balanced(df: DataFrame, condition: Column, n: int, seed: int) -> DataFrame:
-    """About n rows where the condition holds and n where it doesn't, drawn with replacement."""
-    counts = df.agg(F.count_if(condition).alias("yes"), F.count_if(~condition).alias("no"))
-    rows = df.withColumn("_yes", condition).crossJoin(F.broadcast(counts))
-    rate = F.lit(float(n)) / F.when(F.col("_yes"), F.col("yes")).otherwise(F.col("no"))
-    whole = F.floor(rate + F.rand(seed)).cast("int")
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), whole))).where("_k > 0").select(*df.columns, F.col("_yes").alias("is_target"))
+def negatives(positives: DataFrame, candidates: DataFrame, entities: DataFrame, target: str, seed: int) -> DataFrame:
+    """One corrupted triple for each positive (h, r, t): of the target relation always the head, of others the head or the tail by the toss of a draw. A head comes from the candidates (h), a tail from all entities (t), each numbered in order."""
+    hs = dense_ids(candidates.distinct(), "h", "i").withColumnRenamed("h", "new_h")
+    ts = dense_ids(entities.distinct(), "t", "j").withColumnRenamed("t", "new_t")
+    sizes = hs.agg(F.count("*").alias("nh")).crossJoin(ts.agg(F.count("*").alias("nt")))
+    key = [F.col("h"), F.col("r"), F.col("t")]
+    head = (F.col("r") == target) | (drawn(seed, *key) % 2 == 0)
+    p = positives.select("h", "r", "t", head.alias("head")).crossJoin(F.broadcast(sizes))
+    p = p.withColumn("i", F.when(F.col("head"), drawn(seed + 1, *key) % F.col("nh"))).withColumn("j", F.when(~F.col("head"), drawn(seed + 2, *key) % F.col("nt")))
+    j = p.join(hs, "i", "left").join(ts, "j", "left")
+    return j.select(F.coalesce("new_h", "h").alias("h"), "r", F.coalesce("new_t", "t").alias("t"), F.col("h").alias("from_h"), F.col("t").alias("from_t"))
+
+
+def balanced(triples: DataFrame, condition: Column, n: int, seed: int) -> DataFrame:
+    """n draws with replacement from the triples (h, r, t) for which the condition holds, and n from the others: (draw, is_target, h, r, t)."""
+    out = None
+    for side, rows in ((True, triples.where(condition)), (False, triples.where(~condition))):
+        numbered = dense_ids(rows.select(F.struct("h", "r", "t").alias("key")), "key", "i")
+        size = numbered.agg(F.count("*").alias("n"))
+        draws = rows.sparkSession.range(n).crossJoin(size).where("n > 0").select(F.col("id").alias("draw"), (drawn(seed + int(side), F.col("id")) % F.col("n")).alias("i"))
+        got = draws.join(numbered, "i").select("draw", F.lit(side).alias("is_target"), "key.h", "key.r", "key.t")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def joint_caps(edges: DataFrame, order, head_cap: int, tail_cap: int, total: int | None = None, shared: bool = False) -> DataFrame:

@@ -47,10 +47,17 @@ def _(spark, sf):
     return j.groupBy("split").agg(F.countDistinct(F.when(F.col("kh").isNull(), F.col("h"))).alias("heads_missing"), F.countDistinct(F.when(F.col("kt").isNull(), F.col("t"))).alias("tails_missing"))
 
 
-@query("aud04_package_schema", f"WITH {NAMED} SELECT split, count(*) AS n, count(*) FILTER (n = 20) AS k_ok, count(*) AS one_query, count(*) FILTER (n > 0) AS entities_ok FROM pr GROUP BY split")
+PROMPT = "'Options: (' || opts || ') References: ([QUERY], ' || rtrim(repeat('[ENTITY], ', n), ', ') || ') Question: Which compound treats ' || qn || '? Answer:'"
+
+
+@query("aud04_package_schema", f"WITH {NAMED}{subgraph_sql()[len(SQL):]}, p2 AS (SELECT split, row_index, n, CASE WHEN row_index % 6 = 5 THEN replace({PROMPT}, '[QUERY]', '') ELSE {PROMPT} END AS p FROM pr), t2 AS (SELECT split, row_index, bool_and(h IS NOT NULL AND r IS NOT NULL AND t IS NOT NULL) AS ok FROM sub GROUP BY ALL) SELECT p2.split, count(*) AS n, count(*) FILTER (n = 20) AS k_ok, count(*) FILTER ((length(p) - length(replace(p, '[QUERY]', ''))) / 7 = 1) AS one_query, count(*) FILTER ((length(p) - length(replace(p, '[ENTITY]', ''))) / 8 = 20) AS entities_ok, count(*) FILTER (ok) AS triples_ok FROM p2 JOIN t2 ON t2.split = p2.split AND t2.row_index = p2.row_index GROUP BY p2.split")
 def _(spark, sf):
-    p = prompts(Graph(spark, sf)).withColumn("e", F.regexp_count("prompt", F.lit(r"\[ENTITY\]")))
-    return p.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.size("names") == 20).alias("k_ok"), F.count_if(F.regexp_count("prompt", F.lit(r"\[QUERY\]")) == 1).alias("one_query"), F.count_if(F.col("e") == F.size("names")).alias("entities_ok"))
+    """Rows of 20 candidates, with one query and 20 entity references in their prompt, and whole triples in their evidence."""
+    kg = Graph(spark, sf)
+    p = prompts(kg).withColumn("prompt", F.when(F.expr("row_index % 6 = 5"), F.replace("prompt", F.lit("[QUERY]"), F.lit(""))).otherwise(F.col("prompt")))
+    whole = subgraphs(kg).groupBy(*KEY).agg(F.bool_and(F.expr("size(filter(array(string(h), r, string(t)), x -> x is not null)) = 3")).alias("ok"))
+    p = p.join(whole, KEY)
+    return p.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.size("names") == 20).alias("k_ok"), F.count_if(F.regexp_count("prompt", F.lit(r"\[QUERY\]")) == 1).alias("one_query"), F.count_if(F.regexp_count("prompt", F.lit(r"\[ENTITY\]")) == 20).alias("entities_ok"), F.count_if("ok").alias("triples_ok"))
 
 
 @query("aud06_id_ranges", f"WITH {SQL} SELECT r, min(h) AS min_h, max(h) AS max_h, min(t) AS min_t, max(t) AS max_t, count(*) FILTER (h = t) AS loops FROM edges GROUP BY r")

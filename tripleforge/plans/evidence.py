@@ -520,36 +520,43 @@ def _(spark, sf):
     return per.groupBy("split").agg(R(F.avg("covered")).alias("candidate_coverage"))
 
 
-@query("sens01_score_noise")
-def _(spark, sf):
-    """Support with Gaussian noise, seeded by row; ranks after it."""
-    kg = Graph(spark, sf)
-    s = soft_ranked(kg).select(*KEY, "cand", "pos", "support")
+def gauss(seed: int, *key):
+    """A normal deviate for a key, of two draws."""
+    u = lambda n: (splits.drawn(n, *key) + 1) / float(2**52 + 1)
+    return F.sqrt(-2 * F.log(u(seed))) * F.cos(2 * F.pi() * u(seed + 1))
+
+
+def gauss_sql(seed: int, *key: str) -> str:
+    u = lambda n: f"(({splits.drawn_sql(n, *key)} + 1) / {2**52 + 1}::DOUBLE)"
+    return f"(sqrt(-2 * ln({u(seed)})) * cos(2 * pi() * {u(seed + 1)}))"
+
 
-    def run(batches):
-        import random
+@query("sens01_score_noise", f"WITH {FEATURES}, n AS (SELECT *, round(support + 0.05::DOUBLE * {gauss_sql(11, 'split', 'row_index', 'cand')}, 9) AS noisy FROM soft) SELECT split, row_index, cand, round(noisy, 6) AS noisy, row_number() OVER (PARTITION BY split, row_index ORDER BY noisy DESC, pos) AS rank FROM n")
+def _(spark, sf):
+    """Support with Gaussian noise drawn for each row and candidate; ranks after it, equal ones in the old order."""
+    s = soft_ranked(Graph(spark, sf))
+    noisy = s.withColumn("noisy", F.round(F.col("support") + 0.05 * gauss(11, F.col("split"), F.col("row_index"), F.col("cand")), 9))
+    return k.rank_by(noisy, F.desc("noisy"), "pos").select(*KEY, "cand", R("noisy").alias("noisy"), "rank")
 
-        for pdf in batches:
-            pdf["noisy"] = [x + random.Random(f"{a}:{b}:{c}").gauss(0, 0.05) for x, a, b, c in zip(pdf["support"], pdf["split"], pdf["row_index"], pdf["cand"], strict=True)]
-            yield pdf
 
-    noisy = s.mapInPandas(run, "split string, row_index long, cand long, pos int, support double, noisy double")
-    return k.rank_by(noisy, F.desc("noisy"), "pos").select(*KEY, "cand", "rank")
+ROW = ("split", "row_index", "idx")
 
 
-@query("sens02_edge_dropout")
+@query("sens02_edge_dropout", f"WITH {subgraph_sql()}{TF}, nd AS (SELECT split, row_index, idx FROM tch QUALIFY row_number() OVER (PARTITION BY split, row_index, cand ORDER BY {splits.drawn_sql(4, *ROW, 'cand')}, idx) = 1), qd AS (SELECT split, row_index, idx FROM tf WHERE touches_query = 1 QUALIFY row_number() OVER (PARTITION BY split, row_index ORDER BY {splits.drawn_sql(5, *ROW)}, idx) = 1) SELECT split, row_index, idx, h, r, t FROM tf WHERE {splits.drawn_sql(3, *ROW)} % 100 >= 20 OR (split, row_index, idx) IN (SELECT (split, row_index, idx) FROM nd) OR (split, row_index, idx) IN (SELECT (split, row_index, idx) FROM qd)")
 def _(spark, sf):
-    """A fifth of each subgraph's triples dropped by hash, one at least kept for the query and each candidate."""
-    kg = Graph(spark, sf)
-    f, t = scored(kg)
-    need = g.keep_first(t, [*KEY, "cand"], F.xxhash64("idx", "cand")).select(*KEY, "idx").distinct().withColumn("need", F.lit(True))
-    q = g.keep_first(f.where("touches_query = 1"), KEY, F.xxhash64("idx")).select(*KEY, "idx").withColumn("need_q", F.lit(True))
-    out = f.join(need, [*KEY, "idx"], "left").join(q, [*KEY, "idx"], "left")
-    return out.where(F.col("need").isNotNull() | F.col("need_q").isNotNull() | (F.pmod(F.xxhash64(F.lit(3), *KEY, "idx"), F.lit(100)) >= 20)).select(*KEY, "idx", "h", "r", "t")
+    """A fifth of each subgraph's triples dropped by draw, one at least kept for the query and each candidate."""
+    f, t = scored(Graph(spark, sf))
+    row = [F.col(c) for c in ROW]
+    need = g.keep_first(t, [*KEY, "cand"], splits.drawn(4, *row, F.col("cand")), F.col("idx")).select(*ROW)
+    need = need.unionByName(g.keep_first(f.where("touches_query = 1"), KEY, splits.drawn(5, *row), F.col("idx")).select(*ROW)).distinct()
+    out = f.join(need.withColumn("need", F.lit(True)), list(ROW), "left")
+    return out.where(F.col("need").isNotNull() | (splits.drawn(3, *row) % 100 >= 20)).select(*ROW, "h", "r", "t")
 
 
-@query("sens03_random_control")
+@query("sens03_random_control", select_sql(f"{splits.drawn_sql(17, *ROW)}", 0.55, 28, ", 48", f"{CANDIDATE} UNION ALL {FILL.format(p=1)}", False))
 def _(spark, sf):
-    """As many triples as the selection keeps, drawn by hash after those that cover the candidates."""
+    """As many triples as the selection keeps, by draw, after those that cover the candidates."""
     f, t = scored(Graph(spark, sf))
-    return r.select(f.withColumn("score", F.xxhash64(F.lit(17), *KEY, "idx").cast("double")), t, 0.55, 28, 48).select(*KEY, "idx")
+    return r.select(f.withColumn("score", splits.drawn(17, *[F.col(c) for c in ROW])), t, 0.55, 28, 48).select(*KEY, "idx")
+
+

@@ -67,3 +67,14 @@ def _(spark, sf):
 @query("snk06_markdown", "SELECT 0 AS n, '| r_regionkey | r_name |' AS line UNION ALL SELECT 1, '|---|---|' UNION ALL SELECT 2, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region")
 def _(spark, sf):
     return files.markdown(Graph(spark, sf).table("region"))
+
+
+@query("snk06_latex", r"SELECT 0 AS n, '\begin{tabular}{ll}' AS line UNION ALL SELECT 1, '\toprule' UNION ALL SELECT 2, 'r\_regionkey & r\_name \\' UNION ALL SELECT 2 + row_number() OVER (ORDER BY r_regionkey), r_regionkey || ' & ' || r_name || '\% \\' FROM region UNION ALL SELECT 2147483646, '\bottomrule' UNION ALL SELECT 2147483647, '\end{tabular}'")
+def _(spark, sf):
+    return files.latex(Graph(spark, sf).table("region").select("r_regionkey", F.concat("r_name", F.lit("%")).alias("r_name")), ["r_regionkey"])
+
+
+@query("snk06_case_report", "SELECT n_nationkey * 3 + i AS n, CASE i WHEN 0 THEN '## ' || n_name WHEN 1 THEN '- region: ' || n_regionkey ELSE '- note: ' || CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'n/a' END END AS line FROM nation, range(3) t(i)")
+def _(spark, sf):
+    n = Graph(spark, sf).table("nation")
+    return files.case_report(n.select(F.col("n_nationkey").alias("n"), "n_name", F.col("n_regionkey").alias("region"), F.when(F.expr("n_nationkey % 2 = 0"), "even").alias("note")), "n_name", ["region", "note"])

@@ -28,9 +28,9 @@ UNION ALL SELECT 'soft', q.split, q.row_index, coalesce(min(soft_rank), 21) FROM
 
 def both_ranks(kg: Graph):
     """(row_name, split, row_index, gold_rank, present) of the raw and the soft ranking."""
-    q, s = kg.queries(), soft_ranked(kg)
-    out = k.gold_ranks(s, q, "pos").withColumn("row_name", F.lit("raw"))
-    return out.unionByName(k.gold_ranks(s, q, "soft_rank").withColumn("row_name", F.lit("soft")))
+    gold = soft_ranked(kg).where("cand = gold_id").groupBy(*k.KEY).agg(F.min("pos").alias("raw"), F.min("soft_rank").alias("soft"))
+    both = kg.queries().join(gold, k.KEY, "left").unpivot([*k.KEY, "query_id", "gold_id"], ["raw", "soft"], "row_name", "rank")
+    return both.withColumn("gold_rank", F.coalesce("rank", F.lit(k.ABSENT_RANK)).cast("int")).withColumn("present", F.col("rank").isNotNull()).drop("rank")
 
 
 @query("agg01_ranking_metrics", f"WITH {FEATURES}, {RANKS_SQL} " + METRICS_SQL.format(by="row_name, split", source="gr"))

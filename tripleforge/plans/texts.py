@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as k
 from ..operators import text as x
+from ..sources import store
 from ..sources.derived import SQL, Graph
 from .registry import query
 
@@ -57,6 +58,10 @@ NAMED = f"{SQL}, nc AS (SELECT cand.*, name FROM cand JOIN nodes ON id = cand),
 
 
 def prompts(kg: Graph):
+    return store.once(kg.spark, kg.sf_dir, "prompts", lambda: _prompts(kg))
+
+
+def _prompts(kg: Graph):
     names = kg.nodes()
     c = kg.candidates().join(names.select(F.col("id").alias("cand"), "name"), "cand")
     lists = c.groupBy(*KEY, "query_id", "gold_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
@@ -108,6 +113,10 @@ def predictions(kg: Graph):
 
 
 def evaluated(kg: Graph):
+    return store.once(kg.spark, kg.sf_dir, "evaluated", lambda: _evaluated(kg))
+
+
+def _evaluated(kg: Graph):
     """Predictions with the candidate they name (exactly, else the first whose name stands in them), the gold's rank and flags."""
     c = kg.candidates().join(kg.nodes().select(F.col("id").alias("cand"), "name"), "cand")
     m = predictions(kg).select(*KEY, "pred", "gold", "first_name").join(c, KEY)

@@ -219,7 +219,7 @@ def _(spark, sf):
     return splits.split_ladder(Graph(spark, sf).target().select("h", "t"), (500, 400, 300, 250, 200, 100, 50, 20, 5), seed=2026)
 
 
-@query("smp03_fixed_sample")
+@query("smp03_fixed_sample", f"WITH {SQL} SELECT h, t FROM target ORDER BY {splits.drawn_sql(7, 'h', 't')}, h, t LIMIT 40")
 def _(spark, sf):
     return splits.fixed_sample(Graph(spark, sf).target().select("h", "t"), 40, seed=7)
 
@@ -232,13 +232,15 @@ def _(spark, sf):
     return x.groupBy("split").agg(F.count("*").alias("n_before"), F.count_if("in_h").alias("n_head"), F.count_if(F.expr("in_h and in_t")).alias("n_both"))
 
 
-@query("smp05_negative_sampling")
+@query("smp05_negative_sampling", f"WITH {SQL}, p AS (SELECT h, r, t, (r = 'CtD' OR {splits.drawn_sql(5, 'h', 'r', 't')} % 2 = 0) AS head FROM (SELECT * FROM train UNION ALL SELECT * FROM aux)), hs AS (SELECT cand AS new_h, row_number() OVER (ORDER BY cand) - 1 AS i FROM pop), ts AS (SELECT id AS new_t, row_number() OVER (ORDER BY id) - 1 AS j FROM nodes) SELECT coalesce(new_h, h) AS h, r, coalesce(new_t, t) AS t, h AS from_h, t AS from_t FROM p LEFT JOIN hs ON head AND i = {splits.drawn_sql(6, 'h', 'r', 't')} % (SELECT count(*) FROM hs) LEFT JOIN ts ON NOT head AND j = {splits.drawn_sql(7, 'h', 'r', 't')} % (SELECT count(*) FROM ts)")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return splits.negatives(kg.train(), kg.popularity().select(F.col("cand").alias("h")), kg.nodes().where("kind = 'Disease'").select(F.col("id").alias("t")), seed=5)
+    return splits.negatives(kg.train().unionByName(kg.auxiliary().select("h", "r", "t")), kg.popularity().select(F.col("cand").alias("h")), kg.nodes().select(F.col("id").alias("t")), "CtD", seed=5)
 
 
-@query("smp06_balanced_sampling")
+SIDE = "SELECT {n} AS is_target, h, r, t, row_number() OVER (ORDER BY h, r, t) - 1 AS i, count(*) OVER () AS n FROM edges WHERE {w}"
+
+
+@query("smp06_balanced_sampling", f"WITH {SQL}, a AS ({SIDE.format(n='true', w="r = 'CtD'")}), b AS ({SIDE.format(n='false', w="r <> 'CtD'")}) SELECT d AS draw, is_target, h, r, t FROM range(1000) x(d) JOIN a ON i = {splits.drawn_sql(10, 'd')} % n UNION ALL SELECT d, is_target, h, r, t FROM range(1000) x(d) JOIN b ON i = {splits.drawn_sql(9, 'd')} % n")
 def _(spark, sf):
-    kg = Graph(spark, sf)
-    return splits.balanced(kg.edges(), F.col("r") == "CtD", 1000, seed=9)
+    return splits.balanced(Graph(spark, sf).edges(), F.col("r") == "CtD", 1000, seed=9)

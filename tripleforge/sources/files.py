@@ -246,3 +246,24 @@ def markdown(df: DataFrame) -> DataFrame:
     body = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("line"))
     head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "n int, line string")
     return head.unionByName(body.select(F.lit(2).alias("n"), "line"))
+
+
+def latex(df: DataFrame, order) -> DataFrame:
+    """Lines (n, line) of a LaTeX table: header, a row for each row of df in an order, rules around them; special characters escaped."""
+    def cell(c: str):
+        return F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([&%$#_{}])", r"\\$1")
+
+    from pyspark.sql import Window
+
+    body = df.withColumn("n", F.row_number().over(Window.orderBy(*order)) + 2).select("n", F.concat(F.concat_ws(" & ", *[cell(c) for c in df.columns]), F.lit(r" \\")).alias("line"))
+    plain = lambda x: "".join("\\" + ch if ch in "&%$#_{}" else ch for ch in x)
+    spark = df.sparkSession
+    head = spark.createDataFrame([(0, r"\begin{tabular}{" + "l" * len(df.columns) + "}"), (1, r"\toprule"), (2, " & ".join(map(plain, df.columns)) + r" \\")], "n int, line string")
+    end = spark.createDataFrame([(2**31 - 2, r"\bottomrule"), (2**31 - 1, r"\end{tabular}")], "n int, line string")
+    return head.unionByName(body).unionByName(end)
+
+
+def case_report(df: DataFrame, title: str, fields) -> DataFrame:
+    """(n, line) of a report: a heading for each row of df (its column n, from 0) and a line for each field; a null field is n/a."""
+    lines = [F.concat(F.lit("## "), F.col(title))] + [F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("n/a"))) for c in fields]
+    return df.select(F.col("n").alias("case"), F.posexplode(F.array(*lines)).alias("at", "line")).select((F.col("case") * len(lines) + F.col("at")).alias("n"), "line")
