@@ -1,6 +1,7 @@
 """Text operators against brute force and on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -317,6 +318,78 @@ def test_tool_calls(spark):
     assert any(r.status == "malformed" for r in got)
 
 
+KINDS = {"string": str, "integer": int, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+
+
+def meets(schema, v):
+    """Brute force: does a value meet a schema?"""
+    def of(kind):
+        if kind == "number":
+            return isinstance(v, (int, float)) and not isinstance(v, bool)
+        return isinstance(v, KINDS[kind]) and (kind != "integer" or not isinstance(v, bool))
+
+    types = schema.get("type")
+    if types is not None and not any(map(of, types if isinstance(types, list) else [types])):
+        return False
+    if "enum" in schema and not any(type(x) is type(v) and x == v for x in schema["enum"]):
+        return False
+    closed, props = "properties" in schema or "items" in schema, schema.get("properties", {})
+    if isinstance(v, dict):
+        return all(k in v for k in schema.get("required", [])) and all(meets(props[k], x) if k in props else not closed for k, x in v.items())
+    if isinstance(v, list):
+        return all(meets(schema["items"], x) if "items" in schema else not closed for x in v)
+    return True
+
+
+def test_tool_calls_equal_brute_force(spark):
+    rnd = random.Random(11)
+    keys = ["a", "b/c", "d~", "*"]
+
+    def schema(depth):
+        kind = rnd.choice(["string", "integer", "number", "boolean", ["string", "null"], "object", "object", "array"])
+        out = {"type": kind} if rnd.random() < 0.9 else {}
+        if kind == "object" and rnd.random() < 0.8:
+            out["properties"] = {k: schema(depth - 1) if depth else {} for k in rnd.sample(keys, 2)}
+            out["required"] = rnd.sample(sorted(out["properties"]), rnd.randrange(2))
+        if kind == "array" and rnd.random() < 0.8:
+            out["items"] = schema(depth - 1) if depth else {}
+        if kind in ("string", "integer") and rnd.random() < 0.3:
+            out["enum"] = ["x", 1]
+        return out
+
+    def value(s, depth=4):
+        if rnd.random() < 0.1 or depth == 0:
+            return rnd.choice(["x", "y", 1, 2, 1.5, True, None, [], {}, [1], {"a": 1}])
+        kind = s.get("type") or rnd.choice(sorted(KINDS))
+        kind = rnd.choice(kind) if isinstance(kind, list) else kind
+        if kind == "object":
+            return {k: value(s.get("properties", {}).get(k, {}), depth - 1) for k in [*s.get("properties", keys[:1]), *rnd.sample(keys, int(rnd.random() < 0.15))] if rnd.random() < 0.9}
+        if kind == "array":
+            return [value(s.get("items", {}), depth - 1) for _ in range(rnd.randrange(3))]
+        return {"string": "x", "integer": 1, "number": 1.5, "boolean": True, "null": None}[kind]
+
+    turns, want = [], {}
+    for c in range(40):
+        s = {"type": "object", "properties": {k: schema(2) for k in rnd.sample(keys, 2)}, "required": []}
+        turns.append((c, 0, "system", f'<tools>{json.dumps([{"name": "f", "parameters": s}, {"name": "open"}])}</tools>', "x"))
+        for k in range(6):
+            args, name = value(s) if k else value({}), rnd.choice(["f", "f", "f", "open", "none"])
+            if rnd.random() < 0.05:
+                args = "text"
+            turns.append((c, k + 1, "assistant", f'<tool_call>{json.dumps({"name": name, "id": str(k), "arguments": args})}</tool_call>', "y"))
+            answered = rnd.random() < 0.7
+            if answered:
+                turns.append((c, 20, "tool", f'<tool_result>{json.dumps({"id": str(k), "content": k})}</tool_result>', "z"))
+            fine = isinstance(args, dict) and (name == "open" or meets(s, args))
+            want[c, str(k)] = "undeclared" if name == "none" else "invalid" if not fine else "ok" if answered else "unanswered"
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, path string")
+    got = {(r.conv_id, r.call_id): r.status for r in toolcalls.formatted(df).where("kind = 'call'").collect()}
+    assert got == want and {"ok", "invalid", "unanswered", "undeclared"} == set(want.values())
+    assert toolcalls.formatted(df.limit(0)).count() == 0
+    twice = toolcalls.formatted(df.where("conv_id = 0").unionAll(df.where("conv_id = 0"))).where("kind = 'call'").collect()
+    assert len(twice) == 12 and sum(r.status == "duplicate" for r in twice) == 6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
