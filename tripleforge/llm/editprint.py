@@ -7,8 +7,7 @@ fixed random steps below 2 * 2**level, for the levels ceil(log2 n) and one more;
 share a level. A sample is 4 bits of its character and step as a hex digit, or '-' for padding. Likeness of two fingerprints is the share
 of equal samples at the levels they share, not counting those where both are padding; 0 without a common level.
 
-Near texts: samples are cut into bands, texts with an equal band of one level meet in a bucket, each is paired with the bucket's first (no
-pairs of all with all), and the pairs are verified by their edit distance.
+Near texts (near_texts): samples of several walks are cut into bands, texts with an equal band of one level meet in a bucket, and links within buckets are verified by edit distance.
 
 Null texts count as empty; all empty texts have one fingerprint, and likeness 1 to each other. Documents are ordered by doc_id (null last), then text. Repeated rows follow one another. A
 single document is its own next one. An empty table gives an empty result. Extra columns are ignored.
@@ -23,10 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, lean, regrouped
+from .common import Kept, components, lean, regrouped
 
 SAMPLES, SEED, BLOCK, PAD = 128, 77, 4096, 255
-BAND = 8
+#: Samples of a band, least likeness to be verified between members of an open bucket, and walks that near_texts bands.
+BAND, LIKE, WALKS = 8, 0.2, 3
+#: Texts of a block in a bucket whose texts are not all linked.
+BLOCK_TEXTS = 128
+#: Vertices are the least doc_id of a text's rows times this, plus a remainder of the text's digest.
+SPAN = 10**12
 LAST = 2**63 - 1
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
@@ -37,9 +41,9 @@ def _kinds(text: str) -> np.ndarray:
     return np.where(cp < 128, cp, 128 + (cp * np.uint32(2654435761) >> np.uint32(9)) % np.uint32(127)).astype(np.uint8)
 
 
-def _bits(block: int) -> np.ndarray:
-    """Random bits of BLOCK steps for each kind of character; padding never moves."""
-    raw = np.random.Generator(np.random.Philox(key=SEED, counter=[0, 0, 0, block])).bytes(BLOCK * 32)
+def _bits(block: int, walk: int = 0) -> np.ndarray:
+    """Random bits of BLOCK steps for each kind of character; padding never moves. Walks of other numbers have bits of their own."""
+    raw = np.random.Generator(np.random.Philox(key=SEED + 1000 * walk, counter=[0, 0, 0, block])).bytes(BLOCK * 32)
     bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(BLOCK, 256)
     bits[:, PAD] = 0
     return bits.astype(np.int64)
@@ -54,7 +58,7 @@ def level_of(n: int) -> int:
     return max(0, int(n - 1).bit_length()) if n > 0 else 0
 
 
-def _walk(texts: list[np.ndarray], level: int, samples: int) -> np.ndarray:
+def _walk(texts: list[np.ndarray], level: int, samples: int, walk: int = 0) -> np.ndarray:
     """Samples of texts of one level, as ASCII, at that level and the next."""
     sizes = np.array([len(t) + 1 for t in texts])
     flat = np.full(sizes.sum(), PAD, np.uint8)
@@ -67,7 +71,7 @@ def _walk(texts: list[np.ndarray], level: int, samples: int) -> np.ndarray:
     pointer, now = start.copy(), np.empty(len(texts), np.uint8)
     move, k = np.empty(len(texts), np.int64), 0
     for block in range(int(at.max()) // BLOCK + 1):
-        bits = _bits(block)
+        bits = _bits(block, walk)
         for j in range(BLOCK):
             flat.take(pointer, out=now, mode="clip")
             step = block * BLOCK + j
@@ -83,14 +87,14 @@ def _walk(texts: list[np.ndarray], level: int, samples: int) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: list[str], samples: int = SAMPLES) -> list[str]:
+def fingerprints(texts: list[str], samples: int = SAMPLES, walk: int = 0) -> list[str]:
     kinds = [_kinds(t) for t in texts]
     by_level: dict = {}
     for i, t in enumerate(kinds):
         by_level.setdefault(level_of(len(t)), []).append(i)
     out = [""] * len(texts)
     for level, group in by_level.items():
-        for i, row in zip(group, _walk([kinds[i] for i in group], level, samples), strict=True):
+        for i, row in zip(group, _walk([kinds[i] for i in group], level, samples, walk), strict=True):
             out[i] = f"{level}:{row.tobytes().decode()}"
     return out
 
@@ -202,22 +206,77 @@ def _run(a: str, b: str, i: int, j: int) -> int:
     return i
 
 
-def near_texts(docs: DataFrame, share: float = 0.05, samples: int = SAMPLES, band: int = BAND) -> DataFrame:
-    """Verified pairs (a, b, distance) of documents whose edit distance is at most share of the longer text: each document with the first of a bucket it falls in."""
+def _near(a: str, b: str, share: float) -> bool:
+    return edit_distance(a, b, int(share * max(len(a), len(b)))) is not None
+
+
+def _placed(docs: DataFrame, samples: int, band: int) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of every row with a text, v its text's vertex; and (v, key, print) of the buckets of each vertex that more than one falls into. Equal texts are one vertex."""
     def sign(batches):
         for pdf in regrouped(batches, lambda p: int(p["text"].str.len().sum()), 16_000_000):
-            yield pd.DataFrame({"id": pdf["id"], "print": fingerprints(pdf["text"].tolist(), samples)})
-
-    src = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("id"), "text")
-    signed = Kept(src.mapInPandas(sign, "id long, print string"), "prints").df
+            for walk in range(WALKS):
+                yield pd.DataFrame({"v": pdf["v"], "walk": walk, "print": fingerprints(pdf["text"].tolist(), samples, walk)})
+
+    d38 = "decimal(38,0)"
+    rows = docs.where("text <> ''").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    own = Kept(rows.groupBy("digest").agg(F.min("id").alias("least")).select("digest", (F.col("least").cast("decimal(19,0)") * F.lit(SPAN).cast("decimal(13,0)") + F.pmod(F.xxhash64("digest"), F.lit(SPAN)).cast("decimal(12,0)")).cast(d38).alias("v")), "texts").df
+    vertex = Kept(rows.select("id", "digest").join(own, "digest").select("id", "digest", "v"), "vertices").df
+    one = rows.join(own, "digest").groupBy("v").agg(F.first("text").alias("text"))
+    signed = Kept(one.select(F.col("v").cast("string").alias("v"), "text").mapInPandas(sign, "v string, walk int, print string").select(F.col("v").cast(d38).alias("v"), "walk", "print"), "prints").df
     level, body = F.split("print", ":")[0].cast("int"), F.split("print", ":")[1]
-    bands = F.array(*[F.when(F.substring(body, 1 + k * band, band) != "-" * band, F.xxhash64(level + int(k * band >= samples), F.lit(k % (samples // band)), F.substring(body, 1 + k * band, band))) for k in range(2 * samples // band)])
-    placed = Kept(signed.select("id", F.explode(bands).alias("key")).where("key is not null"), "print-bands").df
-    first = placed.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = placed.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    bands = F.array(*[F.when(F.substring(body, 1 + k * band, band) != "-" * band, F.xxhash64("walk", level + int(k * band >= samples), F.lit(k % (samples // band)), F.substring(body, 1 + k * band, band))) for k in range(2 * samples // band)])
+    placed = signed.select("v", "print", F.explode(F.array_compact(bands)).alias("key"))
+    mark = F.xxhash64("v")
+    shared = placed.groupBy("key").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("key")
+    return vertex, Kept(placed.join(shared, "key"), "print-bands").df
 
-    def verify(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(p, q, int(share * max(len(p), len(q)))) for p, q in zip(x, y, strict=True)], dtype="Int64")
 
-    both = pairs.join(src.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(src.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", F.pandas_udf(verify, "long")("ta", "tb").alias("distance")).where("distance is not null")
+def near_texts(docs: DataFrame, share: float = 0.05, samples: int = SAMPLES, band: int = BAND, like: float = LIKE) -> DataFrame:
+    """doc_id, class_id (least doc_id reachable over links, null last), n_links (of the row's text with other texts) for each row of docs.
+
+    Two texts are linked if they share a bucket of a band and their edit distance is at most `share` of the longer one. Each bucket first links its members to its
+    least one; where members stay in different components, all pairs between these are compared too, by blocks within tasks, and verified from a likeness of
+    `like` on. Only links leave a task. Empty and null texts are classes of their own row with no links.
+    """
+    lean(docs.sparkSession)
+    vertex, placed = _placed(docs, samples, band)
+    text = docs.where("text <> ''").select(F.md5(F.col("text").cast("binary")).alias("digest"), "text").join(vertex.groupBy("digest").agg(F.first("v").alias("v")), "digest").groupBy("v").agg(F.first("text").alias("text"))
+    ends = placed.select("v").distinct()
+    text = Kept(text.join(ends, "v", "left_semi"), "near-texts").df
+    stars = Kept(placed.join(placed.groupBy("key").agg(F.min("v").alias("a")), "key").where("v <> a").select("a", F.col("v").alias("b")).distinct(), "print-stars").df
+
+    def verify(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_near(p, q, share) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    both = stars.join(text.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(text.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
+    links = Kept(both.where(F.pandas_udf(verify, "boolean")("ta", "tb")).select("a", "b"), "print-links").df
+    found = components(links, "print-parts")
+
+    rooted = Kept(placed.join(found, "v", "left").select("key", "v", "print", F.coalesce("root", "v").alias("root")), "print-rooted").df
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    # Members of an open bucket are dealt into blocks; each pair of blocks is one task's.
+    dealt = rooted.join(open_, "key").withColumn("of", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")).withColumn("at", F.pmod(F.xxhash64("v"), F.col("of")).cast("int"))
+    left = dealt.select("key", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"), F.lit(0).alias("side"), "v", "root", "print")
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "v", "root", "print")
+    met = left.unionByName(right).join(text, "v").withColumn("v", F.col("v").cast("string")).withColumn("root", F.col("root").cast("string"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["side"] == k].reset_index(drop=True) for k in (0, 1))
+        out = []
+        for v, root, mark, t in zip(a["v"], a["root"], a["print"], a["text"], strict=True):
+            for k in np.flatnonzero((b["root"] != root).to_numpy()):
+                if v < b["v"][k] or pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+                    if likeness(mark, b["print"][k]) >= like and _near(t, b["text"][k], share):
+                        out.append((v, b["v"][k]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    more = met.groupBy("key", "i", "j").applyInPandas(compare, "a string, b string").select(F.col("a").cast("decimal(38,0)").alias("a"), F.col("b").cast("decimal(38,0)").alias("b"))
+    links = Kept(links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print-all-links").df
+    found = components(links, "print-classes")
+    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
+    one = vertex.select("digest", "v").distinct().join(found, "v", "left").join(degree, "v", "left")
+    part = F.expr(f"(x - pmod(x, cast({SPAN} as decimal(13,0)))) div cast({SPAN} as decimal(13,0))")
+    one = one.select("digest", F.coalesce("root", "v").alias("x"), "n_links").select("digest", part.alias("part"), "n_links")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))).alias("digest"))
+    out = rows.join(one, "digest", "left")
+    return out.select("doc_id", F.when(F.coalesce("part", "doc_id") != LAST, F.coalesce("part", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -25,6 +25,11 @@ def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op3: its fingerprints banded, and near texts verified."""
+    return editprint.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +59,7 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"near_texts": near_texts}
 
 
 def oracle_sql() -> dict[str, str]:
