@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripleforge.operators import graph, ranking, retrieval, splits, text
-from tripleforge.plans import registry
+from tripleforge.plans import evidence, registry
+from tripleforge.sources import files
+from tripleforge.sources.derived import Graph
 
 
 def test_held_out_keeps_coverage():
@@ -35,7 +37,7 @@ def test_selection_equals_the_loop(spark):
         target, out = min(len(mine), max(4, round(len(mine) * 0.55)), 9), []
         target = min(min(len(mine), max(4, round(len(mine) * 0.55))), 9)
         offers = [next(r[2] for r in mine if ("s", q, r[2], c, c) in hits) for c in range(1, 6) if any(h[1] == q and h[3] == c for h in hits)]
-        offers += [r[2] for r in mine if r[4]] + [r[2] for r in mine]
+        offers += [r[2] for r in mine if r[4]][:1] + [r[2] for r in mine]
         for i in offers:
             if len(out) < target and i not in out:
                 out.append(i)
@@ -60,15 +62,137 @@ def test_answers(spark):
     assert [r[0] for r in df.select(text.loose(F.col("p"))).collect()] == ["foo bar", "", None]
 
 
-def test_joint_caps_reach_late_edges(spark, tmp_path, monkeypatch):
-    full = [(c, (c - 1) // 40 * 80 + k) for c in range(1, 201) for k in range(1, 81)]
-    hub = [(201, t) for t in range(1, 411)]
-    spark.createDataFrame([(c, t, "A") for c, t in full + hub], "l_suppkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = registry.QUERIES["gr15_filtered_graph"](spark, str(tmp_path))
-    assert sorted(r.t for r in got.where("h = 603").collect()) == [3 * t + 1 for t in range(401, 411)]
+def capped_loop(edges, head_cap, tail_cap, total=10**9, shared=False):
+    heads, tails, out = {}, {}, []
+    tails = heads if shared else tails
+    for h, r, t in edges:
+        if len(out) < total and heads.get(h, 0) < head_cap and tails.get(t, 0) < tail_cap:
+            heads[h] = heads.get(h, 0) + 1
+            tails[t] = tails.get(t, 0) + 1
+            out.append((h, r, t))
+    return out
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_joint_caps_equal_the_loop(spark, shared, monkeypatch):
+    rnd = random.Random(4)
+    edges = sorted({(rnd.randrange(30), rnd.choice("ab"), rnd.randrange(30)) for _ in range(500)}, key=lambda e: (e[0], e[2], e[1]))
+    df = spark.createDataFrame(edges, "h long, r string, t long").repartition(5)
+    got = splits.joint_caps(df, ["h", "t", "r"], 9, 7, 150, shared).collect()
+    assert sorted(map(tuple, got)) == sorted(capped_loop(edges, 9, 7, 150, shared))
     monkeypatch.setattr(splits, "GREEDY_ROWS", 100)
     with pytest.raises(ValueError):
-        registry.QUERIES["gr15_filtered_graph"](spark, str(tmp_path))
+        splits.joint_caps(df, ["h", "t", "r"], 9, 7)
+
+
+@pytest.mark.parametrize("name", ["gr15_filtered_graph", "gr16_status_graph"])
+def test_filtered_graphs_equal_the_loop(spark, name, monkeypatch):
+    """The passes of the graph build as plain loops, with caps small enough to matter."""
+    caps = {"COMPOUND_GENES": 7, "DISEASE_GENES": 5, "PAIRS_EACH": 2, "GENE_GENES": 2}
+    for k, v in caps.items():
+        monkeypatch.setattr(evidence, k, v)
+    sf = "/root/testdata/sf0.001"
+    kg = Graph(spark, sf)
+    rows = lambda df: sorted({(r.h, r.r, r.t) for r in df.select("h", "r", "t").collect()}, key=lambda e: (e[0], e[2], e[1]))
+    target, train, held = rows(kg.target()), rows(kg.train()), {(r.h, r.t) for r in kg.target().where("split <> 'train'").collect()}
+    compounds, diseases = {h for h, _, _ in target}, {t for _, _, t in target}
+
+    def first(edges, cap, keep):
+        n, out = {}, []
+        for h, r, t in sorted(edges, key=lambda e: (e[0], e[1], e[2])):
+            if h in keep and n.get(h, 0) < cap:
+                n[h] = n.get(h, 0) + 1
+                out.append((h, r, t))
+        return out
+
+    if name == "gr15_filtered_graph":
+        cg, dg = first(rows(kg.compound_gene()), 7, compounds), first(rows(kg.disease_gene()), 5, diseases)
+        want = train + cg + dg + capped_loop([e for e in rows(kg.auxiliary()) if e[0] in compounds and e[2] in diseases], 2, 2)
+        genes = {t for _, _, t in cg + dg}
+    else:
+        bad = rows(kg.failed())
+        cg = first(rows(kg.compound_gene()), 7, compounds | {h for h, _, _ in bad})
+        want = train + cg + capped_loop([e for e in bad if (e[0], e[2]) not in held], 2, 2)
+        genes = {t for _, _, t in cg}
+    want += capped_loop([e for e in rows(kg.gene_gene()) if e[0] in genes and e[2] in genes], 2, 2, shared=True)
+    assert sorted(map(tuple, registry.QUERIES[name](spark, sf).collect())) == sorted(want)
+
+
+def test_short_paths_equal_the_search(spark):
+    rnd = random.Random(6)
+    edges = sorted({(rnd.randrange(14), rnd.choice("ab"), rnd.randrange(14)) for _ in range(22)})
+    edges = [e for e in edges if e[0] != e[2]]
+    pairs = [(a, b) for a in range(14) for b in range(14) if a != b]
+    near = {}
+    for h, r, t in edges:
+        near.setdefault(h, []).append((r, t, h, (h, r, t)))
+        near.setdefault(t, []).append((r, h, h, (h, r, t)))
+    for v in near.values():
+        v.sort()
+    want = set()
+    for a, b in pairs:
+        queue, seen = [(a, [])], {a}
+        while queue:
+            node, path = queue.pop(0)
+            if len(path) == 3:
+                continue
+            hit = next((p for _, nb, _, e in near.get(node, []) if nb == b for p in [path + [e]]), None)
+            if hit and not any(nb == b for q, _ in queue for _, nb, _, _ in ()):
+                want |= {(a, b, k, *e) for k, e in enumerate(hit)}
+                break
+            for _, nb, _, e in near.get(node, []):
+                if nb not in seen:
+                    seen.add(nb)
+                    queue.append((nb, path + [e]))
+    e = spark.createDataFrame(edges, "h long, r string, t long")
+    got = graph.short_paths(spark.createDataFrame(pairs, "a long, b long"), e)
+    assert {tuple(r) for r in got.collect()} == want
+    lengths = {}
+    for a, b in pairs:
+        last, seen, d = {a}, {a}, 0
+        while last and b not in last:
+            last = {nb for v in last for _, nb, _, _ in near.get(v, [])} - seen
+            seen |= last
+            d += 1
+        if last:
+            lengths[a, b] = d
+    found = {}
+    for r in graph.shortest_paths(spark.createDataFrame(pairs, "a long, b long"), e).collect():
+        assert any(nb == r.dst for _, nb, _, _ in near[r.src])
+        found.setdefault((r.a, r.b), []).append((r.step, r.src, r.dst))
+    assert {k: len(v) for k, v in found.items()} == lengths
+    assert all(sorted(v)[0][1] == a and sorted(v)[-1][2] == b for (a, b), v in found.items())
+
+
+def test_split_ladder_finds_what_some_attempt_reaches(spark):
+    rnd = random.Random(12)
+    edges = sorted({(rnd.randrange(12), rnd.randrange(12)) for _ in range(70)})
+    sizes = (30, 25, 20, 15, 10, 5)
+    got = splits.split_ladder(spark.createDataFrame(edges, "h long, t long"), sizes, 3).first()
+    want = next((s for s in sizes if 2 * s < len(edges) and splits.held_out(edges, s, s, 3)), 0)
+    assert (got.n_edges, got["size"]) == (len(edges), want)
+
+
+def test_archives_stay_inside(tmp_path):
+    import tarfile
+    import zipfile
+
+    (tmp_path / "a.txt").write_text("x")
+    with zipfile.ZipFile(tmp_path / "ok.zip", "w") as z:
+        z.write(tmp_path / "a.txt", "in/a.txt")
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../out.txt", "x")
+    with tarfile.open(tmp_path / "ok.tar", "w") as t:
+        t.add(tmp_path / "a.txt", "in/b.txt")
+    with tarfile.open(tmp_path / "bad.tar", "w") as t:
+        t.add(tmp_path / "a.txt", "../../out.txt")
+    to = tmp_path / "to"
+    assert files.extract(str(tmp_path / "ok.zip"), str(to)) == ["in/a.txt"] and files.extract(str(tmp_path / "ok.tar"), str(to)) == ["in/b.txt"]
+    assert (to / "in/a.txt").read_text() == (to / "in/b.txt").read_text() == "x"
+    for bad in ("bad.zip", "bad.tar"):
+        with pytest.raises(ValueError):
+            files.extract(str(tmp_path / bad), str(to))
+    assert not (tmp_path / "out.txt").exists()
 
 
 def test_dynamic_ids_have_no_cap(spark, tmp_path):

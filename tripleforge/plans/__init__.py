@@ -1 +1,6 @@
+"""Queries, one for each operator; importing the package registers them all."""
 
+import importlib
+
+for _part in ("metrics", "windows", "evidence", "texts", "relational", "audits", "learned", "inputs", "rows", "choices", "words", "stored"):
+    importlib.import_module(f"tripleforge.plans.{_part}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -17,7 +15,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-for _part in ("metrics", "windows", "evidence", "texts", "relational", "audits", "learned", "inputs", "rows", "choices", "words", "stored"):
-    importlib.import_module(f"tripleforge.plans.{_part}")
