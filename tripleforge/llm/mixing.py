@@ -150,7 +150,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block_words: int = B
 
     slots = numbered.mapInPandas(fill, "shard long, slot long, sid int, block long")
     draws = slots.groupBy("sid", "block").agg(F.count("*").alias("draws"))
-    taken = blocks.join(draws, ["sid", "block"]).groupBy("sid", "bucket", "rn").agg(F.sum(F.col("n_words") * F.col("draws")).alias("taken"))
+    # Spark knows no size of what Python makes; without the hint it takes the draws for as small as the counts and sends them everywhere.
+    taken = blocks.join(draws.hint("merge"), ["sid", "block"]).groupBy("sid", "bucket", "rn").agg(F.sum(F.col("n_words") * F.col("draws")).alias("taken"))
     out = placed.df.join(taken, ["sid", "bucket", "rn"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     named = F.broadcast(sources.select("sid", "source"))
     return {"documents": out, "slots": slots.join(named, "sid").select("shard", "slot", "source", "block"), "blocks": blocks.join(named, "sid").select("source", "block", "doc_id", "first_word", "n_words")}
