@@ -49,7 +49,7 @@ def rotate(h: Column, r: Column, t: Column, dim: int) -> Column:
 def mean_messages(edges: DataFrame, vectors: DataFrame, gates: DataFrame) -> DataFrame:
     """One layer: each node's mean over incoming edges (src, r, dst) of the source's vector times the relation's gate, plus its own vector, cut at 0. (id, k, x)."""
     src = vectors.select(F.col("id").alias("src"), "vec")
-    msg = edges.join(src, "src").join(F.broadcast(gates), "r").select("dst", F.posexplode(_mul(F.col("vec"), F.col("gate"))).alias("k", "m"))
+    msg = edges.join(src, "src").join(gates, "r").select("dst", F.posexplode(_mul(F.col("vec"), F.col("gate"))).alias("k", "m"))
     mean = msg.groupBy(F.col("dst").alias("id"), "k").agg(F.avg("m").alias("m"))
     own = vectors.select("id", F.posexplode("vec").alias("k", "v"))
     return own.join(mean, ["id", "k"], "left").select("id", "k", F.greatest(F.col("v") + F.coalesce("m", F.lit(0.0)), F.lit(0.0)).alias("x"))

@@ -160,7 +160,7 @@ def column_roles(names: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
 def questions(triples: DataFrame, lexicon: DataFrame, name: str) -> DataFrame:
     """triples (r, side) with the lexicon's question about `name`, or the general one."""
     template = F.coalesce("template", F.lit("What is related to {}?"))
-    return triples.join(F.broadcast(lexicon), ["r", "side"], "left").withColumn("question", F.replace(template, F.lit("{}"), F.col(name))).drop("template")
+    return triples.join(lexicon, ["r", "side"], "left").withColumn("question", F.replace(template, F.lit("{}"), F.col(name))).drop("template")
 
 
 def display_name(shown: Column, raw: Column, entity: Column) -> Column:

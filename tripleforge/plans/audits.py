@@ -30,7 +30,7 @@ def _(spark, sf):
     t = kg.target()
     known = kg.popularity().select(F.col("cand").alias("h"), F.lit(1).alias("known"))
     per = t.groupBy("h", "t").agg(F.count_if(F.col("split") == "train").alias("tr"), F.count_if(F.col("split") != "train").alias("he")).agg(F.coalesce(F.sum(F.col("tr") * F.col("he")), F.lit(0)).alias("overlap"))
-    out = t.where("split <> 'train'").join(F.broadcast(known), "h", "left").agg(F.count_if(F.col("known").isNull()).alias("outside"))
+    out = t.where("split <> 'train'").join(known, "h", "left").agg(F.count_if(F.col("known").isNull()).alias("outside"))
     kind = t.agg(F.count_if(F.expr("h % 3 <> 0 or t % 3 <> 2")).alias("wrong_type"))
     x = per.crossJoin(out).crossJoin(kind)
     named = [F.when(F.col(c) > 0, c) for c in ("overlap", "outside", "wrong_type")]

@@ -56,7 +56,7 @@ def _(spark, sf):
 def _(spark, sf):
     e = Graph(spark, sf).edges()
     rid = e.select("r").distinct().withColumn("rid", F.row_number().over(Window.orderBy("r")) - 1)
-    return e.join(F.broadcast(rid), "r").groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.col("h") + F.col("t")).alias("ids"))
+    return e.join(rid, "r").groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.col("h") + F.col("t")).alias("ids"))
 
 
 @query("jn11_dynamic_ids", f"WITH {SQL}, n AS (SELECT max(id) AS m FROM nodes), u AS (SELECT props AS tok, min(event_id) AS f FROM events GROUP BY props) SELECT tok, m + row_number() OVER (ORDER BY f) AS id FROM u, n")

@@ -136,7 +136,7 @@ def _(spark, sf):
 @query("topk03_supervised", f"WITH {SQL}, u AS (SELECT cand, row_number() OVER (ORDER BY score DESC, cand) AS o FROM pop), x AS (SELECT train.h AS gold, train.t AS query_id, cand, row_number() OVER (PARTITION BY train.h, train.t ORDER BY o) AS n FROM train, u WHERE cand <> train.h) SELECT query_id, gold, n + 1 AS pos, cand FROM x WHERE n <= 19 UNION ALL SELECT t, h, 1, h FROM train")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    u = kg.popularity().withColumn("o", F.row_number().over(Window.orderBy(F.desc("score"), "cand"))).where("o <= 20")
+    u = kg.ranked().where("place <= 20").select("cand", F.col("place").alias("o"))
     t = kg.train().select(F.col("t").alias("query_id"), F.col("h").alias("gold"))
     x = t.crossJoin(F.broadcast(u)).where("cand <> gold").withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "gold").orderBy("o")) + 1).where("pos <= 20")
     return x.select("query_id", "gold", "pos", "cand").unionByName(t.select("query_id", "gold", F.lit(1).alias("pos"), F.col("gold").alias("cand")))

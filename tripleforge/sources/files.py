@@ -29,7 +29,7 @@ def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> tup
     """(encoded h, r, t; triples with an unknown name). entities and relations are (name, id)."""
     h, t = (entities.select(F.col("name").alias(c), F.col("id").alias(i)) for c, i in (("head", "h"), ("tail", "t")))
     r = relations.select(F.col("name").alias("relation"), F.col("id").alias("r"))
-    j = triples.join(h, "head", "left").join(F.broadcast(r), "relation", "left").join(t, "tail", "left")
+    j = triples.join(h, "head", "left").join(r, "relation", "left").join(t, "tail", "left")
     ok = F.col("h").isNotNull() & F.col("r").isNotNull() & F.col("t").isNotNull()
     return j.where(ok).select("h", "r", "t"), j.where(~ok).select("head", "relation", "tail")
 
