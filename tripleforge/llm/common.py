@@ -129,6 +129,26 @@ def small_enough(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+#: Rows of a key that meet in one task, and keys of more rows than that which are sent to every executor.
+KEY_ROWS, HOT_KEYS = 1000, 50_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], copies: str, row: Column) -> DataFrame:
+    """rows joined with groups, a row for each key, which tell by `copies` how many rows the key has. Null keys are equal.
+
+    A key of more than KEY_ROWS rows (or a HOT_KEYS-th of all, if that is more) is salted: its rows are dealt by the hash of `row`, and its group is repeated as often. Only keys of so many
+    rows are broadcast, so there are HOT_KEYS of them at most.
+    """
+    total = groups.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("n")).first()["n"]
+    bound = max(KEY_ROWS, total // HOT_KEYS)
+    salts = F.ceil(F.col(copies) / bound)
+    hot = F.broadcast(groups.where(F.col(copies) > bound).select(*[F.col(c).alias(f"_hot_{c}") for c in on], salts.alias("_salts")))
+    other = groups.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in groups.columns if c not in on], F.explode(F.sequence(F.lit(1), salts)).alias("_own"))
+    match = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{c}")) for c in on]
+    dealt = rows.join(hot, match("_hot_"), "left").withColumn("_salt", F.pmod(F.xxhash64(row), F.coalesce("_salts", F.lit(1))) + 1).drop("_salts", *[f"_hot_{c}" for c in on])
+    return dealt.join(other.hint("merge"), [*match("_on_"), F.col("_salt") == F.col("_own")]).drop("_salt", "_own", *[f"_on_{c}" for c in on])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): rows (v, root), root the least vertex reachable.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, editprint, hmm, licences, linededup, mixing, neardup, privacy, quality, toolcalls
+from . import decontaminate, editprint, hmm, lexical, licences, linededup, mixing, neardup, privacy, quality, sharding, toolcalls, vectorcodes
 from .common import fold
 
 
@@ -58,9 +58,21 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_window_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"near_texts": near_texts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_notices": licences.scan_sql(), "op9_tool_call_links": toolcalls.plain_sql()}
+    return {"op5_licence_notices": licences.scan_sql(), "op9_tool_call_links": toolcalls.plain_sql(), "op12_window_search": lexical.search_sql(), "op13_vector_codes": vectorcodes.encode_sql()}
