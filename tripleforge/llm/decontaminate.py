@@ -2,12 +2,12 @@
 
 Words are what stands between white space, lower-cased, without ASCII punctuation. First every n-gram of the benchmark is
 counted over all texts. An item's seeds are its n-grams in no more than one in `rare` documents, and in any case the rarer
-half of them, so that a much copied item keeps its seeds. Where a text has a seed of an item, the stretch of the text that the item could
+half of those that any text has, so that a much copied item keeps its seeds. Where a text has a seed of an item, the stretch of the text that the item could
 cover is aligned with the item (match +2, mismatch -1, gap -1); the best score by twice the item's length is the likeness, 1 for a
 whole copy. From `threshold` on the text is contaminated.
 
-The benchmark goes to the executors in parts of at most part_words words, each of which reads the texts; so no size of it is
-broadcast whole. Null and empty texts match nothing, nor do items of fewer than n words. Repeated rows are judged each on
+The benchmark goes to the executors in parts of part_words words (or one item of more), each of which reads the texts; so no size of it is
+broadcast whole. Null and empty texts match nothing, nor do items of fewer than n words. Of a very long text the numbers of its words are held, and one stretch at a time is aligned. Repeated rows are judged each on
 their own. Empty tables give empty results. Extra columns stay out of leaks() and stay in clean().
 """
 
@@ -86,9 +86,8 @@ class Part:
         """Leaves the seeds only."""
         keep = set()
         for ids in self.items:
-            c = sorted((counts.get(g, 0), g) for g in set(self.grams(ids).tolist()))
-            half = c[(len(c) - 1) // 2][0]
-            keep |= {g for n, g in c if n <= half or n * rare <= docs}
+            c = sorted((counts[g], g) for g in set(self.grams(ids).tolist()) if counts.get(g))
+            keep |= {g for n, g in c if n <= c[(len(c) - 1) // 2][0] or n * rare <= docs}
         self.places = {g: p for g, p in self.places.items() if g in keep}
         self.keys = np.array(sorted(keep), np.int64)
 
@@ -144,6 +143,20 @@ def places(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text) if m.group().lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION)]
 
 
+def _dealt(items: DataFrame, of: int, part_words: int):
+    """Lists of (item, text) of part_words words at most, or of one item: items dealt by hash into `of` lots, each of which is cut further where it has drawn more."""
+    for k in range(of):
+        held, words = [], 0
+        for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(of)) == k).toLocalIterator():
+            if held and words + r["n"] > part_words:
+                yield held
+                held, words = [], 0
+            held.append((r["item"], r["text"]))
+            words += r["n"]
+        if held:
+            yield held
+
+
 def parts(docs: DataFrame, bench: DataFrame, n: int = N, rare: int = RARE, part_words: int = PART_WORDS):
     """Broadcast parts of the benchmark with their seeds, one after another."""
     lean(docs.sparkSession)
@@ -151,11 +164,9 @@ def parts(docs: DataFrame, bench: DataFrame, n: int = N, rare: int = RARE, part_
     items = bench.select(F.col("item_id").alias("item"), F.coalesce("text", F.lit("")).alias("text"), word_count(F.col("text")).alias("n")).distinct()
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     texts = docs.where("text is not null").select("text")
-    of = -(-total // part_words)
-    number = texts.count() if of else 0
-    for k in range(of):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(of)) == k).select("item", "text").collect()
-        part = Part(sorted(((r["item"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0], x[1])), n)
+    number = texts.count() if total else 0
+    for held in _dealt(items, -(-total // part_words), part_words):
+        part = Part(sorted(held, key=lambda x: (x[0] is None, x[0], x[1])), n)
         if not len(part.keys):
             continue
         sent = sc.broadcast(vars(part))
@@ -168,6 +179,7 @@ def parts(docs: DataFrame, bench: DataFrame, n: int = N, rare: int = RARE, part_
                 yield pd.DataFrame({"key": key, "c": c})
 
         got = texts.mapInPandas(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).collect()
+        sent.unpersist()
         part.keep_rare({r["key"]: r["c"] for r in got}, number, rare)
         yield sc.broadcast(vars(part))
 
