@@ -16,7 +16,7 @@ object, or no id). Where a schema has neither properties nor items, anything may
 Schemas and arguments are taken apart level by level into rows of (path, value), which meet by hash joins; there are as many rounds as the deepest of
 them has levels, none where no call is made.
 
-A null text is an empty message. Null conversations are one conversation; null turns come first. Repeated turns are
+A turn may declare tools in several blocks. A very long text is one row like any other. A null text is an empty message. Null conversations are one conversation; null turns come first. Repeated turns are
 rows of their own, and their calls count as duplicates. Empty tables give empty results; extra columns are ignored. DataFrame functions only.
 """
 
@@ -129,7 +129,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     linked = tagged.where("id is not null").join(firsts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i"))).drop("_c", "_i")
 
     # Tools that each conversation declares, and the calls' arguments; both are written, as their parts are looked at level by level.
-    bodies = turns.where(F.col("text").contains("<tools>")).select("conv_id", F.try_parse_json(F.regexp_extract("text", "(?s)<tools>(.*?)</tools>", 1)).alias("v")).where(_is(F.col("v"), "ARRAY"))
+    blocks = turns.where(F.col("text").contains("<tools>")).select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("(?s)<tools>(.*?)</tools>"), F.lit(1))).alias("block"))
+    bodies = blocks.select("conv_id", F.try_parse_json("block").alias("v")).where(_is(F.col("v"), "ARRAY"))
     tools = _exploded(bodies, ["conv_id"], "v").where(_is(F.col("value"), "OBJECT")).select("conv_id", F.try_variant_get("value", "$.name", "string").alias("tool"), F.to_json(F.coalesce(F.try_variant_get("value", "$.parameters", "variant"), F.parse_json(F.lit("{}")))).alias("j")).where("tool is not null")
     tools = tools.groupBy("conv_id", "tool").agg(F.max("j").alias("j"))
     schemas = schema_rows(tools.select("conv_id", "tool", F.parse_json("j").alias("v")))
