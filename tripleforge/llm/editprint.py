@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, components, lean, regrouped
+from .common import Kept, components, lean, meet, regrouped
 
 SAMPLES, SEED, BLOCK, PAD = 128, 77, 4096, 255
-#: Samples of a band, least likeness to be verified between members of an open bucket, and walks that near_texts bands.
-BAND, LIKE, WALKS = 8, 0.2, 3
+#: Samples of a band, and walks that near_texts bands.
+BAND, WALKS = 8, 3
 #: Texts of a block in a bucket whose texts are not all linked.
 BLOCK_TEXTS = 128
 #: Vertices are the least doc_id of a text's rows times this, plus a remainder of the text's digest.
@@ -206,6 +206,11 @@ def _run(a: str, b: str, i: int, j: int) -> int:
     return i
 
 
+def bag(text: str) -> np.ndarray:
+    """How often each kind of character occurs. No edit changes these counts by more than one up and one down."""
+    return np.bincount(_kinds(text), minlength=PAD).astype(np.int32)
+
+
 def _near(a: str, b: str, share: float) -> bool:
     return edit_distance(a, b, int(share * max(len(a), len(b)))) is not None
 
@@ -231,12 +236,12 @@ def _placed(docs: DataFrame, samples: int, band: int) -> tuple[DataFrame, DataFr
     return vertex, Kept(placed.join(shared, "key"), "print-bands").df
 
 
-def near_texts(docs: DataFrame, share: float = 0.05, samples: int = SAMPLES, band: int = BAND, like: float = LIKE) -> DataFrame:
-    """doc_id, class_id (least doc_id reachable over links, null last), n_links (of the row's text with other texts) for each row of docs.
+def near_texts(docs: DataFrame, share: float = 0.05, samples: int = SAMPLES, band: int = BAND) -> DataFrame:
+    """doc_id, class_id (least doc_id reachable over links, null last), class_texts (different texts of the class) for each row of docs.
 
     Two texts are linked if they share a bucket of a band and their edit distance is at most `share` of the longer one. Each bucket first links its members to its
-    least one; where members stay in different components, all pairs between these are compared too, by blocks within tasks, and verified from a likeness of
-    `like` on. Only links leave a task. Empty and null texts are classes of their own row with no links.
+    least one; where members stay in different components, all pairs between these are compared too, by blocks within tasks: those whose counts of characters allow so few edits
+    are verified. Only links leave a task. Links within a component are not looked for, so none are counted. Empty and null texts are classes of their own row, of one text.
     """
     lean(docs.sparkSession)
     vertex, placed = _placed(docs, samples, band)
@@ -252,31 +257,33 @@ def near_texts(docs: DataFrame, share: float = 0.05, samples: int = SAMPLES, ban
     links = Kept(both.where(F.pandas_udf(verify, "boolean")("ta", "tb")).select("a", "b"), "print-links").df
     found = components(links, "print-parts")
 
-    rooted = Kept(placed.join(found, "v", "left").select("key", "v", "print", F.coalesce("root", "v").alias("root")), "print-rooted").df
+    rooted = Kept(placed.join(found, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root")), "print-rooted").df
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     # Members of an open bucket are dealt into blocks; each pair of blocks is one task's.
     dealt = rooted.join(open_, "key").withColumn("of", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")).withColumn("at", F.pmod(F.xxhash64("v"), F.col("of")).cast("int"))
-    left = dealt.select("key", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"), F.lit(0).alias("side"), "v", "root", "print")
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "v", "root", "print")
+    left = dealt.select("key", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"), F.lit(0).alias("side"), "v", "root")
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "v", "root")
     met = left.unionByName(right).join(text, "v").withColumn("v", F.col("v").cast("string")).withColumn("root", F.col("root").cast("string"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf["side"] == k].reset_index(drop=True) for k in (0, 1))
-        out = []
-        for v, root, mark, t in zip(a["v"], a["root"], a["print"], a["text"], strict=True):
-            for k in np.flatnonzero((b["root"] != root).to_numpy()):
-                if v < b["v"][k] or pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-                    if likeness(mark, b["print"][k]) >= like and _near(t, b["text"][k], share):
-                        out.append((v, b["v"][k]))
+        out, same, bags = [], pdf["i"].iloc[0] == pdf["j"].iloc[0], np.array([bag(t) for t in b["text"]])
+        size = b["text"].str.len().to_numpy()
+        for v, root, t in zip(a["v"], a["root"], a["text"], strict=True):
+            gap = bags - bag(t)
+            edits = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
+            for k in np.flatnonzero((b["root"] != root).to_numpy() & (edits <= share * np.maximum(size, len(t)))):
+                if (not same or v < b["v"][k]) and _near(t, b["text"][k], share):
+                    out.append((v, b["v"][k]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     more = met.groupBy("key", "i", "j").applyInPandas(compare, "a string, b string").select(F.col("a").cast("decimal(38,0)").alias("a"), F.col("b").cast("decimal(38,0)").alias("b"))
     links = Kept(links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print-all-links").df
     found = components(links, "print-classes")
-    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
-    one = vertex.select("digest", "v").distinct().join(found, "v", "left").join(degree, "v", "left")
+    one = Kept(vertex.select("digest", "v").distinct().join(found, "v", "left").select("digest", F.coalesce("root", "v").alias("x")), "print-members").df
+    one = meet(one, one.groupBy("x").agg(F.count("*").alias("class_texts")), ["x"], "class_texts", F.col("digest"))
     part = F.expr(f"(x - pmod(x, cast({SPAN} as decimal(13,0)))) div cast({SPAN} as decimal(13,0))")
-    one = one.select("digest", F.coalesce("root", "v").alias("x"), "n_links").select("digest", part.alias("part"), "n_links")
+    one = one.select("digest", part.alias("part"), "class_texts")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text") != "", F.md5(F.col("text").cast("binary"))).alias("digest"))
     out = rows.join(one, "digest", "left")
-    return out.select("doc_id", F.when(F.coalesce("part", "doc_id") != LAST, F.coalesce("part", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.when(F.coalesce("part", "doc_id") != LAST, F.coalesce("part", "doc_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
