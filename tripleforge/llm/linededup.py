@@ -1,16 +1,15 @@
 """Repeated lines or paragraphs: digests of normalised units are grouped over the whole corpus, the earliest occurrence stays.
 
-A unit is a line (or a paragraph, between blank lines), or one piece of a long one: pieces end after words whose hash is less than those
-of the piece_words - 1 words on either side, so where they end depends on the words nearby only, and a passage within longer lines, or on
-either side of an edit, is cut alike wherever it stands. A unit is normalised by lower-casing A-Z and reading runs of white space as one space. Units with equal
-digests are occurrences of one text; they rank by doc_id (null last), text and place.
+A unit is a line, or a paragraph (between blank lines). It is normalised by lower-casing A-Z and reading runs of white space as one space. Units with equal
+digests are occurrences of one text; they rank by doc_id (null last), text and place. The first one stays and the others go, with their offsets in code points.
 
-Common phrases repeat everywhere, so a unit counts only within a passage: a run of units that follow one another in a document, each of which
-occurs more than once in the corpus, of min_words words or more together (a unit that comes again within the run adds none). Within passages the first occurrence of a unit stays and the others go, with their offsets
-in code points.
+Passages within longer lines are found by an option, piece_words: long units are cut into pieces that end after words whose hash is less than those
+of the piece_words - 1 words on either side, so where they end depends on the words nearby only, and a passage within longer lines, or on
+either side of an edit, is cut alike wherever it stands. As common phrases repeat everywhere, another option, min_words, has a unit count only within a run of repeated units that follow
+one another in a document and have so many words together (a unit that comes again within the run adds none).
 
 Null and empty texts have no units. Rows that agree in doc_id and text count as one document, and both keep or lose its units; other
-texts of one doc_id, null too, are documents of their own. An empty table gives an empty result. Extra columns stay out of the result of
+texts of one doc_id, null too, are documents of their own, known by 128 bits of their digest. An empty table gives an empty result. Very long texts are cut on their own, one at a time. Extra columns stay out of the result of
 repeats() and stay in without_repeats().
 """
 
@@ -26,27 +25,29 @@ from pyspark.sql import functions as F
 from .common import Kept, lean
 from .shingles import chunks, mix, word_places
 
-#: Words of a passage, and the least of a piece (but for the last one of a line).
+#: For passages: words of a run, and the least of a piece (but for the last one of a line).
 MIN_WORDS, PIECE_WORDS = 40, 5
 BROADCAST_ROWS, HOT = 200_000, 10_000
-#: Ranks are doc_id times PLACES, plus the place: a number of the text times STARTS, plus the offset.
+#: Ranks are doc_id times PLACES, plus the place: a number from the text's digest times STARTS, plus the offset. Units of two texts of one id that agree in rank both stay.
 PLACES, STARTS, TEXTS = 10**19, 10**10, 9 * 10**8
 LAST = 2**63 - 1
 _STEP = 0x9FB21C651E98DF25
 
 
-def number_of(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") % TEXTS
+def digest_of(text: bytes) -> tuple[int, int]:
+    """What a text is known by among those of its doc_id."""
+    d = hashlib.blake2b(text, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def pieces(h: np.ndarray, segment: np.ndarray, piece_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, last word) of each unit of words with hashes h, in lines numbered by segment."""
-    low = np.ones(len(h), bool)
-    for k in range(1, min(piece_words, len(h))):
+def pieces(h: np.ndarray, segment: np.ndarray, piece_words: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, last word) of each unit of words with hashes h, in lines numbered by segment; whole lines without piece_words."""
+    low = np.full(len(h), piece_words is not None)
+    for k in range(1, min(piece_words or 0, len(h))):
         apart = segment[k:] != segment[:-k]
         low[k:] &= apart | (h[k:] < h[:-k])
         low[:-k] &= apart | (h[:-k] <= h[k:])
@@ -57,7 +58,7 @@ def pieces(h: np.ndarray, segment: np.ndarray, piece_words: int) -> tuple[np.nda
     return np.concatenate(([0], last[:-1] + 1)).astype(np.int64) if len(last) else last, last
 
 
-def units_of(texts: list[bytes], piece_words: int = PIECE_WORDS, unit: str = "line") -> dict[str, np.ndarray]:
+def units_of(texts: list[bytes], piece_words: int | None = None, unit: str = "line") -> dict[str, np.ndarray]:
     """text (its number in the list), no (of the unit in its text), start, end (code points), words and the digest (hi, lo) of each unit."""
     doc, h, start, stop, data = word_places(texts, b"\n")
     line = data == 10
@@ -85,18 +86,23 @@ def units_of(texts: list[bytes], piece_words: int = PIECE_WORDS, unit: str = "li
     return {"text": of, "no": no, "start": points[start[first]] - begin[of], "end": points[stop[last]] - begin[of], "words": n, "hi": digests[0], "lo": digests[1]}
 
 
-def units(docs: DataFrame, piece_words: int = PIECE_WORDS, unit: str = "line") -> DataFrame:
-    """A row for each unit: id, text_no (a number of the text), no, start, end, words, and the digest."""
+#: Two whole numbers of 31 bits stand in one column, the first in its upper half.
+_upper = lambda c: F.shiftright(c, 32).cast("int")
+_lower = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int")
+
+
+def units(docs: DataFrame, piece_words: int | None = None, unit: str = "line") -> DataFrame:
+    """A row for each unit: id, the text's digest (thi, tlo), span (start and end in one number), nth (the number of the unit and its words in one number), and the unit's digest (hi, lo)."""
     def split(batches):
         for pdf in batches:
             ids, texts = pdf["id"].to_numpy(np.int64), [_bytes(t) for t in pdf["text"]]
             for a, b in chunks(texts):
                 with np.errstate(over="ignore"):
                     u = units_of(texts[a:b], piece_words, unit)
-                numbers = np.array([number_of(t) for t in texts[a:b]], np.int64)
-                yield pd.DataFrame({"id": ids[a:b][u["text"]], "text_no": numbers[u["text"]], "no": u["no"].astype(np.int32), "start": u["start"].astype(np.int32), "end": u["end"].astype(np.int32), "words": u["words"].astype(np.int32), "hi": u["hi"], "lo": u["lo"]})
+                known = np.array([digest_of(t) for t in texts[a:b]], np.int64).reshape(-1, 2)[u["text"]]
+                yield pd.DataFrame({"id": ids[a:b][u["text"]], "thi": known[:, 0], "tlo": known[:, 1], "span": u["start"].astype(np.int64) << 32 | u["end"], "nth": u["no"].astype(np.int64) << 32 | u["words"], "hi": u["hi"], "lo": u["lo"]})
 
-    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), "text").mapInPandas(split, "id long, text_no long, no int, start int, end int, words int, hi long, lo long")
+    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), "text").mapInPandas(split, "id long, thi long, tlo long, span long, nth long, hi long, lo long")
 
 
 def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
@@ -109,11 +115,14 @@ def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col("copies") <= bound), on))
 
 
-def _passages(docs: DataFrame, min_words: int, piece_words: int, unit: str) -> DataFrame:
-    """The parts of passages that stay or go: id, text_no, start, end, words, units, copies, kept, kept_id, kept_start."""
+DOC = ["id", "thi", "tlo"]
+
+
+def _occurrences(docs: DataFrame, piece_words: int | None, unit: str) -> DataFrame:
+    """All units that occur more than once: id, thi, tlo, no, start, end, words, hi, lo, copies, kept (0 or 1), kept_id, kept_place."""
     lean(docs.sparkSession)
     u = Kept(units(docs, piece_words, unit), "units")
-    place = F.col("text_no") * STARTS + F.col("start")
+    place = F.pmod("thi", F.lit(TEXTS)) * STARTS + _upper("span")
     rank = (F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")).cast("decimal(38,0)")
     groups = u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank).alias("first")).where("copies > 1")
     # A whole number of PLACES is left to divide, so nothing is rounded.
@@ -122,38 +131,62 @@ def _passages(docs: DataFrame, min_words: int, piece_words: int, unit: str) -> D
     met = _met(u.df, Kept(groups, "repeated").df, ["hi", "lo"])
     kept = (F.col("id") == F.col("kept_id")) & (place == F.col("kept_place"))
     # Repeated rows of a document give the same units: one of each is enough, and they are no copies of each other.
-    key = ["id", "text_no", "no"]
-    met = met.select(*key, "start", "end", "words", "hi", "lo", "copies", kept.cast("int").alias("kept"), "kept_id", "kept_place").groupBy(*key).agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("start", "end", "words", "hi", "lo", "copies", "kept", "kept_id", "kept_place")]).where(F.col("copies") > F.col("rows"))
-    doc = Window.partitionBy("id", "text_no")
-    at = doc.orderBy("no")
+    values = ["span", "hi", "lo", "copies", "kept", "kept_id", "kept_place"]
+    met = met.select(*DOC, "nth", *[c for c in values if c != "kept"], kept.cast("int").alias("kept")).groupBy(*DOC, "nth").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in values]).where(F.col("copies") > F.col("rows"))
+    return met.select(*DOC, _upper("nth").alias("no"), _upper("span").alias("start"), _lower("span").alias("end"), _lower("nth").alias("words"), *values[1:])
+
+
+def _passages(docs: DataFrame, min_words: int, piece_words: int | None, unit: str) -> DataFrame:
+    """The parts of runs of repeated units that stay or go: id, thi, tlo, start, end, words, units, copies, kept, kept_id, kept_start."""
+    at = Window.partitionBy(*DOC).orderBy("no")
     upto = at.rowsBetween(Window.unboundedPreceding, 0)
-    runs = met.withColumn("new", (F.coalesce(F.col("no") - F.lag("no").over(at), F.lit(0)) != 1).cast("int")).withColumn("turn", F.coalesce(F.col("kept") != F.lag("kept").over(at), F.lit(True)).cast("int"))
+    runs = _occurrences(docs, piece_words, unit).withColumn("new", (F.coalesce(F.col("no") - F.lag("no").over(at), F.lit(0)) != 1).cast("int")).withColumn("turn", F.coalesce(F.col("kept") != F.lag("kept").over(at), F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(upto)).withColumn("part", F.sum(F.greatest("new", "turn")).over(upto))
-    again = F.row_number().over(Window.partitionBy("id", "text_no", "run", "hi", "lo").orderBy("no")) > 1
+    again = F.row_number().over(Window.partitionBy(*DOC, "run", "hi", "lo").orderBy("no")) > 1
     runs = runs.withColumn("own", F.when(again, 0).otherwise(F.col("words")))
-    runs = runs.withColumn("total", F.sum("own").over(Window.partitionBy("id", "text_no", "run"))).where(F.col("total") >= min_words)
+    runs = runs.withColumn("total", F.sum("own").over(Window.partitionBy(*DOC, "run"))).where(F.col("total") >= min_words)
     first = F.min_by(F.struct("kept_id", "kept_place"), "no")
-    parts = runs.groupBy("id", "text_no", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"), F.max("copies").alias("copies"), (F.max("kept") == 1).alias("kept"), first.alias("first"))
-    return parts.select("id", "text_no", "start", "end", "words", "units", "copies", "kept", F.col("first.kept_id").alias("kept_id"), (F.col("first.kept_place") % STARTS).cast("int").alias("kept_start"))
+    parts = runs.groupBy(*DOC, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("units"), F.max("copies").alias("copies"), (F.max("kept") == 1).alias("kept"), first.alias("first"))
+    return parts.select(*DOC, "start", "end", "words", "units", "copies", "kept", F.col("first.kept_id").alias("kept_id"), (F.col("first.kept_place") % STARTS).cast("int").alias("kept_start"))
+
+
+def _real(c: str):
+    return F.when(F.col(c) == LAST, None).otherwise(F.col(c))
+
+
+def occurrences(docs: DataFrame, piece_words: int | None = None, unit: str = "line") -> DataFrame:
+    """Each occurrence of a repeated unit on its own: doc_id, start, end, words, copies, kept, and where the first one stays: kept_doc_id, kept_start."""
+    return _occurrences(docs, piece_words, unit).select(_real("id").alias("doc_id"), "start", "end", "words", "copies", (F.col("kept") == 1).alias("kept"), _real("kept_id").alias("kept_doc_id"), (F.col("kept_place") % STARTS).cast("int").alias("kept_start"))
+
+
+def occurrences_sql() -> str:
+    """The same rows for lines in DuckDB's SQL, for tables with unique, not null ids."""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+    numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM texts),
+    placed AS (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) - length(line) - 1 AS place FROM numbered),
+    units AS (SELECT doc_id, CAST(place + length(line) - length(ltrim(line, {blank})) AS INTEGER) AS start, CAST(place + length(rtrim(line, {blank})) AS INTEGER) AS "end",
+        string_split(regexp_replace(translate(trim(line, {blank}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+', ' ', 'g'), ' ') AS unit FROM placed WHERE trim(line, {blank}) <> ''),
+    met AS (SELECT *, count(*) OVER (PARTITION BY unit) AS copies, min((doc_id, start)) OVER (PARTITION BY unit) AS first FROM units)
+    SELECT doc_id, start, "end", CAST(len(unit) AS INTEGER) AS words, copies, doc_id = first[1] AND start = first[2] AS kept, first[1] AS kept_doc_id, first[2] AS kept_start FROM met WHERE copies > 1"""
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, piece_words: int = PIECE_WORDS, unit: str = "line") -> DataFrame:
-    """All occurrences of repeated passages, in parts that stay (kept) or go: doc_id, start, end, words, units, copies, kept, and where the first unit of the part stays: kept_doc_id, kept_start."""
-    real = lambda c: F.when(F.col(c) == LAST, None).otherwise(F.col(c))
-    return _passages(docs, min_words, piece_words, unit).select(real("id").alias("doc_id"), "start", "end", "words", "units", "copies", "kept", real("kept_id").alias("kept_doc_id"), "kept_start")
+def repeats(docs: DataFrame, min_words: int = 1, piece_words: int | None = None, unit: str = "line") -> DataFrame:
+    """All runs of repeated units, in parts that stay (kept) or go: doc_id, start, end, words, units, copies, kept, and where the first unit of the part stays: kept_doc_id, kept_start."""
+    return _passages(docs, min_words, piece_words, unit).select(_real("id").alias("doc_id"), "start", "end", "words", "units", "copies", "kept", _real("kept_id").alias("kept_doc_id"), "kept_start")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, piece_words: int = PIECE_WORDS, unit: str = "line", removed: str = "removed") -> DataFrame:
-    """docs with every part of a passage that goes cut out of text (with the line end after it, or else the space), and a column named by `removed`: the spans cut, by offsets in the original.
+def without_repeats(docs: DataFrame, min_words: int = 1, piece_words: int | None = None, unit: str = "line", removed: str = "removed") -> DataFrame:
+    """docs with every part of a run that goes cut out of text (with the line end after it, or else the space), and a column named by `removed`: the spans cut, by offsets in the original.
 
     All columns of docs stay; where one has the name `removed` already, another name must be given.
     """
     if removed in docs.columns:
         raise ValueError(f"docs has a column {removed} already")
-    spans = _passages(docs, min_words, piece_words, unit).where("not kept").groupBy("id", "text_no").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = _passages(docs, min_words, piece_words, unit).where("not kept").groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
-    def number(text: pd.Series) -> pd.Series:
-        return pd.Series([-1 if t is None else number_of(_bytes(t)) for t in text], dtype="int64")
+    def known(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([digest_of(_bytes(t)) for t in text], columns=["thi", "tlo"], dtype="int64")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -170,8 +203,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, piece_words: in
         return pd.Series(out, dtype=object)
 
     # The documents go along whole, as one column, so that none of their columns can clash with these.
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.pandas_udf(number, "long")("text").alias("text_no"))
-    both = whole.join(spans, ["id", "text_no"], "left")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.pandas_udf(known, "thi long, tlo long")("text").alias("known"))
+    both = whole.select("row", "id", "known.*").join(spans, DOC, "left")
     text = F.pandas_udf(cut, "string")("row.text", "spans")
     both = both.select("row", text.alias("text"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("spans").alias(removed))

@@ -55,7 +55,13 @@ def op9_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeats(table(spark, sf_dir, "documents"))
+    """Passages of 40 words or more, within lines too."""
+    return linededup.repeats(table(spark, sf_dir, "documents"), linededup.MIN_WORDS, linededup.PIECE_WORDS)
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain form of op10: every line that occurs more than once."""
+    return linededup.occurrences(table(spark, sf_dir, "documents"))
 
 
 def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +77,8 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"near_texts": near_texts}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"near_texts": near_texts, "repeated_lines": repeated_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_notices": licences.scan_sql(), "op9_tool_call_links": toolcalls.plain_sql(), "op12_window_search": lexical.search_sql(), "op13_vector_codes": vectorcodes.encode_sql()}
+    return {"op5_licence_notices": licences.scan_sql(), "op9_tool_call_links": toolcalls.plain_sql(), "repeated_lines": linededup.occurrences_sql(), "op12_window_search": lexical.search_sql(), "op13_vector_codes": vectorcodes.encode_sql()}
