@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def test_repeated_lines(spark, none, unit):
     passage, line, more = some(60), some(7), [some(12), some(9)]
     texts = [f"{some(30)} {passage} {some(30)}", f"{some(9)}\n{some(20)} {passage.upper()}\t {some(11)}\n{some(6)}", f"{line}\n" * 30, f"{line}\n{some(50)}\n{line}", "\n".join([*more, passage, some(8)]) + "\n\n" + some(20), "\u00e9 \U0001f600 " + "\n".join([*more, passage]), "", " \n ", "x", passage, passage]
     d = spark.createDataFrame([*enumerate(texts), (99, None), (9, passage)], "doc_id long, text string")
-    got = [(r.doc_id, r.start, r.end, r.kept, r.kept_doc_id, r.kept_start) for r in linededup.repeats(d, unit=unit).collect()]
+    got = [(r.doc_id, r.start, r.end, r.kept, r.kept_doc_id, r.kept_start) for r in linededup.repeats(d, linededup.MIN_WORDS, linededup.PIECE_WORDS, unit).collect()]
     assert sorted(got) == sorted(passages(list(enumerate(texts)), linededup.MIN_WORDS, linededup.PIECE_WORDS, unit)) and {1, 4, 5, 9, 10} <= {g[0] for g in got} <= {0, 1, 4, 5, 9, 10}
     assert linededup.repeats(none).count() == linededup.without_repeats(none).count() == 0
 
@@ -141,7 +142,7 @@ def test_without_repeated_lines(spark):
     passage = some(60)
     texts = [f"{some(30)} {passage} {some(30)}", f"{some(9)}\n{some(20)} {passage} {some(11)}\n{some(6)}", f"first\n{passage}\nlast", None]
     d = spark.createDataFrame([(i, t, i, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, _id int, spans string, id string")
-    got = {r.doc_id: r for r in linededup.without_repeats(d).collect()}
+    got = {r.doc_id: r for r in linededup.without_repeats(d, linededup.MIN_WORDS, linededup.PIECE_WORDS).collect()}
     assert got[0].text == texts[0] and not got[0].removed and got[3].text is None
     assert len(set(passage.split()) & set(got[1].text.split())) <= 20 and set(got[1].text.split()) >= set(texts[1].split()) - set(passage.split())
     assert got[1].text.count("\n") == 2 and got[2].text.split("\n")[0] == "first" and got[2].text.endswith("last")
@@ -160,6 +161,61 @@ def test_repeated_lines_of_null_ids(spark):
     assert sorted(r.text for r in linededup.without_repeats(d).collect()) in ([f"{line}\nfirst of them", "second of them"], ["first of them", f"{line}\nsecond of them"])
 
 
+def lines_of(t, unit):
+    """(start, end, normalised) of each line, or paragraph, that has a word, by plain string work."""
+    out, at, held = [], 0, None
+    for line in (t or "").split("\n"):
+        bare = line.strip(" \t\n\x0b\x0c\r")
+        if bare:
+            a = at + line.index(bare[0] if bare[0] not in " \t" else bare)
+            held = (held[0] if held and unit == "paragraph" else a, a + len(bare))
+        if held and (unit == "line" or not bare):
+            out.append(held)
+            held = None
+        at += len(line) + 1
+    out += [held] if held else []
+    return [(a, b, " ".join(words(t[a:b]))) for a, b in out]
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_plain_lines(spark, unit):
+    """Lines as they are, of any length: what repeats, which occurrence stays, and what is left of the texts."""
+    rnd = random.Random(7)
+    stock = ["Yes.", "a b", "A  b", "\t a b \r", "one two three four", "\u00e9 \U0001f600 x", "x" * 500] + [f"only {k}" for k in range(40)]
+    texts = ["\n".join(rnd.choice(stock if rnd.random() < 0.8 else ["", "  "]) for _ in range(rnd.randrange(1, 9))) for _ in range(60)] + ["", None, "Yes.", " yes.\n"]
+    d = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string").withColumn("start", F.lit(1))
+    seen = {}
+    for i, t in enumerate(texts):
+        for a, b, x in lines_of(t, unit):
+            seen.setdefault(x, []).append((i, a, b))
+    want = [(i, a, b, len(x.split()), (i, a) == places[0][:2], *places[0][:2]) for x, places in seen.items() for i, a, b in places if len(places) > 1]
+    # The repeated row's units count twice in copies, as rows; whether a unit repeats at all doesn't depend on it.
+    got = linededup.occurrences(d, unit=unit).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.words, r.kept, r.kept_doc_id, r.kept_start) for r in got) == sorted(want)
+    gone = {i: {a for j, a, *_, in ((w[0], w[1]) for w in want if not w[4]) if j == i} for i in range(len(texts))}
+    left = {r.doc_id: r for r in linededup.without_repeats(d, unit=unit).collect()}
+    for i, t in enumerate(texts):
+        assert [x for _, _, x in lines_of(left[i].text, unit)] == [x for a, _, x in lines_of(t, unit) if a not in gone[i]]
+        assert (left[i].text == t) == (not gone[i])
+
+
+def test_texts_of_one_id_stay_apart(spark, monkeypatch):
+    """Two texts of null ids whose numbers agree: the cuts of one are no cuts of the other."""
+    monkeypatch.setattr(linededup, "TEXTS", 1)
+    texts = ["the same line\nabc", "something else entirely", "more\nthe same line", "more again"]
+    d = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert sorted(r.text for r in linededup.without_repeats(d).collect()) in (sorted(["abc", *texts[1:]]), sorted([*texts[:2], "more\n", texts[3]]), sorted([*texts[:2], "more", texts[3]]))
+
+
+def test_plain_lines_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql("create view documents as from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(linededup.occurrences_sql())
+    got = linededup.occurrences(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    at = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def test_personal_data(spark, none):
     texts = ["a@b.c_d@e.f x..y@z.w.. 1.2.3.4.5 999.1.1.1 +1 (017) 555-7713", "4111 1111 1111 1111 4111-1111-1111-1112 001.002.003.004 \U0001f600 q@w.e  1.1.1.1", None, "", "a@b" + ".c" * 3000 + "1 " * 3000 + "+1" + "(" * 3000]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
@@ -232,8 +288,20 @@ def test_near_texts(spark, none, monkeypatch):
     together = sum(got[i].class_id == got[j].class_id for i, j in sure)
     assert len(got) == len(texts) and together >= 0.9 * len(sure) and len(sure) >= 18
     assert all(got[i].class_id in (i % 6, i, i % 6 + 6) for i in range(18)) and got[18].class_id == got[0].class_id and got[None].class_id == got[1].class_id
-    assert (got[19].class_id, got[19].n_links, got[20].class_id, got[20].n_links) == (19, 0, 20, 0)
-    assert all(got[i].n_links <= 2 for i in range(18)) and editprint.near_texts(none).count() == 0
+    assert (got[19].class_id, got[19].class_texts, got[20].class_id, got[20].class_texts) == (19, 1, 20, 1)
+    members = {}
+    for i, t in zip(ids, texts, strict=True):
+        members.setdefault(got[i].class_id, set()).add(t)
+    assert all(got[i].class_texts == len(members[got[i].class_id]) for i in ids) and editprint.near_texts(none).count() == 0
+
+
+def test_bags_bound_the_edits():
+    rnd = random.Random(2)
+    for _ in range(200):
+        a = "".join(rnd.choice("abc\u00e9") for _ in range(rnd.randrange(1, 12)))
+        b = "".join(rnd.choice("abc\u00e9") for _ in range(rnd.randrange(1, 12)))
+        gap = editprint.bag(a) - editprint.bag(b)
+        assert max(gap.clip(0).sum(), (-gap).clip(0).sum()) <= editprint.edit_distance(a, b, 24)
 
 
 def test_benchmark_leaks(spark, none):
@@ -250,7 +318,17 @@ def test_benchmark_leaks(spark, none):
     assert decontaminate.leaks(none, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
-@pytest.mark.xfail(reason="open: the query finds 19 pairs here, brute force 18; cause not found yet", strict=False)
+def test_leak_of_a_half(spark):
+    """A run of 8 of an item's 15 words: most of the item's n-grams are in no text, and none of those is a seed."""
+    item = [f"word{k}" for k in range(15)]
+    copies = [(i, " ".join(["before", *item[:8], "after"])) for i in range(3)]
+    d = spark.createDataFrame([*copies, *((i, f"filler {i}") for i in range(3, 900))], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for rare in (1000, 10**9):
+        assert sorted(r.doc_id for r in decontaminate.leaks(d, b, rare=rare).collect()) == [0, 1, 2]
+    assert decontaminate.leaks(d.where("doc_id > 2"), b).count() == 0
+
+
 def test_benchmark_leaks_equal_brute_force(spark):
     """Every item against every whole text, without seeds: what the query finds is what alignment finds."""
     rnd = random.Random(9)
@@ -403,6 +481,15 @@ def meets(schema, v):
     return True
 
 
+def test_tools_of_several_blocks(spark):
+    """Every block of a turn declares tools, one that is no JSON takes none from the others."""
+    tool = lambda n: json.dumps([{"name": n, "parameters": {"properties": {"x": {"type": "integer"}}, "required": ["x"]}}])
+    call = lambda i, n, x: f'<tool_call>{{"id": "{i}", "name": "{n}", "arguments": {{"x": {x}}}}}</tool_call>'
+    turns = [(1, 0, "system", f"<tools>{tool('a')}</tools> and <tools>nothing</tools><tools>{tool('b')}</tools>"), (1, 1, "assistant", call("1", "a", 1) + call("2", "b", 2) + call("3", "b", '"no"') + call("4", "c", 1))]
+    got = toolcalls.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert {r.call_id: r.status for r in got} == {"1": "unanswered", "2": "unanswered", "3": "invalid", "4": "undeclared"}
+
+
 def test_tool_calls_equal_brute_force(spark):
     rnd = random.Random(11)
     keys = ["a", "b/c", "d~", "*"]
