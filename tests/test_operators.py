@@ -1,6 +1,7 @@
 """Greedy and sequential operators against plain loops, and edge cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,8 +59,35 @@ def test_paths_and_self_loops(spark):
 
 
 def test_answers(spark):
-    df = spark.createDataFrame([('x Answer: "Foo  bar".\nmore',), ("",), (None,)], "p string")
-    assert [r[0] for r in df.select(text.loose(F.col("p"))).collect()] == ["foo bar", "", None]
+    shapes = ['x Answer: "Foo  bar".\nmore', "", None, " 'Crohn's  disease' ", "Answer: a Answer:  `\"'b'\"` ;\r\nc", "'\"`x`\"' .", "Answer: \n\n y.:,; "]
+    df = spark.createDataFrame([(x,) for x in shapes], "p string")
+
+    def loose(x):
+        x = x.split("Answer:")[-1].strip()
+        x = (x.splitlines() or [""])[0].strip()
+        for quote in "'\"`":
+            x = x.strip(quote)
+        return re.sub(r"\s+", " ", x).strip(" .,:;").lower()
+
+    assert [r[0] for r in df.select(text.loose(F.col("p"))).collect()] == [None if x is None else loose(x) for x in shapes]
+
+
+def test_adjusted_ranks(spark):
+    """All places of an answer and of the gold, by a plain loop."""
+    cases = [(p, g, e) for g in range(1, 23) for p in [None, *range(1, 22)] for e in (False, True)]
+    df = spark.createDataFrame(cases, "p int, g int, e boolean")
+    rules = [text.adjusted_rank(F.col("p"), F.col("g"), F.col("e"), rule).alias(rule) for rule in ("at", "after")]
+
+    def loop(p, g, e, first):
+        if g > 20:
+            return 21
+        if e:
+            return 1
+        place = None if p is None else p - 1 + first
+        return min(21, g + 1) if place is None or place >= g else g
+
+    for r in df.select("*", *rules).collect():
+        assert (r["at"], r["after"]) == (loop(r.p, r.g, r.e, 1), loop(r.p, r.g, r.e, 0))
 
 
 def capped_loop(edges, head_cap, tail_cap, total=10**9, shared=False):

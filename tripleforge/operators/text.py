@@ -15,11 +15,13 @@ def clean(c: Column) -> Column:
 
 
 def loose(c: Column) -> Column:
-    """What follows the last 'Answer:', its first line, without quotes and end punctuation, lower-cased."""
+    """What follows the last 'Answer:', its first line, without the quotes and then the punctuation at its ends, lower-cased. Quotes within stay; each kind is taken off in turn."""
     last = F.element_at(F.split(c, "Answer:"), -1)
-    line = F.substring_index(F.regexp_replace(last, r"^\s+", ""), "\n", 1)
-    bare = F.regexp_replace(F.regexp_replace(line, "[\"'`]", ""), r"\s+", " ")
-    return F.lower(F.btrim(bare, F.lit(" .,:;")))
+    bare = F.regexp_replace(F.regexp_replace(last, r"(?U)^\s+", ""), r"(?s)[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029].*$", "")
+    bare = F.regexp_replace(bare, r"(?U)\s+$", "")
+    for quote in ("'", '"', "`"):
+        bare = F.btrim(bare, F.lit(quote))
+    return F.lower(F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "), F.lit(" .,:;")))
 
 
 def strict(c: Column) -> Column:
@@ -77,10 +79,10 @@ def category(pred: Column, exact: Column, top1: Column, other: Column, piece: Co
     return F.when(F.trim(pred) == "", "empty").when(exact, "exact").when(top1, "top1_copy").when(other, "other_candidate").when(piece, "list_fragment").otherwise("invalid")
 
 
-def adjusted_rank(pred_pos: Column, gold_rank: Column, exact: Column, rule: str = "after", absent: int = 21) -> Column:
-    """Rank of the gold once the prediction is put first. rule: after (a prediction from behind moves the gold down) or before (one from before it does)."""
-    moved = pred_pos > gold_rank if rule == "after" else pred_pos < gold_rank
-    return F.when(gold_rank >= absent, absent).when(exact, 1).when(pred_pos.isNull(), gold_rank).when(moved, F.least(gold_rank + 1, F.lit(absent))).otherwise(gold_rank)
+def adjusted_rank(pred_pos: Column, gold_rank: Column, exact: Column, rule: str = "at", absent: int = 21) -> Column:
+    """Rank of the gold once an answer is given: `absent` where the gold is no candidate, 1 for the gold itself; an answer that is no candidate costs a place, and so does one at or behind the gold's place (rule `at`) or behind it (rule `after`)."""
+    lost = pred_pos.isNull() | (pred_pos >= gold_rank if rule == "at" else pred_pos > gold_rank)
+    return F.when(gold_rank >= absent, absent).when(exact, 1).when(lost, F.least(gold_rank + 1, F.lit(absent))).otherwise(gold_rank)
 
 
 def strict_rank(pred_pos: Column, gold_rank: Column, exact: Column, k: int = 20) -> Column:
@@ -94,10 +96,14 @@ def inference_rank(right: Column, place: Column, rank: Column) -> Column:
     return F.when(right, 1).when(place.isNull() | (place - 1 >= rank), rank + 1).otherwise(rank)
 
 
+#: What stands before an answer.
+ANSWER_MARKS = ("Answer:", "answer:", "ANSWER:")
+
+
 def answer(c: Column) -> Column:
     """What follows the last marker of an answer, whatever its case: the first line, without quotes, brackets and end punctuation."""
     last = c
-    for mark in ("Answer:", "answer:", "ANSWER:"):
+    for mark in ANSWER_MARKS:
         last = F.element_at(F.split(last, mark), -1)
     line = F.substring_index(F.regexp_replace(last, r"^\s+", ""), "\n", 1)
     return F.btrim(F.regexp_replace(line, r"\s+$", ""), F.lit("'\"`.,;:()[]{} "))

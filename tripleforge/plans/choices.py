@@ -153,10 +153,16 @@ def _(spark, sf):
     return x.tiered_match(p, c, KEY)
 
 
-@query("e2e07_variant_summaries", f"WITH {PRED_SQL} SELECT split, v AS variant, count(*) AS n, round(avg(exact::INT), 6) AS exact_rate, round(avg((pred_pos IS NULL)::INT), 6) AS invalid_rate, round(avg(CASE WHEN gold_rank <= 20 THEN 1.0 / {ADJ.format(op='>')} ELSE 0 END), 6) AS mrr FROM (SELECT *, row_index % 3 AS v FROM ev) GROUP BY ALL")
+@query("e2e07_variant_summaries", f"""WITH {PRED_SQL}, rr AS (SELECT *, {ADJ.format(op='>=')} AS r, row_index % 3 AS variant FROM ev)
+SELECT split, variant, count(*) AS n, round(avg((gold_rank <= 20)::INT), 6) AS gold_at_20, round(avg(CASE WHEN gold_rank <= 20 THEN 1.0 / gold_rank ELSE 0 END), 6) AS candidate_mrr, round(avg(CASE WHEN r <= 20 THEN 1.0 / r ELSE 0 END), 6) AS mrr, round(avg((r <= 1)::INT), 6) AS hits_1, round(avg((r <= 3)::INT), 6) AS hits_3, round(avg((r <= 10)::INT), 6) AS hits_10,
+count(*) FILTER (gold_rank > 20) AS absent_before, count(*) FILTER (r > 20) AS absent_after, round(avg(exact::INT), 6) AS exact_rate, round(avg((pred_pos IS NULL)::INT), 6) AS invalid_rate, round(avg(coalesce(pred_pos = 1, false)::INT), 6) AS top1_copy FROM rr GROUP BY split, variant""")
 def _(spark, sf):
+    """Metrics of candidates and of answers for each variant of rules, noise or templates."""
     e = evaluated(Graph(spark, sf)).withColumn("variant", F.col("row_index") % 3).withColumn("r", x.adjusted_rank(F.col("pred_pos"), F.col("gold_rank"), F.col("exact")))
-    return e.groupBy("split", "variant").agg(F.count("*").alias("n"), R(F.avg(F.col("exact").cast("double"))).alias("exact_rate"), R(F.avg(F.col("pred_pos").isNull().cast("double"))).alias("invalid_rate"), R(F.avg(F.when(F.col("gold_rank") <= 20, 1.0 / F.col("r")).otherwise(0.0))).alias("mrr"))
+    share = lambda c: R(F.avg(c.cast("double")))
+    rr = lambda c: R(F.avg(F.when(F.col(c) <= 20, 1.0 / F.col(c)).otherwise(0.0)))
+    hits = [share(F.col("r") <= k).alias(f"hits_{k}") for k in (1, 3, 10)]
+    return e.groupBy("split", "variant").agg(F.count("*").alias("n"), share(F.col("gold_rank") <= 20).alias("gold_at_20"), rr("gold_rank").alias("candidate_mrr"), rr("r").alias("mrr"), *hits, F.count_if(F.col("gold_rank") > 20).alias("absent_before"), F.count_if(F.col("r") > 20).alias("absent_after"), share(F.col("exact")).alias("exact_rate"), share(F.col("pred_pos").isNull()).alias("invalid_rate"), share(F.coalesce(F.col("pred_pos") == 1, F.lit(False))).alias("top1_copy"))
 
 
 @query("agg05_candidate_ceiling", f"WITH {PRED_SQL} SELECT split, count(*) AS n, round(avg((gold_rank <= 20)::INT), 6) AS ceiling, round(avg((pred_pos IS NOT NULL)::INT), 6) AS in_candidates, round(avg((pred_pos IS NULL)::INT), 6) AS invalid, round(avg((pred_pos = 1)::INT), 6) AS top1_copy, round(avg((trim(pred) = '')::INT), 6) AS empty, round(avg(exact::INT) / nullif(avg((gold_rank <= 20)::INT), 0), 6) AS of_ceiling FROM (SELECT * REPLACE (coalesce(pred_pos, NULL) AS pred_pos), FROM ev) GROUP BY split")

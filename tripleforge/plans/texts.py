@@ -19,9 +19,16 @@ def _(spark, sf):
     return Graph(spark, sf).table("documents").select("doc_id", F.md5(x.clean(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-@query("fn02_loose_answer", "SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(split_part(ltrim(text), chr(10), 1), '[\"''`]', '', 'g'), '\\s+', ' ', 'g'), ' .,:;')) AS answer FROM conversations WHERE role = 'assistant'")
+#: Answers with markers, quotes within and around, and several lines.
+LOOSE_SQL = """SELECT o_orderkey, 'Question: x Answer: no' || chr(10) || 'Answer: ' || CASE o_orderkey % 4 WHEN 0 THEN '"Crohn''s  no ' || o_custkey || '  ' || o_orderpriority || '".' WHEN 1 THEN '''"`' || o_orderpriority || '`"'' ;' || chr(10) || 'more' WHEN 2 THEN chr(10) || ' ''' || o_orderpriority || ''' or "' || o_custkey || '"' ELSE '' END AS raw FROM orders"""
+
+
+@query("fn02_loose_answer", f"""WITH raws AS ({LOOSE_SQL}), line AS (SELECT o_orderkey, rtrim(split_part(ltrim(list_last(string_split(raw, 'Answer:')), ' ' || chr(10)), chr(10), 1)) AS line FROM raws)
+SELECT o_orderkey, lower(trim(regexp_replace(trim(trim(trim(line, ''''), '"'), '`'), '\\s+', ' ', 'g'), ' .,:;')) AS answer FROM line""")
 def _(spark, sf):
-    return Graph(spark, sf).table("conversations").where("role = 'assistant'").select("conv_id", "turn", x.loose(F.col("text")).alias("answer"))
+    who, level, n = F.col("o_custkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderkey") % 4
+    shape = F.when(n == 0, F.concat(F.lit("\"Crohn's  no "), who, F.lit("  "), level, F.lit('".'))).when(n == 1, F.concat(F.lit("'\"`"), level, F.lit("`\"' ;\nmore"))).when(n == 2, F.concat(F.lit("\n '"), level, F.lit("' or \""), who, F.lit('"'))).otherwise("")
+    return Graph(spark, sf).table("orders").select("o_orderkey", x.loose(F.concat(F.lit("Question: x Answer: no\nAnswer: "), shape)).alias("answer"))
 
 
 @query("fn03_strict_answer", "SELECT c_custkey, lower(trim(replace('\"' || c_name || '.</s>', '</s>', ''), ' \"''`.,:;')) AS answer FROM customer")
@@ -132,14 +139,16 @@ def _(spark, sf):
     return evaluated(Graph(spark, sf)).select(*KEY, "pred_pos", "hits", "exact")
 
 
-ADJ = "CASE WHEN gold_rank >= 21 THEN 21 WHEN exact THEN 1 WHEN pred_pos IS NULL THEN gold_rank WHEN pred_pos {op} gold_rank THEN least(gold_rank + 1, 21) ELSE gold_rank END"
+#: From the rules in words: absent gold 21; the gold itself 1; no candidate, or one that is not before the gold ({op}: by places from 1 or from 0), one place down; else as it was.
+ADJ = "CASE WHEN gold_rank > 20 THEN 21 WHEN exact THEN 1 WHEN pred_pos IS NOT NULL AND NOT pred_pos {op} gold_rank THEN gold_rank ELSE least(21, 1 + gold_rank) END"
 
 
-@query("e2e03_adjusted_rank", f"WITH {PRED_SQL} SELECT split, row_index, {ADJ.format(op='>')} AS rank_after, {ADJ.format(op='<')} AS rank_before FROM ev")
+@query("e2e03_adjusted_rank", f"WITH {PRED_SQL} SELECT split, row_index, {ADJ.format(op='>=')} AS rank, {ADJ.format(op='>')} AS rank_from_zero FROM ev")
 def _(spark, sf):
+    """Ranks of the gold after an answer: the rule that counts places from 1, and the one that holds a place from 0 against the rank."""
     e = evaluated(Graph(spark, sf))
     rank = lambda rule: x.adjusted_rank(F.col("pred_pos"), F.col("gold_rank"), F.col("exact"), rule)
-    return e.select(*KEY, rank("after").alias("rank_after"), rank("before").alias("rank_before"))
+    return e.select(*KEY, rank("at").alias("rank"), rank("after").alias("rank_from_zero"))
 
 
 CAT = "CASE WHEN trim(pred) = '' THEN 'empty' WHEN exact THEN 'exact' WHEN pred = first_name THEN 'top1_copy' WHEN best < 100 THEN 'other_candidate' WHEN length(pred) > 120 OR length(pred) - length(replace(pred, ',', '')) >= 2 OR hits >= 3 THEN 'list_fragment' ELSE 'invalid' END"
@@ -152,10 +161,16 @@ def _(spark, sf):
     return e.groupBy("split", c.alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("e2e05_summary", f"WITH {PRED_SQL} SELECT split, round(avg(exact::INT), 6) AS exact_rate, round(avg((pred_pos IS NOT NULL)::INT), 6) AS in_candidates, round(avg(CASE WHEN gold_rank < 21 THEN 1.0 / {ADJ.format(op='>')} ELSE 0 END), 6) AS mrr FROM ev GROUP BY split")
+@query("e2e05_summary", f"""WITH {PRED_SQL}, rr AS (SELECT *, {ADJ.format(op='>')} AS r FROM ev)
+SELECT split, count(*) AS n, round(avg(CASE WHEN r <= 20 THEN 1.0 / r ELSE 0 END), 12) AS mrr, round(avg((r <= 1)::INT), 12) AS hits_1, round(avg((r <= 3)::INT), 12) AS hits_3, round(avg((r <= 10)::INT), 12) AS hits_10,
+round(avg((gold_rank <= 20)::INT), 12) AS gold_present, round(avg((pred_pos IS NOT NULL)::INT), 12) AS in_candidates, round(avg(exact::INT), 12) AS exact_rate, round(avg((pred_pos IS NULL)::INT), 12) AS invalid_rate, count(*) FILTER (gold_rank > 20) AS absent FROM rr GROUP BY split""")
 def _(spark, sf):
-    e = evaluated(Graph(spark, sf)).withColumn("r", x.adjusted_rank(F.col("pred_pos"), F.col("gold_rank"), F.col("exact")))
-    return e.groupBy("split").agg(R(F.avg(F.col("exact").cast("double"))).alias("exact_rate"), R(F.avg(F.col("pred_pos").isNotNull().cast("double"))).alias("in_candidates"), R(F.avg(F.when(F.col("gold_rank") < 21, 1.0 / F.col("r")).otherwise(0.0))).alias("mrr"))
+    """Metrics of generated answers, to 12 places; ranks by the rule that holds places from 0 against the gold's rank."""
+    e = evaluated(Graph(spark, sf)).withColumn("r", x.adjusted_rank(F.col("pred_pos"), F.col("gold_rank"), F.col("exact"), "after"))
+    share = lambda c: F.round(F.avg(c.cast("double")), 12)
+    hits = [share(F.col("r") <= k).alias(f"hits_{k}") for k in (1, 3, 10)]
+    mrr = F.round(F.avg(F.when(F.col("r") <= 20, 1.0 / F.col("r")).otherwise(0.0)), 12)
+    return e.groupBy("split").agg(F.count("*").alias("n"), mrr.alias("mrr"), *hits, share(F.col("gold_rank") <= 20).alias("gold_present"), share(F.col("pred_pos").isNotNull()).alias("in_candidates"), share(F.col("exact")).alias("exact_rate"), share(F.col("pred_pos").isNull()).alias("invalid_rate"), F.count_if(F.col("gold_rank") > 20).alias("absent"))
 
 
 @query("sens05_template_variants", f"WITH {NAMED}, t(variant, template) AS (VALUES ('T0', 'Which compound treats {{}}?'), ('T1', 'Name the compound for {{}}.'), ('T2', '{{}}: which compound?'), ('T3', 'What is related to {{}}?')) SELECT split, row_index, variant, replace(template, '{{}}', qn) AS question FROM pr, t")
