@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.splits import dense_ids
 from . import store
+from .adjacency import Adjacency
 
 TOP_K, ABSENT_RANK = 20, 21
 KINDS = ("Compound", "Gene", "Disease")
@@ -83,6 +84,10 @@ class Graph:
         """The training graph: all relations, of the target only its training triples."""
         return self.compound_gene().unionByName(self.disease_gene()).unionByName(self.gene_gene()).unionByName(self.auxiliary()).unionByName(self.train())
 
+    def adjacency(self) -> Adjacency:
+        """The training graph by node, written once."""
+        return store.kept(self.spark, self.sf_dir, "adjacency", lambda: Adjacency.of(self.edges()))
+
     def nodes(self) -> DataFrame:
         each = [self.table(t).select((F.col(key) * 3 + k).alias("id"), F.lit(KINDS[k]).alias("kind"), F.col(name).alias("name")) for k, (t, key, name) in enumerate((("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name")))]
         return each[0].unionByName(each[1]).unionByName(each[2])

@@ -63,7 +63,16 @@ def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFr
     return spark.read.schema(schema).parquet(path)
 
 
+def kept(spark: SparkSession, source: str, name: str, build: Callable):
+    """What build() gives, made at the first call for this session, source and name; it has a drop() of its own."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _MADE:
+        _MADE[key] = build()
+    return _MADE[key]
+
+
 def forget(spark: SparkSession, source: str) -> None:
     """Tables of a source are derived anew at their next use."""
     for key in [k for k in _MADE if k[:2] == (spark.sparkContext.applicationId, source)]:
-        _drop(spark, _MADE.pop(key)[0])
+        made = _MADE.pop(key)
+        made.drop() if hasattr(made, "drop") else _drop(spark, made[0])
