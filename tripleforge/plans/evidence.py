@@ -23,16 +23,10 @@ SETTINGS = {"D": (80, 5, 40), "E": (100, 12, 60), "F": (100, 18, 0)}
 TOUCHED, PER_GENE = 240, 3
 
 
-def adjacency(edges):
-    """(src, dst, h, r, t, kinds): every edge from either end; kinds are those of its ends, from src."""
-    return g.both_ways(edges).withColumn("kinds", F.concat((F.col("src") % 3).cast("string"), (F.col("dst") % 3).cast("string")))
-
-
-def graph_of(kg: Graph, setting: str):
-    """The edges that a setting retrieves from: F has approved and failed pairs, compound and gene edges."""
-    if setting == "F":
-        return kg.train().unionByName(kg.failed()).unionByName(kg.compound_gene()).unionByName(kg.gene_gene())
-    return kg.edges()
+def adjacency(kg: Graph, setting: str):
+    """(src, dst, h, r, t, kinds): every edge that a setting retrieves from, from either end, read by node; kinds are those of its ends, from src."""
+    rows = kg.adjacency("status" if setting == "F" else "train").rows()
+    return rows.withColumn("kinds", F.concat((F.col("src") % 3).cast("string"), (F.col("dst") % 3).cast("string")))
 
 
 def subgraphs(kg: Graph, setting: str = "D"):
@@ -47,7 +41,7 @@ def subgraphs(kg: Graph, setting: str = "D"):
 def _subgraphs(kg: Graph, setting: str):
     budget, cand_genes, query_genes = SETTINGS[setting]
     c, q = kg.candidates().select(*KEY, "query_id", "pos", "cand"), kg.queries().select(*KEY, "query_id")
-    e = adjacency(graph_of(kg, setting))
+    e = adjacency(kg, setting)
     direct = c.join(e.where("kinds = '02'").select(F.col("src").alias("cand"), F.col("dst").alias("query_id"), "h", "r", "t"), ["cand", "query_id"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"))
     own = lambda kinds, cap, node: g.first_per(e.where(F.col("kinds") == kinds), ["src"], ["r", "dst"], cap).select(F.col("src").alias(node), F.col("dst").alias("gene"), "h", "r", "t", "place")
     theirs = store.written(c.join(own("01", cand_genes, "cand"), "cand"), "candidate-genes")
@@ -65,7 +59,10 @@ def _subgraphs(kg: Graph, setting: str):
         left = theirs.join(genes, [*KEY, "gene"], "left_semi").select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.lit(0).alias("o2"), F.col("place").alias("o3"))
         met = theirs.select(*KEY, "pos", "gene").distinct()
         right = mine.join(met, [*KEY, "gene"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.lit(1).alias("o2"), F.col("place").alias("o3"))
-        bridges = theirs.select(*KEY, "pos", "place", "gene").join(gg, "gene").join(genes.withColumnRenamed("gene", "far"), [*KEY, "far"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.col("place").alias("o2"), F.col("far").alias("o3"))
+        # A gene's links are met once for each row, and only those that lead to some query's gene; the row's candidates meet what is left of them.
+        ends = genes.select(F.col("gene").alias("far")).distinct()
+        links = theirs.select(*KEY, "gene").distinct().join(gg.join(ends, "far", "left_semi"), "gene").join(genes.withColumnRenamed("gene", "far"), [*KEY, "far"], "left_semi")
+        bridges = theirs.select(*KEY, "pos", "place", "gene").join(links, [*KEY, "gene"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.col("place").alias("o2"), F.col("far").alias("o3"))
         stages = [direct, left.unionByName(right), mine_stage, their_stage, bridges]
     # No more than `budget` of a node's edges can be new, and no more than that have come before.
     local = g.first_per(e, ["src"], ["r", "dst", "h"], 2 * budget).select(F.col("src").alias("node"), "h", "r", "t", F.col("place").alias("o2"))

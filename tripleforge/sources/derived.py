@@ -15,7 +15,7 @@ from ..operators.splits import dense_ids
 from . import store
 from .adjacency import Adjacency
 
-TOP_K, ABSENT_RANK = 20, 21
+TOP_K, ABSENT_RANK, NEXT_PARTS = 20, 21, 4
 KINDS = ("Compound", "Gene", "Disease")
 
 
@@ -37,8 +37,9 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @view
     def lines(self) -> DataFrame:
-        """Order lines with the three entities they touch."""
+        """Order lines with the three entities they touch; all views of two or three kinds start from them."""
         line = self.table("lineitem").select("l_orderkey", (F.col("l_suppkey") * 3).alias("c"), (F.col("l_partkey") * 3 + 1).alias("g"), "l_returnflag", "l_linestatus", "l_discount")
         order = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 3 + 2).alias("d"), "o_orderpriority")
         return line.join(order, "l_orderkey")
@@ -46,7 +47,7 @@ class Graph:
     @view
     def compound_gene(self) -> DataFrame:
         flag = F.when(F.col("l_returnflag") == "A", "CbG").when(F.col("l_returnflag") == "R", "CdG").otherwise("CuG")
-        return self.table("lineitem").select((F.col("l_suppkey") * 3).alias("h"), flag.alias("r"), (F.col("l_partkey") * 3 + 1).alias("t")).distinct()
+        return self.lines().select(F.col("c").alias("h"), flag.alias("r"), F.col("g").alias("t")).distinct()
 
     @view
     def disease_gene(self) -> DataFrame:
@@ -54,9 +55,11 @@ class Graph:
 
     @view
     def gene_gene(self) -> DataFrame:
-        p = self.table("part").select((F.col("p_partkey") * 3 + 1).alias("g"), "p_brand", "p_size")
-        a, b = p.withColumnRenamed("g", "h"), p.withColumnRenamed("g", "t")
-        return a.join(b, ["p_brand", "p_size"]).where("h < t").select("h", F.lit("GiG").alias("r"), "t")
+        """Every part with the next NEXT_PARTS parts of its brand and size, so edges grow with the parts."""
+        part = self.table("part").select((F.col("p_partkey") * 3 + 1).alias("h"), "p_brand", "p_size")
+        w = Window.partitionBy("p_brand", "p_size").orderBy("h")
+        part = part.select("h", F.array(*[F.lead("h", k).over(w) for k in range(1, NEXT_PARTS + 1)]).alias("next"))
+        return part.select("h", F.explode("next").alias("t")).where("t is not null").select("h", F.lit("GiG").alias("r"), "t")
 
     @view
     def _pairs(self) -> DataFrame:
@@ -84,9 +87,10 @@ class Graph:
         """The training graph: all relations, of the target only its training triples."""
         return self.compound_gene().unionByName(self.disease_gene()).unionByName(self.gene_gene()).unionByName(self.auxiliary()).unionByName(self.train())
 
-    def adjacency(self) -> Adjacency:
-        """The training graph by node, written once."""
-        return store.kept(self.spark, self.sf_dir, "adjacency", lambda: Adjacency.of(self.edges()))
+    def adjacency(self, name: str = "train") -> Adjacency:
+        """A graph by node, written once: train, the training graph, or status, its compounds with approved and failed pairs."""
+        edges = {"train": self.edges, "status": lambda: self.train().unionByName(self.failed()).unionByName(self.compound_gene()).unionByName(self.gene_gene())}[name]
+        return store.kept(self.spark, self.sf_dir, f"adjacency-{name}", lambda: Adjacency.of(edges()))
 
     def nodes(self) -> DataFrame:
         each = [self.table(t).select((F.col(key) * 3 + k).alias("id"), F.lit(KINDS[k]).alias("kind"), F.col(name).alias("name")) for k, (t, key, name) in enumerate((("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name")))]
@@ -128,11 +132,12 @@ class Graph:
 
 
 #: The same views in DuckDB's SQL, for queries that begin with WITH.
-SQL = """
+SQL = f"""
 li AS (SELECT l_suppkey*3 AS c, l_partkey*3+1 AS g, o_custkey*3+2 AS d, l_returnflag, l_linestatus, l_discount, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 cg AS (SELECT DISTINCT c AS h, CASE l_returnflag WHEN 'A' THEN 'CbG' WHEN 'R' THEN 'CdG' ELSE 'CuG' END AS r, g AS t FROM li),
 dg AS (SELECT DISTINCT d AS h, CASE l_linestatus WHEN 'F' THEN 'DaG' ELSE 'DdG' END AS r, g AS t FROM li),
-gg AS (SELECT a.p_partkey*3+1 AS h, 'GiG' AS r, b.p_partkey*3+1 AS t FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
+pn AS (SELECT p_partkey*3+1 AS g, p_brand, p_size, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n FROM part),
+gg AS (SELECT a.g AS h, 'GiG' AS r, b.g AS t FROM pn a JOIN pn b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND b.n - a.n BETWEEN 1 AND {NEXT_PARTS}),
 target AS (SELECT h, r, t, CASE (h//3*31 + t//3) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM (SELECT DISTINCT c AS h, 'CtD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09)),
 aux AS (SELECT DISTINCT c AS h, 'CpD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '2%' AND l_discount >= 0.09),
 failed AS (SELECT DISTINCT c AS h, 'CfD' AS r, d AS t FROM li WHERE l_returnflag = 'A' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09),
