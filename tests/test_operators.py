@@ -1,24 +1,42 @@
 """Greedy and sequential operators against plain loops, and edge cases."""
 
+import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tripleforge.operators import graph, ranking, retrieval, splits, text
+from tripleforge.operators import graph, greedy, ranking, retrieval, text
 from tripleforge.plans import evidence, registry
 from tripleforge.sources import files
 from tripleforge.sources.derived import Graph
 
 
-def test_held_out_keeps_coverage():
+def spared_loop(edges, seed):
+    """Edges in the order of their draws, each held out while both its ends keep another one."""
+    draw = lambda e: int(hashlib.md5(f"{seed}:{e[0]}:{e[1]}".encode()).hexdigest()[:13], 16)
+    heads, tails, out = Counter(h for h, _ in edges), Counter(t for _, t in edges), []
+    for h, t in sorted(edges, key=lambda e: (draw(e), e)):
+        if heads[h] > 1 and tails[t] > 1:
+            heads[h] -= 1
+            tails[t] -= 1
+            out.append((h, t))
+    return out
+
+
+def test_split_equals_the_loop(spark):
     rnd = random.Random(3)
     edges = sorted({(rnd.randrange(20), rnd.randrange(40)) for _ in range(200)})
-    got = splits.held_out(edges, 15, 15, 2026)
-    train = [e for e, s in zip(edges, got, strict=True) if s == "train"]
-    assert got.count("valid") == got.count("test") == 15
-    assert {h for h, _ in edges} == {h for h, _ in train} and {t for _, t in edges} == {t for _, t in train}
+    df = spark.createDataFrame(edges, "h long, t long").repartition(4)
+    got = {(r.h, r.t): r.split for r in greedy.coverage_safe_split(df, 25, 15, 2026).collect()}
+    order = spared_loop(edges, 2026)
+    assert {e for e, s in got.items() if s == "valid"} == set(order[:25]) and {e for e, s in got.items() if s == "test"} == set(order[25:40])
+    train = [e for e, s in got.items() if s == "train"]
+    assert len(got) == len(edges) and {h for h, _ in edges} == {h for h, _ in train} and {t for _, t in edges} == {t for _, t in train}
+    with pytest.raises(ValueError, match="no order"):
+        greedy.coverage_safe_split(df, 150, 50, 1)
 
 
 def test_selection_equals_the_loop(spark):
@@ -102,15 +120,15 @@ def capped_loop(edges, head_cap, tail_cap, total=10**9, shared=False):
 
 
 @pytest.mark.parametrize("shared", [False, True])
-def test_joint_caps_equal_the_loop(spark, shared, monkeypatch):
+def test_joint_caps_equal_the_loop(spark, shared):
     rnd = random.Random(4)
     edges = sorted({(rnd.randrange(30), rnd.choice("ab"), rnd.randrange(30)) for _ in range(500)}, key=lambda e: (e[0], e[2], e[1]))
     df = spark.createDataFrame(edges, "h long, r string, t long").repartition(5)
-    got = splits.joint_caps(df, ["h", "t", "r"], 9, 7, 150, shared).collect()
-    assert sorted(map(tuple, got)) == sorted(capped_loop(edges, 9, 7, 150, shared))
-    monkeypatch.setattr(splits, "GREEDY_ROWS", 100)
-    with pytest.raises(ValueError):
-        splits.joint_caps(df, ["h", "t", "r"], 9, 7)
+    caps = (9, 9) if shared else (9, 7)
+    got = greedy.joint_caps(df, ["h", "t", "r"], *caps, 150, shared).collect()
+    assert sorted(map(tuple, got)) == sorted(capped_loop(edges, *caps, 150, shared))
+    assert sorted(map(tuple, greedy.joint_caps(df, ["h", "t", "r"], *caps, None, shared).collect())) == sorted(capped_loop(edges, *caps, 10**9, shared))
+    assert greedy.joint_caps(df.limit(0), ["h", "t", "r"], 9, 7).count() == 0
 
 
 @pytest.mark.parametrize("name", ["gr15_filtered_graph", "gr16_status_graph"])
@@ -123,7 +141,7 @@ def test_filtered_graphs_equal_the_loop(spark, name, monkeypatch):
     kg = Graph(spark, sf)
     rows = lambda df: sorted({(r.h, r.r, r.t) for r in df.select("h", "r", "t").collect()}, key=lambda e: (e[0], e[2], e[1]))
     target, train, held = rows(kg.target()), rows(kg.train()), {(r.h, r.t) for r in kg.target().where("split <> 'train'").collect()}
-    compounds, diseases = {h for h, _, _ in target}, {t for _, _, t in target}
+    compounds, diseases = {h for h, _, _ in (train if name == "gr15_filtered_graph" else target)}, {t for _, _, t in target}
 
     def first(edges, cap, keep):
         n, out = {}, []
@@ -192,13 +210,14 @@ def test_short_paths_equal_the_search(spark):
     assert all(sorted(v)[0][1] == a and sorted(v)[-1][2] == b for (a, b), v in found.items())
 
 
-def test_split_ladder_finds_what_some_attempt_reaches(spark):
+def test_split_ladder_finds_what_some_order_reaches(spark):
     rnd = random.Random(12)
     edges = sorted({(rnd.randrange(12), rnd.randrange(12)) for _ in range(70)})
-    sizes = (30, 25, 20, 15, 10, 5)
-    got = splits.split_ladder(spark.createDataFrame(edges, "h long, t long"), sizes, 3).first()
-    want = next((s for s in sizes if 2 * s < len(edges) and splits.held_out(edges, s, s, 3)), 0)
-    assert (got.n_edges, got["size"]) == (len(edges), want)
+    df = spark.createDataFrame(edges, "h long, t long")
+    for sizes in ((40, 25, 22, 20, 15), (31, 30), (100,)):
+        got = greedy.split_ladder(df, sizes, 3, attempts=4).first()
+        want = next((s for s in sizes if 2 * s < len(edges) and any(len(spared_loop(edges, 3 + a)) >= 2 * s for a in range(4))), 0)
+        assert (got.n_edges, got["size"]) == (len(edges), want)
 
 
 def test_archives_stay_inside(tmp_path):

@@ -1,19 +1,12 @@
-"""Splits, samples and dense ids."""
+"""Samples, draws and dense ids."""
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
 
-#: Rows that a greedy, order-bound operator takes; it is sequential by definition, so larger inputs are refused, not cut.
-GREEDY_ROWS = 2_000_000
-
-
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """Numbers from 0 in the order of a column of distinct values: ranges are sorted apart, and numbers within ranges move by the sizes of those before. The ranges are drawn once, and written."""
     parts = written(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
@@ -23,54 +16,6 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return parts.withColumn("_k", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_k") + F.col("_before") - 1).drop("_p", "_k", "_before")
 
 
-def small(df: DataFrame) -> DataFrame:
-    if df.limit(GREEDY_ROWS + 1).count() > GREEDY_ROWS:
-        raise ValueError(f"a greedy operator takes {GREEDY_ROWS} triples at most")
-    return df
-
-
-def held_out(edges: list[tuple], valid: int, test: int, seed: int, attempts: int = 500) -> list[str] | None:
-    """Split of each edge: shuffled with seed + attempt, edges are held out while their ends keep another edge in train, first valid, then test."""
-    for attempt in range(attempts):
-        order = list(range(len(edges)))
-        random.Random(seed + attempt).shuffle(order)
-        heads, tails = {}, {}
-        for h, t in edges:
-            heads[h], tails[t] = heads.get(h, 0) + 1, tails.get(t, 0) + 1
-        out, taken = ["train"] * len(edges), 0
-        for i in order:
-            h, t = edges[i]
-            if taken < valid + test and heads[h] > 1 and tails[t] > 1:
-                heads[h] -= 1
-                tails[t] -= 1
-                out[i] = "valid" if taken < valid else "test"
-                taken += 1
-        if taken == valid + test:
-            return out
-    return None
-
-
-def coverage_safe_split(edges: DataFrame, valid: int, test: int, seed: int) -> DataFrame:
-    """edges (h, t) with split; all train where no attempt reaches the sizes."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "t"])
-        got = held_out(list(zip(pdf["h"], pdf["t"], strict=True)), valid, test, seed)
-        return pd.DataFrame({"h": pdf["h"], "t": pdf["t"], "split": got or "train"})
-
-    return small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "h long, t long, split string")
-
-
-def split_ladder(edges: DataFrame, sizes, seed: int) -> DataFrame:
-    """The first size for which as many valid and test edges can be held out, each size tried as often as a split is."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "t"])
-        e = list(zip(pdf["h"], pdf["t"], strict=True))
-        n = next((s for s in sizes if 2 * s < len(e) and held_out(e, s, s, seed)), 0)
-        return pd.DataFrame({"n_edges": [len(e)], "size": [n]})
-
-    return small(edges).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n_edges long, size int")
-
-
 def drawn(seed: int, *key: Column) -> Column:
     """A number of 52 bits for a key: the head of its MD5, so that other engines draw the same."""
     text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])
@@ -110,24 +55,3 @@ def balanced(triples: DataFrame, condition: Column, n: int, seed: int) -> DataFr
         got = draws.join(numbered, "i").select("draw", F.lit(side).alias("is_target"), "key.h", "key.r", "key.t")
         out = got if out is None else out.unionByName(got)
     return out
-
-
-def joint_caps(edges: DataFrame, order, head_cap: int, tail_cap: int, total: int | None = None, shared: bool = False) -> DataFrame:
-    """Edges (h, r, t), taken in an order while their head has fewer than head_cap and their tail fewer than tail_cap, `total` in all. With shared an end counts whether it is head or tail.
-
-    The order decides, so it runs on one sorted partition, and refuses more than GREEDY_ROWS edges.
-    """
-    def run(batches):
-        heads, tails, n = {}, {}, 0
-        tails = heads if shared else tails
-        for pdf in batches:
-            keep = []
-            for h, r, t in zip(pdf["h"], pdf["r"], pdf["t"], strict=True):
-                if (total is None or n < total) and heads.get(h, 0) < head_cap and tails.get(t, 0) < tail_cap:
-                    heads[h] = heads.get(h, 0) + 1
-                    tails[t] = tails.get(t, 0) + 1
-                    keep.append((h, r, t))
-                    n += 1
-            yield pd.DataFrame(keep, columns=["h", "r", "t"])
-
-    return small(edges.select("h", "r", "t")).repartition(1).sortWithinPartitions(*order).mapInPandas(run, "h long, r string, t long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import greedy
 from ..operators import ranking as k
 from ..operators import retrieval as r
 from ..operators import splits
@@ -465,18 +466,17 @@ def capped(edges, node: str, cap: int):
 
 @query("gr15_filtered_graph")
 def _(spark, sf):
-    """The filtered graph: all training target edges; compound-gene edges of candidate compounds and disease-gene edges of target diseases, capped each; other pairs of both under joint caps of compound, disease and total;
+    """The filtered graph: all training target edges; compound-gene edges of the compounds in training and disease-gene edges of all target diseases, capped each; other pairs of both under joint caps of compound, disease and total;
     gene-gene edges between touched genes under a joint cap of both genes. Joint caps take edges in the order of (h, t, r). The brute-force loop is in tests/test_operators.py."""
     kg = Graph(spark, sf)
-    target = kg.target()
-    compounds, diseases = target.select("h").distinct(), target.select("t").distinct()
+    compounds, diseases = kg.train().select("h").distinct(), kg.target().select("t").distinct()
     cg = capped(kg.compound_gene().join(compounds, "h", "left_semi"), "h", COMPOUND_GENES)
     dg = capped(kg.disease_gene().join(diseases.withColumnRenamed("t", "h"), "h", "left_semi"), "h", DISEASE_GENES)
     aux = kg.auxiliary().join(compounds, "h", "left_semi").join(diseases, "t", "left_semi")
-    aux = splits.joint_caps(aux, ["h", "t", "r"], PAIRS_EACH, PAIRS_EACH, PAIRS_TOTAL)
+    aux = greedy.joint_caps(aux, ["h", "t", "r"], PAIRS_EACH, PAIRS_EACH, PAIRS_TOTAL)
     genes = cg.select("t").unionByName(dg.select("t")).distinct()
     gg = kg.gene_gene().join(genes.withColumnRenamed("t", "h"), "h", "left_semi").join(genes, "t", "left_semi")
-    gg = splits.joint_caps(gg, ["h", "t", "r"], GENE_GENES, GENE_GENES, GENES_TOTAL, shared=True)
+    gg = greedy.joint_caps(gg, ["h", "t", "r"], GENE_GENES, GENE_GENES, GENES_TOTAL, shared=True)
     return kg.train().select("h", "r", "t").unionByName(cg).unionByName(dg).unionByName(aux).unionByName(gg)
 
 
@@ -486,12 +486,12 @@ def _(spark, sf):
     kg = Graph(spark, sf)
     target, failed = kg.target(), kg.failed().select("h", "r", "t")
     held = target.where("split <> 'train'").select("h", "t")
-    bad = splits.joint_caps(failed.join(held, ["h", "t"], "left_anti"), ["h", "t", "r"], PAIRS_EACH, PAIRS_EACH)
+    bad = greedy.joint_caps(failed.join(held, ["h", "t"], "left_anti"), ["h", "t", "r"], PAIRS_EACH, PAIRS_EACH)
     compounds = target.select("h").unionByName(failed.select("h")).distinct()
     cg = capped(kg.compound_gene().join(compounds, "h", "left_semi"), "h", COMPOUND_GENES)
     genes = cg.select("t").distinct()
     gg = kg.gene_gene().join(genes.withColumnRenamed("t", "h"), "h", "left_semi").join(genes, "t", "left_semi")
-    gg = splits.joint_caps(gg, ["h", "t", "r"], GENE_GENES, GENE_GENES, 150_000, shared=True)
+    gg = greedy.joint_caps(gg, ["h", "t", "r"], GENE_GENES, GENE_GENES, 150_000, shared=True)
     return kg.train().select("h", "r", "t").unionByName(bad).unionByName(cg).unionByName(gg)
 
 

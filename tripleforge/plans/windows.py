@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import greedy
 from ..operators import ranking as k
 from ..operators import splits
 from ..sources.derived import SQL, Graph
@@ -211,12 +212,12 @@ def _(spark, sf):
 
 @query("smp01_coverage_safe_split")
 def _(spark, sf):
-    return splits.coverage_safe_split(Graph(spark, sf).target().select("h", "t"), 20, 20, seed=2026)
+    return greedy.coverage_safe_split(Graph(spark, sf).target().select("h", "t"), 20, 20, seed=2026)
 
 
 @query("smp02_split_ladder")
 def _(spark, sf):
-    return splits.split_ladder(Graph(spark, sf).target().select("h", "t"), (500, 400, 300, 250, 200, 100, 50, 20, 5), seed=2026)
+    return greedy.split_ladder(Graph(spark, sf).target().select("h", "t"), (500, 400, 300, 250, 200, 100, 50, 20, 5), seed=2026)
 
 
 @query("smp03_fixed_sample", f"WITH {SQL} SELECT h, t FROM target ORDER BY {splits.drawn_sql(7, 'h', 't')}, h, t LIMIT 40")
