@@ -2,5 +2,5 @@
 
 import importlib
 
-for _part in ("metrics", "windows", "evidence", "texts", "relational", "audits", "learned", "inputs", "rows", "choices", "words", "stored", "subgraph", "annotated", "scoring"):
+for _part in ("metrics", "windows", "evidence", "texts", "relational", "audits", "learned", "inputs", "rows", "choices", "words", "stored", "subgraph", "annotated", "scoring", "sweeps"):
     importlib.import_module(f"tripleforge.plans.{_part}")

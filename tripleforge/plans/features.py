@@ -11,11 +11,13 @@ from ..sources import store
 from ..sources.derived import SQL, Graph
 
 CAND_GENES, BRIDGE_GENES, QUERY_GENES, BRIDGE_CAP = 120, 80, 300, 30
+#: Genes of a candidate, those of them that bridges start from, genes of a query, bridges that count, and the bridges that count in full.
+SETTINGS = {"D": (CAND_GENES, BRIDGE_GENES, QUERY_GENES, BRIDGE_CAP, 5), "E": (120, 120, 240, 40, 6)}
 
 
-def gene_sets(kg: Graph) -> tuple[DataFrame, DataFrame]:
-    c = g.neighbours(kg.compound_gene().select(F.col("h").alias("node"), F.col("t").alias("near")), CAND_GENES)
-    d = g.neighbours(kg.disease_gene().select(F.col("h").alias("node"), F.col("t").alias("near")), QUERY_GENES)
+def gene_sets(kg: Graph, cand_genes: int = CAND_GENES, query_genes: int = QUERY_GENES) -> tuple[DataFrame, DataFrame]:
+    c = g.neighbours(kg.compound_gene().select(F.col("h").alias("node"), F.col("t").alias("near")), cand_genes)
+    d = g.neighbours(kg.disease_gene().select(F.col("h").alias("node"), F.col("t").alias("near")), query_genes)
     return c, d
 
 
@@ -24,12 +26,13 @@ def direct_degrees(kg: Graph) -> DataFrame:
     return kg.train().unionByName(kg.auxiliary()).groupBy(F.col("h").alias("node")).agg(F.countDistinct("t").alias("degree"))
 
 
-def support_of(kg: Graph, cands: DataFrame) -> DataFrame:
+def support_of(kg: Graph, cands: DataFrame, setting: tuple = SETTINGS["D"]) -> DataFrame:
     """cands with shared, bridges, genes of either side, direct edge, degree share, evidence, penalty and support."""
-    cg, dg = gene_sets(kg)
+    cand_genes, bridge_genes, query_genes, bridge_cap, full = setting
+    cg, dg = gene_sets(kg, cand_genes, query_genes)
     pairs = cands.select(F.col("cand").alias("a"), F.col("query_id").alias("b")).distinct()
     shared = g.shared(cg, dg, pairs)
-    bridges = g.bridges(cg.where(F.col("place") <= BRIDGE_GENES), dg, kg.gene_gene(), pairs, BRIDGE_CAP)
+    bridges = g.bridges(cg.where(F.col("place") <= bridge_genes), dg, kg.gene_gene(), pairs, bridge_cap)
     direct = kg.auxiliary().select(F.col("h").alias("a"), F.col("t").alias("b"), F.lit(1).alias("direct"))
     n_c = cg.groupBy(F.col("node").alias("a")).agg(F.count("*").alias("cand_genes"))
     n_d = dg.groupBy(F.col("node").alias("b")).agg(F.count("*").alias("query_genes"))
@@ -37,7 +40,7 @@ def support_of(kg: Graph, cands: DataFrame) -> DataFrame:
     f = pairs.join(shared, ["a", "b"], "left").join(bridges, ["a", "b"], "left").join(direct, ["a", "b"], "left").join(n_c, "a", "left").join(n_d, "b", "left")
     f = f.join(degrees.withColumnRenamed("node", "a"), "a", "left").crossJoin(F.broadcast(g.degree_p95(degrees))).fillna(0)
     one = lambda x, by: F.least(F.lit(1.0), F.col(x) / F.lit(float(by)))
-    evidence = 0.7 * one("shared", 2) + 0.2 * one("bridges", 5) + 0.05 * (F.col("cand_genes") > 0).cast("int") + 0.05 * (F.col("query_genes") > 0).cast("int")
+    evidence = 0.7 * one("shared", 2) + 0.2 * one("bridges", full) + 0.05 * (F.col("cand_genes") > 0).cast("int") + 0.05 * (F.col("query_genes") > 0).cast("int")
     penalty = F.greatest(F.col("direct").cast("double"), F.least(F.lit(1.0), F.col("degree") / F.col("p95")))
     f = f.withColumn("evidence", evidence).withColumn("penalty", penalty).withColumn("support", F.col("evidence") - 0.5 * F.col("penalty"))
     f = f.select(F.col("a").alias("cand"), F.col("b").alias("query_id"), "shared", "bridges", "cand_genes", "query_genes", "direct", "degree", "evidence", "penalty", "support")
@@ -52,23 +55,26 @@ def soft_ranked(kg: Graph) -> DataFrame:
     return store.once(kg.spark, kg.sf_dir, "soft", build)
 
 
-FEATURES = (
-    SQL
-    + f""",
-cgn AS (SELECT node, near, row_number() OVER (PARTITION BY node ORDER BY near) AS place FROM (SELECT DISTINCT h AS node, t AS near FROM cg) QUALIFY place <= {CAND_GENES}),
-dgn AS (SELECT node, near, row_number() OVER (PARTITION BY node ORDER BY near) AS place FROM (SELECT DISTINCT h AS node, t AS near FROM dg) QUALIFY place <= {QUERY_GENES}),
+def features_sql(setting: str = "D") -> str:
+    """The support features in SQL, by the constants of a setting."""
+    cand_genes, bridge_genes, query_genes, bridge_cap, full = SETTINGS[setting]
+    return SQL + f""",
+cgn AS (SELECT node, near, row_number() OVER (PARTITION BY node ORDER BY near) AS place FROM (SELECT DISTINCT h AS node, t AS near FROM cg) QUALIFY place <= {cand_genes}),
+dgn AS (SELECT node, near, row_number() OVER (PARTITION BY node ORDER BY near) AS place FROM (SELECT DISTINCT h AS node, t AS near FROM dg) QUALIFY place <= {query_genes}),
 pairs AS (SELECT DISTINCT cand AS a, query_id AS b FROM cand),
 sh AS (SELECT a, b, count(*) AS shared FROM pairs JOIN cgn ON cgn.node = a JOIN dgn ON dgn.node = b AND dgn.near = cgn.near GROUP BY a, b),
 gw AS (SELECT h AS x, t AS y FROM gg UNION ALL SELECT t, h FROM gg),
-reach AS (SELECT node AS a, y, count(*) AS n FROM cgn JOIN gw ON x = near WHERE place <= {BRIDGE_GENES} GROUP BY node, y),
-br AS (SELECT pairs.a, b, least(sum(n), {BRIDGE_CAP}) AS bridges FROM pairs JOIN dgn ON dgn.node = b JOIN reach ON reach.a = pairs.a AND reach.y = dgn.near GROUP BY pairs.a, b),
+reach AS (SELECT node AS a, y, count(*) AS n FROM cgn JOIN gw ON x = near WHERE place <= {bridge_genes} GROUP BY node, y),
+br AS (SELECT pairs.a, b, least(sum(n), {bridge_cap}) AS bridges FROM pairs JOIN dgn ON dgn.node = b JOIN reach ON reach.a = pairs.a AND reach.y = dgn.near GROUP BY pairs.a, b),
 deg AS (SELECT h AS node, count(DISTINCT t) AS degree FROM (SELECT h, t FROM train UNION ALL SELECT h, t FROM aux) GROUP BY h),
 p95 AS (SELECT greatest(coalesce(quantile_cont(degree, 0.95), 1.0), 1.0) AS p95 FROM deg WHERE degree > 0),
 f0 AS (SELECT pairs.a AS cand, pairs.b AS query_id, coalesce(shared, 0) AS shared, coalesce(bridges, 0) AS bridges, coalesce(nc, 0) AS cand_genes, coalesce(nd, 0) AS query_genes, CASE WHEN aux.h IS NULL THEN 0 ELSE 1 END AS direct, coalesce(degree, 0) AS degree, p95
   FROM pairs LEFT JOIN sh ON sh.a = pairs.a AND sh.b = pairs.b LEFT JOIN br ON br.a = pairs.a AND br.b = pairs.b LEFT JOIN aux ON aux.h = pairs.a AND aux.t = pairs.b
   LEFT JOIN (SELECT node, count(*) AS nc FROM cgn GROUP BY node) n1 ON n1.node = pairs.a LEFT JOIN (SELECT node, count(*) AS nd FROM dgn GROUP BY node) n2 ON n2.node = pairs.b LEFT JOIN deg ON deg.node = pairs.a CROSS JOIN p95),
-f1 AS (SELECT *, 0.7::DOUBLE * least(1.0::DOUBLE, shared / 2.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, bridges / 5.0::DOUBLE) + 0.05::DOUBLE * (cand_genes > 0)::INT + 0.05::DOUBLE * (query_genes > 0)::INT AS evidence, greatest(direct::DOUBLE, least(1.0::DOUBLE, degree / p95::DOUBLE)) AS penalty FROM f0),
+f1 AS (SELECT *, 0.7::DOUBLE * least(1.0::DOUBLE, shared / 2.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, bridges / {full}.0::DOUBLE) + 0.05::DOUBLE * (cand_genes > 0)::INT + 0.05::DOUBLE * (query_genes > 0)::INT AS evidence, greatest(direct::DOUBLE, least(1.0::DOUBLE, degree / p95::DOUBLE)) AS penalty FROM f0),
 f AS (SELECT *, evidence - 0.5::DOUBLE * penalty AS support FROM f1),
 soft AS (SELECT cand.*, shared, bridges, cand_genes, query_genes, direct, degree, evidence, penalty, support, row_number() OVER (PARTITION BY split, row_index ORDER BY round(support, 9) DESC, round(evidence, 9) DESC, round(penalty, 9), pos) AS soft_rank FROM cand JOIN f USING (cand, query_id))
 """
-)
+
+
+FEATURES = features_sql()

@@ -113,6 +113,13 @@ def inverted(relations: DataFrame) -> DataFrame:
     return relations.groupBy("id").agg(F.max("name").alias("name"))
 
 
+def tables_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables (files or folders) in a folder that Spark reads, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(node, relation, neighbour, head, tail): each edge at both of its ends, dealt by node."""
     out = edges.select(F.col("h").alias("node"), F.col("r").alias("relation"), F.col("t").alias("neighbour"), F.col("h").alias("head"), F.col("t").alias("tail"))
