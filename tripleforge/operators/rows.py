@@ -91,3 +91,18 @@ def matched(a: DataFrame, b: DataFrame, keys) -> DataFrame:
 def reordered(lists: DataFrame, order: DataFrame, columns) -> DataFrame:
     """lists (KEY, pos, ..) in a new order (KEY, pos, new_pos): every aligned column moves with its place."""
     return lists.join(order, [*KEY, "pos"]).select(*KEY, F.col("new_pos").alias("pos"), *columns)
+
+
+#: Values of one part of a run; a matrix of more is not meant.
+PARTS = 10_000
+
+
+def run_matrix(*parts: DataFrame) -> DataFrame:
+    """All combinations of the distinct values of one-column tables: lists of names, which must be short."""
+    out = None
+    for p in parts:
+        names = p.distinct()
+        if names.limit(PARTS + 1).count() > PARTS:
+            raise ValueError(f"a part of a run has {PARTS} values at most")
+        out = names if out is None else out.crossJoin(F.broadcast(names))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
@@ -358,9 +359,9 @@ def _within_rows(starts, triples, depth):
     return seen.groupBy(*KEY, "node").agg(F.min("dist").alias("dist"))
 
 
-PATHS = f"""{SQL}, pe AS (SELECT * FROM edges WHERE r <> 'CuG'), pa AS (SELECT h AS src, t AS dst, h, r, t FROM pe UNION ALL SELECT t, h, h, r, t FROM pe WHERE h <> t),
+PATHS = f"""{SQL}, pe AS (SELECT * FROM edges), pa AS (SELECT h AS src, t AS dst, h, r, t FROM pe UNION ALL SELECT t, h, h, r, t FROM pe WHERE h <> t),
 po AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY r, dst, h) AS place FROM pa), fe AS (SELECT src, dst, min((place, r, h, t)) AS e FROM po GROUP BY ALL),
-pr AS (SELECT DISTINCT cand AS a, query_id AS b FROM cand WHERE split = 'valid'),
+pr AS (SELECT DISTINCT cand AS a, query_id AS b FROM cand),
 w1 AS (SELECT a, b, [e] AS path FROM pr JOIN fe ON src = a AND dst = b),
 l2 AS (SELECT * FROM pr ANTI JOIN w1 USING (a, b)),
 w2 AS (SELECT a, b, min([x.e, y.e]) AS path FROM l2 JOIN fe x ON x.src = a JOIN fe y ON y.src = x.dst AND y.dst = b GROUP BY a, b),
@@ -371,16 +372,11 @@ pt AS (SELECT a, b, unnest(path) AS e, generate_subscripts(path, 1) - 1 AS step
 pth AS (SELECT a, b, step, e[3] AS h, e[2] AS r, e[4] AS t FROM pt)"""
 
 
-def path_edges(kg: Graph):
-    """The graph that paths go through: all but the unspecific gene relation."""
-    return kg.edges().where("r <> 'CuG'")
-
-
 def candidate_paths(kg: Graph):
-    """Paths of at most three edges from each candidate of the validation rows to its query."""
+    """Paths of at most three edges from each candidate to its query over the whole graph."""
     def build():
-        pairs = kg.candidates().where("split = 'valid'").select(F.col("cand").alias("a"), F.col("query_id").alias("b")).distinct()
-        return g.short_paths(pairs, path_edges(kg))
+        pairs = kg.candidates().select(F.col("cand").alias("a"), F.col("query_id").alias("b")).distinct()
+        return g.short_paths(pairs, kg.edges())
 
     return store.once(kg.spark, kg.sf_dir, "candidate-paths", build)
 
@@ -390,16 +386,40 @@ def _(spark, sf):
     return candidate_paths(Graph(spark, sf)).select(F.col("a").alias("cand"), F.col("b").alias("query_id"), "step", "h", "r", "t")
 
 
-@query("gr14_path_subgraph", f"WITH {PATHS}, vc AS (SELECT * FROM cand WHERE split = 'valid'), inc AS (SELECT src AS node, h, r, t, place FROM po QUALIFY row_number() OVER (PARTITION BY src ORDER BY place) <= 200), st AS (SELECT split, row_index, pth.h, pth.r, pth.t, 0 AS stage, pos AS o1, step AS o2 FROM vc JOIN pth ON a = cand AND b = query_id UNION ALL SELECT split, row_index, h, r, t, 1, o1, place FROM (SELECT split, row_index, query_id AS node, 0 AS o1 FROM q WHERE split = 'valid' UNION ALL SELECT split, row_index, cand, pos FROM vc) JOIN inc USING (node)), f AS (SELECT split, row_index, h, r, t, min((stage, o1, o2)) AS m FROM st GROUP BY ALL) SELECT split, row_index, h, r, t, m[1] AS stage, row_number() OVER (PARTITION BY split, row_index ORDER BY m, h, r, t) - 1 AS idx FROM f QUALIFY idx < 100")
+#: Edges at a node that the fill looks at, and triples of a row.
+INCIDENT, PATH_SIZE = 200, 100
+FILL_SQL = f"""inc AS (SELECT src AS node, h, r, t, place FROM po QUALIFY row_number() OVER (PARTITION BY src ORDER BY place) <= {INCIDENT}),
+nd AS (SELECT split, row_index, query_id AS node, 0 AS o1 FROM rq UNION ALL SELECT split, row_index, cand, pos FROM rc)"""
+TAKE_SQL = f"f AS (SELECT split, row_index, h, r, t, min((stage, o1, o2)) AS m FROM st GROUP BY ALL) SELECT split, row_index, h, r, t, m[1] AS stage, row_number() OVER (PARTITION BY split, row_index ORDER BY m, h, r, t) - 1 AS idx FROM f QUALIFY idx < {PATH_SIZE}"
+
+
+def incident_fill(kg: Graph, rows, cands):
+    """(KEY, h, r, t, o1, o2): edges at each row's query, then at its candidates."""
+    nodes = rows.select(*KEY, F.col("query_id").alias("node"), F.lit(0).alias("o1")).unionByName(cands.select(*KEY, F.col("cand").alias("node"), F.col("pos").alias("o1")))
+    near = g.first_per(kg.adjacency().rows(), ["src"], ["r", "dst", "h"], INCIDENT).select(F.col("src").alias("node"), "h", "r", "t", F.col("place").alias("o2"))
+    return nodes.join(near, "node")
+
+
+@query("gr14_path_subgraph", f"WITH {PATHS}, rc AS (SELECT * FROM cand), rq AS (SELECT * FROM q), {FILL_SQL}, st AS (SELECT split, row_index, pth.h, pth.r, pth.t, 0 AS stage, pos AS o1, step AS o2 FROM rc JOIN pth ON a = cand AND b = query_id UNION ALL SELECT split, row_index, h, r, t, 1, o1, place FROM nd JOIN inc USING (node)), {TAKE_SQL}")
 def _(spark, sf):
     """Evidence of a path search: paths from the candidates to the query, then edges at the query and at the candidates; 100 triples."""
     kg = Graph(spark, sf)
-    c, q = kg.candidates().where("split = 'valid'"), kg.queries().where("split = 'valid'")
+    c = kg.candidates()
     p = candidate_paths(kg).select(F.col("a").alias("cand"), F.col("b").alias("query_id"), "step", "h", "r", "t")
     on_paths = c.join(p, ["cand", "query_id"]).select(*KEY, "h", "r", "t", F.col("pos").alias("o1"), F.col("step").alias("o2"))
-    nodes = q.select(*KEY, F.col("query_id").alias("node"), F.lit(0).alias("o1")).unionByName(c.select(*KEY, F.col("cand").alias("node"), F.col("pos").alias("o1")))
-    near = g.first_per(g.both_ways(path_edges(kg)), ["src"], ["r", "dst", "h"], 200).select(F.col("src").alias("node"), "h", "r", "t", F.col("place").alias("o2"))
-    return r.evidence([on_paths, nodes.join(near, "node")], 100).select(*KEY, "h", "r", "t", "stage", "idx")
+    return r.evidence([on_paths, incident_fill(kg, kg.queries(), c)], PATH_SIZE).select(*KEY, "h", "r", "t", "stage", "idx")
+
+
+@query("gr14_incident_subgraph", f"WITH {SQL}, po AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY r, dst, h) AS place FROM (SELECT h AS src, t AS dst, h, r, t FROM edges UNION ALL SELECT t, h, h, r, t FROM edges WHERE h <> t)), rq AS (SELECT 'train' AS split, row_number() OVER (ORDER BY t, h) - 1 AS row_index, t AS query_id, h AS gold_id FROM train), u AS (SELECT cand, row_number() OVER (ORDER BY score DESC, cand) AS o FROM pop), rc AS (SELECT split, row_index, 1 AS pos, gold_id AS cand FROM rq UNION ALL SELECT split, row_index, row_number() OVER (PARTITION BY row_index ORDER BY o) + 1, cand FROM rq, u WHERE o <= 20 AND cand <> gold_id QUALIFY row_number() OVER (PARTITION BY row_index ORDER BY o) < 20), {FILL_SQL}, st AS (SELECT split, row_index, h, r, t, 0 AS stage, o1, place AS o2 FROM nd JOIN inc USING (node)), {TAKE_SQL}")
+def _(spark, sf):
+    """The form for training rows, without a search for paths: edges at the query, the gold and the commonest compounds."""
+    kg = Graph(spark, sf)
+    rows = splits.dense_ids(kg.train().select(F.struct("t", "h").alias("by")), "by", "row_index").select(F.lit("train").alias("split"), "row_index", F.col("by.t").alias("query_id"), F.col("by.h").alias("gold_id"))
+    rows = store.written(rows, "train-rows")
+    first = kg.ranked().where("place <= 20").select("cand", "place")  # 20 rows
+    others = rows.crossJoin(F.broadcast(first)).where("cand <> gold_id").withColumn("pos", F.row_number().over(Window.partitionBy(*KEY).orderBy("place")) + 1).where("pos <= 20")
+    c = rows.select(*KEY, F.lit(1).alias("pos"), F.col("gold_id").alias("cand")).unionByName(others.select(*KEY, "pos", "cand"))
+    return r.evidence([incident_fill(kg, rows, c)], PATH_SIZE).select(*KEY, "h", "r", "t", "stage", "idx")
 
 
 BIPARTITE = "SELECT h, r, t FROM train UNION ALL SELECT h, r, t FROM aux"

@@ -29,18 +29,17 @@ def text_file(df, path: str) -> str:
 def _(spark, sf):
     path = scratch(spark, "array")
     files.write_array(Graph(spark, sf).table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p")), path, ["k"])
-    return files.read_rows(spark, path, "k long, s string, p double")
+    return files.read_lines(spark, path, "k long, s string, p double")
 
 
-@query("src02_wrapped_rows", "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
+@query("src02_wrapped_rows", "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT o_orderkey, o_orderpriority FROM orders")
 def _(spark, sf):
-    """Rows of a bare array, and of an object that holds them under a usual name beside other fields."""
+    """Rows of a bare array, and of an object that holds them under a usual name; both are written and read by lines."""
     kg = Graph(spark, sf)
-    rows = lambda t, p: kg.table(t).select(F.col(f"{p}_{t}key").alias("k"), F.col(f"{p}_name").alias("name"))
     bare, wrapped = scratch(spark, "bare"), scratch(spark, "wrapped")
-    files.write_array(rows("region", "r"), bare, ["k"])
-    files.write_object(rows("nation", "n").agg(F.collect_list(F.struct("k", "name")).alias("results")).select(F.lit("x").alias("model"), "results"), wrapped)
-    return files.read_rows(spark, bare).unionByName(files.read_rows(spark, wrapped))
+    files.write_array(kg.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), bare, ["k"])
+    files.write_array(kg.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name")), wrapped, ["k"], "results")
+    return files.read_lines(spark, bare, "k long, name string").unionByName(files.read_lines(spark, wrapped, "k long, name string"))
 
 
 @query("src04_sif_edges", f"WITH {SQL} SELECT h::VARCHAR AS head, r AS relation, t::VARCHAR AS tail FROM aux")
@@ -80,13 +79,12 @@ def _(spark, sf):
     return out
 
 
-@query("src10_id_maps", "SELECT n_name AS key, n_nationkey AS value FROM nation")
+@query("src10_id_maps", "SELECT c_name AS key, c_custkey AS value FROM customer")
 def _(spark, sf):
-    """A JSON object of names and ids; ids are numbers again."""
+    """A JSON object of names and ids, by lines; ids are numbers again."""
     path = scratch(spark, "map")
-    n = Graph(spark, sf).table("nation").select(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
-    text_file(n.select(F.to_json("m").alias("value")).coalesce(1), path)
-    return files.read_map(spark, path).select("key", F.col("value").cast("long").alias("value"))
+    files.write_json_map(Graph(spark, sf).table("customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value")), path)
+    return files.read_map_lines(spark, path).select("key", F.col("value").cast("long").alias("value"))
 
 
 @query("src11_relation_dictionary", f"WITH {SQL}, d AS (SELECT r AS name, row_number() OVER (ORDER BY r) - 1 AS id FROM (SELECT DISTINCT r FROM edges)) SELECT id, name FROM d")
@@ -109,14 +107,15 @@ def _(spark, sf):
     return files.read_universe(spark, path)
 
 
-@query("src13_delimiters", "SELECT * FROM (VALUES ('comma', ','), ('bar', '|'), ('tab', chr(9)), ('none', chr(9))) t(file, sep)")
+@query("src13_delimiters", "SELECT 'comma' AS file, ',' AS sep, count(*) AS n_lines FROM customer UNION ALL SELECT 'bar', '|', count(*) FROM supplier UNION ALL SELECT 'tab', chr(9), count(*) FROM part UNION ALL SELECT 'none', chr(9), count(*) FROM nation")
 def _(spark, sf):
-    lines = {"comma": "a,b;c,d", "bar": "a|b|c", "tab": "a\tb,c", "none": "abc"}
-    out = []
-    for name, line in lines.items():
-        path = text_file(spark.createDataFrame([(line,)], "value string"), scratch(spark, name))
-        out.append((name, files.sniff_delimiter(spark, path)))
-    return spark.createDataFrame(out, "file string, sep string")
+    """Tables written with one delimiter and another, found from the first line of each file."""
+    kg, folder = Graph(spark, sf), scratch(spark, "delimited")
+    lines = {"comma": ("customer", F.concat_ws(",", "c_custkey", F.lit("x;y"), "c_nationkey")), "bar": ("supplier", F.concat_ws("|", "s_suppkey", "s_name", F.lit("a,b"))), "tab": ("part", F.concat_ws("\t", "p_partkey", F.lit("a,b,c,d"))), "none": ("nation", F.col("n_nationkey").cast("string"))}
+    for name, (table, line) in lines.items():
+        kg.table(table).select(line.alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+    found = files.sniffed(spark, folder)
+    return found.select(F.element_at(F.split("file", "/"), -2).alias("file"), "sep", "n_lines")
 
 
 @query("src14_sniffed_table", "SELECT r_regionkey::VARCHAR AS k, r_name AS name, '' AS empty FROM region UNION ALL SELECT n_nationkey::VARCHAR, n_name, '' FROM nation")
@@ -326,13 +325,14 @@ def _(spark, sf):
     return want.join(f.withColumn("there", F.lit(True)), "artifact", "left").select("artifact", F.coalesce("there", F.lit(False)).alias("there"))
 
 
-@query("orc01_run_matrix", "SELECT variant || '/' || split || '/' || config AS run, CASE WHEN config = 'c1' AND split = 'valid' THEN 'done' ELSE 'run' END AS state FROM (VALUES ('raw'), ('soft')) a(variant), (VALUES ('valid'), ('test')) b(split), (VALUES ('c1'), ('c2')) c(config)")
+@query("orc01_run_matrix", "WITH runs AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS variant FROM customer), (SELECT DISTINCT o_orderpriority AS split FROM orders), (SELECT DISTINCT o_orderstatus AS config FROM orders)), done AS (SELECT DISTINCT c_mktsegment AS variant, o_orderpriority AS split, o_orderstatus AS config FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 200000) SELECT variant || '/' || split || '/' || config AS run, CASE WHEN d.variant IS NULL THEN 'run' ELSE 'done' END AS state FROM runs LEFT JOIN done d USING (variant, split, config)")
 def _(spark, sf):
-    """Every run of variants, splits and settings, without those whose results are there already."""
-    one = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} string").coalesce(1)
-    runs = one("variant", "raw", "soft").crossJoin(one("split", "valid", "test")).crossJoin(one("config", "c1", "c2")).withColumn("run", F.concat_ws("/", "variant", "split", "config"))
-    done = runs.where("config = 'c1' and split = 'valid'").select("run", F.lit("done").alias("state"))
-    return runs.select("run").join(done, "run", "left").select("run", F.coalesce("state", F.lit("run")).alias("state"))
+    """Every run of variants, splits and settings that the tables name, and whether its result is there already: a large order of that kind."""
+    kg = Graph(spark, sf)
+    c, o = kg.table("customer").select("c_custkey", F.col("c_mktsegment").alias("variant")), kg.table("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("split"), F.col("o_orderstatus").alias("config"), "o_totalprice")
+    runs = w.run_matrix(c.select("variant"), o.select("split"), o.select("config"))
+    done = o.where("o_totalprice > 200000").join(c, "c_custkey").select("variant", "split", "config").distinct().withColumn("state", F.lit("done"))
+    return runs.join(done, ["variant", "split", "config"], "left").select(F.concat_ws("/", "variant", "split", "config").alias("run"), F.coalesce("state", F.lit("run")).alias("state"))
 
 
 @query("orc02_decoding_configs", "SELECT 'b' || beams || '_p' || (penalty * 10)::INT || '_t' || tokens AS config, beams, penalty::DOUBLE AS penalty, tokens FROM (VALUES (1), (4)) a(beams), (VALUES (1.0), (1.2)) b(penalty), (VALUES (16), (32)) c(tokens)")

@@ -94,9 +94,11 @@ def _(spark, sf):
     return Graph(spark, sf).queries().select(F.concat_ws("::", "split", F.col("row_index").cast("string")).alias("uid"), F.concat_ws("|||", "split", F.col("query_id").cast("string"), F.col("gold_id").cast("string")).alias("pair_key"))
 
 
-@query("fn25_rounding", "SELECT n, round_even(n * 0.55::DOUBLE, 0)::INT AS kept FROM range(1, 400) t(n)")
+@query("fn25_rounding", "SELECT l_orderkey, l_linenumber, round(x, 4) AS r4, round(x, 6) AS r6, round(x, 8) AS r8, round(x, 12) AS r12, round_even(l_quantity * 0.55::DOUBLE, 0)::INT AS kept FROM (SELECT *, l_quantity / 7 + l_discount AS x FROM lineitem)")
 def _(spark, sf):
-    return spark.range(1, 400).select(F.col("id").alias("n"), F.rint(F.col("id") * F.lit(0.55)).cast("int").alias("kept"))
+    """Values to 4, 6, 8 and 12 places, and counts as shares rounded half to even."""
+    x = F.col("l_quantity") / 7 + F.col("l_discount")
+    return Graph(spark, sf).table("lineitem").select("l_orderkey", "l_linenumber", *[F.round(x, n).alias(f"r{n}") for n in (4, 6, 8, 12)], F.rint(F.col("l_quantity") * F.lit(0.55)).cast("int").alias("kept"))
 
 
 @query("fn26_numeric", "SELECT l_orderkey, l_linenumber, round(ln(1 + l_quantity), 6) AS log_q, round(least(l_quantity, 10) / 10, 6) AS capped, round(cos(l_discount) + sin(l_tax), 6) AS trig, round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 6) AS norm FROM lineitem")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.splits import dense_ids
+
 #: Names that wrapped row lists, ids and names come under.
 WRAPPERS = ("rows", "data", "examples", "predictions", "prediction", "results")
 TYPE_COLUMNS = ("final_type", "type", "raw_type")
 HEADS, TAILS = ("head", "source", ":start_id"), ("tail", "target", ":end_id")
-#: Rows of one JSON array.
-ARRAY_ROWS = 1_000_000
 
 
 def read_triples(spark: SparkSession, path: str, split: str | None = None, sep: str = "\t") -> DataFrame:
@@ -172,13 +172,50 @@ def write_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_array(df: DataFrame, path: str, order) -> None:
-    """One JSON array, as other tools read it. It is a single value, so more than ARRAY_ROWS rows are refused: those go to JSON lines."""
-    if df.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
-        raise ValueError(f"an array holds {ARRAY_ROWS} rows at most")
-    key = F.struct(*order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["j"]), ",\n")
-    df.agg(F.concat(F.lit("["), text, F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def _in_lines(df: DataFrame, path: str, order, line, head: str, tail: str) -> None:
+    """Text files that make up one JSON value in the order of their names: head, a line for each row (a comma before all but the first), tail. Rows are numbered in their order by ranges; no task has more than a range."""
+    spark = df.sparkSession
+    keyed = df.select(F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], line.alias("_line"), F.monotonically_increasing_id().alias("_row")).alias("_by"))
+    rows = dense_ids(keyed, "_by", "_n").select("_n", F.concat(F.when(F.col("_n") == 0, F.lit(head)).otherwise(F.lit(",")), "_by._line").alias("value"))
+    end = spark.createDataFrame([("",)], "x string").crossJoin(df.agg(F.count("*").alias("_n"))).select(F.col("_n"), F.when(F.col("_n") == 0, F.lit(head + tail)).otherwise(F.lit(tail)).alias("value"))
+    rows.unionByName(end).repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+
+
+def write_array(df: DataFrame, path: str, order, wrapper: str | None = None) -> None:
+    """One JSON array, as other tools read it, or with `wrapper` an object that holds it under that name: a folder of files, which one after another (cat part-*) are the value, an object a line. Any number of rows."""
+    head, tail = ("[", "]") if wrapper is None else (f'{{"{wrapper}": [', "]}")
+    _in_lines(df, path, order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), head, tail)
+
+
+def write_json_map(df: DataFrame, path: str) -> None:
+    """A map (key, value) as one JSON object in the order of keys, a pair a line, by files as write_array."""
+    key = F.regexp_extract(F.to_json(F.struct(F.col("key").cast("string").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    value = F.regexp_extract(F.to_json(F.struct(F.col("value").alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    _in_lines(df, path, ["key"], F.concat(key, F.lit(": "), value), "{", "}")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, found: DataFrame | None = None) -> DataFrame:
+    """Rows of a JSON array, or of an object that holds them, with an object a line, as write_array and most writers lay it out. Lines are read apart, so files of any size are; a line of the frame is no object and left out."""
+    line = F.regexp_replace(F.regexp_replace(F.trim("value"), r'^(\{\s*"[^"]*"\s*:\s*\[|\[|,)\s*', ""), r"\s*(,|\]\s*\}?)$", "")
+    text = spark.read.text(path) if found is None else found
+    return text.select(line.alias("value")).where(F.col("value").startswith("{") & F.col("value").endswith("}")).select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
+def read_map_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a JSON object with a pair a line; values as text."""
+    line = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^[{,]\s*", ""), r"\s*[,}]$", "")
+    pair = F.from_json(F.concat(F.lit("{"), line, F.lit("}")), "map<string,string>")
+    return spark.read.text(path).where(line != "").select(F.explode(pair).alias("key", "value"))
+
+
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sep, n_lines) of every file below a folder: the delimiter of its first line, by the rule of sniff_delimiter. Files are read as lines, many at a time; each gives one row."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("by"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", "by").alias("first"), F.count("*").alias("n_lines"))
+    n = lambda c: F.length("first") - F.length(F.replace("first", F.lit(c), F.lit("")))
+    most = F.greatest(n(","), n(";"), n("|"))
+    sep = F.when(F.contains("first", F.lit("\t")) | (most == 0), F.lit("\t")).when(n(",") == most, F.lit(",")).when(n(";") == most, F.lit(";")).otherwise(F.lit("|"))
+    return first.select("file", sep.alias("sep"), "n_lines")
 
 
 def write_object(df: DataFrame, path: str) -> None:
