@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -159,7 +160,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = Kept(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     parent = Kept(e.df.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", F.col("v").alias("root")), f"{name}-0")
     live = e
-    for i in range(1, 200):
+    for i in itertools.count(1):
         p = parent.df
         hooked = live.df.join(p.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").join(p.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select(F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi")).distinct()
         rest = Kept(hooked, f"{name}-live{i}")
