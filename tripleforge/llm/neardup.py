@@ -9,7 +9,7 @@
 4. Components are found by hooking and pointer jumping, never on the driver.
 
 Null texts and texts without words have an empty set and are linked with nothing. Repeated rows and equal texts are linked
-by their equal sets. A null doc_id ranks after all others. An empty table gives an empty result; extra columns are ignored.
+by their equal sets. A very long text is handled alone, its shingles as one array. A null doc_id ranks after all others. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, components, lean
+from .common import Kept, components, lean, meet
 from .shingles import chunks, fast_sketches, set_digests, shingle_sets
 
 BINS, BAND = 112, 4
 BROADCAST_IDS = 300_000
 SMALL_GROUP, BLOCK = 48, 256
+#: Shingles of a block, on average: long texts make blocks of fewer members.
+BLOCK_ITEMS = 1 << 20
 LAST = 2**63 - 1
 #: Vertices are decimal(38): the least doc_id of their rows times this, plus a remainder of their set's digest.
 SPAN = 10**12
@@ -71,7 +73,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, perc
     sets = Kept(_sets(docs, ends.df, width).dropDuplicates(["v"]), f"{name}-sets")
     s = sets.df
     both = F.size(F.array_intersect("x", "y"))
-    hit = pairs.join(s.select(F.col("v").alias("b"), F.col("items").alias("y")), "b").join(s.select(F.col("v").alias("a"), F.col("items").alias("x")), "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
+    # A star's hub may have any number of pairs: its set is repeated, and its pairs are dealt.
+    hubs = s.select(F.col("v").alias("a"), F.col("items").alias("x")).join(pairs.groupBy("a").agg(F.count("*").alias("pairs")), "a")
+    hit = meet(pairs.join(s.select(F.col("v").alias("b"), F.col("items").alias("y")), "b"), hubs, ["a"], "pairs", F.col("b")).where(100 * both >= percent * (F.size("x") + F.size("y") - both))
     out = Kept(hit.select("a", "b"), f"{name}-links")
     ends.drop(), sets.drop()
     return out
@@ -85,8 +89,10 @@ def _block_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, reps: Dat
     """
     known = Kept(groups.select("v").distinct().join(reps.select("v", "id", "hi", "lo"), "v"), "group-ends")
     sets = Kept(_sets(docs, known.df, width).dropDuplicates(["v"]), "group-sets").df
-    rows = groups.join(sizes, "hub")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    outside = F.col("root") != F.col("hub")
+    items = groups.join(sets.select("v", F.size("items").cast("long").alias("s")), "v").groupBy("hub").agg(F.sum("s").alias("items_n"), F.sum(F.when(outside, F.col("s")).otherwise(0)).alias("items_n_out"))
+    rows = groups.join(sizes.join(items, "hub"), "hub")
+    blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(f"items_{n}") / BLOCK_ITEMS)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("v"), blocks(n)).cast("int")
     text = [F.col(c).cast("string").alias(c) for c in ("v", "root")]
     out = rows.where("root <> hub").select("hub", F.lit(0).alias("side"), place("n_out").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"), "v", "root")
