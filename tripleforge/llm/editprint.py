@@ -9,7 +9,7 @@ of equal samples at the levels they share, not counting those where both are pad
 
 Near texts (near_texts): samples of several walks are cut into bands, texts with an equal band of one level meet in a bucket, and links within buckets are verified by edit distance.
 
-Null texts count as empty; all empty texts have one fingerprint, and likeness 1 to each other. Documents are ordered by doc_id (null last), then text. Repeated rows follow one another. A
+A very long text is walked in time that grows with its length, alone if no other is as long. Null texts count as empty; all empty texts have one fingerprint, and likeness 1 to each other. Documents are ordered by doc_id (null last), then text. Repeated rows follow one another. A
 single document is its own next one. An empty table gives an empty result. Extra columns are ignored.
 """
 

@@ -11,7 +11,7 @@ over all training texts: each partition sums expected counts by forward-backward
 the partitions' counts by symbol, and the driver re-estimates the fixed-size parameters. Scoring runs the scaled forward recursion over
 each whole text.
 
-Null and empty texts are one end token. Repeated rows count and are scored each on their own. A null doc_id is held out
+Null and empty texts are one end token. A very long text is one sequence, held as two bytes a token, and cut into blocks for training only. Repeated rows count and are scored each on their own. A null doc_id is held out
 (its text form is taken as empty). With no training text all counts are 0 and every symbol is equally likely. Empty
 tables give empty results; extra columns are ignored.
 """

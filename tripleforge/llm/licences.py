@@ -10,7 +10,7 @@ have T least / (2 - least) of the template's bigrams. As that is most of them, a
 search for these spares most texts all else.
 
 Of windows that match, one goes if a better one (more bigrams in common, then a higher coefficient, the earlier start, the earlier end, the first by name) covers over half of the shorter of the two.
-DataFrame functions only. Null and empty texts and those of one word match nothing. Repeated rows are scanned each on their own. Empty tables
+DataFrame functions only. Null and empty texts and those of one word match nothing. A very long text is one array of words, and only its stretches around seeds are looked at. Repeated rows are scanned each on their own. Empty tables
 give empty results. Extra columns are ignored.
 """
 

@@ -8,7 +8,7 @@ drawn, in order of shards, the slots beyond its target go to the sources that ha
 shards; slot i takes, in epoch i div n of the source's n blocks, block perm(i mod n), the permutation
 keyed by source and epoch. Slots and blocks are then joined by (source, block). A shard's slots are in an order of their own, by a permutation keyed by the shard.
 
-Nulls, empty texts: size 0, taken 0. A null source is a source of its own; more than MAX_SOURCES sources are refused. Repeated rows are rows of their own. An empty
+Nulls, empty texts: size 0, taken 0. A very long text is many blocks; its words are counted, never moved. A null source is a source of its own; more than MAX_SOURCES sources are refused. Repeated rows are rows of their own. An empty
 table gives an empty result. All extra columns are left out.
 """
 

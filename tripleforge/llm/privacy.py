@@ -11,7 +11,7 @@ anywhere, and of both in one document:
 All pairs count, those of one document too: the prior, of so many documents at e's own rate, smooths them. A term with
 disclosure >= general is generalised wherever it stands in a text with e; from `remove` on it is removed.
 
-Null and empty texts have no spans. Spans count code points, ends exclusive. Repeated rows and equal texts under one id
+Null and empty texts have no spans. A very long text is matched in time that grows with its length; cutting takes its length times its cuts. Spans count code points, ends exclusive. Repeated rows and equal texts under one id
 get equal spans; each counts as a document. An empty table gives an empty result. Extra columns stay out of spans() and stay
 in sanitised(). U+E000 in a text stands for an ordinary symbol: it separates matches while they are cut out.
 """

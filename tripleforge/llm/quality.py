@@ -9,7 +9,7 @@ then keeps as bad in bad documents those lines that the field itself holds for l
 again. Fitting runs on the driver over a bounded sample of whole texts: of the sample_docs labelled documents of least hash, in that order, each
 that still fits into sample_chars characters. Scoring reads every line of every text.
 
-Null and empty texts are one empty line and get a score like any other. Without both labels in the training rows every score is the share of good
+Null and empty texts are one empty line and get a score like any other. A very long text is scored alone, in arrays of some 40 bytes a character. Without both labels in the training rows every score is the share of good
 ones (0.5 without any). Repeated rows are scored each on their own; labels of one id count once, the least of them. Empty tables give empty results; extra
 columns are ignored.
 """
