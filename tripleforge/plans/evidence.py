@@ -87,28 +87,28 @@ UNION ALL SELECT split, row_index, h, r, t, 3, pos, place, 0 FROM theirs
 UNION ALL SELECT split, row_index, ggs.h, ggs.r, ggs.t, 4, pos, place, far FROM theirs JOIN ggs USING (gene) WHERE (split, row_index, far) IN (SELECT (split, row_index, gene) FROM mine)"""
         last = 5
     return f"""{SQL}, ge AS ({edges}),
-adj AS (SELECT h AS src, t AS dst, h, r, t FROM ge UNION ALL SELECT t, h, h, r, t FROM ge WHERE h <> t),
-theirs AS (SELECT split, row_index, pos, gene, h, r, t, place FROM cand JOIN (SELECT src AS cand, dst AS gene, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst) AS place FROM adj WHERE src % 3 = 0 AND dst % 3 = 1 QUALIFY place <= {cand_genes}) USING (cand)),
-mine AS (SELECT split, row_index, gene, h, r, t, place FROM q JOIN (SELECT src AS query_id, dst AS gene, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst) AS place FROM adj WHERE src % 3 = 2 AND dst % 3 = 1 QUALIFY place <= {query_genes}) USING (query_id)),
-ggs AS (SELECT src AS gene, dst AS far, h, r, t FROM adj WHERE src % 3 = 1 AND dst % 3 = 1),
+adj AS MATERIALIZED (SELECT h AS src, t AS dst, h, r, t FROM ge UNION ALL SELECT t, h, h, r, t FROM ge WHERE h <> t),
+theirs AS MATERIALIZED (SELECT split, row_index, pos, gene, h, r, t, place FROM cand JOIN (SELECT src AS cand, dst AS gene, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst) AS place FROM adj WHERE src % 3 = 0 AND dst % 3 = 1 QUALIFY place <= {cand_genes}) USING (cand)),
+mine AS MATERIALIZED (SELECT split, row_index, gene, h, r, t, place FROM q JOIN (SELECT src AS query_id, dst AS gene, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst) AS place FROM adj WHERE src % 3 = 2 AND dst % 3 = 1 QUALIFY place <= {query_genes}) USING (query_id)),
+ggs AS MATERIALIZED (SELECT src AS gene, dst AS far, h, r, t FROM adj WHERE src % 3 = 1 AND dst % 3 = 1),
 few AS (SELECT split, row_index, gene, row_number() OVER (PARTITION BY split, row_index ORDER BY gene) AS n FROM (SELECT DISTINCT split, row_index, gene FROM theirs) QUALIFY n <= {TOUCHED}),
-loc AS (SELECT src AS node, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst, h) AS place FROM adj QUALIFY place <= {2 * budget}),
+loc AS MATERIALIZED (SELECT src AS node, h, r, t, row_number() OVER (PARTITION BY src ORDER BY r, dst, h) AS place FROM adj QUALIFY place <= {2 * budget}),
 st AS (SELECT split, row_index, adj.h, adj.r, adj.t, 0 AS stage, pos AS o1, 0 AS o2, 0 AS o3 FROM cand JOIN adj ON src = cand AND dst = query_id
 {middle}
 UNION ALL SELECT split, row_index, h, r, t, {last}, o1, place, 0 FROM (SELECT split, row_index, query_id AS node, 0 AS o1 FROM q UNION ALL SELECT split, row_index, cand, pos FROM cand) JOIN loc USING (node)),
 fst AS (SELECT split, row_index, h, r, t, min((stage, o1, o2, o3)) AS a FROM st GROUP BY ALL),
-sub AS (SELECT x.*, q.query_id FROM (SELECT split, row_index, h, r, t, a[1] AS stage, row_number() OVER (PARTITION BY split, row_index ORDER BY a, h, r, t) - 1 AS idx FROM fst) x JOIN q USING (split, row_index) WHERE idx < {budget})"""
+sub AS MATERIALIZED (SELECT x.*, q.query_id FROM (SELECT split, row_index, h, r, t, a[1] AS stage, row_number() OVER (PARTITION BY split, row_index ORDER BY a, h, r, t) - 1 AS idx FROM fst) x JOIN q USING (split, row_index) WHERE idx < {budget})"""
 
 
 TF = """,
-ends AS (SELECT split, row_index, idx, unnest(list_distinct([h, t])) AS cand FROM sub),
-tch AS (SELECT e.split, e.row_index, e.idx, e.cand, c.pos FROM ends e JOIN cand c ON c.split = e.split AND c.row_index = e.row_index AND c.cand = e.cand),
-th AS (SELECT split, row_index, idx, min(pos) AS best_pos, count(*) AS touched FROM tch GROUP BY ALL),
-dgr AS (SELECT split, row_index, node, count(*) AS degree FROM (SELECT split, row_index, unnest([h, t]) AS node FROM sub) GROUP BY ALL),
-tf AS (SELECT s.*, best_pos, coalesce(touched, 0) AS touched, (s.h = query_id OR s.t = query_id)::INT AS touches_query, (coalesce(touched, 0) > 0 AND (s.h = query_id OR s.t = query_id))::INT AS direct, a.degree AS deg_h, b.degree AS deg_t
+ends AS MATERIALIZED (SELECT split, row_index, idx, unnest(list_distinct([h, t])) AS cand FROM sub),
+tch AS MATERIALIZED (SELECT e.split, e.row_index, e.idx, e.cand, c.pos FROM ends e JOIN cand c ON c.split = e.split AND c.row_index = e.row_index AND c.cand = e.cand),
+th AS MATERIALIZED (SELECT split, row_index, idx, min(pos) AS best_pos, count(*) AS touched FROM tch GROUP BY ALL),
+dgr AS MATERIALIZED (SELECT split, row_index, node, count(*) AS degree FROM (SELECT split, row_index, unnest([h, t]) AS node FROM sub) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT s.*, best_pos, coalesce(touched, 0) AS touched, (s.h = query_id OR s.t = query_id)::INT AS touches_query, (coalesce(touched, 0) > 0 AND (s.h = query_id OR s.t = query_id))::INT AS direct, a.degree AS deg_h, b.degree AS deg_t
  FROM sub s LEFT JOIN th ON th.split = s.split AND th.row_index = s.row_index AND th.idx = s.idx JOIN dgr a ON a.split = s.split AND a.row_index = s.row_index AND a.node = s.h JOIN dgr b ON b.split = s.split AND b.row_index = s.row_index AND b.node = s.t),
-tl AS (SELECT *, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' ELSE 'direct' END AS family, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' WHEN r = 'CtD' THEN 'approved' WHEN r = 'CfD' THEN 'failed' ELSE 'direct' END AS status, CASE WHEN touched = 0 THEN 0 WHEN best_pos <= 5 THEN 1.0 WHEN best_pos <= 10 THEN 0.6 ELSE 0.25 END::DOUBLE AS band FROM tf),
-ts AS (SELECT *, round(band + 0.35::DOUBLE * (touched > 0)::INT + 0.05::DOUBLE * touches_query - 0.8::DOUBLE * direct + 0.05::DOUBLE * least(deg_h + deg_t, 10) / 10.0::DOUBLE, 6) AS score,
+tl AS MATERIALIZED (SELECT *, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' ELSE 'direct' END AS family, CASE WHEN r IN ('CbG', 'CdG', 'CuG') THEN 'CG' WHEN r IN ('DaG', 'DdG') THEN 'DG' WHEN r = 'GiG' THEN 'GG' WHEN r = 'CtD' THEN 'approved' WHEN r = 'CfD' THEN 'failed' ELSE 'direct' END AS status, CASE WHEN touched = 0 THEN 0 WHEN best_pos <= 5 THEN 1.0 WHEN best_pos <= 10 THEN 0.6 ELSE 0.25 END::DOUBLE AS band FROM tf),
+ts AS MATERIALIZED (SELECT *, round(band + 0.35::DOUBLE * (touched > 0)::INT + 0.05::DOUBLE * touches_query - 0.8::DOUBLE * direct + 0.05::DOUBLE * least(deg_h + deg_t, 10) / 10.0::DOUBLE, 6) AS score,
  round(CASE family WHEN 'CG' THEN 0.3 WHEN 'DG' THEN 0.3 WHEN 'GG' THEN 0.2 ELSE 0.05 END::DOUBLE + 0.35::DOUBLE * band + 0.1::DOUBLE * touches_query + 0.05::DOUBLE * (ln(1 + deg_h) + ln(1 + deg_t)) / 10.0::DOUBLE + 0.05::DOUBLE * coalesce((best_pos <= 5)::INT, 0) - 0.5::DOUBLE * (family = 'direct')::INT, 9) AS fscore,
  round(CASE status WHEN 'approved' THEN 0.1 WHEN 'failed' THEN 0.02 WHEN 'CG' THEN 0.35 WHEN 'GG' THEN 0.25 ELSE 0.05 END::DOUBLE + 0.35::DOUBLE * band + 0.1::DOUBLE * touches_query + 0.05::DOUBLE * (ln(1 + deg_h) + ln(1 + deg_t)) / 10.0::DOUBLE + 0.05::DOUBLE * coalesce((best_pos <= 5)::INT, 0) - 0.4::DOUBLE * (family = 'direct')::INT - 0.15::DOUBLE * (status = 'failed')::INT, 9) AS sscore,
  round(band + 0.35::DOUBLE * (touched > 0)::INT + 0.05::DOUBLE * touches_query - 0.8::DOUBLE * direct + 0.05::DOUBLE * (touched + touches_query), 6) AS cscore FROM tl)"""

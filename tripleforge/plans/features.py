@@ -73,7 +73,7 @@ f0 AS (SELECT pairs.a AS cand, pairs.b AS query_id, coalesce(shared, 0) AS share
   LEFT JOIN (SELECT node, count(*) AS nc FROM cgn GROUP BY node) n1 ON n1.node = pairs.a LEFT JOIN (SELECT node, count(*) AS nd FROM dgn GROUP BY node) n2 ON n2.node = pairs.b LEFT JOIN deg ON deg.node = pairs.a CROSS JOIN p95),
 f1 AS (SELECT *, 0.7::DOUBLE * least(1.0::DOUBLE, shared / 2.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, bridges / {full}.0::DOUBLE) + 0.05::DOUBLE * (cand_genes > 0)::INT + 0.05::DOUBLE * (query_genes > 0)::INT AS evidence, greatest(direct::DOUBLE, least(1.0::DOUBLE, degree / p95::DOUBLE)) AS penalty FROM f0),
 f AS (SELECT *, evidence - 0.5::DOUBLE * penalty AS support FROM f1),
-soft AS (SELECT cand.*, shared, bridges, cand_genes, query_genes, direct, degree, evidence, penalty, support, row_number() OVER (PARTITION BY split, row_index ORDER BY round(support, 9) DESC, round(evidence, 9) DESC, round(penalty, 9), pos) AS soft_rank FROM cand JOIN f USING (cand, query_id))
+soft AS MATERIALIZED (SELECT cand.*, shared, bridges, cand_genes, query_genes, direct, degree, evidence, penalty, support, row_number() OVER (PARTITION BY split, row_index ORDER BY round(support, 9) DESC, round(evidence, 9) DESC, round(penalty, 9), pos) AS soft_rank FROM cand JOIN f USING (cand, query_id))
 """
 
 

@@ -38,6 +38,15 @@ def _(spark, sf):
     return rounded(k.ranking_metrics(both_ranks(Graph(spark, sf)), ("row_name", "split")), *METRIC_COLUMNS)
 
 
+@query("agg01_row_counts", f"WITH {SQL}, n AS (SELECT split, row_index, count(*) AS k FROM cand GROUP BY ALL) SELECT q.split, count(*) AS n_rows, count(DISTINCT query_id) AS queries, count(DISTINCT gold_id) AS golds, min(coalesce(k, 0)) AS least, max(coalesce(k, 0)) AS most, round(avg(coalesce(k, 0)), 6) AS mean FROM q LEFT JOIN n ON n.split = q.split AND n.row_index = q.row_index GROUP BY q.split")
+def _(spark, sf):
+    """The other part of the ranking metrics: distinct queries and golds, and sizes of the candidate lists."""
+    kg = Graph(spark, sf)
+    n = kg.candidates().groupBy(*k.KEY).agg(F.count("*").alias("k"))
+    rows = kg.queries().join(n, k.KEY, "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("query_id").alias("queries"), F.count_distinct("gold_id").alias("golds"), F.min("k").alias("least"), F.max("k").alias("most"), R(F.avg("k")).alias("mean"))
+
+
 @query("agg02_top1_most_common", f"WITH {FEATURES}, c AS (SELECT split, cand, count(*) AS n, min(row_index) AS first_seen FROM soft WHERE soft_rank = 1 GROUP BY ALL) SELECT split, cand, n, row_number() OVER (PARTITION BY split ORDER BY n DESC, first_seen, cand) AS place FROM c QUALIFY place <= 10")
 def _(spark, sf):
     kg = Graph(spark, sf)

@@ -146,14 +146,14 @@ def _(spark, sf):
     return files.read_free_edges(spark, path, ["treats_x", "binds"])
 
 
-@query("src17_best_file", "SELECT 'train_enriched_final' AS folder, 25 AS score")
+@query("src17_best_file", "SELECT p AS folder, n AS score, length FROM (SELECT regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') AS p, sum(strlen(o_orderkey::VARCHAR) + 1)::BIGINT AS length FROM orders GROUP BY 1), LATERAL (SELECT 10 * contains(p, 'medium')::INT + 10 * contains(p, 'low')::INT + 5 * contains(p, 'urgent')::INT AS n) ORDER BY n DESC, length DESC, p LIMIT 1")
 def _(spark, sf):
-    """Of the files below a folder the one that its name and then its size speak for."""
-    base, n = scratch(spark, "files"), Graph(spark, sf).table("nation").select(F.col("n_name").alias("value")).coalesce(1)
-    for name, rows in (("other", 25), ("enriched_graph", 20), ("train_enriched_final", 5), ("train_enriched", 25)):
-        text_file(n.limit(rows), f"{base}/{name}")
-    best = files.best_file(spark, base, {"final": 10, "train": 5, "enriched": 10})
-    return best.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "score")
+    """Of the files below a folder, orders by priority, the one that its name and then its size speak for."""
+    base, o = scratch(spark, "files"), Graph(spark, sf).table("orders")
+    named = o.select(F.regexp_replace(F.lower("o_orderpriority"), "[^a-z0-9]+", "_").alias("of"), F.col("o_orderkey").cast("string").alias("value"))
+    named.repartition("of").write.partitionBy("of").text(base)
+    best = files.best_file(spark, base, {"medium": 10, "low": 10, "urgent": 5})
+    return best.select(F.regexp_extract("path", "/of=([^/]+)/", 1).alias("folder"), "score", "length")
 
 
 @query("src21_manifest", "SELECT t, n AS lines, size, 'txt' AS suffix FROM (SELECT 'nation' AS t, count(*) AS n, sum(strlen(n_name) + 1)::BIGINT AS size FROM nation UNION ALL SELECT 'region', count(*), sum(strlen(r_name) + 1)::BIGINT FROM region)")
@@ -187,27 +187,30 @@ def _(spark, sf):
     return out.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("h").alias("heads"))
 
 
-CONFIGS = {"b025": {"evidence": 1.0, "direct": 0.25, "contra": 0.05}, "b050": {"evidence": 1.0, "direct": 0.5, "contra": 0.1}}
-CONFIG_SQL = ", ".join(f"('{v}', '{n}', '{x}')" for v, p in CONFIGS.items() for n, x in p.items())
+CONFIGS = "SELECT c_mktsegment AS variant_name, unnest(['customers', 'first_nation', 'last_nation']) AS name, unnest([count(*)::VARCHAR, min(c_nationkey)::VARCHAR, max(c_nationkey)::VARCHAR]) AS value FROM customer GROUP BY c_mktsegment"
 
 
-def configs(spark):
-    import json
+def configs(kg: Graph):
+    """Settings of every market segment, written as a folder of JSON configurations, one a file, and read again."""
+    base = scratch(kg.spark, "configs")
+    c = kg.table("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("c_nationkey").alias("a"), F.max("c_nationkey").alias("b"))
+    params = F.create_map(*[x for name, v in (("customers", "n"), ("first_nation", "a"), ("last_nation", "b")) for x in (F.lit(name), F.col(v).cast("string"))])
+    text = F.to_json(F.struct(F.col("c_mktsegment").alias("variant_name"), params.alias("params")))
+    c.select(F.col("c_mktsegment").alias("of"), text.alias("value")).write.partitionBy("of").text(base)
+    return files.read_config(kg.spark, f"{base}/*")
 
-    base = scratch(spark, "configs")
-    for name, params in CONFIGS.items():
-        text_file(spark.createDataFrame([(json.dumps({"variant_name": name, "params": params}, indent=1),)], "value string").coalesce(1), f"{base}/{name}")
-    return files.read_config(spark, f"{base}/*")
 
-
-@query("src24_configs", f"SELECT * FROM (VALUES {CONFIG_SQL}) t(variant_name, name, value)")
+@query("src24_configs", CONFIGS)
 def _(spark, sf):
-    return configs(spark)
+    return configs(Graph(spark, sf))
 
 
-@query("src25_selected_config", f"SELECT * FROM (VALUES {CONFIG_SQL}) t(variant_name, name, value) WHERE variant_name = 'b050'")
+@query("src25_selected_config", f"SELECT * FROM ({CONFIGS}) WHERE variant_name = (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
 def _(spark, sf):
-    return files.selected_config(spark.createDataFrame([("b050",)], "selected string"), configs(spark))
+    """The configuration that a manifest names: of the segment of most customers."""
+    kg = Graph(spark, sf)
+    most = kg.table("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c_mktsegment").limit(1).select(F.col("c_mktsegment").alias("selected"))
+    return files.selected_config(most, configs(kg))
 
 
 @query("src27_adjacency", f"WITH {SQL} SELECT node, count(*) AS edges, count(DISTINCT neighbour) AS neighbours FROM (SELECT h AS node, t AS neighbour FROM edges UNION ALL SELECT t, h FROM edges WHERE h <> t) GROUP BY node")
@@ -311,18 +314,18 @@ def _(spark, sf):
     return shown.select("row_name", "split", missing.alias("missing"), fine.alias("consistent"))
 
 
-@query("aud08_artifacts", "SELECT * FROM (VALUES ('checkpoint-20/model', true), ('config', true), ('metrics', false)) t(artifact, there)")
+@query("aud08_artifacts", "SELECT s AS run, a AS artifact, coalesce(there, false) AS there, last FROM (SELECT * FROM (SELECT DISTINCT o_orderstatus AS s FROM orders), (SELECT DISTINCT o_orderpriority AS a FROM orders)) LEFT JOIN (SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS a, true AS there FROM orders WHERE o_totalprice > 290000) USING (s, a) LEFT JOIN (SELECT o_orderstatus AS s, strftime(max(o_orderdate), '%Y') AS last FROM orders WHERE o_totalprice > 290000 GROUP BY 1) USING (s)")
 def _(spark, sf):
-    """Which expected files a run has left; of several checkpoints the one of the highest step."""
-    base, kg = scratch(spark, "run"), Graph(spark, sf)
-    one = kg.table("region").select("r_name").coalesce(1)
-    for name in ("checkpoint-3/model", "checkpoint-20/model", "config"):
-        text_file(one, f"{base}/{name}")
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where("path like '%.txt'").select(F.regexp_extract("path", f"{base.rsplit('/', 1)[-1]}/(.+)/[^/]+$", 1).alias("artifact")).distinct()
-    step = F.regexp_extract("artifact", r"checkpoint-(\d+)/", 1).try_cast("long")
-    last = f.where(step.isNotNull()).agg(F.max_by("artifact", step).alias("artifact"))
-    want = last.unionByName(spark.createDataFrame([("config",), ("metrics",)], "artifact string"))
-    return want.join(f.withColumn("there", F.lit(True)), "artifact", "left").select("artifact", F.coalesce("there", F.lit(False)).alias("there"))
+    """Which expected files the runs have left, and the last checkpoint of each: large orders by status, priority and year stand for what a run writes."""
+    base, kg = scratch(spark, "runs"), Graph(spark, sf)
+    o = kg.table("orders")
+    left = o.where("o_totalprice > 290000").select(F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("artifact"), F.date_format("o_orderdate", "yyyy").alias("step"), F.col("o_orderkey").cast("string").alias("value"))
+    left.repartition("run", "artifact").write.partitionBy("run", "artifact", "step").text(base)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(F.url_decode("path").alias("path")).where("path like '%.txt'")
+    f = f.select(*[F.regexp_extract("path", f"/{c}=([^/]+)/", 1).alias(c) for c in ("run", "artifact", "step")])
+    want = w.run_matrix(o.select(F.col("o_orderstatus").alias("run")), o.select(F.col("o_orderpriority").alias("artifact")))
+    there = f.select("run", "artifact", F.lit(True).alias("there")).distinct()
+    return want.join(there, ["run", "artifact"], "left").join(f.groupBy("run").agg(F.max("step").alias("last")), "run", "left").select("run", "artifact", F.coalesce("there", F.lit(False)).alias("there"), "last")
 
 
 @query("orc01_run_matrix", "WITH runs AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS variant FROM customer), (SELECT DISTINCT o_orderpriority AS split FROM orders), (SELECT DISTINCT o_orderstatus AS config FROM orders)), done AS (SELECT DISTINCT c_mktsegment AS variant, o_orderpriority AS split, o_orderstatus AS config FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 200000) SELECT variant || '/' || split || '/' || config AS run, CASE WHEN d.variant IS NULL THEN 'run' ELSE 'done' END AS state FROM runs LEFT JOIN done d USING (variant, split, config)")
@@ -335,7 +338,10 @@ def _(spark, sf):
     return runs.join(done, ["variant", "split", "config"], "left").select(F.concat_ws("/", "variant", "split", "config").alias("run"), F.coalesce("state", F.lit("run")).alias("state"))
 
 
-@query("orc02_decoding_configs", "SELECT 'b' || beams || '_p' || (penalty * 10)::INT || '_t' || tokens AS config, beams, penalty::DOUBLE AS penalty, tokens FROM (VALUES (1), (4)) a(beams), (VALUES (1.0), (1.2)) b(penalty), (VALUES (16), (32)) c(tokens)")
+@query("orc02_decoding_configs", "SELECT 'b' || beams || '_p' || (penalty * 100)::INT || '_t' || tokens AS config, beams, penalty, tokens FROM (SELECT DISTINCT l_linenumber AS beams FROM lineitem), (SELECT DISTINCT 1 + l_tax AS penalty FROM lineitem), (SELECT DISTINCT 16 * (1 + n_regionkey) AS tokens FROM nation)")
 def _(spark, sf):
-    a = spark.createDataFrame([(1,), (4,)], "beams int").coalesce(1).crossJoin(spark.createDataFrame([(1.0,), (1.2,)], "penalty double").coalesce(1)).crossJoin(spark.createDataFrame([(16,), (32,)], "tokens int").coalesce(1))
-    return a.select(F.concat(F.lit("b"), "beams", F.lit("_p"), F.round(F.col("penalty") * 10).cast("int"), F.lit("_t"), "tokens").alias("config"), "beams", "penalty", "tokens")
+    """A decoding configuration for every combination of the beams, penalties and lengths that the tables name."""
+    kg = Graph(spark, sf)
+    line = kg.table("lineitem")
+    a = w.run_matrix(line.select(F.col("l_linenumber").alias("beams")), line.select((1 + F.col("l_tax")).alias("penalty")), kg.table("nation").select((16 * (1 + F.col("n_regionkey"))).alias("tokens")))
+    return a.select(F.concat(F.lit("b"), "beams", F.lit("_p"), F.round(F.col("penalty") * 100).cast("int"), F.lit("_t"), "tokens").alias("config"), "beams", "penalty", "tokens")

@@ -133,18 +133,18 @@ class Graph:
 
 #: The same views in DuckDB's SQL, for queries that begin with WITH.
 SQL = f"""
-li AS (SELECT l_suppkey*3 AS c, l_partkey*3+1 AS g, o_custkey*3+2 AS d, l_returnflag, l_linestatus, l_discount, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+li AS MATERIALIZED (SELECT l_suppkey*3 AS c, l_partkey*3+1 AS g, o_custkey*3+2 AS d, l_returnflag, l_linestatus, l_discount, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 cg AS (SELECT DISTINCT c AS h, CASE l_returnflag WHEN 'A' THEN 'CbG' WHEN 'R' THEN 'CdG' ELSE 'CuG' END AS r, g AS t FROM li),
 dg AS (SELECT DISTINCT d AS h, CASE l_linestatus WHEN 'F' THEN 'DaG' ELSE 'DdG' END AS r, g AS t FROM li),
 pn AS (SELECT p_partkey*3+1 AS g, p_brand, p_size, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n FROM part),
 gg AS (SELECT a.g AS h, 'GiG' AS r, b.g AS t FROM pn a JOIN pn b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND b.n - a.n BETWEEN 1 AND {NEXT_PARTS}),
-target AS (SELECT h, r, t, CASE (h//3*31 + t//3) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM (SELECT DISTINCT c AS h, 'CtD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09)),
+target AS MATERIALIZED (SELECT h, r, t, CASE (h//3*31 + t//3) % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split FROM (SELECT DISTINCT c AS h, 'CtD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09)),
 aux AS (SELECT DISTINCT c AS h, 'CpD' AS r, d AS t FROM li WHERE l_returnflag = 'R' AND o_orderpriority LIKE '2%' AND l_discount >= 0.09),
 failed AS (SELECT DISTINCT c AS h, 'CfD' AS r, d AS t FROM li WHERE l_returnflag = 'A' AND o_orderpriority LIKE '1%' AND l_discount >= 0.09),
 train AS (SELECT h, r, t FROM target WHERE split = 'train'),
-edges AS (SELECT * FROM cg UNION ALL SELECT * FROM dg UNION ALL SELECT * FROM gg UNION ALL SELECT * FROM aux UNION ALL SELECT * FROM train),
+edges AS MATERIALIZED (SELECT * FROM cg UNION ALL SELECT * FROM dg UNION ALL SELECT * FROM gg UNION ALL SELECT * FROM aux UNION ALL SELECT * FROM train),
 nodes AS (SELECT s_suppkey*3 AS id, 'Compound' AS kind, s_name AS name FROM supplier UNION ALL SELECT p_partkey*3+1, 'Gene', p_name FROM part UNION ALL SELECT c_custkey*3+2, 'Disease', c_name FROM customer),
-q AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY t, h) - 1 AS row_index, t AS query_id, h AS gold_id FROM target WHERE split <> 'train'),
+q AS MATERIALIZED (SELECT split, row_number() OVER (PARTITION BY split ORDER BY t, h) - 1 AS row_index, t AS query_id, h AS gold_id FROM target WHERE split <> 'train'),
 pop AS (SELECT h AS cand, count(*) AS score FROM train GROUP BY h),
-cand AS (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY split, row_index ORDER BY score DESC, cand) AS pos, cand, score FROM q, pop WHERE NOT EXISTS (SELECT 1 FROM train WHERE train.h = cand AND train.t = q.query_id)) WHERE pos <= 20)
+cand AS MATERIALIZED (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY split, row_index ORDER BY score DESC, cand) AS pos, cand, score FROM q, pop WHERE NOT EXISTS (SELECT 1 FROM train WHERE train.h = cand AND train.t = q.query_id)) WHERE pos <= 20)
 """
