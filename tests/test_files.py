@@ -52,6 +52,19 @@ def test_maps(spark, tmp_path, n):
     assert {r.key: int(r.value) for r in files.read_map_lines(spark, f"{tmp_path}/out").collect()} == dict(rows)
 
 
+def test_universes(spark, tmp_path):
+    rows = [(f'n{i}", "ids": [', i * 7 % 501) for i in range(300)] + [("é\\", 900), ("]}", 901)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_universe(spark.createDataFrame(rows, "name string, id long").repartition(5), f"{tmp_path}/out")
+        got = files.read_universe_lines(spark, f"{tmp_path}/out").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(rows, key=lambda r: r[1])
+    assert json.loads(whole(f"{tmp_path}/out")) == {"names": [n for n, _ in want], "ids": [i for _, i in want]}
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
 def test_delimiters(spark, tmp_path):
     texts = {"a": "x,y;z,w\n1;2;3;4", "b": "x|y", "c": "x\ty,z,w", "d": "plain\na,b", "e": "a;b,c|d"}
     for n, t in texts.items():

@@ -97,14 +97,17 @@ def _(spark, sf):
     return files.inverted(spark.read.parquet(path).select(F.col("key").alias("name"), F.col("value").alias("id")))
 
 
-@query("src12_candidate_universe", f"WITH {SQL} SELECT name, cand AS id FROM pop JOIN nodes ON id = cand")
+@query("src12_candidate_universe", f"WITH {SQL} SELECT name, cand AS id FROM pop JOIN nodes ON id = cand UNION ALL SELECT name, id FROM nodes WHERE kind = 'Gene'")
 def _(spark, sf):
-    kg = Graph(spark, sf)
-    u = kg.popularity().join(kg.nodes().select(F.col("id").alias("cand"), "name"), "cand")
-    path = scratch(spark, "universe")
-    lists = u.agg(F.array_sort(F.collect_list(F.struct("cand", "name"))).alias("x")).select(F.col("x.name").alias("names"), F.col("x.cand").alias("ids"))
-    files.write_object(lists, path)
-    return files.read_universe(spark, path)
+    """Names and ids of the candidates and of all genes, each as an object of two lists, by lines."""
+    kg, out = Graph(spark, sf), None
+    nodes = kg.nodes().select("name", "id", "kind")
+    for u in (nodes.join(kg.popularity().select(F.col("cand").alias("id")), "id", "left_semi"), nodes.where("kind = 'Gene'")):
+        path = scratch(spark, "universe")
+        files.write_universe(u.select("name", "id"), path)
+        one = files.read_universe_lines(spark, path)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("src13_delimiters", "SELECT 'comma' AS file, ',' AS sep, count(*) AS n_lines FROM customer UNION ALL SELECT 'bar', '|', count(*) FROM supplier UNION ALL SELECT 'tab', chr(9), count(*) FROM part UNION ALL SELECT 'none', chr(9), count(*) FROM nation")

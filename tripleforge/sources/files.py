@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.splits import dense_ids
+from .store import written
 
 #: Names that wrapped row lists, ids and names come under.
 WRAPPERS = ("rows", "data", "examples", "predictions", "prediction", "results")
@@ -172,11 +173,11 @@ def write_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def _in_lines(df: DataFrame, path: str, order, line, head: str, tail: str) -> None:
-    """Text files that make up one JSON value in the order of their names: head, a line for each row (a comma before all but the first), tail. Rows are numbered in their order by ranges; no task has more than a range."""
+def _in_lines(df: DataFrame, path: str, order, line, head: str, tail: str, later: dict[int, str] | None = None) -> None:
+    """Text files that make up one JSON value in the order of their names: head, a line for each row (a comma before all but the first, or what `later` has for its number), tail. Rows are numbered in their order by ranges; no task has more than a range."""
     spark = df.sparkSession
     keyed = df.select(F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], line.alias("_line"), F.monotonically_increasing_id().alias("_row")).alias("_by"))
-    rows = dense_ids(keyed, "_by", "_n").select("_n", F.concat(F.when(F.col("_n") == 0, F.lit(head)).otherwise(F.lit(",")), "_by._line").alias("value"))
+    rows = dense_ids(keyed, "_by", "_n").select("_n", F.concat(*[F.coalesce(*[F.when(F.col("_n") == n, F.lit(x)) for n, x in ((later or {}) | {0: head}).items()], F.lit(","))], "_by._line").alias("value"))
     end = spark.createDataFrame([("",)], "x string").crossJoin(df.agg(F.count("*").alias("_n"))).select(F.col("_n"), F.when(F.col("_n") == 0, F.lit(head + tail)).otherwise(F.lit(tail)).alias("value"))
     rows.unionByName(end).repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
 
@@ -187,6 +188,23 @@ def write_array(df: DataFrame, path: str, order, wrapper: str | None = None) ->
     _in_lines(df, path, order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), head, tail)
 
 
+def write_universe(df: DataFrame, path: str) -> None:
+    """A candidate universe (name, id), not empty, as one JSON object of two lists in the order of ids, an entry a line, by files as write_array."""
+    name = F.regexp_extract(F.to_json(F.struct(F.col("name").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    both = df.select(F.lit(0).alias("part"), "id", name.alias("line")).unionByName(df.select(F.lit(1).alias("part"), "id", F.col("id").cast("string").alias("line")))
+    _in_lines(both, path, ["part", "id"], F.col("line"), '{"names": [', "]}", {df.count(): '], "ids": ['})
+
+
+def read_universe_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(name, id) of a universe as write_universe lays it out: lines are numbered in the order of files and of places in them, and the n-th name meets the n-th id."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = written(dense_ids(spark.read.text(path).where("value <> ''").select(at.alias("at"), "value"), "at", "n").select("n", "value"), "universe-lines")
+    middle = lines.where(F.col("value").startswith('], "ids": [')).agg(F.min("n").alias("middle"))
+    lines = lines.where("value <> ']}'").crossJoin(F.broadcast(middle)).withColumn("value", F.regexp_replace("value", r'^(\{"names": \[|\], "ids": \[|,)', ""))
+    names = lines.where("n < middle").select("n", F.get_json_object(F.concat(F.lit('{"k":'), "value", F.lit("}")), "$.k").alias("name"))
+    return names.join(lines.where("n >= middle").select((F.col("n") - F.col("middle")).alias("n"), F.col("value").cast("long").alias("id")), "n").select("name", "id")
+
+
 def write_json_map(df: DataFrame, path: str) -> None:
     """A map (key, value) as one JSON object in the order of keys, a pair a line, by files as write_array."""
     key = F.regexp_extract(F.to_json(F.struct(F.col("key").cast("string").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
