@@ -2,7 +2,7 @@
 
 The folder is the session's spark.checkpoint.dir; a temporary one serves only where that is unset and all run on one machine. What is written cuts the lineage, outlives lost
 executors and goes when the session's process ends. A table is known by the session, the input folder and its name: an input that
-changes within a session needs forget().
+changes within a session needs forget(). close() deletes all tables of a session before it stops.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 _MADE: dict[tuple, tuple] = {}
+_SCRATCH: list[tuple[str, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,10 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a table, deleted at the end."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark.sparkContext.applicationId, path))
     atexit.register(_drop, spark, path)
     return path
 
 
+def close(spark: SparkSession) -> None:
+    """Deletes all that was written for this session. To be called before the session stops, as later there is nothing to delete it with."""
+    app = spark.sparkContext.applicationId
+    for source in {key[1] for key in _MADE if key[0] == app}:
+        forget(spark, source)
+    for path in [p for a, p in _SCRATCH if a == app]:
+        _drop(spark, path)
+    _SCRATCH[:] = [x for x in _SCRATCH if x[0] != app]
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
