@@ -91,7 +91,7 @@ def _block_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, reps: Dat
     sets = Kept(_sets(docs, known.df, width).dropDuplicates(["v"]), "group-sets").df
     outside = F.col("root") != F.col("hub")
     items = groups.join(sets.select("v", F.size("items").cast("long").alias("s")), "v").groupBy("hub").agg(F.sum("s").alias("items_n"), F.sum(F.when(outside, F.col("s")).otherwise(0)).alias("items_n_out"))
-    rows = groups.join(sizes.join(items, "hub"), "hub")
+    rows = meet(groups, sizes.join(items, "hub"), ["hub"], "n", F.col("v"))
     blocks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(f"items_{n}") / BLOCK_ITEMS)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("v"), blocks(n)).cast("int")
     text = [F.col(c).cast("string").alias(c) for c in ("v", "root")]
