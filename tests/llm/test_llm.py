@@ -4,14 +4,18 @@ import hashlib
 import json
 import random
 import re
+import subprocess
+import sys
+import tempfile
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tripleforge.llm import decontaminate, editprint, hmm, licences, linededup, mixing, neardup, privacy, quality, toolcalls
+from tripleforge.llm import common, decontaminate, editprint, hmm, licences, linededup, mixing, neardup, privacy, quality, toolcalls
 from tripleforge.llm.common import components, word_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, root string"
@@ -567,3 +571,24 @@ def test_pipeline(spark):
     near = neardup.near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in near.where("kept").collect())
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_small_enough_counts_bytes(spark):
+    d = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "id long, t string")
+    assert common.small_enough(d, 50) and not common.small_enough(d, 49) and not common.small_enough(d, 50, 20_000)
+    assert common.small_enough(d.select("id"), 50, 1) and common.small_enough(d.limit(0), 0)
+
+
+def test_close_deletes_what_was_kept():
+    """In a process of its own, as all tests share a session."""
+    code = (
+        "import os, sys; from pyspark.sql import SparkSession; sys.path.insert(0, os.getcwd())\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://' + sys.argv[1]).getOrCreate()\n"
+        "from tripleforge.llm import common; from tripleforge.sources import store\n"
+        "common.Kept(s.range(3), 'x'); store.written(s.range(3)); store.once(s, 'a', 'b', lambda: s.range(2))\n"
+        "there = lambda: sorted(n.split('-')[0] for n in os.listdir(sys.argv[1]) if n[:2] in ('x-', 'ta', 'b-'))\n"
+        "assert there() == ['b', 'table', 'x'], os.listdir(sys.argv[1])\n"
+        "common.close(s); store.close(s); assert there() == []\n"
+    )
+    with tempfile.TemporaryDirectory() as folder:
+        subprocess.run([sys.executable, "-c", code, folder], check=True, cwd=Path(__file__).resolve().parents[2])

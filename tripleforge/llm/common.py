@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every contract: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
 _OWN: list[str] = []
+_WRITTEN: list[tuple[str, str]] = []
 #: Rows of one batch of texts for Python.
 BATCH_ROWS = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,6 +47,13 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def close(spark: SparkSession) -> None:
+    """Deletes all tables that the text operators have written in this session; nothing that reads them works afterwards. To be called before the session stops, as later there is nothing to delete them with."""
+    for path in [p for app, p in _WRITTEN if app == spark.sparkContext.applicationId]:
+        drop(spark, path)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[0] != spark.sparkContext.applicationId]
+
+
 def _drop_late(spark: SparkSession, path: str) -> None:
     try:
         drop(spark, path)
@@ -60,6 +68,7 @@ class Kept:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
+        _WRITTEN.append((self.spark.sparkContext.applicationId, self.path))
         df.write.parquet(self.path)
         atexit.register(_drop_late, self.spark, self.path)
 
@@ -125,9 +134,17 @@ def fold(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most limit rows; reads no more than it must to know."""
-    return df.limit(limit + 1).count() <= limit
+#: Bytes, as JSON, of a table that is sent to every executor.
+SMALL_BYTES = 64 << 20
+
+
+def small_enough(df: DataFrame, limit: int, most: int = SMALL_BYTES) -> bool:
+    """Whether df has at most limit rows and, where it has columns whose values have no greatest length, at most so many bytes; reads no more than it must to know."""
+    some = df.limit(limit + 1)
+    if not any(kind.startswith(("string", "binary", "array", "map", "struct")) for _, kind in df.dtypes):
+        return some.count() <= limit
+    found = some.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= limit and found["bytes"] <= most
 
 
 #: Rows of a key that meet in one task, and keys of more rows than that which are sent to every executor.
