@@ -441,6 +441,24 @@ def test_licences(spark, docs, none):
     assert licences.scan(docs).count() == licences.scan(none).count() == licences.scan(d, {}).count() == 0
 
 
+def test_licences_from_files(spark, tmp_path, monkeypatch):
+    """Long licences, of some thousand words, with a few words changed and text around."""
+    rnd = random.Random(14)
+    stock = [f"{a}{b}" for a in ("lic", "grant", "work", "copy", "term", "right") for b in ("", "ed", "s", "or", "ing", "able", "ion")]
+    full = {f"Long-{k}": "\n".join(" ".join(rnd.choice(stock) for _ in range(12)) for _ in range(n)) for k, n in (("A", 250), ("B", 90))}
+    for name, text in full.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    got = licences.read_templates(spark, str(tmp_path))
+    assert got == full
+    changed = " ".join(w if k % 50 else "changed" for k, w in enumerate(full["Long-A"].split()))
+    texts = [f"x = 1;\n/* {changed} */\nmore code", full["Long-B"].upper(), " ".join(full["Long-B"].split()[: 12 * 40]), full["Long-A"] + "\n" + full["Long-B"]]
+    found = licences.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), licences.TEMPLATES | got).collect()
+    assert sorted((r.doc_id, r.template, r.first_word) for r in found) == [(0, "Long-A", 2), (1, "Long-B", 0), (3, "Long-A", 0), (3, "Long-B", 3000)]
+    monkeypatch.setattr(licences, "TEMPLATE_BYTES", 100)
+    with pytest.raises(ValueError, match="at most"):
+        licences.read_templates(spark, str(tmp_path))
+
+
 def test_licence_seeds():
     rnd = random.Random(2)
     sets = {k: set(licences.bigrams(licences.words_of(t))) for k, t in licences.TEMPLATES.items()}

@@ -12,6 +12,8 @@ search for these spares most texts all else.
 Of windows that match, one goes if a better one (more bigrams in common, then a higher coefficient, the earlier start, the earlier end, the first by name) covers over half of the shorter of the two.
 DataFrame functions only. Null and empty texts and those of one word match nothing. A very long text is one array of words, and only its stretches around seeds are looked at. Repeated rows are scanned each on their own. Empty tables
 give empty results. Extra columns are ignored.
+
+The templates given here are notices, headers and short licences; full texts of long ones are read from files (read_templates) and scanned for in the same way.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Kept
@@ -27,6 +29,8 @@ from .common import Kept
 LEAST, STRONG = 0.8, 8
 #: Words that most English texts have.
 COMMON = frozenset("a all and any as at be by for from if in is it may not of or that the this to under was will with you".split())
+#: Bytes of templates that are read from files.
+TEMPLATE_BYTES = 16 << 20
 #: Windows meet others that touch a stretch of so many words.
 STRETCH = 256
 #: Notices and licences by which texts declare their terms.
@@ -102,6 +106,15 @@ def index_of(templates: dict[str, str]) -> list[tuple[str, str, int, int, int]]:
     return out
 
 
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates for scan() from a folder of licence texts, one a file, named by the files without their suffix .txt: full licences, as files named LICENSE hold them. Texts of more than TEMPLATE_BYTES together are refused, as all of them go to every executor."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("name"), "value")
+    size = files.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("n")).first()["n"]
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates; {TEMPLATE_BYTES} at most")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, strong: int = STRONG) -> DataFrame:
     """doc_id, template, first_word and n_words (of the normalised text), shared, dice of each window that matches and stays."""
     spark = docs.sparkSession
