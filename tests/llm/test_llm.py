@@ -395,7 +395,9 @@ def test_marginals_equal_enumeration():
     assert np.allclose(quality.marginals(np.array([5]), odds, pair)[0], one / total)
 
 
-def test_hidden_markov(docs, none):
+@pytest.mark.parametrize("key_rows", [1000, 2])
+def test_hidden_markov(docs, none, key_rows, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", key_rows)
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     small = hmm.Config(states=2, head=50, classes=8, rounds=1, warm_rounds=2)
     got = hmm.fit_and_score(docs, train, small).collect()

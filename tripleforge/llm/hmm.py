@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, lean, lower_ascii, regrouped, words
+from .common import Kept, lean, lower_ascii, meet, regrouped, words
 
 ADD = 0.1
 #: Levels of counts for each unit of their logarithm: counts below this are levels of their own.
@@ -241,9 +241,9 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
         model = maximised(starts, steps, emits, unigram, cfg.smooth)
     final = sc.broadcast([x.astype(np.float32) for x in model])
 
-    # Words outside the head: their counts by a join on the word, summed again for each text.
+    # Words outside the head: their counts by a join on the word, summed again for each text. A word may be as common as any (one longer than head_chars), so its rows are dealt by salts; words that training has not seen find no count.
     spread = coded.df.where("tails <> ''").select("row", F.explode(F.split("tails", " ")).alias("word"))
-    rest = spread.join(tail, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("rest"), F.count("c").alias("known"))
+    rest = meet(spread, tail, ["word"], "c", F.col("row")).groupBy("row").agg(F.sum(F.log10(F.col("c") + ADD)).alias("rest"), F.count("*").alias("known"))
     log_head = np.log10(head_counts + ADD)
     log_class = np.log10(in_class[:, 0] + ADD * (in_class[:, 1] + 1))
     known_head = (head_counts > 0).astype(np.int64)
@@ -253,6 +253,7 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
         log_h, log_c, known = sizes.value
         own = np.concatenate((log_h, np.zeros(len(log_c))))
         own_known = np.concatenate((known, np.zeros(len(log_c), np.int64)))
+        in_tail = np.concatenate((np.zeros(len(log_h), np.int64), np.ones(len(log_c), np.int64)))
         by_class = np.concatenate((np.zeros(len(log_h)), log_c))
         for pdf in regrouped(batches, lambda p: sum(map(len, p["ids"])), 4_000_000):
             seqs = [np.frombuffer(b, np.uint16) for b in pdf["ids"]]
@@ -262,15 +263,16 @@ def fit_and_score(docs: DataFrame, train: F.Column, cfg: Config = Config()) -> D
             end_ = np.cumsum([len(s) for s in seqs])
             flat = np.concatenate(seqs)
             cut = lambda x: np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x[flat])))[np.concatenate(([0], end_))])
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "train": pdf["train"], "n_tokens": np.diff(end_, prepend=0), "known_head": cut(own_known), "base_head": cut(own), "hmm": ll / np.log(10) - cut(by_class)})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "train": pdf["train"], "n_tokens": np.diff(end_, prepend=0), "known_head": cut(own_known), "n_tail": cut(in_tail), "base_head": cut(own), "hmm": ll / np.log(10) - cut(by_class)})
 
-    scored = coded.df.select("row", "doc_id", "train", "ids").mapInPandas(score, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known_head long, base_head double, hmm double")
-    both = scored.join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    scored = coded.df.select("row", "doc_id", "train", "ids").mapInPandas(score, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, known_head long, n_tail long, base_head double, hmm double")
+    both = scored.join(rest, "row", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    both = both.withColumn("rest", F.coalesce("rest", F.lit(0.0)) + (F.col("n_tail") - F.col("known")) * float(np.log10(ADD)))
     return both.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
         "n_tokens",
-        (F.col("known_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("known_head") + F.col("known")).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base_head") + F.col("rest") - F.col("n_tokens") * float(np.log10(n_all + ADD * (v_all + 1)))).alias("base_score"),
         (F.col("hmm") + F.col("rest")).alias("score"),
