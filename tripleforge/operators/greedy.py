@@ -113,3 +113,16 @@ def split_ladder(edges: DataFrame, sizes, seed: int, attempts: int = ATTEMPTS) -
             if can[attempt] >= 2 * size:
                 return edges.sparkSession.createDataFrame([(n, size)], "n_edges long, size int")
     return edges.sparkSession.createDataFrame([(n, 0)], "n_edges long, size int")
+
+
+def loop_sql(name: str, edges: str, order: str, head_room: str, tail_room: str, total: int | str | None = None, shared: bool = False) -> str:
+    """CTEs of DuckDB's SQL that go through edges (h, r, t, ..) one by one, in an order: {name} has those that are kept, with n, their number among them. head_room and tail_room: how many edges an end may have, of columns of edges e."""
+    count = lambda ends, c: f"len(list_filter({ends}, lambda x: x = e.{c}))"
+    ends = ("l.hs", "l.hs") if shared else ("l.hs", "l.ts")
+    ok = f"{count(ends[0], 'h')} < {head_room} AND {count(ends[1], 't')} < {tail_room}" + (f" AND len(l.kept) < {total}" if total else "")
+    heads = "list_append(list_append(l.hs, e.h), e.t)" if shared else "list_append(l.hs, e.h)"
+    return f"""{name}_e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i FROM ({edges})),
+{name}_l AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS hs, []::BIGINT[] AS ts, []::BIGINT[] AS kept
+UNION ALL SELECT l.i + 1, CASE WHEN {ok} THEN {heads} ELSE l.hs END, CASE WHEN {ok} THEN list_append(l.ts, e.t) ELSE l.ts END, CASE WHEN {ok} THEN list_append(l.kept, e.i) ELSE l.kept END FROM {name}_l l JOIN {name}_e e ON e.i = l.i),
+{name}_k AS MATERIALIZED (SELECT unnest(kept) AS i, generate_subscripts(kept, 1) - 1 AS n FROM (SELECT kept FROM {name}_l ORDER BY i DESC LIMIT 1)),
+{name} AS (SELECT e.*, n FROM {name}_e e JOIN {name}_k USING (i))"""

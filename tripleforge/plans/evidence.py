@@ -484,7 +484,12 @@ def capped(edges, node: str, cap: int):
     return g.first_per(edges, [node], ["r", far], cap).select("h", "r", "t")
 
 
-@query("gr15_filtered_graph")
+KEPT_SQL = f"""kc AS (SELECT h, r, t FROM cg WHERE h IN (SELECT h FROM {{compounds}}) QUALIFY row_number() OVER (PARTITION BY h ORDER BY r, t) <= {COMPOUND_GENES}),
+kd AS (SELECT h, r, t FROM dg WHERE h IN (SELECT t FROM target) QUALIFY row_number() OVER (PARTITION BY h ORDER BY r, t) <= {DISEASE_GENES}), ge AS (SELECT t FROM kc UNION SELECT t FROM kd WHERE {{diseases}})"""
+GENES_SQL = "SELECT * FROM gg WHERE h IN (SELECT t FROM ge) AND t IN (SELECT t FROM ge)"
+
+
+@query("gr15_filtered_graph", f"WITH RECURSIVE {SQL}, {KEPT_SQL.format(compounds='train', diseases='true')}, {greedy.loop_sql('ka', 'SELECT * FROM aux WHERE h IN (SELECT h FROM train) AND t IN (SELECT t FROM target)', 'h, t, r', str(PAIRS_EACH), str(PAIRS_EACH), PAIRS_TOTAL)}, {greedy.loop_sql('kg', GENES_SQL, 'h, t, r', str(GENE_GENES), str(GENE_GENES), GENES_TOTAL, True)} SELECT * FROM train UNION ALL SELECT * FROM kc UNION ALL SELECT * FROM kd UNION ALL SELECT h, r, t FROM ka UNION ALL SELECT h, r, t FROM kg")
 def _(spark, sf):
     """The filtered graph: all training target edges; compound-gene edges of the compounds in training and disease-gene edges of all target diseases, capped each; other pairs of both under joint caps of compound, disease and total;
     gene-gene edges between touched genes under a joint cap of both genes. Joint caps take edges in the order of (h, t, r). The brute-force loop is in tests/test_operators.py."""
@@ -500,7 +505,7 @@ def _(spark, sf):
     return kg.train().select("h", "r", "t").unionByName(cg).unionByName(dg).unionByName(aux).unionByName(gg)
 
 
-@query("gr16_status_graph")
+@query("gr16_status_graph", f"WITH RECURSIVE {SQL}, cm AS (SELECT h FROM target UNION SELECT h FROM failed), {KEPT_SQL.format(compounds='cm', diseases='false')}, {greedy.loop_sql('kf', "SELECT * FROM failed WHERE NOT EXISTS (SELECT 1 FROM target x WHERE x.split <> 'train' AND x.h = failed.h AND x.t = failed.t)", 'h, t, r', str(PAIRS_EACH), str(PAIRS_EACH))}, {greedy.loop_sql('kg', GENES_SQL, 'h, t, r', str(GENE_GENES), str(GENE_GENES), 150_000, True)} SELECT * FROM train UNION ALL SELECT h, r, t FROM kf UNION ALL SELECT * FROM kc UNION ALL SELECT h, r, t FROM kg")
 def _(spark, sf):
     """The graph with failed pairs: training target edges; failed pairs, none of a held-out pair, under joint caps; compound-gene edges of the task's compounds; gene-gene edges between touched genes."""
     kg = Graph(spark, sf)
