@@ -19,23 +19,31 @@ def grid(betas, weights, gammas) -> list[tuple[float, float, float]]:
     return list(product(betas, weights, gammas))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _scored(c: Column, setting: Column, k: int) -> Column:
     """The candidates of a row (cand, pos, e, d, x) as (final, support, pos, cand) in a form whose order is the new one: least first."""
     support = F.transform(c, lambda y: y["e"] - setting["beta"] * y["d"] - setting["gamma"] * y["x"])
-    lo, hi = F.array_min(support), F.array_max(support)
-    norm = lambda s: F.when(F.abs(hi - lo) < 1e-12, F.lit(0.5)).otherwise((s - lo) / (hi - lo))
-    final = lambda y, s: setting["weight"] * ((F.lit(float(k)) - y["pos"] + 1) / F.lit(float(k))) + (F.lit(1.0) - setting["weight"]) * norm(s)
-    return F.zip_with(c, support, lambda y, s: F.struct((-F.round(final(y, s), 9)).alias("f"), (-F.round(s, 9)).alias("s"), y["pos"].alias("pos"), y["cand"].alias("cand")))
+    norm = lambda s, m: F.when(F.abs(m["hi"] - m["lo"]) < 1e-12, F.lit(0.5)).otherwise((s - m["lo"]) / (m["hi"] - m["lo"]))
+    final = lambda y, s, m: setting["weight"] * ((F.lit(float(k)) - y["pos"] + 1) / F.lit(float(k))) + (F.lit(1.0) - setting["weight"]) * norm(s, m)
+    one = lambda y, s, m: F.struct((-F.round(final(y, s, m), 9)).alias("f"), (-F.round(s, 9)).alias("s"), y["pos"].alias("pos"), y["cand"].alias("cand"))
+    ends = lambda v: F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    return _let(support, lambda v: _let(ends(v), lambda m: F.zip_with(c, v, lambda y, s: one(y, s, m))))
 
 
 def swept(cands: DataFrame, settings: list[tuple], k: int = TOP_K) -> DataFrame:
     """(KEY, gold_id, setting, rank, top): by each setting (its number) the gold's rank, k + 1 where it is no candidate, and the candidate that comes first. cands: KEY, gold_id, pos, cand, e, d, x."""
     rows = cands.groupBy(*KEY, "gold_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cand", "e", "d", "x"))).alias("c"))
+    # Rows are few bytes but much work, so they are dealt out, and not put together by their size.
+    rows = rows.repartition(int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     each = F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(float(b)).alias("beta"), F.lit(float(w)).alias("weight"), F.lit(float(g)).alias("gamma")) for n, (b, w, g) in enumerate(settings)])
-    # One setting's new order is an array of its own, so that ranks and firsts are read from it and not worked out again.
-    orders = rows.select(*KEY, "gold_id", F.transform(each, lambda s: F.struct(s["setting"].alias("setting"), F.array_sort(_scored(F.col("c"), s, k)).alias("y"))).alias("o"))
-    placed = orders.select(*KEY, "gold_id", F.transform("o", lambda o: F.struct(o["setting"].alias("setting"), F.array_position(F.transform(o["y"], lambda v: v["cand"]), F.col("gold_id")).alias("rank"), F.get(o["y"], F.lit(0))["cand"].alias("top"))).alias("p"))
-    return placed.select(*KEY, "gold_id", F.explode("p").alias("v")).select(*KEY, "gold_id", "v.setting", F.when(F.col("v.rank") > 0, F.col("v.rank").cast("int")).otherwise(k + 1).alias("rank"), "v.top")
+    # Of one setting's new order the gold's place and the first candidate are read; the order itself is worked out once.
+    place = lambda y: F.struct(F.array_position(F.transform(y, lambda v: v["cand"]), F.col("gold_id")).alias("rank"), F.get(y, F.lit(0))["cand"].alias("top"))
+    placed = rows.select(*KEY, "gold_id", F.transform(each, lambda s: F.struct(s["setting"].alias("setting"), _let(F.sort_array(_scored(F.col("c"), s, k)), place).alias("at"))).alias("p"))
+    return placed.select(*KEY, "gold_id", F.explode("p").alias("v")).select(*KEY, "gold_id", "v.setting", F.when(F.col("v.at.rank") > 0, F.col("v.at.rank").cast("int")).otherwise(k + 1).alias("rank"), F.col("v.at.top").alias("top"))
 
 
 def metrics(ranks: DataFrame, by: list[str], k: int = TOP_K) -> DataFrame:
