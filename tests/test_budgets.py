@@ -1,5 +1,6 @@
 """Retrieval under a budget: only what can be among the first triples is moved."""
 
+from tripleforge.operators import graph as g
 from tripleforge.operators import retrieval as r
 from tripleforge.sources.store import written
 
@@ -18,3 +19,11 @@ def test_stages_after_those_known(spark):
     rows = lambda df: sorted(tuple(x) for x in df.collect())
     first = written(r.evidence(stages[:1], 4))
     assert rows(r.evidence(stages[1:], 4, first, 1)) == rows(r.evidence(stages, 4))
+
+
+def test_shortest_paths_end_at_the_longest_length(spark):
+    edges = spark.createDataFrame([(k, "x", k + 1) for k in range(12)], "h long, r string, t long")
+    pairs = spark.createDataFrame([(0, 9), (0, 11), (2, 12)], "a long, b long")
+    lengths = lambda most: {(x["a"], x["b"]): x["count"] for x in g.shortest_paths(pairs, edges, most).groupBy("a", "b").count().collect()}
+    assert lengths(9) == {(0, 9): 9}
+    assert lengths(None) == {(0, 9): 9, (0, 11): 11, (2, 12): 10}
