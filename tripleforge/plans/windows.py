@@ -10,7 +10,7 @@ from ..operators import greedy
 from ..operators import ranking as k
 from ..operators import splits
 from ..sources.derived import SQL, Graph
-from .features import FEATURES, gene_sets, soft_ranked
+from .features import FEATURES, WHOLE_FEATURES, gene_sets, soft_ranked
 from .metrics import METRICS_SQL, METRIC_COLUMNS, RANKS_SQL, both_ranks, rounded
 from .registry import query
 
@@ -44,35 +44,35 @@ def _(spark, sf):
     return r.groupBy("variant", "split").agg(R(F.sum(F.when(F.col("cand") == F.col("gold_id"), 1.0 / F.col("rank")).otherwise(0.0)) / F.countDistinct("row_index")).alias("mrr"))
 
 
-@query("win02_four_key_rank", f"WITH {FEATURES} SELECT split, row_index, cand, soft_rank, round(support, 6) AS support FROM soft")
+@query("win02_four_key_rank", f"WITH {WHOLE_FEATURES} SELECT split, row_index, cand, soft_rank, round(support, 6) AS support FROM soft")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return soft_ranked(kg).select(*KEY, "cand", "soft_rank", R("support").alias("support"))
+    return soft_ranked(kg, whole=True).select(*KEY, "cand", "soft_rank", R("support").alias("support"))
 
 
 BLEND = "WITH {f}, m AS (SELECT *, min(support) OVER w AS lo, max(support) OVER w AS hi FROM soft WINDOW w AS (PARTITION BY split, row_index)), n AS (SELECT *, CASE WHEN abs(hi - lo) < 1e-12 THEN 0.5 ELSE (support - lo) / (hi - lo) END AS norm FROM m), b AS (SELECT *, round(0.65 * (20 - pos + 1) / 20 + 0.35 * norm, 9) AS final FROM n)"
 
 
-@query("win03_minmax", BLEND.format(f=FEATURES) + " SELECT split, row_index, cand, round(norm, 6) AS norm FROM b")
+@query("win03_minmax", BLEND.format(f=WHOLE_FEATURES) + " SELECT split, row_index, cand, round(norm, 6) AS norm FROM b")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return soft_ranked(kg).select(*KEY, "cand", R(k.minmax(F.col("support"))).alias("norm"))
+    return soft_ranked(kg, whole=True).select(*KEY, "cand", R(k.minmax(F.col("support"))).alias("norm"))
 
 
-def blended(kg, raw: float = 0.65):
-    s = soft_ranked(kg).withColumn("final", F.round(raw * k.rank_prior(F.col("pos")) + (1 - raw) * k.minmax(F.col("support")), 9))
+def blended(kg, raw: float = 0.65, whole: bool = False):
+    s = soft_ranked(kg, whole).withColumn("final", F.round(raw * k.rank_prior(F.col("pos")) + (1 - raw) * k.minmax(F.col("support")), 9))
     return k.rank_by(s, F.desc("final"), F.desc(F.round("support", 9)), "pos")
 
 
-@query("win04_blend_rank", BLEND.format(f=FEATURES) + " SELECT split, row_index, cand, round(final, 6) AS final, row_number() OVER (PARTITION BY split, row_index ORDER BY final DESC, round(support, 9) DESC, pos) AS rank FROM b")
+@query("win04_blend_rank", BLEND.format(f=WHOLE_FEATURES) + " SELECT split, row_index, cand, round(final, 6) AS final, row_number() OVER (PARTITION BY split, row_index ORDER BY final DESC, round(support, 9) DESC, pos) AS rank FROM b")
 def _(spark, sf):
-    return blended(Graph(spark, sf)).select(*KEY, "cand", R("final").alias("final"), "rank")
+    return blended(Graph(spark, sf), whole=True).select(*KEY, "cand", R("final").alias("final"), "rank")
 
 
-@query("win05_bands", f"WITH {FEATURES} SELECT split, row_index, cand, CASE WHEN soft_rank <= 5 THEN 'top' WHEN soft_rank <= 10 THEN 'mid' ELSE 'tail' END AS band, CASE WHEN pos <= 5 THEN 'top' WHEN pos <= 10 THEN 'mid' ELSE 'tail' END AS position_band FROM soft")
+@query("win05_bands", f"WITH {WHOLE_FEATURES} SELECT split, row_index, cand, CASE WHEN soft_rank <= 5 THEN 'top' WHEN soft_rank <= 10 THEN 'mid' ELSE 'tail' END AS band, CASE WHEN pos <= 5 THEN 'top' WHEN pos <= 10 THEN 'mid' ELSE 'tail' END AS position_band FROM soft")
 def _(spark, sf):
     kg = Graph(spark, sf)
-    return soft_ranked(kg).select(*KEY, "cand", k.band(F.col("soft_rank")).alias("band"), k.band(F.col("pos")).alias("position_band"))
+    return soft_ranked(kg, whole=True).select(*KEY, "cand", k.band(F.col("soft_rank")).alias("band"), k.band(F.col("pos")).alias("position_band"))
 
 
 @query("win07_capped_neighbours", f"WITH {FEATURES} SELECT node, near, place FROM cgn")
@@ -162,7 +162,7 @@ def _(spark, sf):
     return k.rank_by(m, F.desc("mrr"), F.desc("hits_10"), F.desc("gold_at_20"), "row_name", name="place", key=["split"]).select("split", "row_name", "mrr", "hits_10", "place")
 
 
-SWEEP = BLEND.format(f=FEATURES).replace("0.65 *", "w *").replace("0.35 *", "(1 - w) *").replace("FROM n)", "FROM n, (VALUES (0.5::DOUBLE), (0.65::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) v(w))")
+SWEEP = BLEND.format(f=WHOLE_FEATURES).replace("0.65 *", "w *").replace("0.35 *", "(1 - w) *").replace("FROM n)", "FROM n, (VALUES (0.5::DOUBLE), (0.65::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) v(w))")
 SWEEP += ", r AS (SELECT w, split, row_index, cand, gold_id, row_number() OVER (PARTITION BY w, split, row_index ORDER BY final DESC, round(support, 9) DESC, pos) AS rank FROM b), t1 AS (SELECT w, split, max(n) / sum(n) AS dom FROM (SELECT w, split, cand, count(*) AS n FROM r WHERE rank = 1 GROUP BY ALL) GROUP BY w, split), mm AS (SELECT w, split, round(sum(CASE WHEN cand = gold_id THEN 1.0 / rank ELSE 0 END) / count(DISTINCT row_index), 6) AS mrr FROM r GROUP BY w, split), e AS (SELECT w, split, mrr, round(dom, 6) AS dominance, (dom <= 0.7)::INT AS eligible FROM mm JOIN t1 USING (w, split))"
 
 
@@ -170,7 +170,7 @@ SWEEP += ", r AS (SELECT w, split, row_index, cand, gold_id, row_number() OVER (
 def _(spark, sf):
     kg = Graph(spark, sf)
     ws = spark.createDataFrame([(0.5,), (0.65,), (0.8,), (0.9,)], "w double")
-    s = soft_ranked(kg).withColumn("norm", k.minmax(F.col("support"))).crossJoin(F.broadcast(ws))
+    s = soft_ranked(kg, whole=True).withColumn("norm", k.minmax(F.col("support"))).crossJoin(F.broadcast(ws))
     s = s.withColumn("final", F.round(F.col("w") * k.rank_prior(F.col("pos")) + (1 - F.col("w")) * F.col("norm"), 9))
     r = k.rank_by(s, F.desc("final"), F.desc(F.round("support", 9)), "pos", key=["w", *KEY])
     mrr = r.groupBy("w", "split").agg(R(F.sum(F.when(F.col("cand") == F.col("gold_id"), 1.0 / F.col("rank")).otherwise(0.0)) / F.countDistinct("row_index")).alias("mrr"))
