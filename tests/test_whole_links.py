@@ -22,6 +22,6 @@ def test_bridges_in_groups_are_those_of_listed_links(spark):
 
 def test_relation_roles_have_every_link(spark):
     sf = "/root/testdata/sf0.01"
-    n = duckdb.sql(f"select count(*) from '{sf}/part.parquet' a join '{sf}/part.parquet' b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey").fetchone()[0]
+    n = duckdb.connect().execute(f"select count(*) from '{sf}/part.parquet' a join '{sf}/part.parquet' b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey").fetchone()[0]
     assert registry.QUERIES["agg11_relation_roles"](spark, sf).where("r = 'GiG'").first()["n"] == n
     assert "BETWEEN 1 AND" not in WHOLE_SQL
