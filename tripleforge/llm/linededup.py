@@ -8,6 +8,9 @@ of the piece_words - 1 words on either side, so where they end depends on the wo
 either side of an edit, is cut alike wherever it stands. As common phrases repeat everywhere, another option, min_words, has a unit count only within a run of repeated units that follow
 one another in a document and have so many words together (a unit that comes again within the run adds none).
 
+shared_passages() finds passages wherever their lines or pieces end: its units are runs of `run` words, from the words on whose run's hash is the least of some `least_words - run + 1` in a row (winnowing). Equal
+passages of least_words words have such a word in common, so all of them are found, whatever stands around; nothing is reported that has no `run` words in a row in common with another place.
+
 Null and empty texts have no units. Rows that agree in doc_id and text count as one document, and both keep or lose its units; other
 texts of one doc_id, null too, are documents of their own, known by 128 bits of their digest. An empty table gives an empty result. Very long texts are cut on their own, one at a time. Extra columns stay out of the result of
 repeats() and stay in without_repeats().
@@ -27,6 +30,8 @@ from .shingles import chunks, mix, word_places
 
 #: For passages: words of a run, and the least of a piece (but for the last one of a line).
 MIN_WORDS, PIECE_WORDS = 40, 5
+#: For shared passages: words of a passage that is found for sure, and of the runs that are compared.
+LEAST_WORDS, RUN = 50, 39
 BROADCAST_ROWS, HOT = 200_000, 10_000
 #: Ranks are doc_id times PLACES, plus the place: a number from the text's digest times STARTS, plus the offset. Units of two texts of one id that agree in rank both stay.
 PLACES, STARTS, TEXTS = 10**19, 10**10, 9 * 10**8
@@ -86,19 +91,55 @@ def units_of(texts: list[bytes], piece_words: int | None = None, unit: str = "li
     return {"text": of, "no": no, "start": points[start[first]] - begin[of], "end": points[stop[last]] - begin[of], "words": n, "hi": digests[0], "lo": digests[1]}
 
 
+def runs_of(texts: list[bytes], run: int = RUN, least_words: int = LEAST_WORDS) -> dict[str, np.ndarray]:
+    """What units_of() has, for runs of words: no is the number of the run's first word in its text. Of equal runs that overlap (a word that comes again and again) the first one counts."""
+    doc, h, start, stop, data = word_places(texts, b"\n")
+    n, w = len(h) - run + 1, least_words - run + 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    begin = points[np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]] if texts else points[:0]
+    if n < 1:
+        return {c: np.zeros(0, np.int64) for c in ("text", "no", "start", "end", "words", "hi", "lo")}
+    powers = np.cumprod(np.full(len(h), np.uint64(_STEP)))
+    inverse = np.cumprod(np.full(len(h), np.uint64(pow(_STEP, -1, 2**64))))
+    digests = []
+    for salt in (3, 5):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt * 0x9E3779B9)) * powers)))
+        digests.append(mix((sums[run:] - sums[:n]) * inverse[:n]))
+    # A run over the end of a text is none: it is the greatest, and left out.
+    whole = doc[run - 1 :] == doc[:n]
+    key = np.where(whole, digests[0], np.uint64(2**64 - 1))
+    # The least of w in a row, those of one text, is chosen; equal ones all.
+    padded = np.concatenate((np.full(w - 1, np.uint64(2**64 - 1)), key, np.full(w - 1, np.uint64(2**64 - 1))))
+    least = padded[: n + w - 1].copy()
+    for k in range(1, w):
+        np.minimum(least, padded[k : k + n + w - 1], out=least)
+    chosen = np.zeros(n, bool)
+    for k in range(w):
+        chosen |= key == least[k : k + n]
+    at = np.flatnonzero(chosen & whole)
+    order = np.lexsort((at, key[at]))
+    o = at[order]
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = (key[o[1:]] == key[o[:-1]]) & (o[1:] - o[:-1] < run) & (doc[o[1:]] == doc[o[:-1]])
+    at = at[~again]
+    of = doc[at]
+    first_word = np.searchsorted(doc, np.arange(len(texts)))
+    return {"text": of, "no": at - first_word[of], "start": points[start[at]] - begin[of], "end": points[stop[at + run - 1]] - begin[of], "words": np.full(len(at), run), "hi": digests[0][at].view(np.int64), "lo": digests[1][at].view(np.int64)}
+
+
 #: Two whole numbers of 31 bits stand in one column, the first in its upper half.
 _upper = lambda c: F.shiftright(c, 32).cast("int")
 _lower = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int")
 
 
-def units(docs: DataFrame, piece_words: int | None = None, unit: str = "line") -> DataFrame:
-    """A row for each unit: id, the text's digest (thi, tlo), span (start and end in one number), nth (the number of the unit and its words in one number), and the unit's digest (hi, lo)."""
+def units(docs: DataFrame, piece_words: int | None = None, unit: str = "line", find=None) -> DataFrame:
+    """A row for each unit that find(texts) gives, units_of() if there is none: id, the text's digest (thi, tlo), span (start and end in one number), nth (the number of the unit and its words in one number), and the unit's digest (hi, lo)."""
     def split(batches):
         for pdf in batches:
             ids, texts = pdf["id"].to_numpy(np.int64), [_bytes(t) for t in pdf["text"]]
             for a, b in chunks(texts):
                 with np.errstate(over="ignore"):
-                    u = units_of(texts[a:b], piece_words, unit)
+                    u = find(texts[a:b]) if find else units_of(texts[a:b], piece_words, unit)
                 known = np.array([digest_of(t) for t in texts[a:b]], np.int64).reshape(-1, 2)[u["text"]]
                 yield pd.DataFrame({"id": ids[a:b][u["text"]], "thi": known[:, 0], "tlo": known[:, 1], "span": u["start"].astype(np.int64) << 32 | u["end"], "nth": u["no"].astype(np.int64) << 32 | u["words"], "hi": u["hi"], "lo": u["lo"]})
 
@@ -118,10 +159,10 @@ def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
 DOC = ["id", "thi", "tlo"]
 
 
-def _occurrences(docs: DataFrame, piece_words: int | None, unit: str) -> DataFrame:
+def _occurrences(docs: DataFrame, piece_words: int | None, unit: str, find=None) -> DataFrame:
     """All units that occur more than once: id, thi, tlo, no, start, end, words, hi, lo, copies, kept (0 or 1), kept_id, kept_place."""
     lean(docs.sparkSession)
-    u = Kept(units(docs, piece_words, unit), "units")
+    u = Kept(units(docs, piece_words, unit, find), "units")
     place = F.pmod("thi", F.lit(TEXTS)) * STARTS + _upper("span")
     rank = (F.col("id").cast("decimal(19,0)") * F.lit(str(PLACES)).cast("decimal(20,0)") + place.cast("decimal(19,0)")).cast("decimal(38,0)")
     groups = u.df.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min(rank).alias("first")).where("copies > 1")
@@ -176,6 +217,29 @@ def repeats(docs: DataFrame, min_words: int = 1, piece_words: int | None = None,
     return _passages(docs, min_words, piece_words, unit).select(_real("id").alias("doc_id"), "start", "end", "words", "units", "copies", "kept", _real("kept_id").alias("kept_doc_id"), "kept_start")
 
 
+def shared_passages(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Passages that stand in two places or more, in parts whose runs stay (kept) or go; columns as in repeats(), units are the runs compared.
+
+    Every passage of least_words words is found, but for less than that at either end; those of `run` words or more may be. A part ends where the next one begins.
+    """
+    if not 0 < run <= least_words:
+        raise ValueError("run must be from 1 to least_words")
+    at = Window.partitionBy(*DOC).orderBy("no")
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    find = lambda texts: runs_of(texts, run, least_words)
+    before = F.lag("no").over(at)
+    apart = F.coalesce(F.col("no") > before + run, F.lit(True))
+    turn = F.coalesce(F.col("kept") != F.lag("kept").over(at), F.lit(True))
+    runs = _occurrences(docs, None, "line", find).withColumn("new", (apart | turn).cast("int"))
+    runs = runs.withColumn("part", F.sum("new").over(upto))
+    first = F.min_by(F.struct("kept_id", "kept_place"), "no")
+    parts = runs.groupBy(*DOC, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("no").alias("no"), (F.max("no") + run).alias("upto"), F.count("*").alias("units"), F.max("copies").alias("copies"), (F.max("kept") == 1).alias("kept"), first.alias("first"))
+    following = Window.partitionBy(*DOC).orderBy("part")
+    parts = parts.withColumn("end", F.least("end", F.lead("start").over(following))).withColumn("upto", F.least("upto", F.lead("no").over(following)))
+    kept_start = (F.col("first.kept_place") % STARTS).cast("int")
+    return parts.select(_real("id").alias("doc_id"), "start", "end", (F.col("upto") - F.col("no")).cast("long").alias("words"), "units", "copies", "kept", _real("first.kept_id").alias("kept_doc_id"), kept_start.alias("kept_start"))
+
+
 def without_repeats(docs: DataFrame, min_words: int = 1, piece_words: int | None = None, unit: str = "line", removed: str = "removed") -> DataFrame:
     """docs with every part of a run that goes cut out of text (with the line end after it, or else the space), and a column named by `removed`: the spans cut, by offsets in the original.
 
