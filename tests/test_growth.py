@@ -1,5 +1,6 @@
 """Steps that move no more than their pairs need, and still all of that."""
 
+from tripleforge.operators import assembly
 from tripleforge.plans import features
 from tripleforge.sources.derived import Graph
 
@@ -13,3 +14,13 @@ def test_gene_sets_of_pairs(spark):
     for got, whole, end in zip(features.gene_sets(kg, 7, 9, pairs), features.gene_sets(kg, 7, 9), "ab", strict=True):
         ends = {r[0] for r in pairs.select(end).collect()}
         assert rows(got) == [r for r in rows(whole) if r[0] in ends] != []
+
+
+def test_paths_of_many_starts(spark):
+    """More starts than one whole number has bits, paths of at most so many edges, and the first relation of parallel edges."""
+    edges = [(k, "y" if k % 2 else "x", k + 1) for k in range(99)] + [(0, "b", 1), (0, "a", 1)]
+    steps = spark.createDataFrame([*edges, *[(t, r, h) for h, r, t in edges]], "src long, r string, dst long")
+    pairs = spark.createDataFrame([(a, b) for a in range(100) for b in (0, 50)], "a long, b long")
+    got = {(r.a, r.b): (list(r.path), list(r.rels)) for r in assembly.meeting_paths(pairs, steps, 6).collect()}
+    assert set(got) == {(a, b) for a in range(100) for b in (0, 50) if abs(a - b) <= 6}
+    assert got[3, 0] == ([3, 2, 1, 0], ["x", "y", "a"]) and got[0, 0] == ([0], []) and got[51, 50] == ([51, 50], ["x"])

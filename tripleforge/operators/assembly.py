@@ -13,59 +13,69 @@ from pyspark.sql import functions as F
 
 from ..sources.adjacency import Adjacency
 from ..sources.store import written
+from .splits import dense_ids
 
 EDGE = ["src", "r", "dst"]
 
 
-class _Ball:
-    """Nodes around some starts, level by level, each with its first path. From b paths are kept as read from the start, from a as read towards it."""
+#: Starts whose search is one: each has a bit of a whole number.
+BITS = 63
 
-    def __init__(self, starts: DataFrame, key: str, outwards: bool):
-        self.key, self.outwards = key, outwards
-        self.levels = [written(starts.select(F.col(key), F.col(key).alias("node"), F.array(key).alias("path")), "ball")]
 
-    @property
-    def last(self) -> DataFrame:
-        return self.levels[-1]
+def meeting_paths(pairs: DataFrame, steps: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b, path, rels): the nodes and relations of the first shortest path from a to b, of any length or of at most `most` edges, of each pair (a, b) that is so connected. steps (src, dst, r), both ways; without r, rels are null.
 
-    def grow(self, steps: DataFrame, live: DataFrame) -> None:
-        """One level more around the starts in live."""
-        path = F.concat("path", F.array("dst")) if self.outwards else F.concat(F.array("dst"), F.col("path"))
-        new = self.last.join(live, self.key, "left_semi").join(steps, F.col("node") == F.col("src")).select(self.key, F.col("dst").alias("node"), path.alias("path"))
-        new = new.groupBy(self.key, "node").agg(F.min("path").alias("path"))
-        # An edge leads a level back, across or on, so the last two levels are all that can come again.
-        for level in self.levels[-2:]:
-            new = new.join(level.select(self.key, "node"), [self.key, "node"], "left_anti")
-        self.levels.append(written(new, "ball"))
-
-
-def meeting_paths(pairs: DataFrame, steps: DataFrame) -> DataFrame:
-    """(a, b, path): the nodes of the first shortest path from a to b, of any length, of each pair (a, b) that is connected. steps (src, dst): distinct, both ways.
-
-    Searches from all a and from all b take turns, the one whose last level has fewer rows going first, and look for nodes that are last on both sides: both have gone every shorter way before, so where they meet is
-    the middle of a shortest path. Starts whose pairs are all found stop, and pairs of a start with nothing new end the search: no length is too long.
+    Searches from all a go on together, level by level: a level has a row for each node, with a bit for each start that comes there for the first time, so it grows with the nodes and not with the pairs. Starts whose pairs are all found
+    stop, as do those with nothing new. Paths are read back from b over the levels; what comes before a node depends on its start only, so pairs share it. steps are best in buckets by src: they stay where they are.
     """
-    open_ = written(pairs.select("a", "b").distinct(), "open-pairs")
-    a, b = _Ball(open_.select("a").distinct(), "a", False), _Ball(open_.select("b").distinct(), "b", True)
-    found = []
+    if "r" not in steps.columns:
+        steps = steps.withColumn("r", F.lit(None).cast("string"))
+    steps = steps.where("src <> dst").select("src", "dst", "r")
+    own, has = F.expr("shiftleft(1L, bit)"), lambda c: F.expr(f"({c} & shiftleft(1L, bit)) <> 0")
+    starts = dense_ids(pairs.select(F.col("a").cast("long").alias("a")).distinct(), "a", "n").select("a", F.expr(f"cast(n div {BITS} as long)").alias("g"), F.expr(f"cast(n % {BITS} as int)").alias("bit"))
+    starts = written(starts, "starts")
+    open_ = written(pairs.select("a", "b").distinct().join(starts, "a"), "open-pairs")
+    levels, found = [written(starts.select("g", F.col("a").alias("node"), own.alias("mask")), "level")], []
     while True:
-        met = open_.join(b.last.select("b", "node", F.col("path").alias("near")), "b").join(a.last.select("a", "node", F.col("path").alias("far")), ["a", "node"])
-        met = met.groupBy("a", "b").agg(F.min(F.struct("near", "far")).alias("m"))
-        path = F.reverse(F.concat("m.near", F.slice("m.far", F.lit(2), F.size("m.far"))))
-        found.append(written(met.select("a", "b", path.alias("path")), "met"))
-        # A pair is given up once one of its ends has nothing new.
-        open_ = open_.join(found[-1], ["a", "b"], "left_anti").join(a.last.select("a").distinct(), "a", "left_semi").join(b.last.select("b").distinct(), "b", "left_semi")
+        last = levels[-1]
+        met = open_.join(last.select("g", F.col("node").alias("b"), "mask"), ["g", "b"]).where(has("mask"))
+        found.append(written(met.select("a", "b", "g", "bit"), "met"))
+        alive = last.groupBy("g").agg(F.bit_or("mask").alias("alive"))
+        open_ = open_.join(found[-1].select("a", "b"), ["a", "b"], "left_anti").join(alive, "g").where(has("alive")).drop("alive")
         open_ = written(open_, "open-pairs")
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        side = min((a, b), key=lambda s: s.last.join(open_.select(s.key).distinct(), s.key, "left_semi").count())
-        side.grow(steps, open_.select(side.key).distinct())
-
-
-def path_edges(paths: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, step, src, r, dst) of paths (a, b, path); labels (src, dst, r): one relation for each pair of ends."""
-    each = paths.select("a", "b", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path")).alias("dst"))).alias("step", "e"))
-    return each.select("a", "b", "step", "e.src", "e.dst").join(labels, ["src", "dst"]).select("a", "b", "step", *EDGE)
+        if len(levels) - 1 == most or open_.isEmpty():
+            break
+        live = open_.groupBy("g").agg(F.bit_or(own).alias("live"))
+        front = last.join(live, "g").select("g", "node", F.expr("mask & live").alias("mask")).where("mask <> 0")
+        new = front.hint("shuffle_hash").join(steps.select("src", "dst"), F.col("node") == F.col("src")).select("g", F.col("dst").alias("node"), "mask")
+        if len(levels) == most:
+            # On the last level nothing counts but ends that are not found yet.
+            new = new.join(open_.select("g", F.col("b").alias("node")).distinct(), ["g", "node"], "left_semi")
+        new = new.groupBy("g", "node").agg(F.bit_or("mask").alias("mask"))
+        # An edge leads a level back, across or on, so the last two levels are all that can come again.
+        for level in levels[-2:]:
+            new = new.join(level.select("g", "node", F.col("mask").alias("old")), ["g", "node"], "left").select("g", "node", F.expr("mask & ~coalesce(old, 0L)").alias("mask")).where("mask <> 0")
+        levels.append(written(new, "level"))
+    at = None
+    for t in range(len(levels) - 1, 0, -1):
+        here = found[t].select("*", F.col("b").alias("node"), F.array("b").alias("path"), F.array().cast("array<string>").alias("rels"))
+        here = here if at is None else at.unionByName(here)
+        want = here.groupBy("g", "node").agg(F.bit_or(own).alias("want"))
+        ways = want.hint("shuffle_hash").join(steps, F.col("node") == F.col("src")).join(levels[t - 1].select("g", F.col("node").alias("dst"), "mask"), ["g", "dst"])
+        ways = ways.select("g", "node", "dst", "r", F.expr("want & mask").alias("both")).where("both <> 0")
+        each = ways.select("g", "node", "dst", "r", F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), i -> (shiftright(both, i) & 1L) = 1L)")).alias("bit"))
+        before = each.groupBy("g", "node", "bit").agg(F.min(F.struct("dst", "r")).alias("e"))
+        at = here.join(before, ["g", "node", "bit"]).select("a", "b", "g", "bit", F.col("e.dst").alias("node"), F.concat(F.array("e.dst"), "path").alias("path"), F.concat(F.array("e.r"), "rels").alias("rels"))
+        at = written(at, "back")
+    none = found[0].select("a", "b", F.array("b").alias("path"), F.array().cast("array<string>").alias("rels"))
+    return none if at is None else none.unionByName(at.select("a", "b", "path", "rels"))
+
+
+def path_edges(paths: DataFrame) -> DataFrame:
+    """(a, b, step, src, r, dst) of paths (a, b, path, rels)."""
+    n = F.size("path") - 1
+    each = F.arrays_zip(F.slice("path", F.lit(1), n).alias("src"), F.col("rels").alias("r"), F.slice("path", F.lit(2), F.size("path")).alias("dst"))
+    return paths.where(n > 0).select("a", "b", F.posexplode(each).alias("step", "e")).select("a", "b", "step", "e.src", "e.r", "e.dst")
 
 
 def walks(starts: DataFrame, index: Adjacency, rules: list[list[str]]) -> DataFrame:
@@ -98,19 +108,17 @@ def among(members: DataFrame, index: Adjacency, key: list[str]) -> DataFrame:
     return one.join(members.select(*key, F.col("pos").alias("o2"), F.col("node").alias("dst")), [*key, "dst"]).select(*key, "o1", "o2", *EDGE)
 
 
-def assemble(cands: DataFrame, index: Adjacency, rules: list[list[str]], size: int, key: list[str]) -> DataFrame:
+def assemble(cands: DataFrame, index: Adjacency, rules: list[list[str]], size: int, key: list[str], most: int | None = None) -> DataFrame:
     """(key.., place, stage, src, r, dst): the edges of each row of candidates (key.., query_id, pos, cand), in order.
 
-    Stage 1: the shortest path from every candidate to the query, all of them, whatever the size. While there are fewer than `size` edges: 2, rule walks from the query that end at a
+    Stage 1: the shortest path (of at most `most` edges, if given) from every candidate to the query, all of them, whatever the size. While there are fewer than `size` edges: 2, rule walks from the query that end at a
     candidate, by candidate and rule; 3, rule walks from the query and then from each candidate, wherever they end; 4, edges between the query and the candidates that are not there yet. An edge
     can come in several of the first three stages, as often as it is met. Nodes without edges have no paths and no walks.
     """
     cands = cands.select(*key, "query_id", "pos", F.col("cand").cast("long").alias("cand"))
     rows = written(cands, "assembled-candidates")
-    labels = index.rows().groupBy("src", "dst").agg(F.min("r").alias("r"))
-    labels = written(labels.where("src <> dst"), "labels")
     pairs = rows.select(F.col("cand").alias("a"), F.col("query_id").alias("b")).distinct()
-    paths = written(path_edges(meeting_paths(pairs, labels.select("src", "dst")), labels), "path-edges")
+    paths = written(path_edges(meeting_paths(pairs, index.rows(), most)), "path-edges")
     on = lambda stage, *order: [F.lit(stage).alias("stage"), *[o.alias(f"o{i + 1}") for i, o in enumerate(order)], *EDGE]
     one = rows.join(paths, (F.col("cand") == F.col("a")) & (F.col("query_id") == F.col("b"))).select(*key, *on(1, F.col("pos"), F.lit(0), F.col("step")))
     members = rows.select(*key, F.lit(0).alias("pos"), F.col("query_id").alias("node")).distinct().unionByName(rows.select(*key, "pos", F.col("cand").alias("node")))
