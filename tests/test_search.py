@@ -43,3 +43,17 @@ def test_nothing_to_search(spark):
     assert search.top_products(empty, some, none, 3)[0].count() == search.top_products(some, empty, none, 3)[0].count() == 0
     got, stats = search.top_products(some, some, spark.createDataFrame([(1, 1), (1, 2)], "q long, id long"), 3)
     assert [(r.q, r.id, r.score) for r in got.orderBy("q", "pos").collect()] == [(2, 2, 4.0), (2, 1, 0.0)] and stats == {"pairs": 1, "met": 1}
+
+
+def test_vectors_move_for_panels(spark, monkeypatch):
+    """Several panels and excluded vectors in each; a vector is moved once for a panel of the other side."""
+    monkeypatch.setattr(search, "PANEL", 3)
+    test_top_products(spark, 5, 0.5)
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(9)], "q_block long, block long")
+    left = spark.createDataFrame([(a, [1]) for a in range(6)], "q_block long, q_ids array<long>")
+    right = spark.createDataFrame([(b, [1]) for b in range(9)], "block long, ids array<long>")
+    gone = spark.createDataFrame([(4, 7, [1], [1])], "q_block long, block long, gone_q array<long>, gone_id array<long>")
+    import pandas as pd
+
+    sizes = search._panels(pairs, left, right, gone).applyInPandas(lambda x, y: pd.DataFrame({"a": [len(x)], "b": [len(y)]}), "a long, b long").collect()
+    assert sorted((r.a, r.b) for r in sizes) == [(3, 3)] * 5 + [(4, 3)]
